@@ -97,7 +97,7 @@ def format_bytes(n: Column, style: str = "short", qualifier: str = "+") -> Colum
     size = n.cast("double")
     text = None
     for power, unit in enumerate(units):
-        shown = F.format_string(pattern, size / math.pow(1024, power), F.lit(unit))
+        shown = F.format_string(pattern, F.bround(size / math.pow(1024, power), 1), F.lit(unit))
         if power == len(units) - 1:
             return text.otherwise(shown)
         fits = (F.abs(size) if style == "binary" else size) < math.pow(1024, power + 1)

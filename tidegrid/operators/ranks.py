@@ -16,21 +16,16 @@ MAX_FAN = 64
 def _cut_points(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
     """Values that cut the rows into about equal buckets; none for a small table.
 
-    One aggregate returns a row count and at most MAX_FAN**2 approximate
-    quantiles.  They are held as literals, so every use of them sees the same
-    cuts; their accuracy only affects balance, never a result.
+    The table is counted first.  A large one gives at most MAX_FAN**2 approximate
+    quantiles, held as literals so that every use of them sees the same cuts;
+    their accuracy only affects balance, never a result.
     """
-    fan = MAX_FAN
-    shares = [i / fan**2 for i in range(1, fan**2)]
-    found = df.agg(
-        F.count(key).alias("n"),
-        F.percentile_approx(key, F.lit(shares), F.lit(8 * fan**2)).alias("cuts"),
-    ).first()
-    wanted = min(fan**2, math.ceil((found["n"] or 0) / rows_per_bucket))
+    wanted = min(MAX_FAN**2, math.ceil(df.count() / rows_per_bucket))
     if wanted <= 1:
         return []
-    step = fan**2 / wanted
-    return sorted({found["cuts"][int(i * step) - 1] for i in range(1, wanted)})
+    shares = [i / wanted for i in range(1, wanted)]
+    cuts = df.agg(F.percentile_approx(key, F.lit(shares), F.lit(8 * wanted))).first()[0]
+    return sorted(set(cuts or []))
 
 
 def _with_bucket(df: DataFrame, key: str, rows_per_bucket: int) -> DataFrame:

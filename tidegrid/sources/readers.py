@@ -129,12 +129,18 @@ def read_metrics_dir(spark: SparkSession, folder: str, schema: str = METRICS_SCH
     return read_csv_typed(spark, folder, schema).orderBy("exptid")
 
 
-def read_trial_confs(spark: SparkSession, folder: str, schema=None) -> DataFrame:
-    """Per-trial JSON configurations; the trial number comes from the file name."""
-    reader = spark.read.option("multiLine", True)
+def read_trial_confs(
+    spark: SparkSession,
+    folder: str,
+    schema: str | T.StructType | None = None,
+    number_in_path: str = r"(\d+)\.json$",
+    multi_line: bool = True,
+) -> DataFrame:
+    """Trial configurations from JSON; the trial number comes from the file's path."""
+    reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("bigint")
+    number = F.regexp_extract(F.col("_metadata.file_path"), number_in_path, 1).cast("bigint")
     return reader.json(folder).select(number.alias("exptid"), "*")
 
 

@@ -137,11 +137,15 @@ def finner_test(ranks: DataFrame, control: str | None = None) -> DataFrame:
 # ------------------------------------------------------------------ all pairs
 
 
-def bonferroni_test(pivots: DataFrame, n: int, k: int) -> DataFrame:
-    """All pairs of parametric pivots, one-tailed t with ``nk - k`` degrees."""
-    return _adjusted(
-        _all_pairs(pivots), _bonferroni, p_t(F.col("statistic"), F.lit(float(n * k - k)))
-    )
+def bonferroni_test(pivots: DataFrame, k: int, n: int | None = None) -> DataFrame:
+    """All pairs of parametric pivots, one-tailed t with ``nk - k`` degrees.
+
+    ``n``, the length of the samples, is read from the pivots' ``n`` column unless
+    it is given.
+    """
+    length = F.lit(n) if n is not None else pivots.agg(F.max("n")).scalar()
+    degrees = length * k - k
+    return _adjusted(_all_pairs(pivots), _bonferroni, p_t(F.col("statistic"), degrees))
 
 
 def nemenyi_multitest(ranks: DataFrame) -> DataFrame:
