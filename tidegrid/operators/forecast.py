@@ -77,10 +77,15 @@ def grouped_ols(
 
 
 def grouped_predict(
-    df: DataFrame, models: DataFrame, by: Sequence[str], x_cols: Sequence[str], n_y: int
+    df: DataFrame,
+    models: DataFrame,
+    by: Sequence[str],
+    x_cols: Sequence[str],
+    n_y: int,
+    how: str = "inner",
 ) -> DataFrame:
     """Add ``y_hat_0..``: intercept plus the inputs times their coefficients."""
-    joined = df.join(models.select(*by, "coef"), list(by))
+    joined = df.join(models.select(*by, "coef"), list(by), how)
     hats = {}
     for step in range(n_y):
         terms = F.col("coef")[step][0]

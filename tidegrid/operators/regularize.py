@@ -20,6 +20,7 @@ from tidegrid.operators.chunks import (
     with_position,
 )
 from tidegrid.panel import Panel
+from tidegrid.session import spread
 
 # Grid slots one gap may open; a wrong timestamp would otherwise open a huge one.
 MAX_GAP_SLOTS = 50_000_000
@@ -150,12 +151,12 @@ def gap_fill(
     )
     since = F.unix_micros(panel.dt) - F.unix_micros("_first")
     kept = df.join(bounds, list(panel.ids)).where(F.pmod(since, step) == 0).drop("_first")
-    rows = with_halo(kept, panel, ahead=1)
+    rows = spread(with_halo(kept, panel, ahead=1), *group_keys(panel))
     rows = own_rows(rows.withColumn("_stop", _stop(panel, step, F.col("_last"))))
-    spread = _open_gaps(rows, panel, step)
+    opened = _open_gaps(rows, panel, step)
     present = F.col("_t") == F.col(panel.dt)
     fill = F.lit(fill_value)
-    return spread.select(
+    return opened.select(
         *panel.ids,
         F.col("_t").alias(panel.dt),
         *[F.when(present, F.col(c)).otherwise(fill.cast(df.schema[c].dataType)).alias(c) for c in values],
@@ -201,9 +202,9 @@ def interpolate_linear(
     """
     slots = _slots(df, panel, cols, freq, snap)
     step_us = F.lit(freq_seconds(freq) * 1_000_000)
-    spread = _open_gaps(_known_neighbours(slots, panel, cols, step_us), panel, step_us)
+    opened = _open_gaps(_known_neighbours(slots, panel, cols, step_us), panel, step_us)
     at = F.col("_t")
-    return spread.select(
+    return opened.select(
         *panel.ids, at.alias(panel.dt), *[_between(c, at).alias(c) for c in cols]
     )
 
@@ -239,7 +240,7 @@ def _known_neighbours(
     earlier = (Window.unboundedPreceding, -1)
     past = in_order(panel).rowsBetween(*running)
     ahead = in_order(panel, descending=True).rowsBetween(*earlier)
-    rows = with_halo(slots, panel, ahead=1)
+    rows = spread(with_halo(slots, panel, ahead=1), *group_keys(panel))
     rows = rows.withColumns(
         {f"_n_{c}": F.last(reading[c], ignorenulls=True).over(ahead) for c in cols}
     ).withColumns(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import missing_to_null, zero_to_one
@@ -18,14 +18,38 @@ def _valid(df: DataFrame, c: str) -> Column:
     return missing_to_null(F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c)
 
 
+# What a scaler measures of a column, and how that gives its two parameters.
+MEASURES = {
+    "standard": {"mean": F.avg, "sd": F.stddev_pop},
+    "minmax": {"least": F.min, "most": F.max},
+}
+
+
+def _standard_params(c: str) -> dict[str, Column]:
+    return {f"{c}_mean": F.col(f"{c}_mean"), f"{c}_sd": zero_to_one(F.col(f"{c}_sd"))}
+
+
+def _minmax_params(c: str, x_range: tuple[float, float] = (0.0, 1.0)) -> dict[str, Column]:
+    low, high = map(float, x_range)
+    least, most = F.col(f"{c}_least"), F.col(f"{c}_most")
+    scale = F.lit(high - low) / zero_to_one((most - least).cast("double"))
+    return {f"{c}_scale": scale, f"{c}_add": F.lit(low) - least * scale}
+
+
+def _measures(df: DataFrame, cols: Sequence[str], kind: str) -> dict[str, Column]:
+    return {f"{c}_{m}": f(_valid(df, c)) for c in cols for m, f in MEASURES[kind].items()}
+
+
+def _fit(df: DataFrame, ids: Sequence[str], cols: Sequence[str], kind: str, params) -> DataFrame:
+    measured = df.groupBy(*ids).agg(*[m.alias(n) for n, m in _measures(df, cols, kind).items()])
+    made = {name: column for c in cols for name, column in params(c).items()}
+    return measured.select(*ids, *[column.alias(name) for name, column in made.items()])
+
+
 def standard_scaler_fit(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Mean and population deviation per column, missing values ignored; a
     deviation of zero becomes one."""
-    params = []
-    for c in cols:
-        params.append(F.avg(_valid(df, c)).alias(f"{c}_mean"))
-        params.append(zero_to_one(F.stddev_pop(_valid(df, c))).alias(f"{c}_sd"))
-    return df.groupBy(*ids).agg(*params)
+    return _fit(df, ids, cols, "standard", _standard_params)
 
 
 def minmax_scaler_fit(
@@ -35,14 +59,7 @@ def minmax_scaler_fit(
     x_range: tuple[float, float] = (0.0, 1.0),
 ) -> DataFrame:
     """``scale`` and ``add`` per column so that ``x * scale + add`` spans ``x_range``."""
-    low, high = map(float, x_range)
-    params = []
-    for c in cols:
-        least, most = F.min(_valid(df, c)), F.max(_valid(df, c))
-        scale = F.lit(high - low) / zero_to_one((most - least).cast("double"))
-        params.append(scale.alias(f"{c}_scale"))
-        params.append((F.lit(low) - least * scale).alias(f"{c}_add"))
-    return df.groupBy(*ids).agg(*params)
+    return _fit(df, ids, cols, "minmax", lambda c: _minmax_params(c, x_range))
 
 
 def _apply(df: DataFrame, params: DataFrame, ids, cols, suffixes, formula) -> DataFrame:
@@ -86,8 +103,32 @@ def scale_per_series(
     fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Fit and transform per series.  All rows are fitted unless ``fit_on`` names
-    others, for example the training rows."""
+    others, for example the training rows.
+
+    Reads its input twice and gathers no series, whatever its length.
+    """
     if kind not in SCALERS:
         raise ValueError(f"unknown scaler: {kind}")
     fit, transform = SCALERS[kind]
     return transform(df, fit(df if fit_on is None else fit_on, ids, cols), ids, cols)
+
+
+def scale_grid(
+    df: DataFrame, ids: Sequence[str], cols: Sequence[str], kind: str = "minmax"
+) -> DataFrame:
+    """:func:`scale_per_series` for series on a regular grid, in one pass.
+
+    A grid bounds the rows of a series by its span, so the measures can come from
+    a window; its shuffle by series then serves the windows that follow.
+    """
+    if kind not in SCALERS:
+        raise ValueError(f"unknown scaler: {kind}")
+    params = {"standard": _standard_params, "minmax": _minmax_params}[kind]
+    series = Window.partitionBy(*ids)
+    measured = df.withColumns({n: m.over(series) for n, m in _measures(df, cols, kind).items()})
+    scaled = {}
+    for c in cols:
+        first, second = params(c).values()
+        x = F.col(c)
+        scaled[c] = (x - first) / second if kind == "standard" else x * first + second
+    return measured.withColumns(scaled).select(*df.columns)

@@ -58,6 +58,7 @@ def run_trials(
     x_cols: Sequence[str],
     y_cols: Sequence[str],
     ids: Sequence[str] = ("id",),
+    dt: str = "dt",
     split: str = "split",
     model: str = "mclass",
     metrics: Sequence[str] = ("mse", "mae", "mape", "smape"),
@@ -69,33 +70,28 @@ def run_trials(
     ``model``.  Linear models of all trials and series are fitted together by one
     grouped aggregate; the baselines are projections.
     """
-    ids = list(ids)
+    ids, on = list(ids), list(on)
     y_cols, x_cols = list(y_cols), list(x_cols)
-    rows = windows.join(trials.select(key, model, *on), list(on))
-    test = rows.where(F.col(split) == "test")
-    # The fit does not depend on the trial beyond its windows and series.
+    # A fit depends on its windows and series only, whatever trials share it.
     fit_by = [*on, *ids]
     train = windows.where(F.col(split) == "train")
     models = grouped_ols(train, fit_by, x_cols, y_cols)
-    linear = grouped_predict(
-        test.where(F.col(model) == "linear"), models, fit_by, x_cols, len(y_cols)
-    )
-    parts = [linear]
+    test = windows.where(F.col(split) == "test").join(trials.select(key, model, *on), on)
+    rows = grouped_predict(test, models, fit_by, x_cols, len(y_cols), how="left")
     inputs = [F.col(f"`{c}`") for c in x_cols]
-    for name, build in BASELINES.items():
-        hats = {f"y_hat_{i}": build(inputs) for i in range(len(y_cols))}
-        parts.append(test.where(F.col(model) == name).withColumns(hats))
-    chosen = [key, *ids, "dt"]
-    shaped = [
-        p.select(
-            *chosen,
-            F.array(*[F.col(f"`{c}`") for c in y_cols]).alias("y"),
-            F.array(*[F.col(f"y_hat_{i}") for i in range(len(y_cols))]).alias("y_hat"),
-        )
-        for p in parts
-    ]
-    predictions = shaped[0]
-    for p in shaped[1:]:
-        predictions = predictions.unionByName(p)
+    hats = []
+    for step in range(len(y_cols)):
+        hat = F.when(F.col(model) == "linear", F.col(f"y_hat_{step}"))
+        for name, build in BASELINES.items():
+            hat = hat.when(F.col(model) == name, build(inputs))
+        unknown = F.concat(F.lit("no such model: "), F.col(model))
+        hats.append(hat.otherwise(F.raise_error(unknown).cast("double")))
+    predictions = rows.select(
+        key,
+        *ids,
+        dt,
+        F.array(*[F.col(f"`{c}`") for c in y_cols]).alias("y"),
+        F.array(*hats).alias("y_hat"),
+    )
     scored = evaluate_metrics(predictions, [key, *ids], "y", "y_hat", metrics)
     return scored, predictions

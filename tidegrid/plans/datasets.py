@@ -24,9 +24,10 @@ from tidegrid.operators.joins import filter_by_common_id, neighbor_features, nei
 from tidegrid.operators.quality import group_filter_min
 from tidegrid.operators.ranks import group_head
 from tidegrid.operators.regularize import interpolate_linear, resample_mean, time_features
-from tidegrid.operators.scale import scale_per_series
+from tidegrid.operators.scale import scale_grid
 from tidegrid.operators.windows import xy_windows_dual_weekly, xy_windows_weekly
 from tidegrid.panel import Panel
+from tidegrid.session import stage
 
 ROAD_KEYS = ("road", "direction")
 TIME_COLS = ("dow", "hod")
@@ -72,7 +73,7 @@ class DatasetConf:
 @dataclass(frozen=True)
 class Prepared:
     """Shared part of both jobs: neighbours of the interior ids, and the
-    interpolated series keyed by (id, year, month)."""
+    interpolated series keyed by (id, road, direction, year, month)."""
 
     neighbors: DataFrame
     grid: DataFrame
@@ -87,13 +88,15 @@ def prepare(meta: DataFrame, readings: DataFrame, conf: DatasetConf) -> Prepared
     neighbors = neighbor_ids(meta, ROAD_KEYS)
     series = Panel(("id",), "dt")
     rows = tables["zone"].select("id", "dt", *conf.value_cols)
-    rows = filter_months(rows.join(meta.select("id"), "id", "left_semi"), conf.months)
+    # The road travels with the readings, so nothing is joined to finished windows.
+    rows = filter_months(rows.join(meta.select("id", *ROAD_KEYS), "id"), conf.months)
     if conf.trim_weeks:
         rows = trim_partial_weeks(rows, series)
-    monthly = series.within("year", "month")
+    monthly = series.within(*ROAD_KEYS, "year", "month")
     rows = rows.withColumns({"year": F.year("dt"), "month": F.month("dt")})
     grid = interpolate_linear(rows, monthly, conf.value_cols, conf.base_freq, conf.snap)
-    return Prepared(neighbors, grid, monthly)
+    # Every rate and neighbourhood reads the grid again: written once.
+    return Prepared(stage(neighbors), stage(grid), monthly)
 
 
 def _at_rate(prepared: Prepared, cols: Sequence[str], freq: str, conf: DatasetConf) -> DataFrame:
@@ -158,7 +161,7 @@ def _build(meta, readings, conf: DatasetConf, one_combination) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(prepared.neighbors.select(*ROAD_KEYS, "id"), "id")
+    return out
 
 
 def build_dataset_single_rate(
@@ -172,7 +175,7 @@ def build_dataset_single_rate(
     def windows(prepared: Prepared, n_agg: int, spatial: bool):
         x = _at_rate(prepared, conf.value_cols, f"{n_agg}min", conf)
         x, wide, target = _own_or_spatial(prepared, x, conf, spatial)
-        x = scale_per_series(x, ["id"], wide, conf.scaler)
+        x = scale_grid(x, ["id"], wide, conf.scaler)
         made = xy_windows_weekly(
             x, prepared.panel, wide, [target],
             n_tx=conf.input_length(n_agg), n_ty=conf.n_ty, h=conf.h,
@@ -191,7 +194,7 @@ def build_dataset_dual_rate(
     def windows(prepared: Prepared, n_agg: int, spatial: bool):
         x = _at_rate(prepared, conf.value_cols, f"{n_agg}min", conf)
         x, wide, _ = _own_or_spatial(prepared, x, conf, spatial)
-        x = scale_per_series(x, ["id"], wide, conf.scaler)
+        x = scale_grid(x, ["id"], wide, conf.scaler)
         y = _at_rate(prepared, [conf.y_col], conf.y_freq, conf)
         made = xy_windows_dual_weekly(
             x, y, prepared.panel, wide, [conf.y_col], f"{n_agg}min", conf.y_freq,

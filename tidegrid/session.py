@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Grids grow after their shuffle; small inputs still get every core.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Zone-less Parquet times read as instants of the UTC session, without a cast
@@ -40,6 +42,16 @@ def build_session(app: str = "tidegrid", master: str | None = None, **conf: str)
     return tune(builder.getOrCreate())
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition by the keys over all shuffle partitions.
+
+    For steps that multiply rows after a shuffle: adaptive execution sizes
+    partitions by what was shuffled and would merge too many of them.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's checkpoint directory.
 
@@ -55,12 +67,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a result once and continue from the written copy.
+    """Write a result once and continue from the written table.
 
-    A reliable checkpoint in the shared folder: it cuts lineage before loops that
-    read a table many times and survives the loss of executors.
+    For results that several later jobs read.  The table lies in the shared
+    folder, so the loss of an executor loses nothing, lineage is cut, and its
+    file sizes tell the planner what a join with it really costs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, "stage"))
-    return df.checkpoint()
+    path = shared_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
