@@ -183,11 +183,11 @@ def write_manifest(spark, sf):
 
 
 @query("write_predictions", rounded(f"""
-    SELECT id AS exptid, dt, volume AS y, occupancy AS y_hat FROM ({HOURLY})""", ["y", "y_hat"]))
+    SELECT id % 24 AS exptid, dt, volume AS y, occupancy AS y_hat FROM ({HOURLY})""", ["y", "y_hat"]))
 def write_predictions(spark, sf):
     path = shared_folder(spark, "preds")
     rows = hourly(spark, sf).select(
-        F.col("id").alias("exptid"), "dt", F.col("volume").alias("y"), F.col("occupancy").alias("y_hat")
+        (F.col("id") % 24).alias("exptid"), "dt", F.col("volume").alias("y"), F.col("occupancy").alias("y_hat")
     )
     writers.write_predictions(rows, path)
     back = readers.read_parquet(spark, path)

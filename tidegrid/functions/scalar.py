@@ -47,6 +47,13 @@ def zero_to_one(x: Column) -> Column:
     return F.when(x == 0, F.lit(1.0)).otherwise(x)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """``a / b`` with the limits of real division: a nonzero value over zero is
+    infinite, zero over zero is missing."""
+    infinite = F.when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf))
+    return F.when(b == 0, infinite).otherwise(F.try_divide(a, b))
+
+
 def missing_to_null(x: Column) -> Column:
     """NaN becomes NULL: aggregates skip NULL only."""
     return F.when(F.isnan(x), F.lit(None)).otherwise(x)

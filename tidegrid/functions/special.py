@@ -93,7 +93,7 @@ def f_upper(f: float, d1: float, d2: float) -> float:
 
 def chi2_upper(x: float, df: float) -> float:
     """P(X > x)."""
-    return gamma_upper(df / 2.0, x / 2.0)
+    return 0.0 if math.isinf(x) else gamma_upper(df / 2.0, x / 2.0)
 
 
 def t_upper(t: float, df: float) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows one ordered group may hold before it is cut into value buckets.
@@ -28,15 +28,12 @@ def _cut_points(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
     return sorted(set(cuts or []))
 
 
-def _with_bucket(df: DataFrame, key: str, rows_per_bucket: int) -> DataFrame:
-    """Add ``_b``, a bucket number that grows with ``key``.
+def _bucket(key: str, cuts: list[float]) -> Column:
+    """A bucket number that grows with ``key``.
 
     The position among the cuts is found in two short scans, first over every
     64th cut and then inside that stretch.
     """
-    cuts = _cut_points(df, key, rows_per_bucket)
-    if not cuts:
-        return df.withColumn("_b", F.lit(0))
     value = F.col(key)
     coarse = cuts[::MAX_FAN]
     stretch = F.size(F.filter(F.lit(coarse), lambda cut: cut < value))
@@ -44,7 +41,7 @@ def _with_bucket(df: DataFrame, key: str, rows_per_bucket: int) -> DataFrame:
     inside = F.size(
         F.filter(F.slice(F.lit(cuts), start + 1, F.lit(MAX_FAN)), lambda cut: cut < value)
     )
-    return df.withColumn("_b", F.when(value.isNull(), F.lit(-1)).otherwise(start + inside))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(start + inside)
 
 
 def _below(sizes: DataFrame, by: list[str]) -> DataFrame:
@@ -68,11 +65,16 @@ def rank_counts(
     gives the last rank of a tie; the tie shares the mean of its ranks.
     """
     by = list(by)
-    cut = _with_bucket(counts.withColumn("_key", F.col(value).cast("double")), "_key", rows_per_bucket)
+    keyed = counts.withColumn("_key", F.col(value).cast("double"))
+    cuts = _cut_points(keyed, "_key", rows_per_bucket)
+    running = (Window.unboundedPreceding, Window.currentRow)
+    if not cuts:
+        inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value).rowsBetween(*running)
+        last = F.sum(count).over(inside)
+        return counts.withColumn(out, last - (F.col(count) - 1) / 2.0)
+    cut = keyed.withColumn("_b", _bucket("_key", cuts))
     totals = _below(cut.groupBy(*by, "_b").agg(F.sum(count).alias("_total")), by)
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(*running)
     last = F.col("_below") + F.col("_cum")
     return (
         cut.withColumn("_cum", F.sum(count).over(inside))
@@ -121,7 +123,12 @@ def global_order(
     df: DataFrame, *order: str, out: str = "ord", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Number all rows 1..n by the order columns, without a window over the whole table."""
-    cut = _with_bucket(df.withColumn("_key", _order_key(df, order[0])), "_key", rows_per_bucket)
+    keyed = df.withColumn("_key", _order_key(df, order[0]))
+    cuts = _cut_points(keyed, "_key", rows_per_bucket)
+    if not cuts:
+        whole = Window.partitionBy(F.lit(0)).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(whole).cast("bigint"))
+    cut = keyed.withColumn("_b", _bucket("_key", cuts))
     below = _below(cut.groupBy("_b").agg(F.count("*").alias("_total")), [])
     inside = Window.partitionBy("_b").orderBy(*order)
     return (

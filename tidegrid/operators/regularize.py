@@ -132,43 +132,67 @@ def _open_gaps(df: DataFrame, panel: Panel, step_us: Column) -> DataFrame:
 
 
 def gap_fill(
-    df: DataFrame,
-    panel: Panel,
-    freq: str | int | None = None,
-    fill_value=None,
-    freq_us: str | None = None,
+    df: DataFrame, panel: Panel, freq: str | int, fill_value=None
 ) -> DataFrame:
     """Rows at every grid time from each series' first to its last timestamp.
 
     The grid is anchored at the first timestamp; rows off the grid are dropped and
-    inserted rows carry ``fill_value``.  ``freq_us`` names a column with a
-    per-series frequency instead of one for all.
+    inserted rows carry ``fill_value``.
+    """
+    step = F.lit(freq_seconds(freq) * 1_000_000)
+    return _fill(_with_bounds(df, panel), panel, df.columns, step, fill_value)
+
+
+def gap_fill_inferred(df: DataFrame, panel: Panel, fill_value=None) -> DataFrame:
+    """:func:`gap_fill` at each series' own smallest gap."""
+    if panel.chunk_us is None:
+        bounded = _with_bounds(df, panel)
+        gap = F.unix_micros(panel.dt) - F.unix_micros(F.lag(panel.dt).over(in_order(panel)))
+        least = F.min("_gap").over(Window.partitionBy(*panel.ids))
+        bounded = bounded.withColumn("_gap", gap).withColumn("_step", least).drop("_gap")
+    else:
+        freq = min_gap_freq(df, panel).withColumnRenamed("freq_us", "_step")
+        bounded = _with_bounds(df, panel).join(freq, list(panel.ids))
+    # A series of one row has no gap and nothing to fill.
+    step = F.coalesce(F.col("_step"), F.lit(1_000_000))
+    return _fill(bounded, panel, df.columns, step, fill_value)
+
+
+def _with_bounds(df: DataFrame, panel: Panel) -> DataFrame:
+    """Add each series' first and last timestamp (``_first``, ``_last``).
+
+    From a window while a series fits one task, which costs no shuffle beyond the
+    one that orders it; else from an aggregate that is joined back.
     """
-    step = F.col(freq_us) if freq_us else F.lit(freq_seconds(freq) * 1_000_000)
-    values = [c for c in df.columns if c not in (*panel.ids, panel.dt, freq_us)]
+    if panel.chunk_us is None:
+        series = Window.partitionBy(*panel.ids)
+        return spread(df, *panel.ids).withColumns(
+            {"_first": F.min(panel.dt).over(series), "_last": F.max(panel.dt).over(series)}
+        )
     bounds = df.groupBy(*panel.ids).agg(
         F.min(panel.dt).alias("_first"), F.max(panel.dt).alias("_last")
     )
+    return df.join(bounds, list(panel.ids))
+
+
+def _fill(
+    bounded: DataFrame, panel: Panel, columns: Sequence[str], step: Column, fill_value
+) -> DataFrame:
     since = F.unix_micros(panel.dt) - F.unix_micros("_first")
-    kept = df.join(bounds, list(panel.ids)).where(F.pmod(since, step) == 0).drop("_first")
-    rows = spread(with_halo(kept, panel, ahead=1), *group_keys(panel))
-    rows = own_rows(rows.withColumn("_stop", _stop(panel, step, F.col("_last"))))
-    opened = _open_gaps(rows, panel, step)
+    rows = bounded.withColumn("_step", step).where(F.pmod(since, F.col("_step")) == 0)
+    rows = rows.drop("_first")
+    if panel.chunk_us is not None:
+        rows = spread(with_halo(rows, panel, ahead=1), *group_keys(panel))
+    rows = own_rows(rows.withColumn("_stop", _stop(panel, F.col("_step"), F.col("_last"))))
+    opened = _open_gaps(rows, panel, F.col("_step"))
     present = F.col("_t") == F.col(panel.dt)
     fill = F.lit(fill_value)
-    return opened.select(
-        *panel.ids,
-        F.col("_t").alias(panel.dt),
-        *[F.when(present, F.col(c)).otherwise(fill.cast(df.schema[c].dataType)).alias(c) for c in values],
-    )
 
+    def value(c: str) -> Column:
+        return F.when(present, F.col(c)).otherwise(fill.cast(bounded.schema[c].dataType)).alias(c)
 
-def gap_fill_inferred(df: DataFrame, panel: Panel, fill_value=None) -> DataFrame:
-    """:func:`gap_fill` at each series' own smallest gap."""
-    freq = min_gap_freq(df, panel)
-    return gap_fill(
-        df.join(freq, list(panel.ids)), panel, freq_us="freq_us", fill_value=fill_value
-    )
+    values = [value(c) for c in columns if c not in (*panel.ids, panel.dt)]
+    return opened.select(*panel.ids, F.col("_t").alias(panel.dt), *values)
 
 
 def _slots(

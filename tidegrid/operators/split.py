@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import POS, SIZE, with_position
+from tidegrid.operators.chunks import CHUNK, POS, SIZE, group_keys, with_chunk, with_position
 from tidegrid.panel import Panel
 
 
@@ -33,6 +33,26 @@ def tvt_split(
 
 
 def tail_rows(df: DataFrame, panel: Panel, n_rows: int) -> DataFrame:
-    """The last ``n_rows`` rows of each series."""
-    placed = with_position(df, panel)
-    return placed.where(F.col(POS) >= F.col(SIZE) - n_rows).drop(POS, SIZE)
+    """The last ``n_rows`` rows of each series.
+
+    Of a chunked series only the chunks that can hold such rows are read on: those
+    with fewer than ``n_rows`` rows after them, known from the chunk sizes.
+    """
+    rows = df
+    if panel.chunk_us is not None:
+        rows = with_chunk(df, panel)
+        later = (
+            Window.partitionBy(*panel.ids)
+            .orderBy(F.desc(CHUNK))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        sizes = rows.groupBy(*group_keys(panel)).agg(F.count(F.lit(1)).alias("_rows"))
+        needed = sizes.withColumn("_later", F.coalesce(F.sum("_rows").over(later), F.lit(0)))
+        needed = needed.where(F.col("_later") < n_rows).select(*group_keys(panel))
+        rows = rows.join(needed, group_keys(panel), "left_semi").drop(CHUNK)
+    newest = Window.partitionBy(*panel.ids).orderBy(F.desc(panel.dt))
+    return (
+        rows.withColumn("_rn", F.row_number().over(newest))
+        .where(F.col("_rn") <= n_rows)
+        .drop("_rn")
+    )

@@ -32,11 +32,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app: str = "tidegrid", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings above; extra settings use ``a__b`` for ``a.b``."""
+# Bytes one shuffle partition should hold before adaptive execution merges small ones.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions for an input size, so that each fits an executor's memory."""
+    return min(max(200, -(-input_bytes // PARTITION_BYTES)), 100_000)
+
+
+def build_session(
+    app: str = "tidegrid", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with the settings above; extra settings use ``a__b`` for ``a.b``.
+
+    ``input_bytes`` sizes the shuffles of a large job.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if input_bytes:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return tune(builder.getOrCreate())

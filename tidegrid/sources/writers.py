@@ -7,19 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SERIES_KEYS = ("road", "direction", "n_vx", "n_agg", "id")
-XY_KEYS = ("features", "id")
+# Directory keys.  The series id is not among them by default: millions of ids
+# would be millions of small files.  Rows are sorted by id instead, so a reader
+# of one series skips the row groups of the others; pass ``keys`` with the id for
+# one directory per series.
+SERIES_KEYS = ("road", "direction", "n_vx", "n_agg")
+XY_KEYS = ("road", "direction", "n_vx", "n_agg", "features")
 
 
 def _write_partitioned(df: DataFrame, path: str, keys: Sequence[str], mode: str) -> None:
-    """Partitioned Parquet.
+    """Partitioned Parquet, sorted by id and time within each file.
 
-    Each task writes only its own keys; ``rebalance`` lets adaptive execution
-    split a key that holds a large share of the rows over several files and merge
-    small ones.
+    ``rebalance`` lets adaptive execution split a key that holds a large share of
+    the rows over several files and merge small ones.
     """
     keys = [k for k in keys if k in df.columns]
-    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    order = keys + [c for c in ("id", "dt") if c in df.columns and c not in keys]
+    placed = df.hint("rebalance", *keys)
+    if order:
+        placed = placed.sortWithinPartitions(*order)
+    placed.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def write_series_parquet(

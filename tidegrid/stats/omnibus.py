@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalar import ratio
 from tidegrid.functions.special import p_chi2, p_f
 from tidegrid.operators.ranks import rank_counts
 from tidegrid.stats.blocks import (
@@ -35,8 +36,8 @@ def _scaled(array: str, factor: Column) -> Column:
     return F.transform(array, lambda v: v * factor)
 
 
-def _decimal(n) -> Column:
-    return F.col(n).cast("double")
+def _over(array: str, divisor: Column) -> Column:
+    return F.transform(array, lambda v: ratio(v, divisor))
 
 
 # --------------------------------------------------------------- parametric
@@ -70,12 +71,12 @@ def _variances(blocks: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def _anova_rows(squares: DataFrame, groups, error: Column, df2: Column) -> DataFrame:
     k = len(groups)
-    within = F.col("ss_wg") / (F.col("n") * k - k)
+    within = ratio(F.col("ss_wg"), F.col("n") * k - k)
     out = squares.select(
         "n",
         "mean_value",
-        _scaled("mean_value", F.lit(1.0) / F.sqrt(F.lit(2.0) * within / F.col("n"))).alias("pivot"),
-        ((F.col("ss_bg") / (k - 1)) / error).alias("statistic"),
+        _over("mean_value", F.sqrt(ratio(F.lit(2.0) * within, F.col("n")))).alias("pivot"),
+        ratio(F.col("ss_bg") / (k - 1), error).alias("statistic"),
         df2.alias("_df2"),
     ).withColumn("p_value", p_f(F.col("statistic"), F.lit(float(k - 1)), F.col("_df2")))
     return by_group(out.drop("_df2"), groups, ["mean_value", "pivot"])
@@ -92,7 +93,7 @@ def anova_test(
     k = len(names)
     squares = _variances(blocks, names)
     free = F.col("n") * k - k
-    return _anova_rows(squares, names, F.col("ss_wg") / free, free)
+    return _anova_rows(squares, names, ratio(F.col("ss_wg"), free), free)
 
 
 def anova_within_test(
@@ -105,7 +106,7 @@ def anova_within_test(
     names, blocks = _start(df, groups, samples, incomplete)
     squares = _variances(blocks, names)
     free = (F.col("n") - 1) * (len(names) - 1)
-    return _anova_rows(squares, names, (F.col("ss_wg") - F.col("ss_bs")) / free, free)
+    return _anova_rows(squares, names, ratio(F.col("ss_wg") - F.col("ss_bs"), free), free)
 
 
 # --------------------------------------------------------------- rank based
@@ -123,14 +124,14 @@ def friedman_test(
     n = F.col("n")
     ranked = blocks.select(ranks_within(F.col("vs")).alias("r"))
     means = ranked.agg(F.count(F.lit(1)).cast("double").alias("n"), sum_each("r", len(names)).alias("_s"))
-    means = means.select("n", _scaled("_s", 1 / n).alias("mean_rank"))
+    means = means.select("n", _over("_s", n).alias("mean_rank"))
     chi2 = 12 * n / (k * (k + 1)) * (squares_of(F.col("mean_rank")) - k * (k + 1) ** 2 / 4)
     out = means.select(
         "n",
         "mean_rank",
         _scaled("mean_rank", F.sqrt(6 * n / (k * (k + 1)))).alias("pivot"),
         chi2.alias("chi2"),
-        ((n - 1) * chi2 / (n * (k - 1) - chi2)).alias("statistic"),
+        ratio((n - 1) * chi2, n * (k - 1) - chi2).alias("statistic"),
     )
     p = p_f(F.col("statistic"), F.lit(k - 1), (k - 1) * (n - 1))
     return by_group(out.withColumn("p_value", p), names, ["mean_rank", "pivot"])
@@ -176,9 +177,9 @@ def friedman_aligned_ranks_test(
     bottom = kn * (kn + 1) * (2 * kn + 1) / 6 - F.col("_ri2") / k
     out = sums.select(
         "n",
-        _scaled("_rj", 1 / n).alias("mean_rank"),
-        _scaled("_rj", 1 / (n * F.sqrt(k * (kn + 1) / 6))).alias("pivot"),
-        ((k - 1) * top / bottom).alias("statistic"),
+        _over("_rj", n).alias("mean_rank"),
+        _over("_rj", n * F.sqrt(k * (kn + 1) / 6)).alias("pivot"),
+        ratio((k - 1) * top, bottom).alias("statistic"),
     )
     p = p_chi2(F.col("statistic"), F.lit(k - 1))
     return by_group(out.withColumn("p_value", p), names, ["mean_rank", "pivot"])
@@ -214,16 +215,16 @@ def quade_test(
         F.sum(F.col("q") * F.col("n")).alias("_q"),
         F.sum(F.col("_c2") * F.col("q") * F.col("q")).alias("_a"),
     )
-    n = _decimal("n")
+    n = F.col("n")
     s = F.transform("_w", lambda w: w - F.col("_q") * (k + 1) / 2)
-    b = squares_of(s) / n
-    mean_rank = _scaled("_w", 2 / (n * (n + 1)))
-    scale = F.sqrt(k * (k + 1) * (2 * n + 1) * (k - 1) / (18 * n * (n + 1)))
+    b = ratio(squares_of(s), n)
+    blocks_sum = n * (n + 1) / 2
+    scale = F.sqrt(ratio(k * (k + 1) * (2 * n + 1) * (k - 1), 18 * n * (n + 1)))
     out = sums.select(
         "n",
-        mean_rank.alias("mean_rank"),
-        _scaled("_w", 2 / (n * (n + 1)) / scale).alias("pivot"),
-        ((n - 1) * b / (F.col("_a") - b)).alias("statistic"),
+        _over("_w", blocks_sum).alias("mean_rank"),
+        _over("_w", blocks_sum * scale).alias("pivot"),
+        ratio((n - 1) * b, F.col("_a") - b).alias("statistic"),
     )
     p = p_f(F.col("statistic"), F.lit(k - 1), (k - 1) * (n - 1))
     return by_group(out.withColumn("p_value", p), names, ["mean_rank", "pivot"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.scalar import ratio
 from tidegrid.functions.special import p_normal, p_sign, p_t_two_sided
 from tidegrid.operators.ranks import rank_counts
 from tidegrid.stats.blocks import Samples, block_rows
@@ -42,8 +43,9 @@ def ttest_ind(df: DataFrame, a: str, b: str, samples: Samples = Samples()) -> Da
         ]
     m = rows.agg(*parts["a"], *parts["b"])
     na, nb = F.col("n_a"), F.col("n_b")
-    pooled = ((na - 1) * F.col("_var_a") + (nb - 1) * F.col("_var_b")) / (na + nb - 2)
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(pooled * (1 / na + 1 / nb))
+    pooled = ratio((na - 1) * F.col("_var_a") + (nb - 1) * F.col("_var_b"), na + nb - 2)
+    each = ratio(na + nb, na * nb)
+    t = ratio(F.col("mean_a") - F.col("mean_b"), F.sqrt(pooled * each))
     out = m.select("n_a", "n_b", "mean_a", "mean_b", t.alias("statistic"))
     return out.withColumn("p_value", p_t_two_sided(F.col("statistic"), na + nb - 2))
 
@@ -59,7 +61,7 @@ def ttest_rel(
         F.stddev_samp("d").alias("_sd"),
     )
     out = m.select(
-        "n", "mean_diff", (F.col("mean_diff") / (F.col("_sd") / F.sqrt("n"))).alias("statistic")
+        "n", "mean_diff", ratio(F.col("mean_diff") * F.sqrt("n"), F.col("_sd")).alias("statistic")
     )
     return out.withColumn("p_value", p_t_two_sided(F.col("statistic"), F.col("n") - 1))
 
@@ -94,7 +96,7 @@ def wilcoxon(
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     w = F.least("w_plus", "w_minus")
     out = sums.select(
-        "n", "w_plus", "w_minus", w.alias("statistic"), ((w - n * (n + 1) / 4) / spread).alias("z")
+        "n", "w_plus", "w_minus", w.alias("statistic"), ratio(w - n * (n + 1) / 4, spread).alias("z")
     )
     return out.withColumn("p_value", p_normal(F.col("z")))
 
@@ -117,8 +119,8 @@ def mannwhitneyu(df: DataFrame, a: str, b: str, samples: Samples = Samples()) ->
     na, nb = F.col("n_a"), F.col("n_b")
     n = na + nb
     u = F.col("_ra") - na * (na + 1) / 2
-    spread = F.sqrt(na * nb / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
+    spread = F.sqrt(na * nb / 12 * (n + 1 - ratio(F.col("_ties"), n * (n - 1))))
     larger = F.greatest(u, na * nb - u)
-    z = (larger - na * nb / 2 - 0.5) / spread
+    z = ratio(larger - na * nb / 2 - 0.5, spread)
     out = sums.select("n_a", "n_b", u.alias("statistic"), z.alias("z"))
     return out.withColumn("p_value", F.least(p_normal(F.greatest(F.col("z"), F.lit(0.0))), F.lit(1.0)))
