@@ -30,7 +30,7 @@ def skewed(spark):
     return spark.createDataFrame(data, "id string, dt timestamp, v double").cache()
 
 
-WHOLE = Panel()
+WHOLE = Panel().bounded()
 PANELS = [WHOLE.chunked(w * 60_000_000) for w in (7, 60, 1440)]
 
 
@@ -96,6 +96,18 @@ def test_windows(skewed, panel):
     )
 
 
+def test_operators_measure_by_themselves(skewed, monkeypatch):
+    from tidegrid.operators import chunks
+
+    monkeypatch.setattr(chunks.fit_chunk, "__defaults__", (100,))
+    assert chunks.measured(skewed, Panel()).chunk_us > 0
+    assert chunks.measured(skewed, WHOLE).chunk_us is None
+    same_rows(reg.shift(skewed, WHOLE, ["v"], 2), reg.shift(skewed, Panel(), ["v"], 2))
+    same_rows(reg.gap_counts(skewed, WHOLE), reg.gap_counts(skewed, Panel()))
+    args = (["v"], ["v"], 3)
+    same_rows(win.xy_windows_flat(skewed, WHOLE, *args), win.xy_windows_flat(skewed, Panel(), *args))
+
+
 def test_fit_grid(skewed):
     assert reg.fit_grid(skewed, WHOLE, "1min").chunk_us is None
     assert reg.fit_grid(skewed, WHOLE, "1min", max_rows=1000).chunk_us == 1000 * 60_000_000

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidegrid import Panel
 from tidegrid.operators import windows as win
 
-P = Panel()
+P = Panel().bounded()
 RAMP1 = {"a": list(range(10))}
 RAMP2 = {"a": list(range(10)), "b": list(range(10, 20))}
 

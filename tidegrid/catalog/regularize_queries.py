@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.catalog.registry import finish, query, rounded
 from tidegrid.catalog.tables import (
-    GRID3, HOURLY, READINGS, SERIES, VALUES, grid, hourly, raw_panel, readings, sql_interpolated, table,
+    GRID3, HOURLY, READINGS, SERIES, VALUES, grid, hourly, RAW, readings, sql_interpolated, table,
 )
 from tidegrid.operators import regularize as reg
 
@@ -54,7 +54,7 @@ def infer_freq(spark, sf):
 @query("min_gap_freq", f"SELECT id, min(gap_us) AS freq_us FROM ({RAW_GAPS}) GROUP BY 1")
 def min_gap_freq(spark, sf):
     rows = readings(spark, sf)
-    return reg.min_gap_freq(rows, raw_panel(rows))
+    return reg.min_gap_freq(rows, RAW)
 
 
 FILLED = """
@@ -130,8 +130,7 @@ def time_features(spark, sf):
     FROM ({READINGS}) WINDOW w AS (PARTITION BY id ORDER BY dt)""", ["down", "up"]))
 def shift(spark, sf):
     rows = readings(spark, sf).select("id", "dt", F.col("volume").alias("down"), F.col("volume").alias("up"))
-    panel = raw_panel(rows)
-    return finish(reg.shift(reg.shift(rows, panel, ["down"], 2, -1.0), panel, ["up"], -1, -1.0))
+    return finish(reg.shift(reg.shift(rows, RAW, ["down"], 2, -1.0), RAW, ["up"], -1, -1.0))
 
 
 @query("every_nth", f"""
@@ -139,4 +138,4 @@ def shift(spark, sf):
     WHERE (rn - 1) % 3 = 0""")
 def every_nth(spark, sf):
     rows = readings(spark, sf).select("id", "dt")
-    return finish(reg.every_nth(rows, raw_panel(rows), 3))
+    return finish(reg.every_nth(rows, RAW, 3))

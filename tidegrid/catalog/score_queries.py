@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.catalog.registry import finish, query, rounded
 from tidegrid.catalog.tables import (
-    PREDICTIONS, READINGS, predictions, raw_panel, readings, table,
+    PREDICTIONS, READINGS, predictions, RAW, readings, table,
 )
 from tidegrid.operators import metrics as m
 from tidegrid.operators import scale
@@ -51,10 +51,10 @@ def standard_scaler_transform(spark, sf):
 
 @query("standard_scaler_inverse", rounded(f"""
     SELECT id, dt, speed * speed_sd + speed_mean AS speed, volume * volume_sd + volume_mean AS volume
-    FROM ({READINGS}) JOIN ({STANDARD}) USING (id)""", COLS, 8))
+    FROM ({READINGS}) JOIN ({STANDARD}) USING (id)""", COLS, 5))
 def standard_scaler_inverse(spark, sf):
     rows = _rows(spark, sf)
-    return finish(scale.standard_scaler_inverse(rows, scale.standard_scaler_fit(rows, IDS, COLS), IDS, COLS), 8)
+    return finish(scale.standard_scaler_inverse(rows, scale.standard_scaler_fit(rows, IDS, COLS), IDS, COLS), 5)
 
 
 @query("minmax_scaler_fit", rounded(MINMAX, [f"{c}_{p}" for c in COLS for p in ("scale", "add")]))
@@ -73,11 +73,11 @@ def minmax_scaler_transform(spark, sf):
 
 @query("minmax_scaler_inverse", rounded(f"""
     SELECT id, dt, (speed - speed_add) / speed_scale AS speed, (volume - volume_add) / volume_scale AS volume
-    FROM ({READINGS}) JOIN ({MINMAX}) USING (id)""", COLS, 7))
+    FROM ({READINGS}) JOIN ({MINMAX}) USING (id)""", COLS, 5))
 def minmax_scaler_inverse(spark, sf):
     rows = _rows(spark, sf)
     params = scale.minmax_scaler_fit(rows, IDS, COLS, (LO, HI))
-    return finish(scale.minmax_scaler_inverse(rows, params, IDS, COLS), 7)
+    return finish(scale.minmax_scaler_inverse(rows, params, IDS, COLS), 5)
 
 
 @query("scale_per_series", rounded(f"""
@@ -94,7 +94,7 @@ def scale_per_series(spark, sf):
                  count(*) OVER (PARTITION BY id) AS n FROM ({READINGS}))""")
 def tvt_split_(spark, sf):
     rows = readings(spark, sf).select("id", "dt")
-    return finish(tvt_split(rows, raw_panel(rows)))
+    return finish(tvt_split(rows, RAW))
 
 
 EPS = "1e-7::DOUBLE"
@@ -107,7 +107,7 @@ FORMULAS = {
 
 
 # Errors relative to values near zero reach 1e9: fewer decimals, same digits.
-DIGITS = {"mse": 6, "mae": 8, "mape": 2, "smape": 8}
+DIGITS = {"mse": 6, "mae": 8, "mape": 1, "smape": 8}
 
 
 def _metric_query(name):
@@ -124,10 +124,9 @@ for _name in FORMULAS:
     _metric_query(_name)
 
 
-@query("evaluate_metrics", f"""
-    SELECT id, round(mse, 6) + 0.0 AS mse, round(mae, 6) + 0.0 AS mae, round(smape, 6) + 0.0 AS smape FROM (
-        SELECT id, {', '.join(f'{FORMULAS[n]} AS {n}' for n in ('mse', 'mae', 'smape'))}
-        FROM ({PREDICTIONS}) GROUP BY 1)""")
+@query("evaluate_metrics", rounded(f"""
+    SELECT id, {', '.join(f'{FORMULAS[n]} AS {n}' for n in ('mse', 'mae', 'smape'))}
+    FROM ({PREDICTIONS}) GROUP BY 1""", ["mse", "mae", "smape"], 6))
 def evaluate_metrics(spark, sf):
     return finish(m.evaluate_metrics(predictions(spark, sf), ["id"], metrics=["mse", "mae", "smape"]), 6)
 
@@ -140,7 +139,7 @@ def evaluate_metrics(spark, sf):
             FROM ({READINGS}) WINDOW w AS (PARTITION BY id ORDER BY dt))) WHERE there IS NOT NULL""", ["smape"]))
 def metric_smape_rowwise(spark, sf):
     rows = readings(spark, sf).select("id", "dt", "volume")
-    made = xy_windows_nested(rows, raw_panel(rows), ["volume"], ["volume"], n_tx=1, n_ty=2)
+    made = xy_windows_nested(rows, RAW, ["volume"], ["volume"], n_tx=1, n_ty=2)
     y = F.flatten("y")
     p = F.transform(y, lambda _: F.col("x")[0][0])
     return finish(made.select("id", "dt", m.metric_smape_rowwise(y, p).alias("smape")))

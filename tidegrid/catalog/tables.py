@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import fit_chunk
 from tidegrid.operators.regularize import interpolate_linear, resample_mean
 from tidegrid.panel import Panel
 from tidegrid.sources.readers import read_parquet
 
-SERIES = Panel(("id",), "dt")
+# Irregular readings: a series may hold any share of the rows.
+RAW = Panel(("id",), "dt")
+# Series on an hourly grid: their span bounds their rows.
+SERIES = RAW.bounded()
 VALUES = ["speed", "volume", "occupancy"]
 
 
@@ -44,11 +46,6 @@ READINGS = """
 """
 
 
-def raw_panel(df: DataFrame) -> Panel:
-    """Panel of irregular readings, cut into chunks when a series is too long."""
-    return fit_chunk(df, SERIES)
-
-
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Mean per occupied hour and series."""
     return resample_mean(readings(spark, sf), SERIES, VALUES, "1h")

@@ -3,9 +3,9 @@
 A window over ``partitionBy(id)`` puts a whole series into one task.  That is the
 right plan while every series is known to be small, and the wrong one when a
 single key holds a large share of the data.  :func:`fit_chunk` measures the
-longest series (one scan of two columns, one number back) and either leaves the
-panel alone or gives it a time-chunk width that bounds every (series, chunk)
-group.  The helpers below then work inside chunks and exchange only
+longest series (one scan of two columns, two numbers back) and either leaves the
+series whole or settles on a time-chunk width that bounds every (series, chunk)
+group.  Operators do so themselves unless their panel is already settled.  The helpers below then work inside chunks and exchange only
 
 * one row per (series, chunk): the chunk's size, for global positions, and
 * the first or last ``n`` rows of each chunk, for lags and leads.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.panel import Panel
+from tidegrid.panel import MEASURE, Panel
 
 CHUNK = "_chunk"
 OWN = "_own"
@@ -24,7 +24,6 @@ POS = "_pos"
 SIZE = "_size"
 
 MAX_ROWS = 4_000_000
-_HOUR_US = 3_600_000_000
 
 
 def fit_chunk(df: DataFrame, panel: Panel, max_rows: int = MAX_ROWS) -> Panel:
@@ -57,6 +56,11 @@ def fit_chunk(df: DataFrame, panel: Panel, max_rows: int = MAX_ROWS) -> Panel:
         width = max(1, min(width // 2, int(width * max_rows / fullest)))
 
 
+def measured(df: DataFrame, panel: Panel) -> Panel:
+    """The panel with its chunking settled, measuring ``df`` if that is still due."""
+    return fit_chunk(df, panel) if panel.chunk_us == MEASURE else panel
+
+
 def chunk_number(panel: Panel) -> Column:
     if panel.chunk_us is None:
         return F.lit(0).cast("bigint")
@@ -80,6 +84,7 @@ def in_order(panel: Panel, descending: bool = False):
 
 def with_position(df: DataFrame, panel: Panel) -> DataFrame:
     """Add the zero-based position of a row in its series and the series' length."""
+    panel = measured(df, panel)
     if panel.chunk_us is None:
         whole = Window.partitionBy(*panel.ids)
         return df.withColumns(

@@ -19,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.chunks import measured
 from tidegrid.operators.metrics import get_metric
 from tidegrid.operators.split import tail_rows
 from tidegrid.operators.windows import xy_windows_flat
@@ -104,6 +105,7 @@ def forecast_per_series(
     of a series meet in one row.
     """
     ids = list(panel.ids)
+    panel = measured(df, panel)
     lagged = xy_windows_flat(df, panel, [value], [value], n_tx=p, n_ty=1)
     x_cols = [f"{value}_t-{back}" for back in range(p - 1, -1, -1)]
     models = grouped_ols(lagged, ids, x_cols, [f"{value}_t+1"])

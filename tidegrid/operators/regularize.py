@@ -14,12 +14,13 @@ from tidegrid.operators.chunks import (
     SIZE,
     group_keys,
     in_order,
+    measured,
     own_rows,
     with_chunk,
     with_halo,
     with_position,
 )
-from tidegrid.panel import Panel
+from tidegrid.panel import MEASURE, Panel
 from tidegrid.session import spread
 
 # Grid slots one gap may open; a wrong timestamp would otherwise open a huge one.
@@ -56,6 +57,7 @@ def dt_is_unique(df: DataFrame, panel: Panel) -> DataFrame:
 
 def _gaps(df: DataFrame, panel: Panel) -> DataFrame:
     timed = df.select(*panel.ids, panel.dt)
+    panel = measured(timed, panel)
     haloed = with_halo(timed, panel, behind=1)
     gap = F.unix_micros(panel.dt) - F.unix_micros(F.lag(panel.dt).over(in_order(panel)))
     rows = own_rows(haloed.withColumn("gap_us", gap))
@@ -86,15 +88,15 @@ def average_duplicates(df: DataFrame, panel: Panel, cols: Sequence[str]) -> Data
     return df.groupBy(*panel.ids, panel.dt).agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def fit_grid(slots: DataFrame, panel: Panel, freq: str | int, max_rows: int = 4_000_000) -> Panel:
-    """Chunk width for a regular grid.
+def fit_grid(df: DataFrame, panel: Panel, freq: str | int, max_rows: int = 4_000_000) -> Panel:
+    """Settle the chunking of series that will lie on a regular grid.
 
     A grid has at most span / freq rows per series whatever the readings' volume,
     so the panel is only cut when one series' span exceeds ``max_rows`` slots.
     """
     width = freq_seconds(freq) * 1_000_000
     span = (
-        slots.groupBy(*panel.ids)
+        df.groupBy(*panel.ids)
         .agg((F.max(F.unix_micros(panel.dt)) - F.min(F.unix_micros(panel.dt))).alias("s"))
         .agg(F.max("s"))
         .first()[0]
@@ -140,11 +142,13 @@ def gap_fill(
     inserted rows carry ``fill_value``.
     """
     step = F.lit(freq_seconds(freq) * 1_000_000)
+    panel = measured(df, panel)
     return _fill(_with_bounds(df, panel), panel, df.columns, step, fill_value)
 
 
 def gap_fill_inferred(df: DataFrame, panel: Panel, fill_value=None) -> DataFrame:
     """:func:`gap_fill` at each series' own smallest gap."""
+    panel = measured(df, panel)
     if panel.chunk_us is None:
         bounded = _with_bounds(df, panel)
         gap = F.unix_micros(panel.dt) - F.unix_micros(F.lag(panel.dt).over(in_order(panel)))
@@ -224,6 +228,8 @@ def interpolate_linear(
 
     Leading cells stay NULL, trailing cells take the last known value.
     """
+    if panel.chunk_us == MEASURE:
+        panel = fit_grid(df, panel, freq)
     slots = _slots(df, panel, cols, freq, snap)
     step_us = F.lit(freq_seconds(freq) * 1_000_000)
     opened = _open_gaps(_known_neighbours(slots, panel, cols, step_us), panel, step_us)
@@ -363,6 +369,7 @@ def shift(df: DataFrame, panel: Panel, cols: Sequence[str], n: int, fill_value=N
     """Move values ``n`` rows down (up when negative) within each series."""
     if n == 0:
         return df
+    panel = measured(df, panel)
     haloed = with_halo(df, panel, behind=max(n, 0), ahead=max(-n, 0))
     w = in_order(panel)
     exists = F.lag(F.lit(True), n).over(w)

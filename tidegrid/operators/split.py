@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.chunks import CHUNK, POS, SIZE, group_keys, with_chunk, with_position
+from tidegrid.operators.chunks import CHUNK, POS, SIZE, group_keys, measured, with_chunk, with_position
 from tidegrid.panel import Panel
 
 
@@ -38,7 +38,7 @@ def tail_rows(df: DataFrame, panel: Panel, n_rows: int) -> DataFrame:
     Of a chunked series only the chunks that can hold such rows are read on: those
     with fewer than ``n_rows`` rows after them, known from the chunk sizes.
     """
-    rows = df
+    rows, panel = df, measured(df, panel)
     if panel.chunk_us is not None:
         rows = with_chunk(df, panel)
         later = (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.freq import freq_seconds
 from tidegrid.functions.scalar import on_grid
-from tidegrid.operators.chunks import in_order, own_rows, with_halo
+from tidegrid.operators.chunks import in_order, measured, own_rows, with_halo
 from tidegrid.panel import Panel
 
 # Past this many columns the nested form is the better table.
@@ -83,6 +83,7 @@ def xy_windows_flat(
     if n_tx * len(x_cols) + n_ty * len(y_cols) > WIDE_LIMIT:
         raise ValueError("too many columns for the flat form, use xy_windows_nested")
     cols = list(dict.fromkeys([*x_cols, *y_cols]))
+    panel = measured(df, panel)
     w = in_order(panel)
     rows = with_halo(df.select(*panel.ids, panel.dt, *cols), panel, ahead=shape.reach)
     targets = [
@@ -115,6 +116,7 @@ def xy_windows_nested(
     """The same windows as arrays: ``x[n_tx][n_vx]`` and ``y[n_ty][n_vy]``."""
     shape = WindowSpecXY(n_tx, n_ty, h, n_ty_step)
     cols = list(dict.fromkeys([*x_cols, *y_cols]))
+    panel = measured(df, panel)
     w = in_order(panel)
     rows = with_halo(df.select(*panel.ids, panel.dt, *cols), panel, ahead=shape.reach)
     helpers = [c for c in rows.columns if c not in (*panel.ids, panel.dt, *cols)]
@@ -227,6 +229,7 @@ def xy_windows_dual_flat(
     bins later.  Complete windows only; ``tail='repeat'`` also keeps the last
     window when a single target row is left and repeats that row.
     """
+    panel = measured(df_x, panel)
     w = in_order(panel)
     skip = n_tx // max(freq_seconds(y_freq) // freq_seconds(x_freq), 1) + h - 1
     targets = []
@@ -262,6 +265,7 @@ def xy_windows_dual_nested(
     min_windows: int = 0,
 ) -> DataFrame:
     """:func:`xy_windows_dual_flat` as arrays ``x[n_tx][n_vx]``, ``y[n_ty][n_vy]``."""
+    panel = measured(df_x, panel)
     w = in_order(panel)
     skip = n_tx // max(freq_seconds(y_freq) // freq_seconds(x_freq), 1) + h - 1
     targets = F.collect_list(F.array(*y_cols)).over(w.rowsBetween(skip, skip + n_ty - 1))
@@ -307,7 +311,7 @@ def xy_windows_weekly(
     the series is.
     """
     build = xy_windows_nested if nested else xy_windows_flat
-    weekly = panel.chunked(None).within(*[k for k in WEEK_KEYS if k not in panel.ids])
+    weekly = panel.bounded().within(*[k for k in WEEK_KEYS if k not in panel.ids])
     return build(with_week(df, panel), weekly, *args, min_windows=min_windows, **kw)
 
 
@@ -322,7 +326,7 @@ def xy_windows_dual_weekly(
 ) -> DataFrame:
     """Two-rate windows restarted in every (year, month, ISO week)."""
     build = xy_windows_dual_nested if nested else xy_windows_dual_flat
-    weekly = panel.chunked(None).within(*[k for k in WEEK_KEYS if k not in panel.ids])
+    weekly = panel.bounded().within(*[k for k in WEEK_KEYS if k not in panel.ids])
     return build(
         with_week(df_x, panel), with_week(df_y, panel), weekly, *args,
         min_windows=min_windows, **kw,

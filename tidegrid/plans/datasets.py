@@ -92,7 +92,8 @@ def prepare(meta: DataFrame, readings: DataFrame, conf: DatasetConf) -> Prepared
     rows = filter_months(rows.join(meta.select("id", *ROAD_KEYS), "id"), conf.months)
     if conf.trim_weeks:
         rows = trim_partial_weeks(rows, series)
-    monthly = series.within(*ROAD_KEYS, "year", "month")
+    # A month of grid rows fits one task.
+    monthly = series.bounded().within(*ROAD_KEYS, "year", "month")
     rows = rows.withColumns({"year": F.year("dt"), "month": F.month("dt")})
     grid = interpolate_linear(rows, monthly, conf.value_cols, conf.base_freq, conf.snap)
     # Every rate and neighbourhood reads the grid again: written once.
