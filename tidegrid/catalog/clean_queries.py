@@ -112,10 +112,10 @@ def dropna_rows(spark, sf):
     return finish(clean.dropna_rows(readings(spark, sf).select("id", "dt", "speed", "volume")))
 
 
-@query("rename_columns", f"SELECT exptid AS trial, mae AS error FROM ({TRIALS})")
+@query("rename_columns", rounded(f"SELECT exptid AS trial, mae AS error FROM ({TRIALS})", ["error"]))
 def rename_columns(spark, sf):
     picked = trials(spark, sf).select("exptid", "mae")
-    return clean.rename_columns(picked, {"exptid": "trial", "mae": "error"})
+    return finish(clean.rename_columns(picked, {"exptid": "trial", "mae": "error"}))
 
 
 @query("ordered_category_list", """

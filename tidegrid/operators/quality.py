@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.joins import common_ids
@@ -249,18 +249,15 @@ def metrics_pivot(
 def mark_extreme(
     df: DataFrame, value: str, by: Sequence[str], out: str, largest: bool = False
 ) -> DataFrame:
-    """Flag the rows that hold their group's least (or largest) value.
+    """Flag the cells that hold the least (or largest) value of their line.
 
-    The group's extreme is aggregated and joined back, so a group of any size is
-    combined on the map side instead of being gathered.
+    A group is one line of a result table, so it has as many rows as the table
+    has columns.  The value is computed once and compared with itself, which a
+    join to a second computation of it would not do.
     """
     pick = F.max if largest else F.min
-    ends = df.groupBy(*by).agg(pick(value).alias("_end"))
-    return (
-        df.join(ends, list(by))
-        .withColumn(out, F.coalesce(F.col(value) == F.col("_end"), F.lit(False)))
-        .drop("_end")
-    )
+    extreme = pick(value).over(Window.partitionBy(*by))
+    return df.withColumn(out, F.coalesce(F.col(value) == extreme, F.lit(False)))
 
 
 def mark_min(df: DataFrame, value: str, by: Sequence[str] = ("id",), out: str = "is_min") -> DataFrame:

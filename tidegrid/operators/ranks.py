@@ -8,24 +8,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import stage
+
 # Rows one ordered group may hold before it is cut into value buckets.
 ROWS_PER_BUCKET = 1_000_000
 MAX_FAN = 64
 
 
-def _cut_points(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
-    """Values that cut the rows into about equal buckets; none for a small table.
+def _settle(df: DataFrame, key: Column, rows_per_bucket: int) -> tuple[DataFrame, list[float]]:
+    """The table written once, with ``_key`` added, and the values that cut it into
+    about equal buckets (none when it is small).
 
-    The table is counted first.  A large one gives at most MAX_FAN**2 approximate
-    quantiles, held as literals so that every use of them sees the same cuts;
-    their accuracy only affects balance, never a result.
+    Every later read sees the same bits, which a recomputed floating value does
+    not promise, and the row count comes from the files.  A large table gives at
+    most MAX_FAN**2 approximate quantiles; their accuracy only affects balance,
+    never a result.
     """
-    wanted = min(MAX_FAN**2, math.ceil(df.count() / rows_per_bucket))
+    settled = stage(df.withColumn("_key", key))
+    wanted = min(MAX_FAN**2, math.ceil(settled.count() / rows_per_bucket))
     if wanted <= 1:
-        return []
+        return settled, []
     shares = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(F.percentile_approx(key, F.lit(shares), F.lit(8 * wanted))).first()[0]
-    return sorted(set(cuts or []))
+    cuts = settled.agg(F.percentile_approx("_key", F.lit(shares), F.lit(8 * wanted))).first()[0]
+    return settled, sorted(set(cuts or []))
 
 
 def _bucket(key: str, cuts: list[float]) -> Column:
@@ -65,13 +70,12 @@ def rank_counts(
     gives the last rank of a tie; the tie shares the mean of its ranks.
     """
     by = list(by)
-    keyed = counts.withColumn("_key", F.col(value).cast("double"))
-    cuts = _cut_points(keyed, "_key", rows_per_bucket)
+    keyed, cuts = _settle(counts, F.col(value).cast("double"), rows_per_bucket)
     running = (Window.unboundedPreceding, Window.currentRow)
     if not cuts:
         inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value).rowsBetween(*running)
         last = F.sum(count).over(inside)
-        return counts.withColumn(out, last - (F.col(count) - 1) / 2.0)
+        return keyed.withColumn(out, last - (F.col(count) - 1) / 2.0).drop("_key")
     cut = keyed.withColumn("_b", _bucket("_key", cuts))
     totals = _below(cut.groupBy(*by, "_b").agg(F.sum(count).alias("_total")), by)
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(*running)
@@ -100,7 +104,10 @@ def rank_average(
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = rank_counts(counts, value, "_n", by, out, rows_per_bucket).select(*by, value, out)
-    return df.join(ranked, [*by, value], "left")
+    lost = F.col(value).isNotNull() & F.col(out).isNull()
+    message = F.lit(f"{value} changed between two reads, stage the input first")
+    checked = F.when(lost, F.raise_error(message).cast("double")).otherwise(F.col(out))
+    return df.join(ranked, [*by, value], "left").withColumn(out, checked)
 
 
 def rank_average_global(df: DataFrame, value: str, out: str = "rank", **kw) -> DataFrame:
@@ -123,11 +130,10 @@ def global_order(
     df: DataFrame, *order: str, out: str = "ord", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Number all rows 1..n by the order columns, without a window over the whole table."""
-    keyed = df.withColumn("_key", _order_key(df, order[0]))
-    cuts = _cut_points(keyed, "_key", rows_per_bucket)
+    keyed, cuts = _settle(df, _order_key(df, order[0]), rows_per_bucket)
     if not cuts:
         whole = Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(whole).cast("bigint"))
+        return keyed.withColumn(out, F.row_number().over(whole).cast("bigint")).drop("_key")
     cut = keyed.withColumn("_b", _bucket("_key", cuts))
     below = _below(cut.groupBy("_b").agg(F.count("*").alias("_total")), [])
     inside = Window.partitionBy("_b").orderBy(*order)

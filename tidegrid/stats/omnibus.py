@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalar import ratio
 from tidegrid.functions.special import p_chi2, p_f
 from tidegrid.operators.ranks import rank_counts
+from tidegrid.session import stage
 from tidegrid.stats.blocks import (
     Samples,
     block_rows,
@@ -152,6 +153,8 @@ def friedman_aligned_ranks_test(
     """
     names, blocks = _start(df, groups, samples, incomplete)
     k = float(len(names))
+    # Ranks are joined back by value: both reads must see the same bits.
+    blocks = stage(blocks)
     aligned = blocks.select(
         samples.block,
         F.posexplode(
