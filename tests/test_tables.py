@@ -9,6 +9,7 @@ from tidegrid.functions.scalar import (
 )
 from tidegrid.operators import clean, joins, quality
 from tidegrid.operators.trials import sample_config, trial_grid
+from tidegrid.plans.nullity import nullity_report
 from tidegrid.sources import generate, readers, writers
 
 
@@ -153,6 +154,16 @@ def test_completeness(spark):
         quality.nullity_filter(counts, "column", "middle")
 
 
+def test_nullity_report_equals_the_wide_table(series):
+    df = series("5 minute", ids=("a", "b"), v=[1, None, 3, 4], w=[1, 2, None, None])
+    df = df.where("NOT (id = 'b' AND minute(dt) IN (5, 10))")
+    df = df.unionByName(df.where("id = 'a' AND minute(dt) = 0"))
+    shares = {(r.id, r["var"]): r.ratio for r in nullity_report(df, Panel(), ["v", "w"]).collect()}
+    assert shares == {("a", "v"): 0.75, ("a", "w"): 0.5, ("b", "v"): 0.5, ("b", "w"): 0.25}
+    halves = nullity_report(df, Panel(), ["v"], "10min").collect()
+    assert {(r.id, r.ratio) for r in halves} == {("a", 1.0), ("b", 0.5)}
+
+
 def test_groups_and_marks(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 1.0), ("a", "z", 3.0), ("b", "x", None), ("b", "y", 5.0)], "id string, k string, v double")
     assert {r.id for r in quality.group_filter_min(df, ["id"]).collect()} == {"a"}

@@ -11,6 +11,7 @@ from tidegrid.catalog.tables import (
 from tidegrid.operators import joins, quality
 from tidegrid.operators.trials import decode_trial
 from tidegrid.operators.windows import xy_windows_nested
+from tidegrid.plans.nullity import nullity_report
 
 # ------------------------------------------------------------------------ joins
 
@@ -251,6 +252,18 @@ def nullity_filter(spark, sf):
     return finish(quality.nullity_filter(counted, "id", "top", p=0.05, n=100))
 
 
+@query("nullity_report", rounded(f"""
+    WITH h AS ({HOURLY}), g AS (
+        SELECT epoch_us(max(dt)) - epoch_us(min(dt)) AS span FROM h),
+    s AS (SELECT min(gap) AS step FROM (
+        SELECT epoch_us(dt) - epoch_us(lag(dt) OVER (ORDER BY dt)) AS gap FROM (SELECT DISTINCT dt FROM h)))
+    SELECT id, var, n_present, n_present / ((SELECT span FROM g) // (SELECT step FROM s) + 1) AS ratio FROM (
+        SELECT id, 'speed' AS var, count(speed) AS n_present FROM h GROUP BY 1
+        UNION ALL SELECT id, 'volume', count(volume) FROM h GROUP BY 1)""", ["ratio"]))
+def nullity_report_(spark, sf):
+    return finish(nullity_report(hourly(spark, sf), SERIES, ["speed", "volume"]))
+
+
 @query("window_shape_report", f"""
     SELECT id, 'f' AS features, count(*) AS n_rows, 4 AS n_tx, 3 AS n_vx, 2 AS n_ty, 1 AS n_vy FROM (
         SELECT id, lead(1, 5) OVER (PARTITION BY id ORDER BY dt) AS there FROM ({HOURLY}))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tidegrid.session import stage
 
 # Rows one ordered group may hold before it is cut into value buckets.
 ROWS_PER_BUCKET = 1_000_000
-MAX_FAN = 64
+MAX_BUCKETS = 4096
 
 
 def _settle(df: DataFrame, key: Column, rows_per_bucket: int) -> tuple[DataFrame, list[float]]:
@@ -21,32 +22,27 @@ def _settle(df: DataFrame, key: Column, rows_per_bucket: int) -> tuple[DataFrame
 
     Every later read sees the same bits, which a recomputed floating value does
     not promise, and the row count comes from the files.  A large table gives at
-    most MAX_FAN**2 approximate quantiles; their accuracy only affects balance,
+    most MAX_BUCKETS - 1 approximate quantiles; their accuracy only affects balance,
     never a result.
     """
     settled = stage(df.withColumn("_key", key))
-    wanted = min(MAX_FAN**2, math.ceil(settled.count() / rows_per_bucket))
+    wanted = min(MAX_BUCKETS, math.ceil(settled.count() / rows_per_bucket))
     if wanted <= 1:
         return settled, []
     shares = [i / wanted for i in range(1, wanted)]
     cuts = settled.agg(F.percentile_approx("_key", F.lit(shares), F.lit(8 * wanted))).first()[0]
-    return settled, sorted(set(cuts or []))
+    return settled, sorted(c for c in set(cuts or []) if math.isfinite(c))
 
 
-def _bucket(key: str, cuts: list[float]) -> Column:
-    """A bucket number that grows with ``key``.
-
-    The position among the cuts is found in two short scans, first over every
-    64th cut and then inside that stretch.
-    """
-    value = F.col(key)
-    coarse = cuts[::MAX_FAN]
-    stretch = F.size(F.filter(F.lit(coarse), lambda cut: cut < value))
-    start = F.greatest(stretch - 1, F.lit(0)) * MAX_FAN
-    inside = F.size(
-        F.filter(F.slice(F.lit(cuts), start + 1, F.lit(MAX_FAN)), lambda cut: cut < value)
+def _with_bucket(df: DataFrame, cuts: list[float]) -> DataFrame:
+    """Add ``_b``, a bucket number that grows with ``_key`` (a binary search)."""
+    search = Bucketizer(
+        splits=[-math.inf, *cuts, math.inf],
+        inputCol="_key",
+        outputCol="_b",
+        handleInvalid="keep",
     )
-    return F.when(value.isNull(), F.lit(-1)).otherwise(start + inside)
+    return search.transform(df).withColumn("_b", F.coalesce(F.col("_b").cast("int"), F.lit(-1)))
 
 
 def _below(sizes: DataFrame, by: list[str]) -> DataFrame:
@@ -76,7 +72,7 @@ def rank_counts(
         inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value).rowsBetween(*running)
         last = F.sum(count).over(inside)
         return keyed.withColumn(out, last - (F.col(count) - 1) / 2.0).drop("_key")
-    cut = keyed.withColumn("_b", _bucket("_key", cuts))
+    cut = _with_bucket(keyed, cuts)
     totals = _below(cut.groupBy(*by, "_b").agg(F.sum(count).alias("_total")), by)
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(*running)
     last = F.col("_below") + F.col("_cum")
@@ -134,12 +130,12 @@ def global_order(
     if not cuts:
         whole = Window.partitionBy(F.lit(0)).orderBy(*order)
         return keyed.withColumn(out, F.row_number().over(whole).cast("bigint")).drop("_key")
-    cut = keyed.withColumn("_b", _bucket("_key", cuts))
+    cut = _with_bucket(keyed, cuts)
     below = _below(cut.groupBy("_b").agg(F.count("*").alias("_total")), [])
     inside = Window.partitionBy("_b").orderBy(*order)
     return (
         cut.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(below), "_b")  # at most MAX_FAN**2 + 1 rows
+        .join(F.broadcast(below), "_b")  # at most MAX_BUCKETS + 1 rows
         .withColumn(out, (F.col("_below") + F.col("_rn")).cast("bigint"))
         .drop("_b", "_key", "_rn", "_below")
     )
