@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.curve_packing import pack_along_curve
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.shared import WHITE, table
+from tidegrid.llm.trie_dedup import exact_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +31,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# ------------------------------------------------------------- 2 exact dedup
+
+EXACT_SQL = f"""
+WITH normal AS (SELECT doc_id, sha256({LOWER_SQL.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM normal WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+@query("op2_exact_dedup", EXACT_SQL)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+# ------------------------------------------------------------- 4 packing
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_along_curve(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 # ------------------------------------------------------------- 10 line dedup
 
 LINE_SQL = f"""
