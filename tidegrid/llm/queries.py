@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.curve_packing import pack_along_curve
 from tidegrid.llm.line_runs import drop_repeated_lines
-from tidegrid.llm.shared import WHITE, table
+from tidegrid.llm.shared import WHITE, shared_folder, table
 from tidegrid.llm.trie_dedup import exact_groups
+from tidegrid.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +47,27 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+# ------------------------------------------------------------- 3 WARC
+
+WARC_SQL = """
+WITH page AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest FROM pages
+), typed AS (
+    SELECT *, payload_bytes >= 100 AND page_id <> min(page_id) OVER (PARTITION BY payload_digest) AS again,
+           min(page_id) OVER (PARTITION BY payload_digest) AS smallest FROM page
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN smallest END AS refers_to
+FROM typed
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
 # ------------------------------------------------------------- 4 packing
 
 
