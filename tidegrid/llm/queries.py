@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm.curve_packing import pack_along_curve
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.shared import WHITE, shared_folder, table
+from tidegrid.llm.site_quality import fit_quality, score_quality
+from tidegrid.llm.subword_language import fit_language, held_out, predict_language
 from tidegrid.llm.trie_dedup import exact_groups
 from tidegrid.llm.warc import archive_round_trip
 
@@ -79,6 +81,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------- 5 quality classifier
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document; labels of held-out documents are not learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, held_out=held_out(F.col("id"), 5, 2))
+    scored = score_quality(docs, model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 5, 2).alias("held_out"), "evidence", "host_rate", "path_rate",
+        F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"),
+    )
+
+
+# ------------------------------------------------------------- 8 language
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs.select("doc_id", "text"), fit_language(docs))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred",
+        F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"),
+    )
+
+
 # ------------------------------------------------------------- 10 line dedup
 
 LINE_SQL = f"""
