@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.cover_tree import near_duplicate_links
 from tidegrid.llm.curve_packing import pack_along_curve
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.shared import WHITE, shared_folder, table
@@ -109,6 +110,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------- 9 embedding near-dedup
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_links(table(spark, sf_dir, "embeddings"))
+
+
 # ------------------------------------------------------------- 10 line dedup
 
 LINE_SQL = f"""
