@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.cover_tree import near_duplicate_links
 from tidegrid.llm.curve_packing import pack_along_curve
 from tidegrid.llm.line_runs import drop_repeated_lines
+from tidegrid.llm.merge_dropout import decode_pieces, encode_pieces
 from tidegrid.llm.shared import WHITE, shared_folder, table
 from tidegrid.llm.site_quality import fit_quality, score_quality
 from tidegrid.llm.subword_language import fit_language, held_out, predict_language
@@ -35,6 +36,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# ------------------------------------------------------------- 1 SentencePiece
+
+
+@query("op1_merge_dropout")
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under merge-dropout, and whether they decode to its text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_pieces(encode_pieces(docs, model), model)
+    return decoded.select(
+        "doc_id", "variant", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 # ------------------------------------------------------------- 2 exact dedup
 
 EXACT_SQL = f"""
