@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.llm.shared import settle
 
@@ -300,10 +301,13 @@ def encode_pieces(
                     [*batch.schema.names[:-2], "variant", "ids"],
                 )
 
-    ddl = rows.schema.add("variant", "int").add("ids", "array<int>")
+    schema = T.StructType([
+        *rows.schema.fields, T.StructField("variant", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+    ])
     return rows.select(
         "*", F.col(f"`{id_col}`").cast("string").alias("_id"), F.col(f"`{text_col}`").alias("_text")
-    ).mapInArrow(run, ddl)
+    ).mapInArrow(run, schema)
 
 
 def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -318,4 +322,6 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", into:
                 [*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], into]
             )
 
-    return rows.select("*", F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(run, rows.schema.add(into, "string"))
+    return rows.select("*", F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(
+        run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
+    )

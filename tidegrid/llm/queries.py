@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.cover_tree import near_duplicate_links
 from tidegrid.llm.curve_packing import pack_along_curve
+from tidegrid.llm.gated_lm import language_model_scores
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.merge_dropout import decode_pieces, encode_pieces
 from tidegrid.llm.shared import WHITE, shared_folder, table
@@ -113,6 +114,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------- 7 language model
+
+
+@query("op7_language_model")
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 # ------------------------------------------------------------- 8 language
 
 
