@@ -14,6 +14,7 @@ from tidegrid.llm.gated_lm import language_model_scores
 from tidegrid.llm.line_runs import drop_repeated_lines
 from tidegrid.llm.merge_dropout import decode_pieces, encode_pieces
 from tidegrid.llm.shared import WHITE, shared_folder, table
+from tidegrid.llm.signature_join import shingle_components
 from tidegrid.llm.site_quality import fit_quality, score_quality
 from tidegrid.llm.subword_language import fit_language, held_out, predict_language
 from tidegrid.llm.trie_dedup import exact_groups
@@ -114,6 +115,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------- 6 n-gram Jaccard join
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shingle_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 # ------------------------------------------------------------- 7 language model
 
 
