@@ -48,9 +48,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select(F.col("doc_id").alias("_id"), "text_hash").distinct()
     )
-    return docs.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti"
-    )
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("text_hash")), "left_anti")
+    return kept.select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

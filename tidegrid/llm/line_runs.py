@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import WHITE, ascii_lower, fresh_name, partitions, settle, shared_folder, stage
+from tidegrid.llm.shared import WHITE, ascii_lower, fresh_name, packed, partitions, settle, shared_folder, stage
 
 KEY = ["h64", "h32"]
 
@@ -145,26 +145,26 @@ def drop_repeated_lines(
         keyed.join(repeated, KEY)
         .where(~F.col("doc").eqNullSafe(F.col("owner")))
         .groupBy("doc", "text_hash")
-        .agg(F.collect_set(F.struct(*KEY)).alias("_drop"))
+        .agg(F.collect_set(F.struct(*KEY)).alias("drop"))
     )
+    names = [c for c in docs.columns if c not in ("line_count", "lines_dropped")]
+    rows = docs.select(packed([c for c in names if c != text_col]), doc.alias("id"), text.alias("text"))
+    joined = rows.join(
+        drops, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("text_hash")), "left"
+    )
+    lines = F.split("text", "\n", -1)
     kept = F.filter(
         lines,
         lambda s: ~(
-            (F.char_length(F.btrim(s, F.lit(WHITE))) >= min_chars)
-            & F.array_contains(F.col("_drop"), _hashes(s))
+            (F.char_length(F.btrim(s, F.lit(WHITE))) >= min_chars) & F.array_contains(F.col("drop"), _hashes(s))
         ),
     )
-    joined = docs.drop("line_count", "lines_dropped").join(
-        drops, doc.eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("text_hash")), "left"
-    )
-    # Lists are built once: a column that is used twice would be computed twice.
-    cut = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    whole = F.col("_kept").isNull()
-    joined_text = F.when(whole, text).otherwise(F.array_join("_kept", "\n"))
-    others = [c for c in docs.columns if c not in (text_col, "line_count", "lines_dropped")]
+    # Most documents lose nothing and keep their text as it is.
+    cut = joined.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
+    whole = F.col("kept").isNull()
+    new_text = F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
     return cut.select(
-        *[F.col(f"`{c}`") for c in others],
-        joined_text.alias(text_col),
+        *[new_text if c == text_col else F.col(f"row.`{c}`") for c in names],
         F.size(lines).cast("long").alias("line_count"),
-        F.when(whole, F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("lines_dropped"),
+        F.when(whole, F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long").alias("lines_dropped"),
     )

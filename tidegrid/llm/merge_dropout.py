@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.shared import settle
+from tidegrid.llm.shared import packed, settle, unpacked
 
 #: A segment: the spaces before a word, and the word.  No piece reaches over its end.
 SEGMENT = re.compile(" +[^ ]*")
@@ -278,50 +278,47 @@ def encode_pieces(
     null id is an id like others.  Columns named like the new ones are replaced.
     """
     settle(docs.sparkSession)
-    rows = docs.drop("variant", "ids")
+    names = [c for c in docs.columns if c not in ("variant", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(load_pieces(model_path), rate, seed, variants)
         for whole in batches:
             at = 0
-            sizes = np.array([len(t) if t else 0 for t in (whole.column(whole.num_columns - 1).to_pylist())])
+            sizes = np.array([len(t) if t else 0 for t in whole.column(2).to_pylist()])
             while at < whole.num_rows:  # parts of bounded size: ids take more room than text
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), OUT_BYTES // 2)))
                 batch = whole.slice(at, n)
                 at += n
-                names, texts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-                coded = coder.encode(names, [t or "" for t in texts])
+                keys, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                coded = coder.encode(keys, [t or "" for t in texts])
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
                 values = np.concatenate(coded) if coded else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(
                     pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array([t is None for t in texts])
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-2], pa.array([coder.variant(d) for d in names], pa.int32()), lists],
-                    [*batch.schema.names[:-2], "variant", "ids"],
+                    [batch.column(0), pa.array([coder.variant(d) for d in keys], pa.int32()), lists],
+                    ["row", "variant", "ids"],
                 )
 
+    rows = docs.select(packed(names), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([
-        *rows.schema.fields, T.StructField("variant", T.IntegerType()),
+        rows.schema["row"], T.StructField("variant", T.IntegerType()),
         T.StructField("ids", T.ArrayType(T.IntegerType())),
     ])
-    return rows.select(
-        "*", F.col(f"`{id_col}`").cast("string").alias("_id"), F.col(f"`{text_col}`").alias("_text")
-    ).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*unpacked(names), "variant", "ids")
 
 
 def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """The columns of ``coded`` with the text its ids stand for; null ids give null."""
-    rows = coded.drop(into)
+    names = [c for c in coded.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(model_path)
         for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], into]
-            )
-
-    return rows.select("*", F.col(f"`{ids_col}`").alias("_ids")).mapInArrow(
-        run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
-    )
+            texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
+
+    rows = coded.select(packed(names), F.col(f"`{ids_col}`").alias("ids"))
+    schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(run, schema).select(*unpacked(names), F.col("decoded").alias(into))

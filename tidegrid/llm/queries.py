@@ -177,7 +177,7 @@ FROM marked GROUP BY doc_id
 
 @query("op10_line_dedup", LINE_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
         "doc_id",
         F.col("line_count").alias("n_lines"),

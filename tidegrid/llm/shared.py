@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.session import shared_folder, stage
 
-__all__ = ["ascii_lower", "fresh_name", "settle", "shared_folder", "stage", "table"]
+__all__ = ["ascii_lower", "fresh_name", "packed", "partitions", "settle", "shared_folder", "stage", "table", "unpacked"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, fixed by the contracts of the word and line operators.
@@ -43,6 +43,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def packed(names: list[str]) -> Column:
+    """The named columns as one, ``row``, so that none of their names can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col(f"row.`{c}`") for c in names]
+
+
 def fresh_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 

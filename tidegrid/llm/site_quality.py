@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.llm.shared import settle, stage
+from tidegrid.llm.shared import packed, settle, stage, unpacked
 
 # ------------------------------------------------- evidence of one document
 
@@ -116,8 +117,9 @@ def fit_quality(
 # ------------------------------------------------------------ site posteriors
 
 
-def _with_evidence(docs: DataFrame, text_col: str, model: Evidence | None) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
+def _with_evidence(rows: DataFrame, model: Evidence | None) -> DataFrame:
+    """``rows`` with their last column, the text as bytes, replaced by ``evidence``."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
@@ -128,12 +130,11 @@ def _with_evidence(docs: DataFrame, text_col: str, model: Evidence | None) -> Da
             else:
                 ratio = np.clip(fitted.log_ratio(np.array([features(t or b"") for t in texts])), -20, 20)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ratio)], [*batch.schema.names[:-1], "_evidence"]
+                [*batch.columns[:-1], pa.array(ratio)], [*batch.schema.names[:-1], "evidence"]
             )
 
-    return docs.select("*", F.col(f"`{text_col}`").cast("binary").alias("_text")).mapInArrow(
-        run, docs.schema.add("_evidence", "double")
-    )
+    kept = rows.schema.fields[:-1]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("evidence", T.DoubleType())]))
 
 
 def _odds(p: Column) -> Column:
@@ -173,15 +174,18 @@ def score_quality(
     """
     settle(docs.sparkSession)
     added = ["evidence", "host_rate", "path_rate", "quality_score", "quality_kept"]
-    docs = docs.drop(*added)
-    host, path = F.col(f"`{host_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
+    names = [c for c in docs.columns if c not in added]
+    rows = docs.select(
+        packed(names), F.col(f"`{host_col}`").cast("string").alias("host"),
+        F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").cast("binary").alias("text"),
+    )
     if model is not None:
         prior = float(1 / (1 + np.exp(-model.base)))
     start = float(np.log(prior / (1 - prior)))
-    good = 1 / (1 + F.exp(-(F.col("_evidence") + start)))
+    good = 1 / (1 + F.exp(-(F.col("evidence") + start)))
     # Narrow pass: sums by path, combined before they are shuffled; a hot site is one row a task.
     paths = stage(
-        _with_evidence(docs.select(host.alias("host"), path.alias("path"), F.col(f"`{text_col}`").alias("text")), "text", model)
+        _with_evidence(rows.select("host", "path", "text"), model)
         .groupBy("host", "path").agg(F.sum(good).alias("good"), F.count(F.lit(1)).alias("n"))
     )
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
@@ -189,21 +193,25 @@ def score_quality(
     overall = float(np.clip(row[0] / row[1], 1e-3, 1 - 1e-3)) if row[1] else prior
     of_hosts = _strength(hosts.select((F.col("host_good") / F.col("host_n")).alias("r"), F.col("host_n").alias("n")), "r", "n")
     of_paths = _strength(paths.select((F.col("good") / F.col("n")).alias("r"), "n"), "r", "n")
-    sites = stage(paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]))
+    site_hosts = hosts.withColumnRenamed("host", "of_host")
+    sites = stage(
+        paths.join(site_hosts, F.col("host").eqNullSafe(F.col("of_host")))
+        .select("of_host", F.col("path").alias("of_path"), F.col("good").alias("path_good"), F.col("n").alias("path_n"), "host_good", "host_n")
+    )
     # Broadcast only if the written table is small enough by its size.
-    scored = _with_evidence(docs, text_col, model)
-    joined = scored.join(
-        sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("good").alias("_good"), F.col("n").alias("_n"),
-                     F.col("host_good").alias("_host_good"), F.col("host_n").alias("_host_n")),
-        host.eqNullSafe(F.col("_host")) & path.eqNullSafe(F.col("_path")), "left",
+    joined = _with_evidence(rows, model).join(
+        sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left"
     )
-    host_rate = (F.col("_host_good") - good + of_hosts * overall) / (F.col("_host_n") - 1 + of_hosts)
-    rated = joined.withColumn("_hr", F.greatest(F.least(host_rate, F.lit(1 - 1e-6)), F.lit(1e-6)))
-    path_rate = (F.col("_good") - good + of_paths * F.col("_hr")) / (F.col("_n") - 1 + of_paths)
-    rated = rated.withColumn("_pr", F.greatest(F.least(path_rate, F.lit(1 - 1e-6)), F.lit(1e-6)))
-    score = 1 / (1 + F.exp(-(F.col("_evidence") + _odds(F.col("_pr")))))
+
+    def shrunk(total: str, n: str, strength: float, toward: Column) -> Column:
+        """Rate of a site without the document, drawn toward the rate above it."""
+        rate = (F.col(total) - good + strength * toward) / (F.col(n) - 1 + strength)
+        return F.greatest(F.least(rate, F.lit(1 - 1e-6)), F.lit(1e-6))
+
+    rated = joined.withColumn("host_rate", shrunk("host_good", "host_n", of_hosts, F.lit(overall)))
+    rated = rated.withColumn("path_rate", shrunk("path_good", "path_n", of_paths, F.col("host_rate")))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + _odds(F.col("path_rate")))))
     return rated.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("_evidence").alias("evidence"), F.col("_hr").alias("host_rate"), F.col("_pr").alias("path_rate"),
+        *unpacked(names), "evidence", "host_rate", "path_rate",
         score.alias("quality_score"), (score >= least).alias("quality_kept"),
     )

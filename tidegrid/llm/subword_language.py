@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.llm.shared import settle
+from tidegrid.llm.shared import packed, settle, unpacked
 
 GRAMS = (2, 3, 4)
 #: Texts are put together up to this many bytes for one pass of numpy.
@@ -199,15 +200,15 @@ def predict_language(docs: DataFrame, model: SubwordModel | None, text_col: str
     """
     spark = settle(docs.sparkSession)
     added = ["lang_pred", "lang_score", "lang_rejected"]
-    rows = docs.drop(*added)
+    names = [c for c in docs.columns if c not in added]
     lettered = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
     sent = spark.sparkContext.broadcast(model)  # buckets x languages, a size set by parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
         for batch in batches:
-            texts, use = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
-            names: list[str] = ["und"] * len(use)
+            texts, use = batch.column(1), batch.column(2).to_pylist()
+            best_names: list[str] = ["und"] * len(use)
             score, rejected = np.zeros(len(use)), np.ones(len(use), bool)
             at = np.array([i for i, u in enumerate(use) if u and fitted is not None], np.int64)
             done = 0
@@ -218,15 +219,15 @@ def predict_language(docs: DataFrame, model: SubwordModel | None, text_col: str
                 score[here] = p[np.arange(len(part)), best]
                 rejected[here] = score[here] < fitted.limit
                 for i, b in zip(here, best):
-                    names[i] = fitted.langs[b]
+                    best_names[i] = fitted.langs[b]
                 done += len(part)
-            kept = list(batch.columns[:-2])
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(names, pa.string()), pa.array(score), pa.array(rejected)],
-                [*batch.schema.names[:-2], *added],
+                [batch.column(0), pa.array(best_names, pa.string()), pa.array(score), pa.array(rejected)], ["row", *added]
             )
 
-    ddl = rows.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
-    return rows.select(
-        "*", F.col(f"`{text_col}`").cast("binary").alias("_text"), lettered.alias("_lettered")
-    ).mapInArrow(run, ddl)
+    rows = docs.select(packed(names), F.col(f"`{text_col}`").cast("binary").alias("text"), lettered.alias("lettered"))
+    schema = T.StructType([
+        rows.schema["row"], T.StructField("lang_pred", T.StringType()),
+        T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType()),
+    ])
+    return rows.mapInArrow(run, schema).select(*unpacked(names), *added)
