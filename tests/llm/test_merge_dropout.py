@@ -56,7 +56,8 @@ def test_lockstep_and_agenda_agree(rate):
     for word, end, n in zip(words, np.cumsum(counts), counts):
         symbols = model.symbol[np.frombuffer(word.encode("utf-32-le"), np.uint32)].tolist()
         key = xxhash.xxh64_intdigest(word, 99) if limit else 0
-        assert model._flat([model._agenda(symbols, key, limit)])[0].tolist() == flat[end - n : end].tolist()
+        merged = model._agenda(symbols, key, limit)
+        assert model._spelled(merged, np.array([len(merged)]))[0].tolist() == flat[end - n : end].tolist()
 
 
 def test_empty_table(make_docs):

@@ -18,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,9 +84,27 @@ class PieceModel:
                 left, right = self._known(p[:cut], plain), self._known(p[cut:], plain)
                 if left is not None and right is not None:
                     pairs[left << 21 | right] = rank[i]
-        self.codes = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[c] for c in self.codes], np.int64)
         self.rank_of = pairs
+        self._hash(pairs)
+
+    def _hash(self, pairs: dict[int, int]) -> None:
+        """An open hash table of the pairs; few probes find any of them, or that there is none."""
+        self.bits = max(4, (8 * len(pairs)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slot_ranks = np.full(1 << self.bits, NONE)
+        codes = np.array(list(pairs), np.int64)
+        ranks = np.array(list(pairs.values()), np.int64)
+        at, self.probes = self._slot(codes), 0
+        while len(codes):
+            self.probes += 1
+            free = self.slots[at] < 0
+            self.slots[at[free]] = codes[free]
+            lost = self.slots[at] != codes  # another one has the place
+            self.slot_ranks[at[~lost]] = ranks[~lost]
+            codes, ranks, at = codes[lost], ranks[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * _M1) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _known(self, part: str, plain: dict[str, int]) -> int | None:
         if part in plain:
@@ -95,8 +114,18 @@ class PieceModel:
     def _rank(self, left, right, key, start, middle, end, limit) -> np.ndarray:
         """Rank of each candidate; NONE where there is no such piece or it is skipped."""
         code = left << 21 | right
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        found = np.where(self.codes[at] == code, self.ranks[at], NONE)
+        at = self._slot(code)
+        there = self.slots[at]
+        found = np.where(there == code, self.slot_ranks[at], NONE)
+        more = np.flatnonzero((there != code) & (there >= 0))
+        for _ in range(self.probes - 1):
+            if not len(more):
+                break
+            at[more] = (at[more] + 1) & ((1 << self.bits) - 1)
+            there = self.slots[at[more]]
+            hit = there == code[more]
+            found[more[hit]] = self.slot_ranks[at[more[hit]]]
+            more = more[~hit & (there >= 0)]
         if limit:
             place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
             found = np.where(_mix(key + place * _M1) >> np.uint64(32) < np.uint64(limit), NONE, found)
@@ -109,19 +138,28 @@ class PieceModel:
         symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         starts = np.cumsum(lengths) - lengths
         keys = np.array([xxhash.xxh64_intdigest(w, key) for w in words], np.uint64) if limit else np.zeros(len(words), np.uint64)
-        parts: list = [None] * len(words)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (words, their symbols in turn, how many each)
         low = 0
         for high in WIDTHS:
-            for chosen in np.array_split(rows := np.flatnonzero((lengths > low) & (lengths <= high)), len(rows) // 20_000 + 1):
+            rows = np.flatnonzero((lengths > low) & (lengths <= high))
+            for chosen in np.array_split(rows, len(rows) // 20_000 + 1):
                 if len(chosen):
-                    self._lockstep(chosen, symbols, starts, lengths, keys, high, limit, parts)
+                    parts.append((chosen, *self._lockstep(chosen, symbols, starts, lengths, keys, high, limit)))
             low = high
         for i in np.flatnonzero(lengths > low):
             mine = symbols[starts[i] : starts[i] + lengths[i]]
-            parts[i] = self._agenda(mine.tolist(), int(keys[i]), limit)
-        return self._flat(parts)
+            merged = self._agenda(mine.tolist(), int(keys[i]), limit)
+            parts.append((np.array([i]), merged, np.array([len(merged)])))
+        counts = np.zeros(len(words), np.int64)
+        for chosen, _, n in parts:
+            counts[chosen] = n
+        ends = np.cumsum(counts)
+        flat = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        for chosen, merged, n in parts:
+            flat[np.repeat(ends[chosen] - np.cumsum(n), n) + np.arange(len(merged))] = merged
+        return self._spelled(flat, counts)
 
-    def _lockstep(self, chosen, symbols, starts, lengths, keys, width, limit, parts) -> None:
+    def _lockstep(self, chosen, symbols, starts, lengths, keys, width, limit) -> tuple[np.ndarray, np.ndarray]:
         """Merge in all chosen words at a time, one merge a word and step."""
         size, key = lengths[chosen], keys[chosen]
         column = np.arange(width)
@@ -156,10 +194,7 @@ class PieceModel:
             some = p >= 0
             r, x, y = rows[some], p[some], j[some]
             rank[r, x] = self._rank(sym[r, x], sym[r, y], key[r], x, y, after[r, y], limit)
-        flat, counts = sym[sym >= 0], (sym >= 0).sum(axis=1)
-        ends = np.cumsum(counts)
-        for i, end, n in zip(chosen.tolist(), ends.tolist(), counts.tolist()):
-            parts[i] = flat[end - n : end]
+        return sym[sym >= 0], (sym >= 0).sum(axis=1)
 
     def _agenda(self, sym: list[int], key: int, limit: int) -> np.ndarray:
         """The same, for one long word, with a heap of candidates."""
@@ -193,20 +228,18 @@ class PieceModel:
                 offer(before[x], x)
         return np.array([s for s in sym if s >= 0], np.int64)
 
-    def _flat(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    def _spelled(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols; characters without a piece become their bytes."""
         odd = flat >= CHARACTER
-        if odd.any():  # characters without a piece become their bytes
+        if odd.any():
             width = np.ones(len(flat), np.int64)
             spelled = [chr(c).encode() for c in (flat[odd] - CHARACTER).tolist()]
             width[odd] = [len(s) for s in spelled]
-            out = np.repeat(flat, width)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            counts = np.bincount(owner, weights=width, minlength=len(counts)).astype(np.int64)
             inside = np.repeat(odd, width)
-            out[inside] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
-            owner = np.repeat(np.arange(len(parts)), counts)
-            counts = np.bincount(owner, weights=width, minlength=len(parts)).astype(np.int64)
-            flat = out
+            flat = np.repeat(flat, width)
+            flat[inside] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
         return flat.astype(np.int32), counts
 
     def decode(self, ids: list[int]) -> str:
@@ -219,6 +252,14 @@ def load_pieces(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+class Numbers(dict):
+    """Numbers for words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Coder:
     """Encodes texts, remembering up to ``most`` words between batches."""
 
@@ -229,7 +270,7 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: list[dict[str, int]] = [{} for _ in self.keys]
+        self.known = [Numbers() for _ in self.keys]
         self.flat = [np.zeros(0, np.int32) for _ in self.keys]
         self.sizes = [np.zeros(0, np.int64) for _ in self.keys]
 
@@ -243,8 +284,8 @@ class Coder:
         chosen = [self.variant(d) for d in docs]
         rows = []
         for v, text in zip(chosen, texts):
-            known = self.known[v]
-            rows.append([known.setdefault(s, len(known)) for s in SEGMENT.findall(" " + text)] if text else [])
+            number = self.known[v].__getitem__
+            rows.append(list(map(number, SEGMENT.findall(" " + text))) if text else [])
         at = []
         for v, known in enumerate(self.known):
             new = list(islice(known, len(self.sizes[v]), None))
@@ -284,7 +325,7 @@ def encode_pieces(
         coder = Coder(load_pieces(model_path), rate, seed, variants)
         for whole in batches:
             at = 0
-            sizes = np.array([len(t) if t else 0 for t in whole.column(2).to_pylist()])
+            sizes = pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy()
             while at < whole.num_rows:  # parts of bounded size: ids take more room than text
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), OUT_BYTES // 2)))
                 batch = whole.slice(at, n)
@@ -316,7 +357,12 @@ def decode_pieces(coded: DataFrame, model_path: str, ids_col: str = "ids", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_pieces(model_path)
         for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            texts = [
+                model.decode(values[a:b].tolist()) if there else None
+                for a, b, there in zip(offsets[:-1].tolist(), offsets[1:].tolist(), lists.is_valid().to_pylist())
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
 
     rows = coded.select(packed(names), F.col(f"`{ids_col}`").alias("ids"))
