@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import prose
-from tidegrid.llm import signature_join
 from tidegrid.llm.signature_join import bitmap, linked_pairs, possible_members, shingle_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -84,11 +83,28 @@ def near_copies(draw):
     return rows
 
 
-@pytest.mark.parametrize("part,sample_docs", [(2048, 4096), (4, 10)])
-def test_near_copies(make_docs, monkeypatch, part, sample_docs):
-    monkeypatch.setattr(signature_join, "PART", part)
+@pytest.mark.parametrize("part,sample_docs", [(2048, 4096), (4, 10), (2, 4096)])
+def test_near_copies(make_docs, part, sample_docs):
+    """Also with blocks cut into tiny parts, by tasks or from the sample on."""
     rows = near_copies(random.Random(part))
-    got = shingle_components(make_docs(rows).repartition(3), sample_docs=sample_docs)
+    got = shingle_components(make_docs(rows).repartition(3), sample_docs=sample_docs, part=part)
+    assert found(got) == brute(rows)
+
+
+@pytest.mark.parametrize("sample_docs", [1, 4096])
+def test_one_large_group_with_outsiders(make_docs, sample_docs):
+    """Near copies in many parts, and documents that share their passage but link to a few or none."""
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(70):
+        copy = list(base)
+        copy[draw.randrange(60)] = f"edit{k}"
+        rows.append((k, " ".join(copy)))
+    rows += [(100 + k, " ".join(base[: 30 + k] + [f"own{k}x{i}" for i in range(40)])) for k in range(8)]
+    far = [*base[:52], *[f"far{i}" for i in range(8)]]
+    rows += [(200, " ".join(far)), (201, " ".join([*far[:58], "y", "z"])), (202, " ".join([*base[:47], *[f"q{i}" for i in range(13)]]))]
+    got = shingle_components(make_docs(rows).repartition(4), sample_docs=sample_docs, part=5)
     assert found(got) == brute(rows)
 
 

@@ -5,6 +5,11 @@ shingle among the first few of each in any one order of all shingles, so documen
 in blocks, one for each such shingle.  The order puts shingles last that are frequent in
 a sample, which keeps blocks small; any order gives the same links.
 
+A block too large for a task is cut into parts, and never compared as a whole: links
+inside parts come first, then links between one set of each component of each part, and
+last the sets outside the block's largest component meet all others.  So a group of near
+copies of any size costs about as much as its sets, and no link is lost.
+
 In a block the sets' bitmaps are the leaves of signature trees, one for each bitmap
 width.  An inner node holds the bitwise OR of what is below it and the range of set
 sizes.  Two trees are traversed together; a pair of nodes is dropped when not even the
@@ -26,8 +31,8 @@ from tidegrid.llm.components import components
 from tidegrid.llm.shared import ascii_lower, fresh_name, partitions, settle, shared_folder, stage
 
 FAN = 8
-#: Documents of a block that meet in one task; larger blocks meet in pairs of parts.
-PART = 2048
+#: Parts whose components' representatives meet in one part of the next level.
+JOINED = 64
 FLUSH_POSTINGS = 1 << 21
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -288,11 +293,16 @@ ROWS = pa.schema([
 ROWS_DDL = "kind string, doc long, hash long, n long, sid long, a binary, b binary"
 
 
-def _sketch(width: int, num: int, den: int, buckets: int, frequent: np.ndarray, times: np.ndarray):
+def _sketch(
+    width: int, num: int, den: int, buckets: int, frequent: np.ndarray, times: np.ndarray, parts: np.ndarray
+):
     """(doc, hash, text) to ``doc`` rows, ``sig`` rows (bitmap a) and ``post`` rows by bucket (n).
 
     Postings are shingles' low halves (a) and sets (b); a set sends them once a task and flush.
+    Shingles that the sample says are in very many documents (``parts`` over 1) go out as
+    ``hot`` rows instead: whole shingles (a), sets (b), so that no task gathers their blocks.
     """
+    hot_shingles = frequent[parts > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -301,11 +311,18 @@ def _sketch(width: int, num: int, den: int, buckets: int, frequent: np.ndarray,
 
         def postings() -> list[tuple]:
             c, o = np.concatenate(code), np.repeat(*map(np.array, zip(*owner)))
+            out = []
+            if len(hot_shingles):
+                place = np.minimum(np.searchsorted(hot_shingles, c), len(hot_shingles) - 1)
+                hot = hot_shingles[place] == c
+                if hot.any():
+                    out.append(("hot", None, None, int(hot.sum()), None, c[hot].tobytes(), o[hot].tobytes()))
+                    c, o = c[~hot], o[~hot]
             bucket = (c >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             low = c.astype(np.uint32)
-            return [
+            return out + [
                 ("post", None, None, k, None, low[at].tobytes(), o[at].tobytes())
                 for k in range(buckets) if len(at := order[ends[k] : ends[k + 1]])
             ]
@@ -348,22 +365,25 @@ def _sketch(width: int, num: int, den: int, buckets: int, frequent: np.ndarray,
     return run
 
 
-BLOCK = pa.schema([("b1", pa.int64()), ("b2", pa.int64()), ("members", pa.list_(pa.int64()))])
+BLOCK = pa.schema([("b1", pa.int64()), ("b2", pa.int64()), ("large", pa.bool_()), ("members", pa.list_(pa.int64()))])
+BLOCK_DDL = "b1 long, b2 long, large boolean, members array<long>"
+
+
+def _named(members: np.ndarray) -> tuple[int, int]:
+    """A name for the block of these members."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), np.int64).tolist())
 
 
-def _block_rows(members: np.ndarray, seen: set) -> Iterator[tuple]:
-    """A block, or the pairs of parts of a large one, unless the task has had the same."""
-    parts = [members[i : i + PART] for i in range(0, len(members), PART)]
-    for i in range(len(parts)):
-        for j in range(i, len(parts)):
-            if i == j and len(parts) > 1:
-                continue  # pairs within a part meet in any pair of parts it is in
-            both = parts[i] if i == j else np.concatenate([parts[i], parts[j]])
-            raw = both.tobytes()
-            name = tuple(np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist())
-            if name not in seen:
-                seen.add(name)
-                yield (*name, both)
+def _block_rows(code: int, members: np.ndarray, part: int, seen: set) -> Iterator[tuple]:
+    """A block unless the task has had the same, or the parts of a large one under its shingle."""
+    if len(members) > part:
+        for k, at in enumerate(range(0, len(members), part)):
+            yield (code, k, True, members[at : at + part])
+        return
+    name = _named(members)
+    if name not in seen:
+        seen.add(name)
+        yield (*name, False, members)
 
 
 def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -378,10 +398,10 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 19) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(part: int):
     """Postings of whole buckets to blocks: the sets that share a shingle, two or more."""
 
-    def rows() -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         code, owner = [], []
         for batch in batches:
             for bucket, a, b in zip(*(batch.column(k).to_pylist() for k in ("n", "a", "b"))):
@@ -399,9 +419,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = ends - starts > 1
         seen: set = set()
         for s, e in zip(starts[several], ends[several]):
-            yield from _block_rows(o[s:e], seen)
+            yield from _block_rows(int(c[s].astype(np.int64)), o[s:e], part, seen)
 
-    return _batched(rows(), BLOCK)
+    return lambda batches: _batched(rows(batches), BLOCK)
+
+
+def _hot_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], ["b1", "sid"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -430,10 +456,10 @@ def _prune(num: int, den: int):
                 some = possible_members([np.frombuffer(raw, np.uint64) for _, raw in rest], sizes, num, den)
                 if some.any():
                     members = np.sort(np.array(sids, np.int64)[some])
-                    name = tuple(np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), np.int64).tolist())
+                    name = _named(members)
                     if name not in seen:
                         seen.add(name)
-                        yield (*name, members)
+                        yield (*name, False, members)
 
         return _batched(rows(), BLOCK)
 
@@ -485,18 +511,85 @@ def _sampled(width: int):
     return run
 
 
-def _in_blocks(blocks: DataFrame, of_sets: DataFrame, payload: list[str]) -> DataFrame:
-    """Members of blocks with what the join gives of their sets, each block's rows together."""
-    members = blocks.select("b1", "b2", F.explode("members").alias("sid"))
-    return (
-        members.join(of_sets, "sid").repartition("b1", "b2").sortWithinPartitions("b1", "b2", "sid")
-        .select("b1", "b2", "sid", *payload)
+class _Linker:
+    """Finds links in blocks given as members (b1, b2, sid): by bitmaps, then by whole sets."""
+
+    def __init__(self, texts: DataFrame, of_docs: DataFrame, bitmaps: DataFrame, width: int, num: int, den: int):
+        self.texts, self.of_docs, self.bitmaps = texts, of_docs, bitmaps
+        self.width, self.num, self.den = width, num, den
+
+    def links(self, members: DataFrame) -> DataFrame:
+        """(a, b): links that join the components of every block."""
+        possible = self._together(members, self.bitmaps, ["n", "a"]).mapInArrow(_prune(self.num, self.den), BLOCK_DDL)
+        remaining = stage(possible.select("b1", "b2", "members").dropDuplicates(["b1", "b2"]))
+        inside = remaining.select("b1", "b2", F.explode("members").alias("sid"))
+        return stage(
+            self._together(inside, self._whole_sets(inside.select("sid").distinct()), ["shingles"])
+            .mapInArrow(_verify(self.num, self.den), "a long, b long")
+        )
+
+    def _together(self, members: DataFrame, of_sets: DataFrame, payload: list[str]) -> DataFrame:
+        """Members with what is known of their sets, each block's rows one after the other."""
+        return (
+            members.join(of_sets, "sid").repartition("b1", "b2").sortWithinPartitions("b1", "b2", "sid")
+            .select("b1", "b2", "sid", *payload)
+        )
+
+    def _whole_sets(self, wanted: DataFrame) -> DataFrame:
+        """Sets from the texts, which are read again: few are left by now."""
+        holders = stage(
+            self.of_docs.join(wanted, "sid").groupBy("sid").agg(F.min("doc").alias("_doc")).select("_doc").distinct()
+        )
+        again = self.texts.join(holders, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+        return again.select("text").mapInArrow(_sets(self.width), "sid long, shingles binary").dropDuplicates(["sid"])
+
+
+def _large_links(large: DataFrame, linker: _Linker, links: DataFrame, part: int) -> DataFrame:
+    """Links of blocks in parts (b1 block, b2 part, sid), added to ``links``.
+
+    Parts first.  Then a set of each component of each part, parts by the dozen, up to
+    the whole block: by then near copies are one component wherever they lie.  What
+    stands outside a block's largest component meets every set of the block at last.
+    """
+    def labelled(rows: DataFrame) -> DataFrame:
+        known = components(links).withColumnRenamed("node", "sid")
+        return rows.join(known, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+    level = large
+    while True:
+        links = stage(links.unionByName(linker.links(level.select("b1", "b2", "sid"))))
+        if not level.agg(F.max("b2")).first()[0]:
+            break
+        one = labelled(level).groupBy("b1", "b2", "component").agg(F.min("sid").alias("sid"))
+        level = stage(one.select("b1", F.floor(F.col("b2") / JOINED).alias("b2"), "sid").distinct())
+        # Where sets are not alike, one of each component may be many: these are dealt again.
+        many = level.groupBy("b1", "b2").agg(F.ceil(F.count(F.lit(1)) / part).alias("cut")).where("cut > 1")
+        dealt = level.join(many, ["b1", "b2"], "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("sid", F.lit(5)), F.col("cut")), F.lit(0))
+        level = dealt.select(F.when(salt > 0, F.xxhash64("b1", salt)).otherwise(F.col("b1")).alias("b1"), "b2", "sid")
+    members = stage(labelled(large))
+    sizes = members.groupBy("b1", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("b1").agg(
+        F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("main")
     )
+    open_blocks = largest.where(F.col("main") < F.col("all")).select(
+        "b1", "most", F.ceil(F.col("all") / part).alias("parts"),
+        F.ceil((F.col("all") - F.col("main")) / part).alias("others"),
+    )
+    rows = members.join(open_blocks, "b1")
+    place = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n))
+    every = rows.select("b1", "sid", place("parts", 1).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("o"))
+    beside = rows.where(F.col("component") != F.col("most")).select(
+        "b1", "sid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), place("others", 2).alias("o")
+    )
+    met = every.unionByName(beside, allowMissingColumns=False).distinct()
+    pairs = met.select(F.xxhash64("b1", "p", "o").alias("b1"), F.xxhash64("p", "o", "b1").alias("b2"), "sid")
+    return links.unionByName(linker.links(pairs))
 
 
 def shingle_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    num: int = 75, den: int = 100, sample_docs: int = 4096,
+    num: int = 75, den: int = 100, sample_docs: int = 4096, part: int = 2048,
 ) -> DataFrame:
     """Documents linked by Jaccard similarity of at least ``num / den`` on word shingles.
 
@@ -508,8 +601,8 @@ def shingle_components(
     Fewer words than ``width`` are one shingle.  A text that is null or without words has
     an empty set and is linked with nothing.  A null id names no component; a component of
     null ids alone has a null name.  Rows that share an id are documents of their own.
-    ``sample_docs`` only bounds the sample that orders shingles; every set and every
-    block is gone through.  An empty table gives an empty result.
+    ``sample_docs`` only bounds the sample that orders shingles, ``part`` the sets that
+    meet in one task; every set and every block is gone through.  An empty table gives an empty result.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -518,9 +611,8 @@ def shingle_components(
         F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"),
         ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary").alias("text"),
     )
-    drawn = F.pmod(F.xxhash64("doc", F.lit(6)), F.lit(1 << 30)) < int(
-        min(1.0, sample_docs / max(docs.count(), 1)) * (1 << 30)
-    )
+    there = docs.count()
+    drawn = F.pmod(F.xxhash64("doc", F.lit(6)), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(there, 1)) * (1 << 30))
     often = (
         texts.where(drawn).select("text").mapInArrow(_sampled(width), "shingle long")
         .groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").collect()  # bounded by the sample
@@ -528,30 +620,37 @@ def shingle_components(
     frequent = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(frequent)
     times = np.array([r["n"] for r in often], np.int64)[order]
+    expected = times * max(1.0, there / sample_docs)  # documents, by the sample
+    parts = np.where(expected > 4 * part, np.ceil(expected / part), 1).astype(np.int64)
 
     buckets = 4 * partitions(spark)
     path = shared_folder(spark, fresh_name("shingles"))
     (
-        texts.mapInArrow(_sketch(width, num, den, buckets, frequent[order], times), ROWS_DDL)
+        texts.mapInArrow(_sketch(width, num, den, buckets, frequent[order], times, parts), ROWS_DDL)
         .write.partitionBy("kind").parquet(path)
     )
     rows = spark.read.schema(ROWS_DDL).parquet(path)
     of_docs = rows.where("kind = 'doc'").select("doc", "hash", "n", "sid")
     bitmaps = rows.where("kind = 'sig'").select("sid", "n", "a").dropDuplicates(["sid"])
-    block_ddl = "b1 long, b2 long, members array<long>"
-    blocks = (
+    linker = _Linker(texts, of_docs, bitmaps, width, num, den)
+    blocks = stage(
         rows.where("kind = 'post'").select("n", "a", "b").repartition(partitions(spark), "n")
-        .mapInArrow(_blocks, block_ddl).dropDuplicates(["b1", "b2"])
+        .mapInArrow(_blocks(part), BLOCK_DDL).dropDuplicates(["b1", "b2"])
     )
-    remaining = stage(
-        _in_blocks(stage(blocks), bitmaps, ["n", "a"]).mapInArrow(_prune(num, den), block_ddl).dropDuplicates(["b1", "b2"])
-    )
-    # Whole sets, only of what remains: its texts are read again.
-    wanted = remaining.select(F.explode("members").alias("sid")).distinct()
-    holders = stage(of_docs.join(wanted, "sid").groupBy("sid").agg(F.min("doc").alias("doc")).select("doc").distinct())
-    again = texts.join(holders.select(F.col("doc").alias("_doc")), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
-    whole = again.select("text").mapInArrow(_sets(width), "sid long, shingles binary").dropDuplicates(["sid"])
-    links = _in_blocks(remaining, whole, ["shingles"]).mapInArrow(_verify(num, den), "a long, b long")
+    links = linker.links(blocks.where("NOT large").select("b1", "b2", F.explode("members").alias("sid")))
+    large = blocks.where("large").select("b1", "b2", F.explode("members").alias("sid"))
+    if (parts > 1).any():
+        hot = rows.where("kind = 'hot'").select("a", "b").mapInArrow(_hot_postings, "b1 long, sid long").distinct()
+        of_hot = spark.createDataFrame(
+            [(int(h), int(p)) for h, p in zip(frequent[order][parts > 1].view(np.int64), parts[parts > 1])], "h long, parts long"
+        )
+        dealt = hot.join(of_hot, F.col("b1") == F.col("h")).select(
+            "b1", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts")).alias("b2"), "sid"
+        )
+        large = large.unionByName(dealt)
+    large = stage(large)
+    if not large.isEmpty():
+        links = _large_links(large, linker, links, part)
     groups = components(stage(links))
     named = (
         of_docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("least"))
