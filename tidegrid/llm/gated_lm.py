@@ -186,11 +186,18 @@ def _carried(state: np.ndarray, sequences: list[np.ndarray], ids: list[int], don
     return state[left]
 
 
-def train_network(sequences: list[np.ndarray], hidden: int, epochs: int, lanes: int = 32, window: int = 32, rate: float = 0.01) -> GatedNetwork:
-    """Truncated backpropagation with Adam; states, not slopes, go from window to window."""
-    net = GatedNetwork(hidden)
-    counts = np.bincount(np.concatenate(sequences), minlength=CLASSES) + 1.0
-    net.weights["b"][:] = np.log(counts / counts.sum())
+def train_network(
+    sequences: list[np.ndarray], hidden: int, epochs: int, lanes: int = 32, window: int = 32, rate: float = 0.01,
+    net: GatedNetwork | None = None,
+) -> GatedNetwork:
+    """Truncated backpropagation with Adam; states, not slopes, go from window to window.
+
+    Goes on from ``net`` if there is one.
+    """
+    if net is None:
+        net = GatedNetwork(hidden)
+        counts = np.bincount(np.concatenate(sequences), minlength=CLASSES) + 1.0
+        net.weights["b"][:] = np.log(counts / counts.sum())
     total = epochs * max(1, sum(map(len, sequences)) // (lanes * window))
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
@@ -341,27 +348,80 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind[which] = mark >> 1
     docs, place = np.unique(row, return_inverse=True)
     logs = np.bincount(place, weights=count * np.log10(total[which] + 1), minlength=len(docs))
-    known = np.bincount(place, weights=count * (total[which] > 0), minlength=len(docs))
-    types = np.bincount(kind[total > 0], minlength=CLASSES)
-    at = np.flatnonzero(types)
-    # Types of a class come as rows under the negative number of the class less one.
+    known = np.bincount(place, weights=count * (total[which] > 0), minlength=len(docs)).astype(np.int64)
+    # One row for the documents of each task that counted them; word types of a class
+    # go under the negative number of the class less one, as if they were documents.
+    parts = docs >> 33
+    starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+    ends = np.r_[starts[1:], len(docs)]
+    out = [(int(parts[s]), docs[s:e].tobytes(), logs[s:e].tobytes(), known[s:e].tobytes()) for s, e in zip(starts, ends)]
+    types = np.bincount(kind[total > 0], minlength=CLASSES).astype(np.int64)
+    out.append((-1, np.arange(-1, -1 - CLASSES, -1, np.int64).tobytes(), np.zeros(CLASSES).tobytes(), types.tobytes()))
     yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([docs, -1 - at])), pa.array(np.concatenate([logs, np.zeros(len(at))])),
-            pa.array(np.concatenate([known, types[at]]).astype(np.int64)),
-        ],
-        ["row", "logs", "known"],
+        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+        ["part", "rows", "logs", "known"],
     )
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a = b = None
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of whole parts, one row for each document."""
+    sums: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            a, b = (x, y) if a is None else (a + x, b + y)
-    if a is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
+        for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, logs, known = (np.frombuffer(x, t) for x, t in zip(packed, (np.int64, np.float64, np.int64)))
+            sums.setdefault(part, []).append((rows, logs, known))
+    for many in sums.values():
+        rows, which = np.unique(np.concatenate([m[0] for m in many]), return_inverse=True)
+        logs = np.bincount(which, weights=np.concatenate([m[1] for m in many]))
+        known = np.bincount(which, weights=np.concatenate([m[2] for m in many])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(logs), pa.array(known)], ["row", "rare_logs", "rare_known"])
+
+
+def _summed(rows: DataFrame, kind: type) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of fixed size (``a`` of ``kind``, ``b`` whole numbers), added up in at most 16 tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = b = None
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, np.int64)
+                a, b = (x, y) if a is None else (a + x, b + y)
+        if a is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (a, b)], ["a", "b"])
+
+    added = rows.select("a", "b").repartition(16).mapInArrow(run, "a binary, b binary").collect()
+    return [(np.frombuffer(r["a"], kind), np.frombuffer(r["b"], np.int64)) for r in added]
+
+
+def _tuned(net_of, rate: float):
+    """Class sequences of a task to the network as that task would have it, weighed by tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = [np.frombuffer(x, np.uint8).astype(np.int64) for batch in batches for x in batch.column(0).to_pylist()]
+        if not sequences:
+            return
+        start: GatedNetwork = net_of.value
+        net = GatedNetwork(start.hidden)
+        net.weights = {k: v.copy() for k, v in start.weights.items()}
+        train_network(sequences, net.hidden, 1, rate=rate, net=net)
+        tokens = sum(map(len, sequences))
+        moved = np.concatenate([(net.weights[k] - start.weights[k]).ravel() for k in net.weights]).astype(np.float64) * tokens
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([moved.tobytes()], pa.binary()), pa.array([np.array([tokens], np.int64).tobytes()], pa.binary())], ["a", "b"]
+        )
+
+    return run
+
+
+def _averaged(net: GatedNetwork, moves: list[tuple[np.ndarray, np.ndarray]]) -> GatedNetwork:
+    """The network moved by the mean of the tasks' moves."""
+    if moves:
+        step = sum(m[0] for m in moves) / sum(int(m[1][0]) for m in moves)
+        at = 0
+        for w in net.weights.values():
+            w += step[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+    return net
 
 
 @dataclass
@@ -415,6 +475,7 @@ def _score(model_of):
 def language_model_scores(
     docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text",
     sample_docs: int = 1200, max_chars: int = 200_000, frequent_words: int = 1 << 14, hidden: int = 24, epochs: int = 2,
+    train_share: float = 0.125,
 ) -> DataFrame:
     """log10 probability of every whole text under the recurrent model and the base model.
 
@@ -425,8 +486,9 @@ def language_model_scores(
     the V training types and one unknown), ``score``.
 
     Counts come from all training documents.  The frequent-word list and the network's
-    weights come from about ``sample_docs`` training documents of at most ``max_chars``,
-    drawn by a hash of the id.  A null text counts as empty (its end alone); rows that
+    first weights come from about ``sample_docs`` training documents of at most
+    ``max_chars``, drawn by a hash of the id; training then goes on in every task with
+    the share ``train_share`` of all training documents.  A null text counts as empty (its end alone); rows that
     share an id are documents of their own; a null id is learned from if ``held_out`` is
     not true for it.  Without a training document every count is zero and classes are
     taken as equally likely.
@@ -464,14 +526,10 @@ def language_model_scores(
     kind = lambda name: parts.where(F.col("kind") == name)
     rare = stage(
         kind("word").withColumn("bucket", F.col("doc")).repartition(buckets, "bucket")
-        .select("row", "a", "b", "c", "d").mapInArrow(_rare, "row long, logs double, known long")
-        .groupBy("row").agg(F.sum("logs").alias("rare_logs"), F.sum("known").alias("rare_known"))
+        .select("row", "a", "b", "c", "d").mapInArrow(_rare, "part long, rows binary, logs binary, known binary")
+        .repartition(partitions(spark), "part").mapInArrow(_gathered, "row long, rare_logs double, rare_known long")
     )
-    # Sums of fixed size from at most 16 tasks.
-    sums = [
-        (np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64))
-        for r in kind("sum").select("a", "b").repartition(16).mapInArrow(_summed, "a binary, b binary").collect()
-    ]
+    sums = _summed(kind("sum"), np.int64)
     counts = sum((s[0] for s in sums), np.zeros(len(vocabulary.frequent), np.int64))
     in_class = sum((s[1] for s in sums), np.zeros(CLASSES, np.int64))
     types = np.bincount(
@@ -479,6 +537,11 @@ def language_model_scores(
     ) * (counts.max() > 0)
     for r in rare.where("row < 0").collect():  # one row a class
         types[-1 - r["row"]] += r["rare_known"]
+    # Every task goes on training with its share of the training documents; the network
+    # moves by the mean of their moves.
+    share = kind("doc").where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(train_share * (1 << 20))))
+    moved = share.select("a").mapInArrow(_tuned(spark.sparkContext.broadcast(net), 0.002), "a binary, b binary")
+    net = _averaged(net, _summed(moved, np.float64))
     model = Model(net, np.log10(counts + 1.0), in_class + types + 1.0, int(in_class.sum()), int(types.sum()))
     scored = kind("doc").select("row", "doc", "held_out", "n", "a", "b", "c").mapInArrow(
         _score(spark.sparkContext.broadcast(model)),
