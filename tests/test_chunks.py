@@ -41,10 +41,9 @@ def test_fit_chunk_bounds_every_group(skewed):
     assert skewed.groupBy("id", cell).count().agg(F.max("count")).first()[0] <= 100
 
 
-def test_fit_chunk_refuses_duplicates_it_cannot_cut(spark):
+def test_fit_chunk_keeps_rows_of_one_time_together(spark):
     rows = spark.range(50).select(F.lit("a").alias("id"), F.to_timestamp(F.lit("2024-01-01")).alias("dt"))
-    with pytest.raises(ValueError):
-        fit_chunk(rows, WHOLE, max_rows=10)
+    assert fit_chunk(rows, WHOLE, max_rows=10).chunk_us == 1
 
 
 @pytest.mark.parametrize("panel", PANELS)

@@ -1,6 +1,7 @@
 """Models and preparation jobs against direct computation."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,14 +69,39 @@ def test_grouped_models_equal_separate_ones(spark, series):
         x = np.column_stack([np.ones(len(rows)), rows[X]])
         expected = np.linalg.lstsq(x, rows[Y], rcond=None)[0].T
         np.testing.assert_allclose(together[i], expected, rtol=1e-6)
-    with pytest.raises(ValueError):
-        forecast.grouped_ols(windows, ["id"], ["v_t-0"] * 41, Y)
+
+
+def test_wide_grouped_models(spark, monkeypatch):
+    """Inputs of the study's own shape (24 steps of 3 columns), with one group in many parts."""
+    monkeypatch.setattr(forecast, "GROUP_ROWS", 20)
+    monkeypatch.setattr(forecast, "ADDED", 3)
+    rng = np.random.default_rng(3)
+    n, width = 400, 72
+    x = rng.normal(size=(n, width))
+    y = x @ rng.normal(size=(width, 2)) + rng.normal(size=(n, 2)) * 0.1
+    names = [f"x{i}" for i in range(width)]
+    ids = np.where(np.arange(n) < 250, "a", np.where(np.arange(n) < 390, "b", None))
+    frame = pd.DataFrame(np.hstack([x, y]), columns=[*names, "y0", "y1"]).assign(id=ids)
+    models = forecast.grouped_ols(spark.createDataFrame(frame), ["id"], names, ["y0", "y1"])
+    rows = {r.id: r for r in models.collect()}
+    assert {k: r.n_rows for k, r in rows.items()} == {"a": 250, "b": 140, None: 10}
+    for key in "ab":
+        part = frame[frame.id == key]
+        design = np.column_stack([np.ones(len(part)), part[names]])
+        expected = np.linalg.lstsq(design, part[["y0", "y1"]], rcond=None)[0].T
+        np.testing.assert_allclose(rows[key].coef, expected, rtol=1e-5, atol=1e-6)
+
+
+def test_every_candidate_is_scored(series):
+    windows = _split_windows(series, _wave(60, 6), n_tx=3, n_ty=2)
+    result = forecast.tune_search(windows, X, Y[:1], [{"regParam": i / 10} for i in range(25)])
+    assert result.runs.count() == 25
 
 
 def test_search_picks_the_least_validation_loss(series):
     windows = _split_windows(series, _wave(100, 6), n_tx=3, n_ty=2)
-    candidates = [{"regParam": 100.0}, {"regParam": 0.0}, {"regParam": 10.0}, {"regParam": 1.0}]
-    result = forecast.tune_search(windows, X, Y, candidates, limit=3)
+    candidates = [{"regParam": 100.0}, {"regParam": 0.0}, {"regParam": 10.0}]
+    result = forecast.tune_search(windows, X, Y, candidates)
     runs = {r.run: r for r in result.runs.collect()}
     assert len(runs) == 3
     assert result.best == {"regParam": 0.0}

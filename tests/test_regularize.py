@@ -103,11 +103,22 @@ def test_gap_fill_at_each_series_own_frequency(spark):
     assert counts == {"a": 5, "b": 5}
 
 
-def test_an_absurd_gap_stops_the_job(spark):
-    rows = [("a", datetime(1970, 1, 1), 1.0), ("a", datetime(2024, 1, 1), 2.0)]
+def test_a_long_gap_opens_in_blocks(spark):
+    rows = [("a", datetime(1970, 1, 1), 1.0), ("a", datetime(1970, 2, 1), 2.0)]
     df = spark.createDataFrame(rows, "id string, dt timestamp, v double")
-    with pytest.raises(Exception, match="grid slots"):
-        reg.gap_fill(df, P, "1s").count()
+    made = reg.gap_fill(df, P, "1s")
+    assert made.count() == 31 * 86400 + 1 == made.select("dt").distinct().count()
+    assert reg.long_gaps(df, P, "1s", 1_000_000).count() == 1 and reg.long_gaps(df, P, "1s", 3_000_000).isEmpty()
+
+
+def test_repeated_times_stay(spark):
+    rows = [("a", datetime(2024, 1, 1, 0, m), float(v)) for v, m in enumerate((0, 0, 2, 2, 2, 4))]
+    df = spark.createDataFrame(rows, "id string, dt timestamp, v double")
+    for panel in (P, P.chunked(60_000_000)):
+        made = reg.gap_fill(df, panel, "1min", fill_value=-1.0).groupBy("dt").agg(F.count("*").alias("n")).orderBy("dt")
+        assert [r.n for r in made.collect()] == [2, 1, 3, 1, 1]
+    single = reg.average_duplicates(df, P, ["v"])
+    assert [r.v for r in reg.gap_fill(single, P, "1min").orderBy("dt").collect()] == [0.5, None, 3.0, None, 5.0]
 
 
 def test_validation(spark, series):

@@ -219,7 +219,7 @@ def test_sinks(spark, series, tmp_path):
         writers.append_metrics(df.selectExpr("1L AS exptid", "id", "v AS mse"), str(tmp_path / "m"))
     assert readers.read_metrics_dir(spark, str(tmp_path / "m"), "exptid bigint, id string, mse double").count() == 12
     assert readers.read_xy_tail(spark, str(tmp_path / "s"), Panel(), n_rows=2).count() == 4
-    assert readers.read_xy_tail(spark, str(tmp_path / "s"), Panel(), test=True).count() == 6
+    assert readers.read_xy_tail(spark, str(tmp_path / "s"), Panel(), readers.TEST_ROWS).count() == 6
 
 
 def test_generated_series(spark):
@@ -228,3 +228,21 @@ def test_generated_series(spark):
     assert row.n == 169 and 0 <= row.lo <= row.hi <= 99
     ramp = generate.generate_ramp(spark, 400, {"col1": (1, 10), "col2": (11, 20)}).orderBy("dt").collect()
     assert (ramp[0].col1, ramp[-1].col1, ramp[0].col2, ramp[-1].col2) == pytest.approx((1, 10, 11, 20))
+
+
+def test_metric_files_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_text("exptid,id,t_train,t_autotune,mse,mae,mape,smape\n1,a,1,2,3,4,5,6\n2,b,1,2,3,4,5,6\n")
+    (tmp_path / "m" / "b.csv").write_text("id,exptid,mae,mse,note,smape,mape,t_train\nc,3,4,3,x,6,5,1\n")
+    (tmp_path / "m" / "c.csv").write_text("exptid,id,t_train,t_autotune,mse,mae,mape,smape\n4,d,1,2,3,4,5,6\n")
+    rows = {r.exptid: r for r in readers.read_metrics_dir(spark, str(tmp_path / "m")).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    assert all((r.t_train, r.mse, r.mae, r.mape, r.smape) == (1, 3, 4, 5, 6) for r in rows.values())
+    assert rows[3].t_autotune is None and rows[3].id == "c" and rows[1].t_autotune == 2
+
+
+def test_trial_lists_come_back(spark, tmp_path):
+    lists = {"road": ["5", "101"], "n_agg": [5, 10, 15]}
+    writers.write_trial_lists(spark, lists, str(tmp_path / "l"))
+    assert readers.read_trial_lists(spark, str(tmp_path / "l")) == lists
+    assert trial_grid(spark, lists, repeats=3).count() == 18

@@ -97,3 +97,39 @@ def test_one_shuffle_and_one_sort_for_all_lags(series):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("Sort [") == 1
+
+
+def test_min_windows_is_the_same_for_cut_series(spark, series):
+    from tests.conftest import same_rows
+    from tidegrid.operators.windows import xy_windows_dual_nested, xy_windows_flat, xy_windows_nested
+
+    short = series(ids=("a", None), v=list(range(9)))
+    rows = short.unionByName(series(ids=("b",), v=list(range(60))))
+    whole, cut = Panel(("id",), "dt").bounded(), Panel(("id",), "dt").chunked(7 * 60_000_000)
+    for least, kept in ((5, {"a", None, "b"}), (10, {"b"})):
+        for build in (xy_windows_flat, xy_windows_nested):
+            made = [build(rows, p, ["v"], ["v"], n_tx=3, n_ty=2, min_windows=least) for p in (whole, cut)]
+            assert {r.id for r in made[0].select("id").distinct().collect()} == kept
+            same_rows(*made)
+    fine = series(ids=("a", "b"), v=list(range(60)))
+    coarse = fine.where(F.minute("dt") % 3 == 0)
+    made = [
+        xy_windows_dual_nested(fine, coarse, p, ["v"], ["v"], 60, 180, n_tx=6, n_ty=2, min_windows=3)
+        for p in (whole, cut)
+    ]
+    assert made[0].count() > 0
+    same_rows(*made)
+
+
+def test_wide_flat_windows_equal_narrow_ones(spark, series, monkeypatch):
+    from tests.conftest import same_rows
+    from tidegrid.operators import windows
+    from tidegrid.operators.windows import xy_windows_flat
+
+    rows = series(ids=("a", "b"), v=list(range(30)), w=list(range(30, 60)))
+    args = (rows, Panel(("id",), "dt").bounded(), ["v", "w"], ["w"])
+    narrow = xy_windows_flat(*args, n_tx=4, n_ty=3, h=2, n_ty_step=2)
+    monkeypatch.setattr(windows, "WIDE", 5)
+    wide = xy_windows_flat(*args, n_tx=4, n_ty=3, h=2, n_ty_step=2)
+    assert wide.columns == narrow.columns
+    same_rows(wide, narrow)

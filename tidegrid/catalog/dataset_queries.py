@@ -78,12 +78,13 @@ def _combination(n_agg, spatial, single):
         f"sum({c}) OVER (PARTITION BY id, year, month, week ORDER BY dt ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS s_{c}"
         for c in cols
     )
+    ends = ", ".join(f"{c} AS f_{c}, lead({c}, 11) OVER w AS l_{c}" for c in cols)
     y = f", lead({target}, 12) OVER w AS y" if single else ""
     ctes = f"""
     {name}_rows AS (SELECT *, (isodow(dt) - 1)::DOUBLE AS dow, hour(dt)::DOUBLE AS hod, weekofyear(dt) AS week
                     FROM ({rows})),
     {name}_scaled AS (SELECT id, year, month, week, dt, {scaled} FROM {name}_rows WINDOW s AS (PARTITION BY id)),
-    {name}_x AS (SELECT id, year, month, week, dt, {sums}, lead(1, {reach if single else 11}) OVER w AS there{y}
+    {name}_x AS (SELECT id, year, month, week, dt, {sums}, {ends}, lead(1, {reach if single else 11}) OVER w AS there{y}
                  FROM {name}_scaled WINDOW w AS (PARTITION BY id, year, month, week ORDER BY dt)),"""
     if single:
         ctes += f"""
@@ -102,7 +103,9 @@ def _combination(n_agg, spatial, single):
             total = " + ".join(f"coalesce(s_{c}, 0)" for c in used)
             parts.append(
                 f"SELECT '{features}' AS features, {n_vx} AS n_vx, {n_agg} AS n_agg, id, count(*) AS n_windows, "
-                f"{12 * len(used)} AS n_values, sum({total}) AS sum_x, sum(y) AS sum_y FROM {name} GROUP BY id"
+                f"12 AS n_steps, {len(used)} AS n_cols, sum({total}) AS sum_x, sum(f_{used[0]}) AS first_first, "
+                f"sum(f_{used[-1]}) AS first_last, sum(l_{used[0]}) AS last_first, sum(l_{used[-1]}) AS last_last, "
+                f"sum(y) AS sum_y FROM {name} GROUP BY id"
             )
     return ctes, parts
 
@@ -136,21 +139,30 @@ def _dataset_sql(single):
 
 
 def _summary(windows):
-    known = F.filter(F.flatten("x"), lambda v: v.isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
+    """Sums of all values and of the corner values, which tell steps and columns apart."""
+    total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    first, last = F.col("x")[0], F.element_at("x", -1)
     return windows.groupBy("features", "n_vx", "n_agg", "id").agg(
         F.count("*").alias("n_windows"),
-        F.max(F.size(F.flatten("x"))).alias("n_values"),
+        F.max(F.size("x")).alias("n_steps"),
+        F.max(F.size(first)).alias("n_cols"),
         F.sum(total).alias("sum_x"),
+        F.sum(first[0]).alias("first_first"),
+        F.sum(F.element_at(first, -1)).alias("first_last"),
+        F.sum(last[0]).alias("last_first"),
+        F.sum(F.element_at(last, -1)).alias("last_last"),
         F.sum(F.col("y")[0][0]).alias("sum_y"),
     )
 
 
-@query("build_dataset_single_rate", rounded(_dataset_sql(True), ["sum_x", "sum_y"], 5))
+SUMS = ["sum_x", "first_first", "first_last", "last_first", "last_last", "sum_y"]
+
+
+@query("build_dataset_single_rate", rounded(_dataset_sql(True), SUMS, 5))
 def single_rate(spark, sf):
     return finish(_summary(build_dataset_single_rate(_meta(spark, sf), readings(spark, sf), CONF)), 5)
 
 
-@query("build_dataset_dual_rate", rounded(_dataset_sql(False), ["sum_x", "sum_y"], 5))
+@query("build_dataset_dual_rate", rounded(_dataset_sql(False), SUMS, 5))
 def dual_rate(spark, sf):
     return finish(_summary(build_dataset_dual_rate(_meta(spark, sf), readings(spark, sf), CONF)), 5)

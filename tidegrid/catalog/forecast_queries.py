@@ -66,6 +66,27 @@ def forecast_per_series(spark, sf):
     return finish(forecast.forecast_per_series(grid(spark, sf), SERIES, "speed", p=1, steps=2), 6)
 
 
+@query("forecast_auto", rounded(f"""
+    WITH g AS (SELECT id, dt, speed AS v0, speed - lag(speed) OVER (PARTITION BY id ORDER BY dt) AS v1 FROM ({GRID})),
+    p AS (SELECT id, dt, v0, v1, lead(v0) OVER w AS y0, lead(v1) OVER w AS y1 FROM g WHERE v1 IS NOT NULL
+          WINDOW w AS (PARTITION BY id ORDER BY dt)),
+    m AS (SELECT id, count(y0) AS n, regr_slope(y0, v0) AS b0, regr_intercept(y0, v0) AS a0, regr_slope(y1, v1) AS b1,
+                 regr_intercept(y1, v1) AS a1, regr_syy(y0, v0) - pow(regr_sxy(y0, v0), 2) / regr_sxx(y0, v0) AS r0,
+                 regr_syy(y1, v1) - pow(regr_sxy(y1, v1), 2) / regr_sxx(y1, v1) AS r1,
+                 arg_max(v0, dt) AS l0, arg_max(v1, dt) AS l1 FROM p GROUP BY 1 HAVING count(y0) > 20),
+    c AS (SELECT *, n * ln(r1 / n) < n * ln(r0 / n) AS differ FROM m),
+    s AS (SELECT *, CASE WHEN differ THEN l0 + a1 + b1 * l1 ELSE a0 + b0 * l0 END AS s1 FROM c)
+    SELECT id, 1 AS p, differ::INT AS d, 1 AS step, s1 AS y_hat FROM s
+    UNION ALL SELECT id, 1, differ::INT, 2, CASE WHEN differ THEN s1 + a1 + b1 * (s1 - l0) ELSE a0 + b0 * s1 END FROM s""",
+    ["y_hat"], 5))
+def forecast_auto(spark, sf):
+    rows = grid(spark, sf)
+    # Long enough for the choice to mean something; short series fit exactly.
+    long = rows.where("speed IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 22").select("id")
+    made = forecast.forecast_auto(rows.join(long, "id", "left_semi"), SERIES, "speed", max_p=1, max_d=1, steps=2)
+    return finish(made, 5)
+
+
 @query("sample_config", f"""
     SELECT n_agg, mclass, features FROM (SELECT DISTINCT n_agg, mclass, features FROM ({TRIALS}))
     ORDER BY md5(concat_ws('|', '7', n_agg, mclass, features)) LIMIT 1""")

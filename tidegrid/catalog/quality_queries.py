@@ -9,9 +9,12 @@ from tidegrid.catalog.tables import (
     HOURLY, META, READINGS, SERIES, TRIALS, VALUES, VARIANTS, hourly, meta, readings, table, trials,
 )
 from tidegrid.operators import joins, quality
-from tidegrid.operators.trials import decode_trial
+from tidegrid.operators.regularize import resample_mean
+from tidegrid.operators.trials import trial_grid
 from tidegrid.operators.windows import xy_windows_nested
 from tidegrid.plans.nullity import nullity_report
+from tidegrid.session import shared_folder
+from tidegrid.sources import readers, writers
 
 # ------------------------------------------------------------------------ joins
 
@@ -49,45 +52,49 @@ def neighbor_ids(spark, sf):
     return _neighbors(spark, sf)
 
 
+ALONG = f"""
+    SELECT * FROM (
+        SELECT direction, id, lag(id) OVER w AS id_prev, lead(id) OVER w AS id_next
+        FROM ({META}) WHERE id IN (SELECT id FROM ({READINGS})) WINDOW w AS (PARTITION BY direction ORDER BY lat, id))
+    WHERE id_prev IS NOT NULL AND id_next IS NOT NULL"""
+
+
 @query("neighbor_features", rounded(f"""
     WITH d AS (SELECT id, date_trunc('day', dt) AS dt, avg(speed) AS speed, avg(volume) AS volume
-               FROM (SELECT * REPLACE (id % 40 AS id) FROM ({READINGS})) GROUP BY 1, 2)
+               FROM ({READINGS}) GROUP BY 1, 2)
     SELECT n.id, b.dt, a.speed AS "0_speed", a.volume AS "0_volume", b.speed AS "1_speed",
            b.volume AS "1_volume", c.speed AS "2_speed", c.volume AS "2_volume"
-    FROM ({NEIGHBORS}) n JOIN d b ON b.id = n.id
+    FROM ({ALONG}) n JOIN d b ON b.id = n.id
     JOIN d a ON a.id = n.id_prev AND a.dt = b.dt JOIN d c ON c.id = n.id_next AND c.dt = b.dt""",
     [f"{i}_{c}" for i in range(3) for c in ("speed", "volume")]))
 def neighbor_features(spark, sf):
-    rows = readings(spark, sf).withColumn("id", F.col("id") % 40)
-    daily = quality_daily(rows)
-    return finish(joins.neighbor_features(daily, _neighbors(spark, sf), ["speed", "volume"], SERIES))
+    """Neighbours among the ids that have readings, as the preparation jobs take them."""
+    rows = readings(spark, sf)
+    kept = joins.filter_by_common_id({"meta": meta(spark, sf), "zone": rows})
+    along = joins.neighbor_ids(kept["meta"], ["direction"], ord_col="lat")
+    return finish(joins.neighbor_features(quality_daily(rows), along, ["speed", "volume"], SERIES))
 
 
 def quality_daily(rows):
-    from tidegrid.operators.regularize import resample_mean
-
     return resample_mean(rows, SERIES, ["speed", "volume"], "1D")
 
 
 @query("align_inner", rounded(f"""
     SELECT a.id, a.dt, a.volume, b.occupancy FROM ({HOURLY}) a
-    JOIN (SELECT id, dt, avg(value) AS occupancy
-          FROM (SELECT user_id AS id, date_trunc('hour', ts) AS dt, value FROM events WHERE event_type = 'view')
-          GROUP BY 1, 2) b ON a.id = b.id AND a.dt = b.dt""", ["volume", "occupancy"]))
+    JOIN (SELECT user_id AS id, date_trunc('hour', ts) AS dt, avg(value) AS occupancy FROM events GROUP BY 1, 2) b
+    ON a.id = b.id AND a.dt = b.dt""", ["volume", "occupancy"]))
 def align_inner(spark, sf):
-    views = table(spark, sf, "events").where("event_type = 'view'").groupBy(
+    values = table(spark, sf, "events").groupBy(
         F.col("user_id").alias("id"), F.date_trunc("hour", "ts").alias("dt")
     ).agg(F.avg("value").alias("occupancy"))
     left = hourly(spark, sf).select("id", "dt", "volume")
-    return finish(joins.align_inner(left, views, ["id", "dt"]))
+    return finish(joins.align_inner(left, values, ["id", "dt"]))
 
 
-@query("join_inner", rounded(f"""
-    SELECT exptid, mae, mclass, n_agg FROM ({TRIALS}) WHERE exptid % 2 = 0""", ["mae"]))
+@query("join_inner", rounded(f"SELECT exptid, mae, mclass, n_agg FROM ({TRIALS})", ["mae"]))
 def join_inner(spark, sf):
     rows = trials(spark, sf)
-    confs = rows.where("exptid % 2 = 0").select("exptid", "mclass", "n_agg")
-    return finish(joins.join_inner(rows.select("exptid", "mae"), confs))
+    return finish(joins.join_inner(rows.select("exptid", "mae"), rows.select("exptid", "mclass", "n_agg")))
 
 
 WIDE = ", ".join(f"max(CASE WHEN features = '{v}' THEN mape END) AS \"{v}\"" for v in VARIANTS)
@@ -113,21 +120,25 @@ FEATURES = ["f", "sf", "tf", "stf"]
 
 
 @query("trial_grid", """
-    SELECT o_orderkey AS exptid, (['101', '5'])[(o_orderkey % 2 + 1)::INT] AS road,
-           ([5, 10, 15])[((o_orderkey // 2) % 3 + 1)::INT] AS n_agg,
-           (['f', 'sf', 'tf', 'stf'])[((o_orderkey // 6) % 4 + 1)::INT] AS features FROM orders""")
-def trial_grid(spark, sf):
-    numbers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("exptid"))
-    return decode_trial(numbers, {"road": ROADS, "n_agg": AGGS, "features": FEATURES})
-
-
-@query("union_all", rounded(f"""
-    SELECT id, dt, speed FROM ({READINGS}) WHERE quality = 'view'
-    UNION ALL SELECT id, dt, speed FROM ({READINGS}) WHERE speed > 20""", ["speed"]))
+    SELECT exptid, (['101', '5'])[(exptid % 2 + 1)::INT] AS road, ([5, 10, 15])[((exptid // 2) % 3 + 1)::INT] AS n_agg,
+           (['f', 'sf', 'tf', 'stf'])[((exptid // 6) % 4 + 1)::INT] AS features
+    FROM (SELECT unnest(generate_series(10, 9 + 24 * (SELECT count(*) FROM customer))) AS exptid)""")
+def trial_grid_(spark, sf):
+    """Every combination once for each detector, from lists that were written and read back."""
+    path = shared_folder(spark, "lists")
+    writers.write_trial_lists(spark, {"road": ROADS, "n_agg": AGGS, "features": FEATURES}, path)
+    read = readers.read_trial_lists(spark, path)
+    lists = {name: read[name] for name in ("road", "n_agg", "features")}
+    detectors = table(spark, sf, "customer").count()
+    made = trial_grid(spark, lists, first=10, repeats=detectors)
+    return made.withColumn("n_agg", F.col("n_agg").cast("int"))
+
+
+@query("union_all", rounded(f"SELECT id, dt, speed FROM ({READINGS})", ["speed"]))
 def union_all(spark, sf):
     rows = readings(spark, sf).select("id", "dt", "speed", "quality")
-    parts = [rows.where("quality = 'view'"), rows.where("speed > 20")]
-    return finish(joins.union_all(*[p.drop("quality") for p in parts]))
+    parts = [rows.where(F.col("quality") == kind).drop("quality") for kind in KINDS]
+    return finish(joins.union_all(*parts))
 
 
 # ------------------------------------------------------------------- aggregates
@@ -140,10 +151,10 @@ def group_count(spark, sf):
 
 @query("group_filter_min", f"""
     SELECT id, road, direction FROM ({META})
-    WHERE (road, direction) IN (SELECT (road, direction) FROM ({META}) GROUP BY road, direction HAVING count(*) > 20)
+    WHERE (road, direction) IN (SELECT (road, direction) FROM ({META}) GROUP BY road, direction HAVING count(*) > 4)
     """)
 def group_filter_min(spark, sf):
-    return quality.group_filter_min(meta(spark, sf), ["road", "direction"], 19).select("id", "road", "direction")
+    return quality.group_filter_min(meta(spark, sf), ["road", "direction"], 3).select("id", "road", "direction")
 
 
 @query("get_group", f"SELECT exptid FROM ({TRIALS}) WHERE mclass = 'GRU' AND features = 'tf'")
@@ -164,12 +175,12 @@ def dataset_profile(spark, sf):
     return finish(quality.dataset_profile({"meta": meta(spark, sf), "zone": readings(spark, sf), "lane": None}))
 
 
-KINDS = ["click", "purchase", "view"]
+KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
 def _by_kind(spark, sf):
     """Hourly means per event type: a few dense series to lay side by side."""
-    rows = readings(spark, sf).where(F.col("quality").isin(KINDS))
+    rows = readings(spark, sf)
     cell = F.date_trunc("hour", "dt").alias("dt")
     return rows.groupBy(F.col("quality").alias("id"), cell).agg(
         F.avg("volume").alias("volume"), F.max("speed").alias("speed")
@@ -178,7 +189,7 @@ def _by_kind(spark, sf):
 
 BY_KIND = f"""
     SELECT quality AS id, date_trunc('hour', dt) AS dt, avg(volume) AS volume, max(speed) AS speed
-    FROM ({READINGS}) WHERE quality IN ('click', 'purchase', 'view') GROUP BY 1, 2"""
+    FROM ({READINGS}) GROUP BY 1, 2"""
 WIDE_COLS = [f"{k}_{v}" for k in KINDS for v in ("volume", "speed")]
 PIVOT = f"""
     SELECT dt, {', '.join(f"avg(CASE WHEN id = '{k}' THEN {v} END) AS {k}_{v}" for k in KINDS for v in ('volume', 'speed'))}
@@ -252,6 +263,20 @@ def nullity_filter(spark, sf):
     return finish(quality.nullity_filter(counted, "id", "top", p=0.05, n=100))
 
 
+@query("nullity_filter_bottom", rounded(f"""
+    SELECT * FROM ({SERIES_COUNTS}) WHERE ratio <= 0.2 ORDER BY n_present, id LIMIT 100""", ["ratio"]))
+def nullity_filter_bottom(spark, sf):
+    counted = quality.completeness_by_series(hourly(spark, sf), SERIES, "speed")
+    return finish(quality.nullity_filter(counted, "id", "bottom", p=0.2, n=100))
+
+
+@query("nullity_filter_rows", f"""
+    SELECT dt FROM (SELECT dt, ({PRESENT})::INT AS n_present FROM ({PIVOT}))
+    WHERE n_present >= 6 ORDER BY n_present DESC, dt LIMIT 50""")
+def nullity_filter_rows(spark, sf):
+    return finish(quality.nullity_filter_rows(_wide(spark, sf), WIDE_COLS, "top", p=0.6, n=50).select("dt"))
+
+
 @query("nullity_report", rounded(f"""
     WITH h AS ({HOURLY}), g AS (
         SELECT epoch_us(max(dt)) - epoch_us(min(dt)) AS span FROM h),
@@ -282,18 +307,14 @@ def append_average_row(spark, sf):
     return finish(quality.append_average_row(wide, VARIANTS))
 
 
-LEVELS = [5, 10, 15]
-
-
 @query("metrics_pivot", rounded(f"""
     SELECT * FROM (
-        SELECT id, {', '.join(f'max(CASE WHEN n_agg = {n} THEN {m} END) AS "{n}_{m}"' for n in LEVELS for m in ('mae', 'mape'))}
-        FROM ({TRIALS}) WHERE features IN ('f', 'sf', 'tf') GROUP BY 1)
-    WHERE {' AND '.join(f'"{n}_mae" IS NOT NULL' for n in LEVELS)}""",
-    [f"{n}_{m}" for n in LEVELS for m in ("mae", "mape")]))
+        SELECT id, {', '.join(f"max(CASE WHEN features = '{v}' THEN {m} END) AS {v}_{m}" for v in VARIANTS for m in ('mae', 'mape'))}
+        FROM ({TRIALS}) GROUP BY 1)
+    WHERE {' AND '.join(f'{v}_mae IS NOT NULL' for v in VARIANTS)}""",
+    [f"{v}_{m}" for v in VARIANTS for m in ("mae", "mape")]))
 def metrics_pivot(spark, sf):
-    chosen = trials(spark, sf).where(F.col("features").isin("f", "sf", "tf"))
-    return finish(quality.metrics_pivot(chosen, ["mae", "mape"], LEVELS))
+    return finish(quality.metrics_pivot(trials(spark, sf), ["mae", "mape"], VARIANTS, column="features"))
 
 
 LONG_METRICS = f"""

@@ -65,10 +65,19 @@ FILLED = """
 """
 
 
-@query("gap_fill", rounded(FILLED.format(source=HOURLY, fill="-1.0"), ["volume"]))
+# Every hour twice for a third of the series: duplicates are averaged before gaps are filled.
+REPEATED = f"""
+    SELECT id, dt, avg(volume) AS volume FROM (
+        SELECT id, dt, volume FROM ({HOURLY})
+        UNION ALL SELECT id, dt, volume + 4 FROM ({HOURLY}) WHERE id % 3 = 0) GROUP BY 1, 2"""
+
+
+@query("gap_fill", rounded(FILLED.format(source=REPEATED, fill="-1.0"), ["volume"]))
 def gap_fill(spark, sf):
     rows = hourly(spark, sf).select("id", "dt", "volume")
-    return finish(reg.gap_fill(rows, SERIES, "1h", fill_value=-1.0))
+    again = rows.where("id % 3 = 0").withColumn("volume", F.col("volume") + 4)
+    single = reg.average_duplicates(rows.unionByName(again), SERIES, ["volume"])
+    return finish(reg.gap_fill(single, SERIES, "1h", fill_value=-1.0))
 
 
 @query("gap_fill_inferred", rounded(f"""
@@ -86,6 +95,21 @@ def interpolate_linear(spark, sf):
     return finish(grid(spark, sf, VALUES))
 
 
+DAILY = """
+    SELECT o_orderpriority AS id, o_totalprice AS speed,
+           o_orderdate + to_hours(CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE 0 END) AS dt FROM orders"""
+
+
+@query("interpolate_exact", rounded(sql_interpolated(DAILY, ["speed"], "1 day", snap="exact"), ["speed"], 6))
+def interpolate_exact(spark, sf):
+    """Only readings exactly on the grid count; every third one is five hours off it."""
+    late = F.when(F.col("o_orderkey") % 3 == 0, F.expr("interval 5 hours")).otherwise(F.expr("interval 0 hours"))
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("id"), (F.col("o_orderdate") + late).alias("dt"), F.col("o_totalprice").alias("speed")
+    )
+    return finish(reg.interpolate_linear(rows, RAW, ["speed"], "1D", snap="exact"), 6)
+
+
 @query("resample_mean", rounded(f"""
     SELECT id, time_bucket(INTERVAL '10 minutes', dt) AS dt, avg(speed) AS speed, avg(volume) AS volume
     FROM ({READINGS}) GROUP BY 1, 2""", ["speed", "volume"]))

@@ -1,4 +1,4 @@
-"""Hypothesis tests over customers (blocks) by order priority (groups).
+"""Hypothesis tests over calendar quarters (blocks) by order priority (groups).
 
 The SQL side gets its tail probabilities independently: closed forms where the
 degrees of freedom allow, exact sums, or Simpson integration of the density.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.registry import finish, query, rounded
-from tidegrid.catalog.tables import COMPLETE, GROUPS, SAMPLES, samples
+from tidegrid.catalog.tables import GROUPS, SAMPLES, samples
 from tidegrid.functions.scalar import hypothesis_decision
 from tidegrid.stats import omnibus, posthoc, twosample
 
@@ -49,14 +49,14 @@ def t_p(t: str, df: str) -> str:
 
 
 def _run(test, spark, sf, **kw):
-    return test(samples(spark, sf), GROUPS, incomplete="drop", **kw)
+    return test(samples(spark, sf), GROUPS, **kw)
 
 
 # ---------------------------------------------------------------- omnibus tests
 
 RANKED = f"""
     SELECT block, grp, v, rank() OVER (PARTITION BY block ORDER BY v)
-           + (count(*) OVER (PARTITION BY block, v) - 1) / 2.0::DOUBLE AS r FROM ({COMPLETE})"""
+           + (count(*) OVER (PARTITION BY block, v) - 1) / 2.0::DOUBLE AS r FROM ({SAMPLES})"""
 
 FRIEDMAN = f"""
     WITH g AS (SELECT grp, avg(r) AS mean_rank, count(*)::DOUBLE AS n FROM ({RANKED}) GROUP BY 1),
@@ -74,7 +74,7 @@ def friedman_test(spark, sf):
 
 
 @query("friedman_aligned_ranks_test", rounded(f"""
-    WITH a AS (SELECT block, grp, round(v - avg(v) OVER (PARTITION BY block), 12) + 0.0 AS a FROM ({COMPLETE})),
+    WITH a AS (SELECT block, grp, round(v - avg(v) OVER (PARTITION BY block), 12) + 0.0 AS a FROM ({SAMPLES})),
     r AS (SELECT block, grp, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS r FROM a),
     g AS (SELECT grp, sum(r) AS rj, count(*)::DOUBLE AS n FROM r GROUP BY 1),
     b AS (SELECT sum(ri * ri) AS ri2 FROM (SELECT sum(r) AS ri FROM r GROUP BY block)),
@@ -103,7 +103,7 @@ def quade_test(spark, sf):
 
 def _anova_sql(error: str, d2: str) -> str:
     return f"""
-    WITH s AS ({COMPLETE}),
+    WITH s AS ({SAMPLES}),
     g AS (SELECT grp, avg(v) AS mean_value, var_pop(v) AS var, count(*)::DOUBLE AS n FROM s GROUP BY 1),
     b AS (SELECT var_pop(m) AS block_var FROM (SELECT avg(v) AS m FROM s GROUP BY block)),
     ss AS (SELECT max(n) AS n, max(n) * 5 * var_pop(mean_value) AS bg, max(n) * sum(var) AS wg,
@@ -134,7 +134,7 @@ def _posthoc_sql(pairs: str, p: str, adjusted: str) -> str:
     return rounded(f"""
     WITH pivots AS ({pairs}),
     p AS (SELECT comparison, statistic, {p} AS p_value FROM pivots),
-    o AS (SELECT *, row_number() OVER (ORDER BY p_value, comparison)::INT AS position, count(*) OVER () AS m FROM p)
+    o AS (SELECT *, row_number() OVER (ORDER BY round(statistic, 9) DESC, comparison)::INT AS position, count(*) OVER () AS m FROM p)
     SELECT comparison, statistic, p_value, position, {adjusted} AS p_adjusted FROM o""",
         ["statistic", "p_value", "p_adjusted"], DIGITS)
 
@@ -157,6 +157,7 @@ ADJUST = {
     "bonferroni": "least(m * p_value, 1)",
     "holm": f"least(max((m + 1 - position) * p_value) {DOWN}, 1)",
     "hochberg": f"least(max((m + 1 - position) * p_value) {UP}, 1)",
+    "hochberg_textbook": f"least(min((m + 1 - position) * p_value) {UP}, 1)",
     "hochberg_open": f"max((m + 1 - position) * p_value) {UP}",
     "li": "p_value / (p_value + 1 - max(p_value) OVER ())",
     "finner": f"least(max(1 - pow(1 - p_value, m / position::DOUBLE)) {DOWN}, 1)",
@@ -176,6 +177,7 @@ def _posthoc(name, pairs, adjust, run):
 _posthoc("bonferroni_dunn_test", CONTROL_PAIRS, "bonferroni", posthoc.bonferroni_dunn_test)
 _posthoc("holm_test", CONTROL_PAIRS, "holm", posthoc.holm_test)
 _posthoc("hochberg_test", CONTROL_PAIRS, "hochberg", posthoc.hochberg_test)
+_posthoc("hochberg_textbook_test", CONTROL_PAIRS, "hochberg_textbook", lambda r: posthoc.hochberg_test(r, method="textbook"))
 _posthoc("li_test", CONTROL_PAIRS, "li", posthoc.li_test)
 _posthoc("finner_test", CONTROL_PAIRS, "finner", posthoc.finner_test)
 _posthoc("nemenyi_multitest", ALL_PAIRS, "bonferroni", posthoc.nemenyi_multitest)
@@ -188,7 +190,7 @@ _posthoc("shaffer_multitest", ALL_PAIRS, "shaffer", lambda r: posthoc.shaffer_mu
 @query("bonferroni_test", rounded(f"""
     WITH pairs AS ({_all_pairs_sql(ANOVA)}),
     p AS (SELECT comparison, statistic, {t_p("statistic", "(n * 5 - 5)")} AS p_value FROM pairs)
-    SELECT comparison, statistic, p_value, row_number() OVER (ORDER BY p_value, comparison)::INT AS position,
+    SELECT comparison, statistic, p_value, row_number() OVER (ORDER BY round(statistic, 9) DESC, comparison)::INT AS position,
            least(10 * p_value, 1) AS p_adjusted FROM p""", ["statistic", "p_value", "p_adjusted"], DIGITS))
 def bonferroni_test(spark, sf):
     return finish(posthoc.bonferroni_test(_run(omnibus.anova_test, spark, sf), K), DIGITS)
@@ -210,7 +212,7 @@ def hypothesis_decision_(spark, sf):
 
 PAIRS = f"""
     SELECT * FROM (SELECT block, max(CASE WHEN grp = '{A}' THEN v END) AS a, max(CASE WHEN grp = '{B}' THEN v END) AS b
-                   FROM ({SAMPLES}) GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL"""
+                   FROM ({SAMPLES}) GROUP BY 1)"""
 
 
 @query("binomial_sign_test", rounded(f"""
@@ -221,7 +223,7 @@ PAIRS = f"""
         FROM generate_series((statistic + 1)::BIGINT, n::BIGINT) t(i)) AS p_value FROM x""",
     ["statistic", "p_value"], DIGITS))
 def binomial_sign_test(spark, sf):
-    return finish(twosample.binomial_sign_test(samples(spark, sf), A, B, incomplete="drop"), DIGITS)
+    return finish(twosample.binomial_sign_test(samples(spark, sf), A, B), DIGITS)
 
 
 @query("ttest_ind", rounded(f"""
@@ -242,7 +244,7 @@ def ttest_ind(spark, sf):
     SELECT *, 2 * {t_p("abs(statistic)", "(n - 1)")} AS p_value FROM t""",
     ["n", "mean_diff", "statistic", "p_value"], DIGITS))
 def ttest_rel(spark, sf):
-    return finish(twosample.ttest_rel(samples(spark, sf), A, B, incomplete="drop"), DIGITS)
+    return finish(twosample.ttest_rel(samples(spark, sf), A, B), DIGITS)
 
 
 @query("wilcoxon", rounded(f"""
@@ -256,7 +258,7 @@ def ttest_rel(spark, sf):
     SELECT *, {normal_p("z")} AS p_value FROM z""",
     ["n", "w_plus", "w_minus", "statistic", "z", "p_value"], DIGITS))
 def wilcoxon(spark, sf):
-    return finish(twosample.wilcoxon(samples(spark, sf), A, B, incomplete="drop"), DIGITS)
+    return finish(twosample.wilcoxon(samples(spark, sf), A, B), DIGITS)
 
 
 @query("mannwhitneyu", rounded(f"""

@@ -70,19 +70,28 @@ def xy_windows_strided(spark, sf):
         grid(spark, sf), SERIES, ["speed"], ["speed"], n_tx=4, n_ty=2, n_ty_step=3))
 
 
-def sql_dual(source, x_col, y_col, n_tx, n_ty, ratio, h=1, keys=("id",), min_windows=0):
-    """Hourly inputs against targets of ``ratio`` hours, as SQL."""
+def sql_dual(source, x_col, y_col, n_tx, n_ty, ratio, h=1, keys=("id",), min_windows=0, repeat=False):
+    """Hourly inputs against targets of ``ratio`` hours, as SQL; ``repeat``: a last single
+    target row stands for all of them (two targets)."""
     k = ", ".join(keys)
     skip = n_tx // ratio + h - 1
     bucket = f"time_bucket(INTERVAL '{ratio} hours', dt, TIMESTAMP '1970-01-01')"
     x = ", ".join(f'lead({x_col}, {i}) OVER w AS "{x_col}_t-{n_tx - 1 - i}"' for i in range(n_tx))
     y = ", ".join(f'lead({y_col}, {skip + i}) OVER w AS "{y_col}_t+{h + i}"' for i in range(n_ty))
+    need = skip + n_ty - 1
+    if repeat:
+        need = skip
+        y = ", ".join(
+            f'CASE WHEN lead(1, {skip + i}) OVER w = 1 THEN lead({y_col}, {skip + i}) OVER w '
+            f'ELSE lead({y_col}, {skip}) OVER w END AS "{y_col}_t+{h + i}"'
+            for i in range(n_ty)
+        )
     return f"""
         WITH g AS ({source}),
         ys AS (SELECT {k}, {bucket} AS dt, avg({y_col}) AS {y_col} FROM g GROUP BY ALL),
         xw AS (SELECT {k}, dt, {x}, lead(1, {n_tx - 1}) OVER w AS _x FROM g
                WINDOW w AS (PARTITION BY {k} ORDER BY dt)),
-        yw AS (SELECT {k}, dt, {y}, lead(1, {skip + n_ty - 1}) OVER w AS _y FROM ys
+        yw AS (SELECT {k}, dt, {y}, lead(1, {need}) OVER w AS _y FROM ys
                WINDOW w AS (PARTITION BY {k} ORDER BY dt)),
         xy AS (SELECT *, count(*) OVER (PARTITION BY {k}) AS _n FROM xw JOIN yw USING ({k}, dt)
                WHERE _x IS NOT NULL AND _y IS NOT NULL)
@@ -114,6 +123,15 @@ def xy_windows_dual_nested(spark, sf):
     return finish(_unnest(made, 6, 1, 2, ["volume"], ["speed"], [1, 2]))
 
 
+REPEAT_SQL = sql_dual(GRID3, "volume", "speed", 6, 2, 3, repeat=True)
+
+
+@query("xy_windows_dual_repeat", rounded(REPEAT_SQL, dual_names("volume", "speed", 6, 2)))
+def xy_windows_dual_repeat(spark, sf):
+    x, y = _two_rates(spark, sf)
+    return finish(win.xy_windows_dual_flat(x, y, SERIES, ["volume"], ["speed"], "1h", "3h", 6, 2, tail="repeat"))
+
+
 WEEK = ("id", "year", "month", "week")
 WEEKLY = """
     SELECT *, year(dt)::INT AS year, month(dt)::INT AS month, weekofyear(dt)::INT AS week FROM ({source})"""

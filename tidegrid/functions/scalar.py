@@ -82,6 +82,7 @@ def flatten_windows(nested: Column) -> Column:
 
 def hypothesis_decision(p: Column, claim: str = "", alpha: float = 0.05) -> Column:
     """Struct (rejected, text): the null hypothesis is kept when ``p > alpha``."""
+    # The two sentences.
     kept = F.lit(f"not enough evidence for: {claim} (fail to reject H0)")
     dropped = F.lit(f"significant evidence for: {claim} (reject H0)")
     return F.struct(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.panel import MEASURE, Panel
+from tidegrid.session import stage
 
 CHUNK = "_chunk"
 OWN = "_own"
@@ -47,12 +48,9 @@ def fit_chunk(df: DataFrame, panel: Panel, max_rows: int = MAX_ROWS) -> Panel:
     while True:
         cell = F.floor(F.col("_us") / F.lit(width))
         fullest = times.groupBy(*panel.ids, cell).count().agg(F.max("count")).first()[0]
-        if fullest <= max_rows:
+        # Rows of one timestamp cannot be cut by time.
+        if fullest <= max_rows or width == 1:
             return panel.chunked(width)
-        if width == 1:
-            raise ValueError(
-                f"{fullest} rows share one timestamp of one series; merge duplicates first"
-            )
         width = max(1, min(width // 2, int(width * max_rows / fullest)))
 
 
@@ -123,7 +121,7 @@ def with_halo(df: DataFrame, panel: Panel, behind: int = 0, ahead: int = 0) -> D
     """
     if panel.chunk_us is None:
         return df
-    cut = with_chunk(df, panel)
+    cut = stage(with_chunk(df, panel))  # read again for every edge
     parts = [cut.withColumn(OWN, F.lit(True))]
     for count, descending in ((ahead, False), (behind, True)):
         if count:
@@ -137,27 +135,35 @@ def with_halo(df: DataFrame, panel: Panel, behind: int = 0, ahead: int = 0) -> D
 def _edges(cut: DataFrame, panel: Panel, count: int, descending: bool) -> DataFrame:
     """Rows just after (or, descending, just before) each chunk, re-keyed to it.
 
-    Each chunk offers its first ``count`` rows.  Every chunk holds at least one
-    row, so ``count`` neighbouring chunks always cover what is needed.
+    Each chunk offers its first ``count`` rows.  Chunk sizes, summed along the series,
+    tell which later chunks reach into a chunk's next ``count`` rows and how many rows of
+    theirs it takes; these are joined to the offered rows, so a row is copied only to the
+    chunks that need it.
     """
     keys = group_keys(panel)
     payload = [c for c in cut.columns if c not in keys]
     sign = -1 if descending else 1
-    offered = (
-        cut.withColumn("_rn", F.row_number().over(in_order(panel, descending)))
-        .where(F.col("_rn") <= count)
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("_rn", *payload)).alias("_rows"))
-        .withColumn("_rows", F.array_sort("_rows"))
-    )
-    neighbours = (
-        Window.partitionBy(*panel.ids).orderBy(F.col(CHUNK) * sign).rowsBetween(1, count)
+    offered = cut.withColumn("_rn", F.row_number().over(in_order(panel, descending))).where(F.col("_rn") <= count)
+    along = Window.partitionBy(*panel.ids).orderBy(F.col(CHUNK) * sign)
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_before", F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ).withColumn("_before", F.coalesce("_before", F.lit(0)))
+    # Chunks whose end is fewer than ``count`` rows before this one's beginning.
+    reach = F.struct(CHUNK, (F.col("_before") + F.col("_rows")).alias("end"))
+    near = along.rowsBetween(-count, -1)
+    takers = sizes.withColumn("_near", F.collect_list(reach).over(near)).select(
+        *panel.ids, F.col(CHUNK).alias("_giver"), "_before",
+        F.explode(F.filter("_near", lambda x: F.col("_before") - x["end"] < count)).alias("_to"),
+    ).select(
+        *[F.col(c).alias(f"_of_{c}") for c in panel.ids], "_giver", F.col(f"_to.{CHUNK}").alias("_taker"),
+        (F.lit(count) - (F.col("_before") - F.col("_to.end"))).alias("_take"),
     )
-    return (
-        offered.withColumn("_next", F.flatten(F.collect_list("_rows").over(neighbours)))
-        .select(*keys, F.explode(F.slice("_next", 1, count)).alias("_row"))
-        .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
-        .withColumn(OWN, F.lit(False))
+    same = F.col(CHUNK) == F.col("_giver")
+    for c in panel.ids:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    given = offered.join(takers, same).drop(CHUNK)
+    return given.where(F.col("_rn") <= F.col("_take")).select(
+        *panel.ids, F.col("_taker").alias(CHUNK), *payload, F.lit(False).alias(OWN)
     )
 
 

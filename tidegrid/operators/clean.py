@@ -182,6 +182,17 @@ def ordered_category_geo(
     return global_order(df.withColumn("dist", away), "dist", column, out=out)
 
 
+def order_used(df: DataFrame, column: str, levels: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Number the values of ``column`` that occur in ``df`` by their order in ``levels``.
+
+    Equal to :func:`ordered_category_list` and then :func:`remove_unused_categories`, but
+    only distinct values are numbered, and the table is joined once.
+    """
+    used = df.select(column).distinct().join(levels.select(column, ord_col), column)
+    numbered = global_order(used, ord_col, out="_new").select(column, F.col("_new").alias(ord_col))
+    return df.drop(ord_col).join(numbered, column, "left")
+
+
 def remove_unused_categories(df: DataFrame, column: str = "id", ord_col: str = "ord") -> DataFrame:
     """Renumber the order over the ids that are left."""
     left = df.select(column, ord_col).distinct().where(F.col(ord_col).isNotNull())

@@ -14,13 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.operators.chunks import measured
 from tidegrid.operators.metrics import get_metric
+from tidegrid.operators.regularize import shift
 from tidegrid.operators.split import tail_rows
 from tidegrid.operators.windows import xy_windows_flat
 from tidegrid.panel import Panel
@@ -33,8 +36,12 @@ ESTIMATORS: dict[str, Callable] = {
     "forest": RandomForestRegressor,
 }
 
-# Inputs one grouped system may have: its aggregate has about n*n/2 sums.
-MAX_GROUPED_INPUTS = 40
+# Up to this many inputs the sums of products are one aggregate of columns, about n*n/2
+# of them; wider systems add up matrices.  Both give the same sums.
+COLUMN_SUMS = 40
+# Rows of a group that one task turns into a matrix, and matrices that one task adds up.
+GROUP_ROWS = 200_000
+ADDED = 64
 
 
 # ----------------------------------------------------- grouped linear models
@@ -43,13 +50,16 @@ MAX_GROUPED_INPUTS = 40
 def grouped_ols(
     df: DataFrame, by: Sequence[str], x_cols: Sequence[str], y_cols: Sequence[str]
 ) -> DataFrame:
-    """Least squares with intercept per group: ``coef[y][1 + x]`` and row count."""
+    """Least squares with intercept per group: ``coef[y][1 + x]`` and row count.
+
+    Without keys all rows are one group.
+    """
     by, x_cols, y_cols = list(by), list(x_cols), list(y_cols)
-    if len(x_cols) > MAX_GROUPED_INPUTS:
-        raise ValueError(f"more than {MAX_GROUPED_INPUTS} inputs, use forecast_fit_predict")
     used = [*x_cols, *y_cols]
     rows = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(used)])
     rows = rows.na.drop(subset=[f"_{i}" for i in range(len(used))])
+    if len(x_cols) > COLUMN_SUMS:
+        return _solved(_matrix_sums(rows, by, len(x_cols), len(y_cols)), by, len(x_cols) + 1, len(y_cols))
     inputs = [F.lit(1.0)] + [F.col(f"_{i}") for i in range(len(x_cols))]
     targets = [F.col(f"_{i}") for i in range(len(x_cols), len(used))]
     size = len(inputs)
@@ -60,23 +70,79 @@ def grouped_ols(
         F.array(*upper).alias("_gram"),
         F.array(*cross).alias("_cross"),
     )
+    return _solved(sums, by, size, len(y_cols))
+
+
+def _solved(sums: DataFrame, by: list[str], size: int, n_y: int) -> DataFrame:
+    """Coefficients from the upper triangles and cross products of the groups."""
     row, col = np.triu_indices(size)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            coefs = []
-            for gram, cross_sums in zip(batch["_gram"], batch["_cross"]):
-                a = np.zeros((size, size))
-                a[row, col] = gram
-                a[col, row] = gram
-                b = np.asarray(cross_sums).reshape(len(y_cols), size).T
-                coefs.append(np.linalg.lstsq(a, b, rcond=None)[0].T.tolist())
+            a = np.zeros((len(batch), size, size))
+            a[:, row, col] = a[:, col, row] = np.stack(batch["_gram"].to_numpy()) if len(batch) else 0
+            b = np.stack(batch["_cross"].to_numpy()).reshape(len(batch), n_y, size) if len(batch) else a
+            # The whole batch at a time; the pseudo-inverse takes singular systems too.
+            coefs = [c.tolist() for c in b @ np.linalg.pinv(a, rcond=np.finfo(float).eps * size, hermitian=True)]
             yield batch.drop(columns=["_gram", "_cross"]).assign(coef=coefs)
 
     schema = sums.select(*by, "n_rows", F.lit(None).cast("array<array<double>>").alias("coef")).schema
     return sums.mapInPandas(solve, schema)
 
 
+def _matrix_sums(rows: DataFrame, by: list[str], n_x: int, n_y: int) -> DataFrame:
+    """Upper triangles and cross products as arrays, for any number of inputs.
+
+    A group's rows are dealt to parts of bounded size, each part becomes one matrix in a
+    task, and the matrices of a group are added up a few at a time, so that no task holds
+    a long group or all matrices of one.
+    """
+    size = n_x + 1
+    upper = np.triu_indices(size)
+    group = [f"_g{i}" for i in range(len(by))]
+    keyed = rows.select(*[F.col(c).alias(g) for c, g in zip(by, group)], *[f"_{i}" for i in range(n_x + n_y)])
+    large = (
+        keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS)
+        .select(*[F.col(g).alias(f"{g}l") for g in group], F.ceil(F.col("_n") / GROUP_ROWS).alias("_parts"))
+    )
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"{g}l"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = keyed.join(large, on, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*[f"_{i}" for i in range(n_x + n_y)]), parts)
+    ).drop("_parts", *[f"{g}l" for g in group])
+    kept = dealt.select(*group, "_part").schema
+    made = T.StructType([
+        *kept.fields, T.StructField("n_rows", T.LongType()), T.StructField("_gram", T.ArrayType(T.DoubleType())),
+        T.StructField("_cross", T.ArrayType(T.DoubleType())),
+    ])
+
+    def row_of(table: pa.Table, n: int, gram: np.ndarray, cross: np.ndarray) -> pa.Table:
+        first = table.slice(0, 1)
+        columns = {f.name: first.column(f.name) for f in kept.fields}
+        return pa.table({
+            **columns, "n_rows": pa.array([n]), "_gram": pa.array([gram], pa.list_(pa.float64())),
+            "_cross": pa.array([cross], pa.list_(pa.float64())),
+        })
+
+    def matrix(table: pa.Table) -> pa.Table:
+        values = np.column_stack([table.column(f"_{i}").to_numpy() for i in range(n_x + n_y)])
+        x = np.column_stack([np.ones(len(values)), values[:, :n_x]])
+        return row_of(table, len(x), (x.T @ x)[upper], (values[:, n_x:].T @ x).ravel())
+
+    def added(table: pa.Table) -> pa.Table:
+        gram, cross = (np.add.reduce([np.asarray(v) for v in table.column(c).to_pylist()]) for c in ("_gram", "_cross"))
+        return row_of(table, int(np.sum(table.column("n_rows").to_numpy())), gram, cross)
+
+    sums = dealt.groupBy(*group, "_part").applyInArrow(matrix, made)
+    most = large.agg(F.max("_parts")).first()[0] or 1
+    while most > 1:
+        most = -(-most // ADDED)
+        sums = sums.withColumn("_part", F.floor(F.col("_part") / ADDED)).groupBy(*group, "_part").applyInArrow(added, made)
+    return sums.select(*[F.col(g).alias(c) for c, g in zip(by, group)], "n_rows", "_gram", "_cross")
+
+
 def grouped_predict(
     df: DataFrame,
     models: DataFrame,
@@ -133,6 +199,82 @@ def forecast_per_series(
     return start.select(*ids, made).withColumn("step", F.col("step") + 1)
 
 
+def forecast_auto(
+    df: DataFrame, panel: Panel, value: str, max_p: int = 3, max_d: int = 1, steps: int = 1
+) -> DataFrame:
+    """Autoregression whose order ``p`` and number of differences ``d`` suit each series best.
+
+    Rows ``(ids…, p, d, step, y_hat)``.  All orders are solved from one aggregate of
+    products per series and compared by Akaike's criterion on the same rows: the error
+    of a step is the same in differences and in levels.  Ties go to the smaller d, then p.
+    Series too short for the largest model have no row.
+    """
+    ids = list(panel.ids)
+    panel = measured(df, panel)
+    levels = [f"v{d}" for d in range(max_d + 1)]
+    rows = df.select(*ids, panel.dt, F.col(value).cast("double").alias("v0"))
+    for before, name in zip(levels, levels[1:]):
+        moved = shift(rows.withColumn(name, F.col(before)), panel, [name], 1)
+        rows = moved.withColumn(name, F.col(before) - F.col(name))
+    rows = rows.where(F.col(levels[-1]).isNotNull())
+    windows = xy_windows_flat(rows, panel, levels, levels, n_tx=max_p, n_ty=1)
+    columns = [[f"{v}_t-{back}" for back in range(max_p)] + [f"{v}_t+1"] for v in levels]
+    size = max_p + 2  # the constant, the lags from the newest on, the target
+    sums = []
+    for d, names in enumerate(columns):
+        terms = [F.lit(1.0)] + [F.col(f"`{c}`") for c in names]
+        upper = [F.sum(terms[i] * terms[j]) for i in range(size) for j in range(i, size)]
+        sums.append(F.array(*upper).alias(f"_gram{d}"))
+    whole = windows.na.drop(subset=[c for names in columns for c in names])
+    fitted = whole.groupBy(*ids).agg(F.count(F.lit(1)).cast("double").alias("_n"), *sums)
+    recent = tail_rows(rows, panel, max_p).groupBy(*ids).agg(
+        F.array_sort(F.collect_list(F.struct(panel.dt, *levels))).alias("_last")
+    )
+    ready = fitted.join(recent, ids).where((F.size("_last") == max_p) & (F.col("_n") > max_p + 1)).select(
+        *ids, "_n", *[f"_gram{d}" for d in range(max_d + 1)], *[F.col(f"_last.{v}").alias(f"_{v}") for v in levels]
+    )
+    row, col = np.triu_indices(size)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for series in batch.itertuples(index=False):
+                best = None
+                for d in range(max_d + 1):
+                    gram = np.zeros((size, size))
+                    gram[row, col] = gram[col, row] = getattr(series, f"X{d}")
+                    for p in range(1, max_p + 1):
+                        a, b = gram[: p + 1, : p + 1], gram[: p + 1, -1]
+                        coef = np.linalg.lstsq(a, b, rcond=None)[0]
+                        rss = max(gram[-1, -1] - 2 * coef @ b + coef @ a @ coef, 1e-12 * max(gram[-1, -1], 1e-300))
+                        score = series.N * np.log(rss / series.N) + 2 * (p + 1)
+                        if best is None or score < best[0] - 1e-9:
+                            best = (score, p, d, coef)
+                _, p, d, coef = best
+                state = list(getattr(series, f"L{d}"))
+                ends = [getattr(series, f"L{k}")[-1] for k in range(d)]
+                made = []
+                for _ in range(steps):
+                    state.append(coef[0] + sum(c * v for c, v in zip(coef[1:], reversed(state))))
+                    step = state[-1]
+                    for k in range(d - 1, -1, -1):  # from differences back to levels
+                        ends[k] += step
+                        step = ends[k]
+                    made.append(float(step))
+                out.append((p, d, made))
+            kept = batch.iloc[:, : len(ids)].copy()
+            kept["p"], kept["d"], kept["made"] = ([o[i] for o in out] for i in range(3))
+            yield kept
+
+    renamed = ready.toDF(*ids, "N", *[f"X{d}" for d in range(max_d + 1)], *[f"L{d}" for d in range(max_d + 1)])
+    schema = T.StructType([
+        *[renamed.schema[c] for c in ids], T.StructField("p", T.IntegerType()), T.StructField("d", T.IntegerType()),
+        T.StructField("made", T.ArrayType(T.DoubleType())),
+    ])
+    found = renamed.mapInPandas(predict, schema)
+    return found.select(*ids, "p", "d", F.posexplode("made").alias("step", "y_hat")).withColumn("step", F.col("step") + 1)
+
+
 # ----------------------------------------------------------------- Spark ML
 
 
@@ -149,6 +291,21 @@ def _estimator(model: str, target: str, params: dict):
     )
 
 
+def _linear_predict(rows: DataFrame, train: DataFrame, x_cols: Sequence[str], y_cols: Sequence[str]) -> DataFrame:
+    """Least squares of all targets from one aggregate; only the coefficients reach the driver."""
+    fitted = grouped_ols(train, [], x_cols, y_cols).first()
+    usable = F.lit(True)
+    for c in x_cols:
+        usable = usable & F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
+    hats = {}
+    for target, coef in zip(y_cols, fitted["coef"]):
+        terms = F.lit(coef[0])
+        for c, weight in zip(x_cols, coef[1:]):
+            terms = terms + F.lit(weight) * F.col(f"`{c}`")
+        hats[f"{target}_hat"] = terms
+    return rows.where(usable).withColumns(hats)
+
+
 def _fit_predict(ready, train, y_cols, model, params) -> DataFrame:
     for target in y_cols:
         ready = _estimator(model, target, params).fit(train).transform(ready)
@@ -166,9 +323,14 @@ def forecast_fit_predict(
 ) -> DataFrame:
     """Fit one regressor per horizon step on the training rows and predict.
 
-    The windows are written once, since every fit reads them again.  Returns the
-    rows of ``predict_on`` (all rows when ``None``) with a ``{target}_hat`` each.
+    The windows are written once, since every fit reads them again; plain linear
+    models of all steps come from a single pass.  Returns the rows of ``predict_on`` (all
+    rows when ``None``) with a ``{target}_hat`` each.
     """
+    if model == "linear" and not params:
+        windows = stage(df)
+        rows = windows if predict_on is None else windows.where(F.col(split) == predict_on)
+        return _linear_predict(rows, windows.where(F.col(split) == "train"), x_cols, y_cols)
     ready = stage(_features(df, x_cols))
     train = ready.where(F.col(split) == "train")
     target_rows = ready if predict_on is None else ready.where(F.col(split) == predict_on)
@@ -192,13 +354,13 @@ def tune_search(
     model: str = "linear",
     split: str = "split",
     loss: str = "mse",
-    limit: int = 20,
     score: Callable[[DataFrame], float] | None = None,
 ) -> TuneResult:
     """Fit each candidate on the training rows, score it on the validation rows,
     keep the best and predict the test rows with it.
 
     ``score`` replaces the loss by a callable over the validation predictions.
+    Every candidate is scored; a budget of runs belongs to whoever makes the list.
     The loop runs over settings; each fit is a distributed job, and one number
     per run comes back.
     """
@@ -212,7 +374,7 @@ def tune_search(
         return sum(values) / len(values)
 
     runs = []
-    for run, params in enumerate(candidates[:limit]):
+    for run, params in enumerate(candidates):
         value = (score or mean_loss)(_fit_predict(valid, train, y_cols, model, params))
         runs.append((run, json.dumps(params, sort_keys=True), float(value)))
     if not runs:

@@ -23,8 +23,8 @@ from tidegrid.operators.chunks import (
 from tidegrid.panel import MEASURE, Panel
 from tidegrid.session import spread
 
-# Grid slots one gap may open; a wrong timestamp would otherwise open a huge one.
-MAX_GAP_SLOTS = 50_000_000
+# Grid times that one array holds while gaps are opened.
+BLOCK_SLOTS = 10_000
 
 
 # ---------------------------------------------------------------- inspection
@@ -106,31 +106,40 @@ def fit_grid(df: DataFrame, panel: Panel, freq: str | int, max_rows: int = 4_000
     return panel.chunked(width * max_rows)
 
 
+def _interval(us: Column) -> Column:
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us / 1_000_000).cast("decimal(18,6)"))
+
+
 def _steps(start: Column, stop: Column, step_us: Column) -> Column:
-    """Grid times from start to stop inclusive, refusing absurd gaps."""
-    count = (F.unix_micros(stop) - F.unix_micros(start)) / step_us
-    checked = F.when(
-        count > MAX_GAP_SLOTS,
-        F.raise_error(F.lit(f"a gap opens more than {MAX_GAP_SLOTS} grid slots")).cast("timestamp"),
-    ).otherwise(stop)
-    seconds = (step_us / 1_000_000).cast("decimal(18,6)")
-    return F.sequence(start, checked, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
+    """Grid times from start to stop inclusive; none if stop is before start."""
+    return F.when(stop >= start, F.sequence(start, stop, _interval(step_us))).otherwise(
+        F.array().cast("array<timestamp>")
+    )
 
 
 def _stop(panel: Panel, step_us: Column, last: Column) -> Column:
     """Last grid time a row stands for: just before the next row, or ``last``."""
-    step = F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), (step_us / 1_000_000).cast("decimal(18,6)")
-    )
     following = F.lead(panel.dt).over(in_order(panel))
-    return F.coalesce(following - step, F.greatest(last, F.col(panel.dt)))
+    return F.greatest(F.coalesce(following - _interval(step_us), last), F.col(panel.dt))
 
 
 def _open_gaps(df: DataFrame, panel: Panel, step_us: Column) -> DataFrame:
     """Each row becomes itself plus the grid times up to its ``_stop``, in ``_t``.
-    No grid table is built or joined; the expansion is a projection."""
-    times = F.explode(_steps(F.col(panel.dt), F.col("_stop"), step_us))
-    return df.withColumn("_t", times).drop("_stop")
+
+    No grid table is built or joined; the expansion is a projection.  It opens blocks of
+    times first and each block then, so that no row ever holds a long gap as one array.
+    """
+    step_us = step_us.cast("long")
+    block_us = step_us * BLOCK_SLOTS
+    blocks = df.withColumn("_block", F.explode(_steps(F.col(panel.dt), F.col("_stop"), block_us)))
+    end = F.least(F.col("_stop"), F.col("_block") + _interval(block_us - step_us))
+    return blocks.withColumn("_t", F.explode(_steps(F.col("_block"), end, step_us))).drop("_stop", "_block")
+
+
+def long_gaps(df: DataFrame, panel: Panel, freq: str | int, slots: int) -> DataFrame:
+    """Rows after a gap of more than ``slots`` grid times: where a wrong timestamp would show."""
+    width = freq_seconds(freq) * 1_000_000
+    return _gaps(df, panel).where(F.col("gap_us") > F.lit(slots * width))
 
 
 def gap_fill(
@@ -139,7 +148,8 @@ def gap_fill(
     """Rows at every grid time from each series' first to its last timestamp.
 
     The grid is anchored at the first timestamp; rows off the grid are dropped and
-    inserted rows carry ``fill_value``.
+    inserted rows carry ``fill_value``.  Rows that share a timestamp all stay; only the
+    last of them opens the gap that follows (see :func:`average_duplicates`).
     """
     step = F.lit(freq_seconds(freq) * 1_000_000)
     panel = measured(df, panel)
@@ -152,11 +162,12 @@ def gap_fill_inferred(df: DataFrame, panel: Panel, fill_value=None) -> DataFrame
     if panel.chunk_us is None:
         bounded = _with_bounds(df, panel)
         gap = F.unix_micros(panel.dt) - F.unix_micros(F.lag(panel.dt).over(in_order(panel)))
-        least = F.min("_gap").over(Window.partitionBy(*panel.ids))
+        least = F.min(F.when(F.col("_gap") > 0, F.col("_gap"))).over(Window.partitionBy(*panel.ids))
         bounded = bounded.withColumn("_gap", gap).withColumn("_step", least).drop("_gap")
     else:
-        freq = min_gap_freq(df, panel).withColumnRenamed("freq_us", "_step")
-        bounded = _with_bounds(df, panel).join(freq, list(panel.ids))
+        positive = _gaps(df, panel).where(F.col("gap_us") > 0)
+        freq = positive.groupBy(*panel.ids).agg(F.min("gap_us").alias("_step"))
+        bounded = _with_bounds(df, panel).join(freq, list(panel.ids), "left")
     # A series of one row has no gap and nothing to fill.
     step = F.coalesce(F.col("_step"), F.lit(1_000_000))
     return _fill(bounded, panel, df.columns, step, fill_value)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import missing_to_null, zero_to_one
+from tidegrid.session import stage
 
 
 def _valid(df: DataFrame, c: str) -> Column:
@@ -116,19 +117,5 @@ def scale_per_series(
 def scale_grid(
     df: DataFrame, ids: Sequence[str], cols: Sequence[str], kind: str = "minmax"
 ) -> DataFrame:
-    """:func:`scale_per_series` for series on a regular grid, in one pass.
-
-    A grid bounds the rows of a series by its span, so the measures can come from
-    a window; its shuffle by series then serves the windows that follow.
-    """
-    if kind not in SCALERS:
-        raise ValueError(f"unknown scaler: {kind}")
-    params = {"standard": _standard_params, "minmax": _minmax_params}[kind]
-    series = Window.partitionBy(*ids)
-    measured = df.withColumns({n: m.over(series) for n, m in _measures(df, cols, kind).items()})
-    scaled = {}
-    for c in cols:
-        first, second = params(c).values()
-        x = F.col(c)
-        scaled[c] = (x - first) / second if kind == "standard" else x * first + second
-    return measured.withColumns(scaled).select(*df.columns)
+    """:func:`scale_per_series` with the table written once before it is read twice."""
+    return scale_per_series(stage(df), ids, cols, kind)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.forecast import grouped_ols, grouped_predict
 from tidegrid.operators.metrics import evaluate_metrics
+from tidegrid.session import stage
 
 
 def trial_grid(
-    spark: SparkSession, lists: Mapping[str, Sequence], key: str = "exptid", first: int = 0
+    spark: SparkSession, lists: Mapping[str, Sequence], key: str = "exptid", first: int = 0, repeats: int = 1
 ) -> DataFrame:
-    """One row per combination; the trial number's lowest digit runs over the first
-    list (mixed radix)."""
-    total = 1
+    """One row per combination, ``repeats`` times; the trial number's lowest digit runs
+    over the first list (mixed radix)."""
+    total = repeats
     for choices in lists.values():
         total *= len(choices)
     grid = spark.range(first, first + total).withColumnRenamed("id", key)
@@ -72,6 +73,7 @@ def run_trials(
     """
     ids, on = list(ids), list(on)
     y_cols, x_cols = list(y_cols), list(x_cols)
+    windows = stage(windows)  # the fit and the test rows both read them
     # A fit depends on its windows and series only, whatever trials share it.
     fit_by = [*on, *ids]
     train = windows.where(F.col(split) == "train")

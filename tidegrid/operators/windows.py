@@ -17,9 +17,11 @@ from tidegrid.functions.freq import freq_seconds
 from tidegrid.functions.scalar import on_grid
 from tidegrid.operators.chunks import in_order, measured, own_rows, with_halo
 from tidegrid.panel import Panel
+from tidegrid.session import stage
 
-# Past this many columns the nested form is the better table.
-WIDE_LIMIT = 2000
+# Past this many columns the flat form is read off the nested one: same table, and
+# one expression per step instead of one per cell in the window.
+WIDE = 500
 
 
 @dataclass(frozen=True)
@@ -80,8 +82,9 @@ def xy_windows_flat(
     that yield fewer than ``min_windows`` windows are left out.
     """
     shape = WindowSpecXY(n_tx, n_ty, h, n_ty_step)
-    if n_tx * len(x_cols) + n_ty * len(y_cols) > WIDE_LIMIT:
-        raise ValueError("too many columns for the flat form, use xy_windows_nested")
+    if n_tx * len(x_cols) + n_ty * len(y_cols) > WIDE:
+        nested = xy_windows_nested(df, panel, x_cols, y_cols, n_tx, n_ty, h, n_ty_step, min_windows)
+        return _flattened(nested, panel, shape, x_cols, y_cols)
     cols = list(dict.fromkeys([*x_cols, *y_cols]))
     panel = measured(df, panel)
     w = in_order(panel)
@@ -99,7 +102,15 @@ def xy_windows_flat(
         F.lead(F.lit(True), shape.reach).over(w).alias("_full"),
         *_group_windows(panel, shape.reach, min_windows),
     )
-    return _complete(wide, min_windows)
+    return _complete(wide, df, panel, shape.reach, min_windows)
+
+
+def _flattened(nested: DataFrame, panel: Panel, shape: WindowSpecXY, x_cols, y_cols) -> DataFrame:
+    """One column per element of ``x`` and ``y``."""
+    xs = [F.col("x")[i][j] for i in range(shape.n_tx) for j in range(len(x_cols))]
+    ys = [F.col("y")[i][j] for i in range(shape.n_ty) for j in range(len(y_cols))]
+    names = [*shape.x_names(x_cols), *shape.y_names(y_cols)]
+    return nested.select(*panel.ids, panel.dt, *[c.alias(n) for c, n in zip([*xs, *ys], names)])
 
 
 def xy_windows_nested(
@@ -132,23 +143,38 @@ def xy_windows_nested(
         F.lead(F.lit(True), shape.reach).over(w).alias("_full"),
         *_group_windows(panel, shape.reach, min_windows),
     )
-    return _complete(nested, min_windows)
+    return _complete(nested, df, panel, shape.reach, min_windows)
 
 
 def _group_windows(panel: Panel, reach: int, min_windows: int) -> list[Column]:
-    """Number of complete windows in the row's group, only when it is needed."""
-    if not min_windows:
+    """Number of complete windows in the row's group, where a window can count them."""
+    if not min_windows or panel.chunk_us is not None:
         return []
-    if panel.chunk_us is not None:
-        raise ValueError("min_windows needs groups that are not cut into chunks")
     return [(F.count(F.lit(1)).over(Window.partitionBy(*panel.ids)) - reach).alias("_windows")]
 
 
-def _complete(df: DataFrame, min_windows: int) -> DataFrame:
-    kept = own_rows(df).where(F.col("_full"))
-    if min_windows:
-        kept = kept.where(F.col("_windows") >= min_windows).drop("_windows")
-    return kept.drop("_full")
+def _complete(made: DataFrame, df: DataFrame, panel: Panel, reach: int, min_windows: int) -> DataFrame:
+    kept = own_rows(made).where(F.col("_full")).drop("_full")
+    if not min_windows:
+        return kept
+    if panel.chunk_us is None:
+        return kept.where(F.col("_windows") >= min_windows).drop("_windows")
+    return _large_groups(kept, df, panel, min_windows + reach)
+
+
+def _large_groups(kept: DataFrame, counted: DataFrame, panel: Panel, least: int) -> DataFrame:
+    """Rows of the groups that have ``least`` rows in ``counted``.
+
+    For series cut into chunks: sizes are combined on the map side, and no group is
+    gathered.
+    """
+    names = [f"_{c}" for c in panel.ids]
+    large = counted.groupBy(*[F.col(c).alias(n) for c, n in zip(panel.ids, names)]).agg(F.count(F.lit(1)).alias("_n"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(panel.ids, names)]
+    on = same[0]
+    for condition in same[1:]:
+        on = on & condition
+    return kept.join(large.where(F.col("_n") >= least).drop("_n"), on, "left_semi")
 
 
 def xy_windows_strided(df: DataFrame, panel: Panel, *args, n_ty_step: int, **kw) -> DataFrame:
@@ -199,7 +225,10 @@ def _dual(
     y_names = [c for c in y.columns if c not in df_y.columns and c not in ("_full", "_y_rows")]
     keys = [*panel.ids, panel.dt]
     out = x.select(*keys, *x_names).join(y.select(*keys, *y_names), keys)
-    if min_windows:
+    if min_windows and panel.chunk_us is not None:
+        out = stage(out)  # read twice: for the counts and for the rows
+        out = _large_groups(out, out, panel, min_windows)
+    elif min_windows:
         group = Window.partitionBy(*panel.ids)
         out = (
             out.withColumn("_windows", F.count(F.lit(1)).over(group))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.freq import freq_seconds
-from tidegrid.operators.regularize import min_gap_freq
+from tidegrid.operators.ranks import smallest_step
 from tidegrid.panel import Panel
 
 
@@ -22,8 +22,7 @@ def nullity_report(
     This is the pivoted, gap-filled table's completeness, without the wide table.
     """
     if freq is None:
-        times = readings.select(panel.dt).distinct().withColumn("_all", F.lit(0))
-        step = min_gap_freq(times, Panel(("_all",), panel.dt)).agg(F.min("freq_us")).scalar()
+        step = smallest_step(readings, panel.dt).scalar()
     else:
         step = F.lit(freq_seconds(freq) * 1_000_000)
     first, last = F.min(F.unix_micros(panel.dt)), F.max(F.unix_micros(panel.dt))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +42,7 @@ PARTITION_BYTES = 128 * 1024 * 1024
 
 def shuffle_partitions(input_bytes: int) -> int:
     """Shuffle partitions for an input size, so that each fits an executor's memory."""
-    return min(max(200, -(-input_bytes // PARTITION_BYTES)), 100_000)
+    return max(200, -(-input_bytes // PARTITION_BYTES))
 
 
 def build_session(
@@ -68,18 +72,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions, *keys)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint directory.
+_STAGED: list[str] = []
 
-    ``spark.checkpoint.dir`` is read from the session.  Only a local session
-    without that setting falls back to a temporary folder of its own.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tidegrid-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+def _base_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local session without it gets one folder of its own,
+    which is deleted when Python ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
+    base = tempfile.mkdtemp(prefix="tidegrid-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's checkpoint directory."""
+    return f"{_base_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -87,8 +99,28 @@ def stage(df: DataFrame) -> DataFrame:
 
     For results that several later jobs read.  The table lies in the shared
     folder, so the loss of an executor loses nothing, lineage is cut, and its
-    file sizes tell the planner what a join with it really costs.
+    file sizes tell the planner what a join with it really costs.  It stays until
+    the :func:`staging` block around it ends, or :func:`drop_staged` is called.
     """
     path = shared_folder(df.sparkSession, "stage")
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete staged tables; what still reads them fails."""
+    for path in _STAGED[since:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _STAGED[since:]
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end; write results in it."""
+    since = len(_STAGED)
+    try:
+        yield
+    finally:
+        drop_staged(spark, since)

@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from tidegrid.functions.scalar import missing_to_null
 from tidegrid.operators.clean import (
     drop_unnamed_columns,
+    order_used,
     ordered_category_geo,
-    ordered_category_list,
-    remove_unused_categories,
     replace_chars,
     std_colcodes,
     std_colnames,
@@ -113,8 +112,7 @@ def order_dataset(tables: Mapping[str, DataFrame], id_col: str = "id") -> dict[s
     out = {"meta": meta}
     for kind, df in tables.items():
         if kind != "meta":
-            ordered = ordered_category_list(df, id_col, levels) if id_col in df.columns else df
-            out[kind] = remove_unused_categories(ordered, id_col) if id_col in df.columns else ordered
+            out[kind] = order_used(df, id_col, levels) if id_col in df.columns else df
     return out
 
 
@@ -125,8 +123,29 @@ METRICS_SCHEMA = (
 
 
 def read_metrics_dir(spark: SparkSession, folder: str, schema: str = METRICS_SCHEMA) -> DataFrame:
-    """All per-trial metric files of a folder as one table, ordered by trial."""
-    return read_csv_typed(spark, folder, schema).orderBy("exptid")
+    """All per-trial metric files of a folder as one table, columns matched by name.
+
+    Each file has a header of its own, in an order of its own; columns of the schema that
+    a file lacks are NULL, and others are left out.
+    """
+    kinds = T._parse_datatype_string(schema)
+    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    name = F.trim(F.col("value"))
+    # A file's header is the line that names the key column; data lines start with a number.
+    header = lines.where(name.rlike(rf"(^|,)\"?{kinds.fields[0].name}\"?(,|$)"))
+    headers = header.groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+    out = None
+    for row in headers:  # one read for each order of columns, not for each file
+        names = [c.strip().strip('"') for c in row["value"].split(",")]
+        typed = T.StructType([
+            kinds[n] if n in kinds.names else T.StructField(n, T.StringType()) for n in names
+        ])
+        part = nulls_for_missing(spark.read.options(header=True).schema(typed).csv(row["files"]))
+        part = part.select(*[
+            F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields
+        ])
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], kinds)
 
 
 def read_trial_confs(
@@ -144,14 +163,27 @@ def read_trial_confs(
     return reader.json(folder).select(number.alias("exptid"), "*")
 
 
-# Rows of a series a trial uses.
+MANIFEST_SCHEMA = (
+    "road string, direction string, id bigint, id_prev bigint, id_next bigint, n_tx int, n_ty int, "
+    "n_ty_step int, x_cols array<string>, y_cols array<string>, months array<int>"
+)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_trial_lists(spark: SparkSession, path: str) -> dict[str, list]:
+    """The choices of a study, one list for each setting."""
+    row = spark.read.json(path).first()
+    return {} if row is None else {name: list(values) for name, values in row.asDict().items()}
+
+
+# Rows of a series that a trial uses, and that a test run uses.
 TRIAL_ROWS = 14400
 TEST_ROWS = 100
 
 
-def read_xy_tail(
-    spark: SparkSession, path: str, panel: Panel, n_rows: int | None = None, test: bool = False
-) -> DataFrame:
-    """Saved windows, the last rows of each series only."""
-    rows = n_rows if n_rows is not None else (TEST_ROWS if test else TRIAL_ROWS)
-    return tail_rows(read_parquet(spark, path), panel, rows)
+def read_xy_tail(spark: SparkSession, path: str, panel: Panel, n_rows: int) -> DataFrame:
+    """Saved windows, the last ``n_rows`` rows of each series only."""
+    return tail_rows(read_parquet(spark, path), panel, n_rows)

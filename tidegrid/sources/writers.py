@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Directory keys.  The series id is not among them by default: millions of ids
@@ -49,14 +49,30 @@ def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
     _write_partitioned(df, path, ("exptid",), mode)
 
 
-def manifest(neighbors: DataFrame, by: Sequence[str] = ("road", "direction")) -> DataFrame:
-    """One row per interior id of a road: the ids a study trains on."""
-    return neighbors.select(*by, "id", "id_prev", "id_next")
+def manifest(neighbors: DataFrame, by: Sequence[str] = ("road", "direction"), **dims) -> DataFrame:
+    """One row per interior id of a road: the ids a study trains on, and the shape of
+    their data sets (x_cols, y_cols, n_tx, n_ty, n_ty_step, months), lists as arrays."""
+    shape = [
+        (F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)).alias(name)
+        for name, value in dims.items()
+    ]
+    return neighbors.select(*by, "id", "id_prev", "id_next", *shape)
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+def write_trial_lists(spark: SparkSession, lists: Mapping[str, Sequence], path: str, mode: str = "overwrite") -> None:
+    """The choices that a study combines, as one JSON record."""
+    choices = [F.array(*[F.lit(v) for v in values]).alias(name) for name, values in lists.items()]
+    spark.range(1).select(*choices).write.mode(mode).json(path)
+
+
+def append_metrics(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
+    """Append rows to a folder of metric files, in the reader's order of columns unless told."""
+    from tidegrid.sources.readers import METRICS_SCHEMA
+
+    known = [part.split()[0] for part in METRICS_SCHEMA.split(", ")]
+    order = columns or [c for c in known if c in df.columns] + [c for c in df.columns if c not in known]
+    df.select(*order).write.mode("append").option("header", True).csv(path)

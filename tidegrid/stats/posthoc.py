@@ -49,9 +49,14 @@ def _all_pairs(ranks: DataFrame) -> DataFrame:
 
 
 def _by_p(descending: bool = False):
-    """Running frame over the comparisons in order of p-value."""
-    order = F.desc if descending else F.asc
-    w = Window.partitionBy(F.lit(0)).orderBy(order("p_value"), order("comparison"))
+    """Running frame over the comparisons in order of p-value.
+
+    The larger the statistic, the smaller p; statistics equal to nine digits are ties,
+    settled by name, so that rounding errors do not order them.
+    """
+    size, name = F.round("statistic", 9), F.col("comparison")
+    order = [size.asc(), name.desc()] if descending else [size.desc(), name.asc()]
+    w = Window.partitionBy(F.lit(0)).orderBy(*order)
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
