@@ -191,8 +191,8 @@ def _block_pairs(reach: float, block_rows: int):
                         continue
                 for p in range(blocks[i]):
                     for q in range(p if i == j else 0, blocks[j]):
-                        out.append((cells["cell"][i], p, blocks[i], cells["cell"][j], q, blocks[j]))
-        pairs = pd.DataFrame(out, columns=["cell_a", "salt_a", "blocks_a", "cell_b", "salt_b", "blocks_b"])
+                        out.append((cells["cell"][i], p, cells["cell"][j], q))
+        pairs = pd.DataFrame(out, columns=["cell_a", "salt_a", "cell_b", "salt_b"])
         pairs["label"], pairs["dim"] = cells["label"][0], cells["dim"][0]
         return pairs
 
@@ -279,18 +279,21 @@ def near_duplicate_links(
     pairs = stage(
         cells.groupBy("label", "dim").applyInPandas(
             _block_pairs(reach, block_rows),
-            f"cell_a long, salt_a long, blocks_a long, cell_b long, salt_b long, blocks_b long, label {label_type}, dim int",
+            f"cell_a long, salt_a long, cell_b long, salt_b long, label {label_type}, dim int",
         ).withColumn("pair", F.monotonically_increasing_id())
     )
     self_pair = (F.col("cell_a") == F.col("cell_b")) & (F.col("salt_a") == F.col("salt_b"))
     part = lambda s, side: pairs.select(
         "pair", "label", "dim", F.col(f"cell_{s}").alias("cell"), F.col(f"salt_{s}").alias("salt"),
-        F.col(f"blocks_{s}").alias("blocks"), F.when(self_pair, -1).otherwise(side).alias("side"),
+        F.when(self_pair, -1).otherwise(side).alias("side"),
     )
     seats = part("a", 0).unionByName(part("b", 1).where("side >= 0"))
-    seated = celled.join(seats, ["label", "dim", "cell"]).where(
-        F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")) == F.col("salt")
+    # A point knows its block first, so that it meets the seats of that block only.
+    blocks = cells.select("label", "dim", "cell", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    salted = celled.join(blocks, ["label", "dim", "cell"]).withColumn(
+        "salt", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks"))
     )
+    seated = salted.join(seats, ["label", "dim", "cell", "salt"])
     found = stage(
         seated.select("pair", "side", "node", "dim", "unit", "weight").groupBy("pair")
         .applyInArrow(_meet(least), "node long, links long, root long")
