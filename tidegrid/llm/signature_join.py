@@ -13,8 +13,9 @@ copies of any size costs about as much as its sets, and no link is lost.
 In a block the sets' bitmaps are the leaves of signature trees, one for each bitmap
 width.  An inner node holds the bitwise OR of what is below it and the range of set
 sizes.  Two trees are traversed together; a pair of nodes is dropped when not even the
-largest possible overlap below it is enough.  First the bitmaps alone tell which
-documents may be linked in a block, then the few that remain meet with their whole sets.
+largest possible overlap below it is enough.  Bitmaps alone tell which sets may be linked
+in a block.  Sets that may be linked by any way are a pool; the few sets in pools are
+fetched whole, once, and links are found in each pool by the same traversal.
 """
 
 from __future__ import annotations
@@ -237,51 +238,45 @@ def trees(bits: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> Iter
             yield own, SignatureTree(at, wide, n)
 
 
-def possible_members(bits: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets of a block have a partner that their bitmaps do not rule out."""
-    found = np.zeros(len(bits) + 1, bool)
-    for a, b in trees(bits, sizes, num, den):
-
-        def skip(x, y, a=a, b=b):
-            # -1 stands for no set; the last place of ``found`` is set aside for it.
-            seen = lambda t, p: (found[np.where(p < 0, len(bits), t.members[p])] | (p < 0)).all(axis=1)
-            return seen(a, x) & seen(b, y)
-
-        def visit(i, j, a=a, b=b):
-            found[a.members[i]] = True
-            found[b.members[j]] = True
+def spanning_pairs(
+    bits: list[np.ndarray], sizes: np.ndarray, num: int, den: int, linked: Callable[[int, int], bool] | None = None
+) -> list[tuple[int, int]]:
+    """Pairs that hold together the components of the graph of linked pairs.
 
-        dual(a, b, num, den, skip, visit)
-    return found[:-1]
-
-
-def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that hold the block's components together, each found by counting whole sets."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    label = np.arange(len(sets) + 1)
-    links: list[tuple[int, int]] = []
-    for a, b in trees([bitmap(s) for s in sets], sizes, num, den):
+    ``linked`` tells of a pair that its bitmaps do not rule out whether it is one; without
+    it all such pairs are.  Pairs inside a component are not looked at again.
+    """
+    label = np.arange(len(bits) + 1)  # the last for no set
+    pairs: list[tuple[int, int]] = []
+    for a, b in trees(bits, sizes, num, den):
 
         def skip(x, y, a=a, b=b):
             both = np.concatenate(
                 [np.where(x < 0, -1, label[a.members[x]]), np.where(y < 0, -1, label[b.members[y]])], axis=1
             )
-            first = both.max(axis=1)
-            return ((both == first[:, None]) | (both < 0)).all(axis=1)
+            return ((both == both.max(axis=1)[:, None]) | (both < 0)).all(axis=1)
 
         def visit(i, j, a=a, b=b):
             i, j = a.members[i], b.members[j]
             apart = label[i] != label[j]
             for p, q in zip(i[apart].tolist(), j[apart].tolist()):
-                if label[p] == label[q]:
-                    continue
-                shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                if shared * den >= num * (sizes[p] + sizes[q] - shared):
-                    links.append((p, q))
+                if label[p] != label[q] and (linked is None or linked(p, q)):
+                    pairs.append((p, q))
                     label[label == label[q]] = label[p]
 
         dual(a, b, num, den, skip, visit)
-    return links
+    return pairs
+
+
+def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that hold the components of these sets together, found by counting whole sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+
+    def linked(p: int, q: int) -> bool:
+        shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+        return shared * den >= num * (sizes[p] + sizes[q] - shared)
+
+    return spanning_pairs([bitmap(s) for s in sets], sizes, num, den, linked)
 
 
 # ------------------------------------------------------------------ on Spark
@@ -445,36 +440,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield sids, rest
 
 
-def _prune(num: int, den: int):
-    """Blocks with bitmaps to the blocks of those that may have a partner in them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            seen: set = set()
-            for sids, rest in _groups(batches):
-                sizes = np.array([n for n, _ in rest], np.int64)
-                some = possible_members([np.frombuffer(raw, np.uint64) for _, raw in rest], sizes, num, den)
-                if some.any():
-                    members = np.sort(np.array(sids, np.int64)[some])
-                    name = _named(members)
-                    if name not in seen:
-                        seen.add(name)
-                        yield (*name, False, members)
-
-        return _batched(rows(), BLOCK)
-
-    return run
-
-
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _verify(num: int, den: int):
+def _pairs(find: Callable[[list], list[tuple[int, int]]]):
+    """Blocks, row after row, to the pairs of sets that ``find`` picks from each block's payloads."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for sids, rest in _groups(batches):
-            found = linked_pairs([np.frombuffer(raw, np.uint64) for (raw,) in rest], num, den)
-            out += [(sids[i], sids[j]) for i, j in found]
+            out += [(sids[i], sids[j]) for i, j in find(rest)]
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=LINK)
                 out = []
@@ -512,28 +487,36 @@ def _sampled(width: int):
 
 
 class _Linker:
-    """Finds links in blocks given as members (b1, b2, sid): by bitmaps, then by whole sets."""
+    """Finds pairs in blocks given as members (b1, b2, sid): possible ones by bitmaps, links by whole sets."""
 
     def __init__(self, texts: DataFrame, of_docs: DataFrame, bitmaps: DataFrame, width: int, num: int, den: int):
         self.texts, self.of_docs, self.bitmaps = texts, of_docs, bitmaps
         self.width, self.num, self.den = width, num, den
 
+    def possible(self, members: DataFrame) -> DataFrame:
+        num, den = self.num, self.den
+
+        def find(rest: list) -> list[tuple[int, int]]:
+            sizes = np.array([n for n, _ in rest], np.int64)
+            return spanning_pairs([np.frombuffer(raw, np.uint64) for _, raw in rest], sizes, num, den)
+
+        return self._found(members, self.bitmaps, ["n", "a"], find)
+
     def links(self, members: DataFrame) -> DataFrame:
-        """(a, b): links that join the components of every block."""
-        possible = self._together(members, self.bitmaps, ["n", "a"]).mapInArrow(_prune(self.num, self.den), BLOCK_DDL)
-        remaining = stage(possible.select("b1", "b2", "members").dropDuplicates(["b1", "b2"]))
-        inside = remaining.select("b1", "b2", F.explode("members").alias("sid"))
-        return stage(
-            self._together(inside, self._whole_sets(inside.select("sid").distinct()), ["shingles"])
-            .mapInArrow(_verify(self.num, self.den), "a long, b long")
-        )
+        num, den = self.num, self.den
+
+        def find(rest: list) -> list[tuple[int, int]]:
+            return linked_pairs([np.frombuffer(raw, np.uint64) for (raw,) in rest], num, den)
 
-    def _together(self, members: DataFrame, of_sets: DataFrame, payload: list[str]) -> DataFrame:
-        """Members with what is known of their sets, each block's rows one after the other."""
-        return (
+        return self._found(members, self._whole_sets(members.select("sid").distinct()), ["shingles"], find)
+
+    def _found(self, members: DataFrame, of_sets: DataFrame, payload: list[str], find: Callable) -> DataFrame:
+        """Each block's rows meet one after the other in a task."""
+        together = (
             members.join(of_sets, "sid").repartition("b1", "b2").sortWithinPartitions("b1", "b2", "sid")
             .select("b1", "b2", "sid", *payload)
         )
+        return stage(together.mapInArrow(_pairs(find), "a long, b long").distinct())
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
         """Sets from the texts, which are read again: few are left by now."""
@@ -544,20 +527,20 @@ class _Linker:
         return again.select("text").mapInArrow(_sets(self.width), "sid long, shingles binary").dropDuplicates(["sid"])
 
 
-def _large_links(large: DataFrame, linker: _Linker, links: DataFrame, part: int) -> DataFrame:
-    """Links of blocks in parts (b1 block, b2 part, sid), added to ``links``.
+def _in_parts(large: DataFrame, find: Callable[[DataFrame], DataFrame], pairs: DataFrame, part: int) -> DataFrame:
+    """Pairs that ``find`` finds in blocks cut into parts (b1 block, b2 part, sid), added to ``pairs``.
 
     Parts first.  Then a set of each component of each part, parts by the dozen, up to
     the whole block: by then near copies are one component wherever they lie.  What
     stands outside a block's largest component meets every set of the block at last.
     """
     def labelled(rows: DataFrame) -> DataFrame:
-        known = components(links).withColumnRenamed("node", "sid")
+        known = components(pairs).withColumnRenamed("node", "sid")
         return rows.join(known, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
     level = large
     while True:
-        links = stage(links.unionByName(linker.links(level.select("b1", "b2", "sid"))))
+        pairs = stage(pairs.unionByName(find(level.select("b1", "b2", "sid"))))
         if not level.agg(F.max("b2")).first()[0]:
             break
         one = labelled(level).groupBy("b1", "b2", "component").agg(F.min("sid").alias("sid"))
@@ -578,13 +561,14 @@ def _large_links(large: DataFrame, linker: _Linker, links: DataFrame, part: int)
     )
     rows = members.join(open_blocks, "b1")
     place = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n))
-    every = rows.select("b1", "sid", place("parts", 1).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("o"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = rows.select("b1", "sid", place("parts", 1).alias("p"), up_to("others").alias("o"))
     beside = rows.where(F.col("component") != F.col("most")).select(
-        "b1", "sid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), place("others", 2).alias("o")
+        "b1", "sid", up_to("parts").alias("p"), place("others", 2).alias("o")
     )
-    met = every.unionByName(beside, allowMissingColumns=False).distinct()
-    pairs = met.select(F.xxhash64("b1", "p", "o").alias("b1"), F.xxhash64("p", "o", "b1").alias("b2"), "sid")
-    return links.unionByName(linker.links(pairs))
+    met = every.unionByName(beside).distinct()
+    outside = met.select(F.xxhash64("b1", "p", "o").alias("b1"), F.xxhash64("p", "o", "b1").alias("b2"), "sid")
+    return pairs.unionByName(find(outside))
 
 
 def shingle_components(
@@ -637,7 +621,7 @@ def shingle_components(
         rows.where("kind = 'post'").select("n", "a", "b").repartition(partitions(spark), "n")
         .mapInArrow(_blocks(part), BLOCK_DDL).dropDuplicates(["b1", "b2"])
     )
-    links = linker.links(blocks.where("NOT large").select("b1", "b2", F.explode("members").alias("sid")))
+    possible = linker.possible(blocks.where("NOT large").select("b1", "b2", F.explode("members").alias("sid")))
     large = blocks.where("large").select("b1", "b2", F.explode("members").alias("sid"))
     if (parts > 1).any():
         hot = rows.where("kind = 'hot'").select("a", "b").mapInArrow(_hot_postings, "b1 long, sid long").distinct()
@@ -650,8 +634,17 @@ def shingle_components(
         large = large.unionByName(dealt)
     large = stage(large)
     if not large.isEmpty():
-        links = _large_links(large, linker, links, part)
-    groups = components(stage(links))
+        possible = _in_parts(large, linker.possible, possible, part)
+    pools = stage(components(possible).select(F.col("component").alias("b1"), F.col("node").alias("sid")))
+    counts = pools.groupBy("b1").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+    dealt = stage(pools.join(counts, "b1").select(
+        "b1", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("parts")).alias("b2"), "sid", (F.col("parts") > 1).alias("large")
+    ))
+    links = linker.links(dealt.where("NOT large").drop("large"))
+    large = dealt.where("large").drop("large")
+    if not large.isEmpty():
+        links = _in_parts(large, linker.links, links, part)
+    groups = components(links)
     named = (
         of_docs.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc").alias("least"))
         .join(groups, F.col("sid") == F.col("node"), "left")
