@@ -83,16 +83,16 @@ def near_copies(draw):
     return rows
 
 
-@pytest.mark.parametrize("part,sample_docs", [(2048, 4096), (4, 10), (2, 4096)])
-def test_near_copies(make_docs, part, sample_docs):
+@pytest.mark.parametrize("part,share", [(2048, 1 / 16), (4, 0.0), (2, 1.0)])
+def test_near_copies(make_docs, part, share):
     """Also with blocks cut into tiny parts, by tasks or from the sample on."""
     rows = near_copies(random.Random(part))
-    got = shingle_components(make_docs(rows).repartition(3), sample_docs=sample_docs, part=part)
+    got = shingle_components(make_docs(rows).repartition(3), sample_share=share, part=part)
     assert found(got) == brute(rows)
 
 
-@pytest.mark.parametrize("sample_docs", [1, 4096])
-def test_one_large_group_with_outsiders(make_docs, sample_docs):
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_one_large_group_with_outsiders(make_docs, share):
     """Near copies in many parts, and documents that share their passage but link to a few or none."""
     draw = random.Random(7)
     base = [f"w{i}" for i in range(60)]
@@ -104,7 +104,7 @@ def test_one_large_group_with_outsiders(make_docs, sample_docs):
     rows += [(100 + k, " ".join(base[: 30 + k] + [f"own{k}x{i}" for i in range(40)])) for k in range(8)]
     far = [*base[:52], *[f"far{i}" for i in range(8)]]
     rows += [(200, " ".join(far)), (201, " ".join([*far[:58], "y", "z"])), (202, " ".join([*base[:47], *[f"q{i}" for i in range(13)]]))]
-    got = shingle_components(make_docs(rows).repartition(4), sample_docs=sample_docs, part=5)
+    got = shingle_components(make_docs(rows).repartition(4), sample_share=share, part=5)
     assert found(got) == brute(rows)
 
 

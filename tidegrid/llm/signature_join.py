@@ -288,18 +288,17 @@ ROWS = pa.schema([
 ROWS_DDL = "kind string, doc long, hash long, n long, sid long, a binary, b binary"
 
 
-def _sketch(
-    width: int, num: int, den: int, buckets: int, frequent: np.ndarray, times: np.ndarray, parts: np.ndarray
-):
+def _sketch(width: int, num: int, den: int, buckets: int, known):
     """(doc, hash, text) to ``doc`` rows, ``sig`` rows (bitmap a) and ``post`` rows by bucket (n).
 
     Postings are shingles' low halves (a) and sets (b); a set sends them once a task and flush.
     Shingles that the sample says are in very many documents (``parts`` over 1) go out as
     ``hot`` rows instead: whole shingles (a), sets (b), so that no task gathers their blocks.
     """
-    hot_shingles = frequent[parts > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, times, parts = known.value
+        hot_shingles = frequent[parts > 1]
         shingler = Shingler(width)
         sent: set[int] = set()
         code, owner, gathered = [], [], 0
@@ -573,7 +572,7 @@ def _in_parts(large: DataFrame, find: Callable[[DataFrame], DataFrame], pairs: D
 
 def shingle_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    num: int = 75, den: int = 100, sample_docs: int = 4096, part: int = 2048,
+    num: int = 75, den: int = 100, sample_share: float = 1 / 16, ordered: int = 1 << 20, part: int = 2048,
 ) -> DataFrame:
     """Documents linked by Jaccard similarity of at least ``num / den`` on word shingles.
 
@@ -585,8 +584,9 @@ def shingle_components(
     Fewer words than ``width`` are one shingle.  A text that is null or without words has
     an empty set and is linked with nothing.  A null id names no component; a component of
     null ids alone has a null name.  Rows that share an id are documents of their own.
-    ``sample_docs`` only bounds the sample that orders shingles, ``part`` the sets that
-    meet in one task; every set and every block is gone through.  An empty table gives an empty result.
+    ``sample_share`` and ``ordered`` only say which shingles are known as frequent, and so
+    put last, and ``part`` how many sets meet in one task; every set and every block is
+    gone through, and the result is the same for all.  An empty table gives an empty result.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -595,22 +595,23 @@ def shingle_components(
         F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"),
         ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary").alias("text"),
     )
-    there = docs.count()
-    drawn = F.pmod(F.xxhash64("doc", F.lit(6)), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(there, 1)) * (1 << 30))
+    drawn = F.pmod(F.xxhash64("doc", F.lit(6)), F.lit(1 << 30)) < int(sample_share * (1 << 30))
     often = (
         texts.where(drawn).select("text").mapInArrow(_sampled(width), "shingle long")
-        .groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").collect()  # bounded by the sample
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+        .orderBy(F.desc("n"), "shingle").limit(ordered).toArrow()
     )
-    frequent = np.array([r["shingle"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    times = np.array([r["n"] for r in often], np.int64)[order]
-    expected = times * max(1.0, there / sample_docs)  # documents, by the sample
+    frequent, times = (often.column(c).combine_chunks().to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(frequent.view(np.uint64))
+    frequent, times = frequent.view(np.uint64)[order], times[order]
+    expected = times / max(sample_share, 1e-9)  # documents, by the sample
     parts = np.where(expected > 4 * part, np.ceil(expected / part), 1).astype(np.int64)
+    known = spark.sparkContext.broadcast((frequent, times, parts))  # of at most ``ordered`` shingles
 
     buckets = 4 * partitions(spark)
     path = shared_folder(spark, fresh_name("shingles"))
     (
-        texts.mapInArrow(_sketch(width, num, den, buckets, frequent[order], times, parts), ROWS_DDL)
+        texts.mapInArrow(_sketch(width, num, den, buckets, known), ROWS_DDL)
         .write.partitionBy("kind").parquet(path)
     )
     rows = spark.read.schema(ROWS_DDL).parquet(path)
@@ -626,7 +627,7 @@ def shingle_components(
     if (parts > 1).any():
         hot = rows.where("kind = 'hot'").select("a", "b").mapInArrow(_hot_postings, "b1 long, sid long").distinct()
         of_hot = spark.createDataFrame(
-            [(int(h), int(p)) for h, p in zip(frequent[order][parts > 1].view(np.int64), parts[parts > 1])], "h long, parts long"
+            [(int(h), int(p)) for h, p in zip(frequent[parts > 1].view(np.int64), parts[parts > 1])], "h long, parts long"
         )
         dealt = hot.join(of_hot, F.col("b1") == F.col("h")).select(
             "b1", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts")).alias("b2"), "sid"
