@@ -106,7 +106,8 @@ def test_empty_table(spark):
     assert near_duplicate_links(frame(spark, [])).count() == 0
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("task_links", [0, 500_000])
+def test_components_of_random_graphs(spark, task_links):
     draw = random.Random(2)
     for links in (
         [(draw.randrange(300), draw.randrange(300)) for _ in range(200)],
@@ -125,5 +126,6 @@ def test_components_of_random_graphs(spark):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
         want = {(x, root(x)) for a, b in links if a != b for x in (a, b)}
-        got = components(spark.createDataFrame(links, "a long, b long")).collect()
+        rows = spark.createDataFrame(links, "a long, b long").repartition(5)
+        got = components(rows, task_links=task_links).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -76,9 +76,9 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits of a set, about four for each element, in 64-bit words; a power of two of them."""
+    """Bits of a set, three to six for each element, in 64-bit words; a power of two of them."""
     words = 1
-    while words * 64 < 4 * len(shingles):
+    while words * 64 < 3 * len(shingles):
         words *= 2
     # The bit within a word does not depend on the width, so that words can be folded.
     out = np.zeros(words, np.uint64)
@@ -283,15 +283,21 @@ def linked_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
 
 ROWS = pa.schema([
     ("kind", pa.string()), ("doc", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()),
-    ("a", pa.binary()), ("b", pa.binary()),
+    ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()),
 ])
-ROWS_DDL = "kind string, doc long, hash long, n long, sid long, a binary, b binary"
+ROWS_DDL = "kind string, doc long, hash long, n long, sid long, a binary, b binary, c binary"
+
+
+def size_class(n: int, num: int, den: int) -> int:
+    """Sets that are linked are of the same class or of neighbouring ones."""
+    return int(np.log(n) / np.log(max(den / num, 1.1)) + 1e-9)
 
 
 def _sketch(width: int, num: int, den: int, buckets: int, known):
     """(doc, hash, text) to ``doc`` rows, ``sig`` rows (bitmap a) and ``post`` rows by bucket (n).
 
-    Postings are shingles' low halves (a) and sets (b); a set sends them once a task and flush.
+    Postings are shingles' low halves (a), sets (b) and their size classes (c); a set sends
+    them once a task and flush.
     Shingles that the sample says are in very many documents (``parts`` over 1) go out as
     ``hot`` rows instead: whole shingles (a), sets (b), so that no task gathers their blocks.
     """
@@ -304,21 +310,22 @@ def _sketch(width: int, num: int, den: int, buckets: int, known):
         code, owner, gathered = [], [], 0
 
         def postings() -> list[tuple]:
-            c, o = np.concatenate(code), np.repeat(*map(np.array, zip(*owner)))
+            names, classes, counts = map(np.array, zip(*owner))
+            c, o, k = np.concatenate(code), np.repeat(names, counts), np.repeat(classes.astype(np.uint8), counts)
             out = []
             if len(hot_shingles):
                 place = np.minimum(np.searchsorted(hot_shingles, c), len(hot_shingles) - 1)
                 hot = hot_shingles[place] == c
                 if hot.any():
-                    out.append(("hot", None, None, int(hot.sum()), None, c[hot].tobytes(), o[hot].tobytes()))
-                    c, o = c[~hot], o[~hot]
+                    out.append(("hot", None, None, int(hot.sum()), None, c[hot].tobytes(), o[hot].tobytes(), None))
+                    c, o, k = c[~hot], o[~hot], k[~hot]
             bucket = (c >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             low = c.astype(np.uint32)
             return out + [
-                ("post", None, None, k, None, low[at].tobytes(), o[at].tobytes())
-                for k in range(buckets) if len(at := order[ends[k] : ends[k + 1]])
+                ("post", None, None, b, None, low[at].tobytes(), o[at].tobytes(), k[at].tobytes())
+                for b in range(buckets) if len(at := order[ends[b] : ends[b + 1]])
             ]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -329,14 +336,15 @@ def _sketch(width: int, num: int, den: int, buckets: int, known):
             sets = shingler(batch.column(2).to_pylist())
             for doc, text_hash, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets):
                 if not len(x):
-                    out.append(("doc", doc, text_hash, 0, None, None, None))
+                    out.append(("doc", doc, text_hash, 0, None, None, None, None))
                     continue
                 name = set_id(x)
-                out.append(("doc", doc, text_hash, len(x), name, None, None))
+                out.append(("doc", doc, text_hash, len(x), name, None, None, None))
                 if name in sent:
                     continue
                 sent.add(name)
-                out.append(("sig", None, None, len(x), name, bitmap(x).tobytes(), None))
+                out.append(("sig", None, None, len(x), name, bitmap(x).tobytes(), None, None))
+                size = size_class(len(x), num, den)
                 prefix = len(x) - -(-num * len(x) // den) + 1
                 if len(frequent):
                     place = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
@@ -345,7 +353,7 @@ def _sketch(width: int, num: int, den: int, buckets: int, known):
                         late = x[often]
                         x = np.concatenate([x[~often], late[np.argsort(times[place[often]], kind="stable")]])
                 code.append(x[:prefix])
-                owner.append((np.int64(name), prefix))
+                owner.append((np.int64(name), size, prefix))
                 gathered += prefix
             if out:
                 yield batch_of(out)
@@ -368,16 +376,16 @@ def _named(members: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), np.int64).tolist())
 
 
-def _block_rows(code: int, members: np.ndarray, part: int, seen: set) -> Iterator[tuple]:
-    """A block unless the task has had the same, or the parts of a large one under its shingle."""
+def _block_rows(name: int, members: np.ndarray, part: int, seen: set) -> Iterator[tuple]:
+    """A block unless the task has had the same, or the parts of a large one under ``name``."""
     if len(members) > part:
         for k, at in enumerate(range(0, len(members), part)):
-            yield (code, k, True, members[at : at + part])
+            yield (name, k, True, members[at : at + part])
         return
-    name = _named(members)
-    if name not in seen:
-        seen.add(name)
-        yield (*name, False, members)
+    own = _named(members)
+    if own not in seen:
+        seen.add(own)
+        yield (*own, False, members)
 
 
 def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -393,27 +401,30 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 19) -> I
 
 
 def _blocks(part: int):
-    """Postings of whole buckets to blocks: the sets that share a shingle, two or more."""
+    """Postings of whole buckets to blocks: sets of like sizes that share a shingle, two or more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        code, owner = [], []
+        code, owner, size = [], [], []
         for batch in batches:
-            for bucket, a, b in zip(*(batch.column(k).to_pylist() for k in ("n", "a", "b"))):
+            for bucket, a, b, k in zip(*(batch.column(x).to_pylist() for x in ("n", "a", "b", "c"))):
                 code.append(np.frombuffer(a, np.uint32) | np.uint64(bucket << 32))
                 owner.append(np.frombuffer(b, np.int64))
+                size.append(np.frombuffer(k, np.uint8))
         if not code:
             return
-        c, o = np.concatenate(code), np.concatenate(owner)
-        order = np.lexsort((o, c))
-        c, o = c[order], o[order]
+        c, o, k = np.concatenate(code), np.concatenate(owner), np.concatenate(size).astype(np.int64)
+        order = np.lexsort((o, k, c))
+        c, o, k = c[order], o[order], k[order]
         first = np.r_[True, (c[1:] != c[:-1]) | (o[1:] != o[:-1])]  # a set once in a block
-        c, o = c[first], o[first]
-        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        c, o, k = c[first], o[first], k[first]
+        # A block ends where sizes leap: nothing on one side is linked with the other.
+        starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (k[1:] - k[:-1] > 1)])
         ends = np.r_[starts[1:], len(c)]
         several = ends - starts > 1
         seen: set = set()
         for s, e in zip(starts[several], ends[several]):
-            yield from _block_rows(int(c[s].astype(np.int64)), o[s:e], part, seen)
+            name = int((c[s] * _K[0] + np.uint64(k[s])).astype(np.int64))
+            yield from _block_rows(name, o[s:e], part, seen)
 
     return lambda batches: _batched(rows(batches), BLOCK)
 
@@ -619,7 +630,7 @@ def shingle_components(
     bitmaps = rows.where("kind = 'sig'").select("sid", "n", "a").dropDuplicates(["sid"])
     linker = _Linker(texts, of_docs, bitmaps, width, num, den)
     blocks = stage(
-        rows.where("kind = 'post'").select("n", "a", "b").repartition(partitions(spark), "n")
+        rows.where("kind = 'post'").select("n", "a", "b", "c").repartition(partitions(spark), "n")
         .mapInArrow(_blocks(part), BLOCK_DDL).dropDuplicates(["b1", "b2"])
     )
     possible = linker.possible(blocks.where("NOT large").select("b1", "b2", F.explode("members").alias("sid")))
