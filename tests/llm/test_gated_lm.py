@@ -44,7 +44,6 @@ def test_state_is_carried_over_whole_documents(lanes, window):
 def test_slopes_agree_with_differences():
     net = GatedNetwork(4, seed=1)
     net.weights = {k: v.astype(np.float64) * 2 for k, v in net.weights.items()}
-    net.states = lambda inputs, state, keep=None: _double_states(net, inputs, state, keep)
     draw = np.random.default_rng(2)
     inputs, targets = draw.integers(0, CLASSES + 1, (6, 3)), draw.integers(0, CLASSES, (6, 3))
     mask = (draw.random((6, 3)) > 0.2).astype(float)
@@ -60,12 +59,7 @@ def test_slopes_agree_with_differences():
                 flat[at] = old + step
                 losses.append(net.slopes(inputs, targets, mask, state)[2])
             flat[at] = old
-            assert slopes[name].reshape(-1)[at] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=2e-2, abs=2e-5)
-
-
-def _double_states(net, inputs, state, keep):
-    states = np.array(GatedNetwork.states(net, inputs, state, keep), np.float64)
-    return states
+            assert slopes[name].reshape(-1)[at] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=1e-4, abs=1e-8)
 
 
 def test_training_learns_a_rule():
@@ -125,7 +119,7 @@ def test_held_out_documents_are_better_explained_than_by_the_base(make_docs):
     rows = [(i, " ".join(draw.choices(kinds[i % 3], k=40))) for i in range(500)]
     got = language_model_scores(make_docs(rows), condition(), epochs=8).collect()
     out = [r for r in got if r["held_out"]]
-    assert len(out) > 30 and sum(r["score"] for r in out) > 0.8 * sum(r["base_score"] for r in out)
+    assert len(out) > 30 and sum(r["score"] for r in out) > 0.93 * sum(r["base_score"] for r in out)
     changed = [(i, "other words" if remainder(i) else t) for i, t in rows]
     again = {r["doc_id"]: r for r in language_model_scores(make_docs(changed), condition(), epochs=8).collect()}
     assert all(again[r["doc_id"]]["score"] == pytest.approx(r["score"]) for r in got if not r["held_out"])

@@ -91,7 +91,7 @@ class GatedNetwork:
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of the window's steps, (steps, lanes, hidden)."""
         x, u, n = self.weights["x"][inputs], self.weights["u"], self.hidden
-        out = np.empty((*inputs.shape, n), np.float32)
+        out = np.empty((*inputs.shape, n), u.dtype)
         for t in range(len(inputs)):
             pull = state @ u
             gates = _sigmoid(x[t, :, : 2 * n] + pull[:, : 2 * n])
@@ -124,8 +124,8 @@ class GatedNetwork:
         n, u = self.hidden, self.weights["u"]
         flat = error.reshape(-1, CLASSES)
         out = {"o": states.reshape(-1, n).T @ flat, "b": flat.sum(axis=0), "u": np.zeros_like(u)}
-        back, behind = error @ self.weights["o"].T, np.zeros((lanes, n), np.float32)
-        inner = np.empty((steps, lanes, 3 * n), np.float32)
+        back, behind = error @ self.weights["o"].T, np.zeros((lanes, n), u.dtype)
+        inner = np.empty((steps, lanes, 3 * n), u.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, new, pull = keep[t]
             d = back[t] + behind
@@ -136,7 +136,7 @@ class GatedNetwork:
             through = np.concatenate([d_z, d_r, d_new * r], axis=1)
             out["u"] += before.T @ through
             behind = d * z + through @ u.T
-        hot = np.zeros((steps * lanes, CLASSES + 1), np.float32)
+        hot = np.zeros((steps * lanes, CLASSES + 1), u.dtype)
         hot[np.arange(steps * lanes), inputs.reshape(-1)] = 1
         out["x"] = hot.T @ inner.reshape(-1, 3 * n)
         return out, states[-1], loss

@@ -34,7 +34,7 @@ from tidegrid.llm.shared import ascii_lower, fresh_name, partitions, settle, sha
 FAN = 8
 #: Parts whose components' representatives meet in one part of the next level.
 JOINED = 64
-FLUSH_POSTINGS = 1 << 21
+FLUSH_POSTINGS = 1 << 19
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 # ------------------------------------------------------------------ shingles
@@ -297,7 +297,7 @@ def _sketch(width: int, num: int, den: int, buckets: int, known):
     """(doc, hash, text) to ``doc`` rows, ``sig`` rows (bitmap a) and ``post`` rows by bucket (n).
 
     Postings are shingles' low halves (a), sets (b) and their size classes (c); a set sends
-    them once a task and flush.
+    them once a task, or once in a million sets.
     Shingles that the sample says are in very many documents (``parts`` over 1) go out as
     ``hot`` rows instead: whole shingles (a), sets (b), so that no task gathers their blocks.
     """
@@ -360,7 +360,8 @@ def _sketch(width: int, num: int, den: int, buckets: int, known):
             if gathered > FLUSH_POSTINGS:
                 yield batch_of(postings())
                 code, owner, gathered = [], [], 0
-                sent = set()
+                if len(sent) > 1 << 20:
+                    sent = set()
         if gathered:
             yield batch_of(postings())
 
