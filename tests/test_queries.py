@@ -26,7 +26,7 @@ def test_every_query_has_a_twin():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     relation = duck.sql(ORACLES[name])
-    assert relation.count("*").fetchone()[0] > 0, "a query without rows shows nothing"
+    assert relation.limit(1).fetchall(), "a query without rows shows nothing"
     types = dict(zip(relation.columns, map(str, relation.types)))
     assert compare(QUERIES[name](spark, SF), relation.df(), types) == "ok"
 
