@@ -29,7 +29,7 @@ HEADLINE = [
     "evaluate_metrics", "rank_average", "rank_average_global",
     "friedman_test", "friedman_aligned_ranks_test", "quade_test", "anova_within_test",
     "holm_test", "shaffer_multitest", "wilcoxon", "mannwhitneyu",
-    "forecast_fit_predict", "forecast_per_series", "run_trials",
+    "forecast_fit_predict", "forecast_per_series", "forecast_auto", "run_trials",
     "build_dataset_single_rate", "build_dataset_dual_rate",
 ]
 
