@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows alike in id and text stay or go together.
     """
     found = shingle_components(docs)
-    gone = (
+    gone = stage(  # written, so that texts are moved only if it is too large to broadcast
         found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select(F.col("doc_id").alias("_id"), "text_hash").distinct()
     )

@@ -103,9 +103,10 @@ def fit_quality(
     n = marks.count()
     drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 30))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    # Written, so that the planner sees how small the sample is and does not move the texts.
+    sample = stage(marks.where(drawn))
     rows = (
-        texts.where(F.octet_length("text") <= max_chars)
-        .join(marks.where(drawn), "id").select("id", "good", "text").collect()
+        texts.where(F.octet_length("text") <= max_chars).join(sample, "id").select("id", "good", "text").collect()
     )
     rows = sorted(rows, key=lambda r: (r["id"], r["good"], r["text"]))
     good = np.array([r["good"] for r in rows], float)
