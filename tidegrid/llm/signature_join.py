@@ -156,36 +156,37 @@ def dual(a: SignatureTree, b: SignatureTree, num: int, den: int, skip: Callable,
     # Leaves next to each other first: what they settle saves looks at others.
     order = np.argsort(np.abs(left - right) if same else left, kind="stable")
     left, right = left[order], right[order]
-    width = a.bits.shape[1]
-    step = max(1, (1 << 19) // (width * FAN * FAN))
+    few = max(1, (1 << 19) // (a.bits.shape[1] * FAN * FAN))  # pairs whose bitmaps are laid out at a time
     inner = np.arange(FAN)
-    at = 0
-    while at < len(left):
-        x = left[at : at + step, None] * FAN + inner
-        y = right[at : at + step, None] * FAN + inner
-        at += step
+    for at in range(0, len(left), 1 << 12):
+        x = left[at : at + (1 << 12), None] * FAN + inner
+        y = right[at : at + (1 << 12), None] * FAN + inner
         x, y = np.where(x < len(a), x, -1), np.where(y < len(b), y, -1)
-        open_pairs = ~skip(x, y)
-        x, y = x[open_pairs], y[open_pairs]
-        if not len(x):
-            step = min(step * 2, 1 << 14)
-            continue
-        i, j = np.repeat(x, FAN, axis=1).ravel(), np.tile(y, FAN).ravel()
-        fine = (i >= 0) & (j >= 0)
-        if same:
-            fine &= i < j
-        i, j = i[fine], j[fine]
-        least = needed(a.sizes[i], b.sizes[j], num, den)
-        near = np.minimum(a.sizes[i], b.sizes[j]) >= least
-        i, j, least = i[near], j[near], least[near]
-        p, q = a.bits[i], b.bits[j]
-        most = np.minimum(
-            a.sizes[i] - np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64),
-            b.sizes[j] - np.bitwise_count(q & ~p).sum(axis=1).astype(np.int64),
-        )
-        room = most >= least
-        if room.any():
-            visit(i[room], j[room])
+        while len(x):
+            unsettled = ~skip(x, y)
+            x, y = x[unsettled], y[unsettled]
+            _look(a, b, x[:few], y[:few], num, den, visit)
+            x, y = x[few:], y[few:]
+
+
+def _look(a: SignatureTree, b: SignatureTree, x, y, num: int, den: int, visit: Callable) -> None:
+    """Visit the pairs of sets of these leaf pairs that their bitmaps leave room for."""
+    i, j = np.repeat(x, FAN, axis=1).ravel(), np.tile(y, FAN).ravel()
+    fine = (i >= 0) & (j >= 0)
+    if a is b:
+        fine &= i < j
+    i, j = i[fine], j[fine]
+    least = needed(a.sizes[i], b.sizes[j], num, den)
+    near = np.minimum(a.sizes[i], b.sizes[j]) >= least
+    i, j, least = i[near], j[near], least[near]
+    p, q = a.bits[i], b.bits[j]
+    most = np.minimum(
+        a.sizes[i] - np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64),
+        b.sizes[j] - np.bitwise_count(q & ~p).sum(axis=1).astype(np.int64),
+    )
+    room = most >= least
+    if room.any():
+        visit(i[room], j[room])
 
 
 def _possible(x, y, left, right, num: int, den: int) -> np.ndarray:
