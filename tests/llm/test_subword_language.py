@@ -80,3 +80,28 @@ def test_subwords_of_a_batch_are_those_of_each_text():
 def test_calibration_keeps_the_best_language():
     model = SubwordModel(["a", "b"], np.zeros((8, 2), np.float32), np.array([0.0, 1.0]), temperature=2.0)
     assert model.probabilities([b"text"])[0].argmax() == 1
+
+
+def gibberish(draw, n):
+    return " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(n))
+
+
+def test_gibberish_and_unlearned_languages_are_rejected_and_clean_texts_are_not():
+    draw = random.Random(4)
+    rows = corpus(600)
+    clean = corpus(400, seed=2)
+    junk = [gibberish(draw, draw.randint(5, 80)).encode() for _ in range(200)]
+    model = train([t.encode() for _, t in rows], [lang for lang, _ in rows])
+    assert model.judge(junk)[2].mean() > 0.98
+    assert model.judge([t.encode() for _, t in clean])[2].mean() <= 0.01
+    for left in STEMS:
+        model = train([t.encode() for lang, t in rows if lang != left], [lang for lang, _ in rows if lang != left])
+        assert model.judge([t.encode() for lang, t in clean if lang == left])[2].mean() > 0.95
+        assert model.judge([t.encode() for lang, t in clean if lang != left])[2].mean() <= 0.01
+
+
+def test_few_rows_also_set_a_limit():
+    draw = random.Random(5)
+    rows = corpus(16, seed=3)
+    model = train([t.encode() for _, t in rows], [lang for lang, _ in rows])
+    assert model.judge([gibberish(draw, 40).encode() for _ in range(20)])[2].mean() > 0.9

@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 Subwords are byte n-grams inside words, word ends included.  Embeddings and softmax
-are trained together by stochastic gradient descent in numpy; a temperature and a
-rejection limit are then set on documents kept out of the descent.
+are trained together by stochastic gradient descent in numpy.  A temperature and limits
+of rejection are then set on documents kept out of the descent, against the same documents
+with shuffled letters and with their own language left out.
 """
 
 from __future__ import annotations
@@ -60,22 +61,54 @@ def subwords(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class SubwordModel:
-    """``scores`` holds each bucket's embedding already times the softmax weights."""
+    """``scores`` holds each bucket's embedding already times the softmax weights.
+
+    ``usual`` holds log shares of the buckets in each language's training texts; a text's mean
+    of them under its best language, less that language's ``center`` and over the ``spread``
+    of a text of its length, is its familiarity.  A text is rejected if its probability is
+    under ``limit`` or its familiarity under ``strange``.
+    """
 
     langs: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     limit: float = 0.0
+    usual: np.ndarray | None = None
+    center: np.ndarray | None = None
+    spread: tuple[float, float] = (1.0, 0.0)
+    strange: float = -np.inf
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+    def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits before the temperature, mean log shares of each language, and numbers of subwords."""
         codes, counts = subwords(texts, len(self.scores))
-        sums = np.zeros((len(texts), len(self.langs)))
         some = counts > 0
-        if some.any():
-            at = np.cumsum(counts) - counts
-            sums[some] = np.add.reduceat(self.scores[codes].astype(np.float64), at[some]) / counts[some, None]
-        return softmax((sums + self.bias) / self.temperature)
+        at = (np.cumsum(counts) - counts)[some]
+        out = []
+        for table in (self.scores, self.usual):
+            sums = np.zeros((len(texts), len(self.langs)))
+            if table is not None and some.any():
+                sums[some] = np.add.reduceat(table[codes].astype(np.float64), at) / counts[some, None]
+            out.append(sums)
+        return out[0] + self.bias, out[1], counts
+
+    def familiarity(self, usual: np.ndarray, counts: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """How far each text is from usual texts of its best language, in standard deviations."""
+        if self.center is None:
+            return np.zeros(len(best))
+        far = usual[np.arange(len(best)), best] - self.center[best]
+        return far / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(counts, 1))
+
+    def judge(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its probability and whether it is rejected, of each text."""
+        logits, usual, counts = self.means(texts)
+        p = softmax(logits / self.temperature)
+        best = p.argmax(axis=1)
+        score = p.max(axis=1)
+        return best, score, (score < self.limit) | (self.familiarity(usual, counts, best) < self.strange)
+
+    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+        return softmax(self.means(texts)[0] / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -87,14 +120,34 @@ def train(
     texts: list[bytes], labels: list[str], buckets: int = 1 << 16, dim: int = 16,
     epochs: int = 8, rate: float = 0.5, window: int = 400, seed: int = 11,
 ) -> SubwordModel:
-    """Fit on whole texts and on random windows of them, so that short texts work too."""
+    """Fit on whole texts and on random windows of them, so that short texts work too.
+
+    A fifth of the texts is kept out and calibrates the model.  Of fewer than 20, all are
+    learned from, and models without a quarter each calibrate on that quarter.
+    """
     langs = sorted(set(labels))
+    index = {lang: i for i, lang in enumerate(langs)}
+    truth = np.array([index[label] for label in labels])
+    place = np.arange(len(texts))
+
+    def fitted(learn: np.ndarray) -> SubwordModel:
+        return _descent(texts, truth, langs, learn, buckets, dim, epochs, rate, window, seed)
+
+    if len(texts) >= 20:
+        hold = place % 5 == 4
+        model = fitted(np.flatnonzero(~hold))
+        parts = [(model, np.flatnonzero(hold))]
+    else:
+        model = fitted(place)
+        parts = [(fitted(place[place % 4 != k]), place[place % 4 == k]) for k in range(4) if len(texts) > k and len(texts) > 1]
+    _calibrate(model, [(m, [texts[i] for i in at], truth[at]) for m, at in parts], window, seed)
+    return model
+
+
+def _descent(texts, truth, langs, learn, buckets, dim, epochs, rate, window, seed) -> SubwordModel:
     draw = np.random.default_rng(seed)
     table = draw.normal(0, 1.0 / dim, (buckets, dim))
     weights, bias = np.zeros((dim, len(langs))), np.zeros(len(langs))
-    index = {lang: i for i, lang in enumerate(langs)}
-    hold = np.arange(len(texts)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(texts), bool)
-    learn = np.flatnonzero(~hold)
     steps, step = epochs * max(len(learn), 1), 0
     for _ in range(epochs):
         for i in draw.permutation(learn):
@@ -111,29 +164,97 @@ def train(
             share = counts / counts.sum()
             mean = share @ table[used]
             slope = softmax(mean @ weights + bias)
-            slope[index[labels[i]]] -= 1
+            slope[truth[i]] -= 1
             back = weights @ slope
             weights -= pace * np.outer(mean, slope) * dim
             bias -= pace * 0.01 * slope
             table[used] -= pace * dim * share[:, None] * back
-    model = SubwordModel(langs, (table @ weights).astype(np.float32), bias)
-    _calibrate(model, [texts[i] for i in np.flatnonzero(hold)], [index[labels[i]] for i in np.flatnonzero(hold)])
-    return model
-
-
-def _calibrate(model: SubwordModel, texts: list[bytes], truth: list[int], lose: float = 0.001) -> None:
-    """Temperature of least surprise; the limit rejects at most the share ``lose`` of right answers."""
-    if not texts:
+    seen = np.zeros((len(langs), buckets))
+    for i in learn:
+        seen[truth[i]] += np.bincount(subwords([texts[i]], buckets)[0], minlength=buckets)
+    usual = np.log((seen + 0.1) / (seen.sum(axis=1, keepdims=True) + 0.1 * buckets)).T
+    return SubwordModel(langs, (table @ weights).astype(np.float32), bias, usual=usual.astype(np.float32))
+
+
+def shuffled(text: bytes, draw: np.random.Generator) -> bytes:
+    """The text with its letters dealt anew; gaps stay where they are."""
+    chars = np.array(list(text.decode(errors="ignore")))
+    at = np.flatnonzero([c.isalpha() for c in chars])
+    chars[at] = chars[draw.permutation(at)]
+    return "".join(chars).encode()
+
+
+def _between(clean: np.ndarray, other: np.ndarray, lose: float) -> float:
+    """A limit under which at most the share ``lose`` of ``clean`` falls; lower, halfway to the
+    upper hundredth of ``other``, where the two are apart."""
+    high = float(np.quantile(clean, lose, method="lower"))
+    low = float(np.quantile(other, 0.99)) if len(other) else -np.inf
+    return (high + low) / 2 if -np.inf < low < high else high
+
+
+def _calibrate(
+    model: SubwordModel, parts: list[tuple[SubwordModel, list[bytes], np.ndarray]], window: int, seed: int,
+    lose: float = 0.001, cuts: int = 3,
+) -> None:
+    """Temperature of least surprise, and limits of the probability and the familiarity.
+
+    ``parts`` are models with texts that they have not learned from.  Each text counts whole
+    and in windows.  Together the limits reject at most the share ``lose`` of the texts that
+    get their own language.  Texts that should be rejected are those texts with their letters
+    shuffled, and as they look where their own language has not been learned.
+    """
+    draw = np.random.default_rng(seed)
+    logits, usual, counts, truth, junk = [], [], [], [], []
+    for made, texts, right in parts:
+        rows = [(text, r) for text, r in zip(texts, right)]
+        for text, r in zip(texts, right):
+            for _ in range(cuts if len(text) > window else 0):
+                at = int(draw.integers(0, len(text) - window))
+                rows.append((text[at : at + int(draw.integers(window // 8, window))], r))
+        found = made.means([text for text, _ in rows])
+        some = found[2] > 0
+        for kept, new in zip((logits, usual, counts), found):
+            kept.append(new[some])
+        truth.append(np.array([r for _, r in rows], np.int64)[some])
+        found = made.means([shuffled(text, draw) for text, _ in rows])
+        junk.append(tuple(x[found[2] > 0] for x in found))
+    if not sum(map(len, truth)):
         return
-    right = np.array(truth)
-    raw = np.log(np.maximum(model.probabilities(texts), 1e-300))
+    logits, usual, counts, truth = (np.concatenate(x) for x in (logits, usual, counts, truth))
+    every = np.arange(len(truth))
     grid = np.geomspace(0.05, 20, 61)
-    surprise = [-np.log(np.maximum(softmax(raw / t)[np.arange(len(right)), right], 1e-12)).mean() for t in grid]
+    surprise = [-np.log(np.maximum(softmax(logits / t)[every, truth], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(surprise))])
-    p = softmax(raw / model.temperature)
-    top = p.max(axis=1)[p.argmax(axis=1) == right]
-    if len(top):
-        model.limit = float(min(np.quantile(top, lose), 1.2 / len(model.langs)))
+    clean = logits.argmax(axis=1) == truth
+    if not clean.any():
+        return
+    own = usual[every, truth]
+    model.center = np.array([
+        own[clean & (truth == i)].mean() if (clean & (truth == i)).any() else own[clean].mean() for i in range(len(model.langs))
+    ])
+    # Squared distances as a part that every text has and one that shrinks with its length.
+    square = (own - model.center[truth])[clean] ** 2
+    terms = np.stack([np.ones(len(square)), 1 / counts[clean]], axis=1)
+    fit = np.linalg.lstsq(terms, square, rcond=None)[0]
+    if fit.min() < 0:  # one part alone
+        fit = np.array([square.mean(), 0.0]) if fit[1] < 0 else np.array([0.0, square.mean() / terms[:, 1].mean()])
+    model.spread = (float(fit[0]) + 1e-4, float(fit[1]))
+
+    def measured(logits, usual, counts):
+        best = logits.argmax(axis=1)
+        return softmax(logits / model.temperature).max(axis=1), model.familiarity(usual, counts, best)
+
+    top, near = measured(logits[clean], usual[clean], counts[clean])
+    others = [measured(*(np.concatenate(x) for x in zip(*junk)))]
+    if len(model.langs) > 2:  # without the text's own language
+        left = logits.copy()
+        left[every, truth] = -np.inf
+        others.append(measured(left, usual, counts))
+    elif len(model.langs) == 2:  # the other language is the only one, and sure
+        best = 1 - truth
+        others.append((np.ones(len(truth)), model.familiarity(usual, counts, best)))
+    model.limit = _between(top, np.concatenate([o[0] for o in others]), lose / 2)
+    model.strange = _between(near, np.concatenate([o[1] for o in others]), lose / 2)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -195,8 +316,8 @@ def predict_language(docs: DataFrame, model: SubwordModel | None, text_col: str
 
     Columns of those names are replaced.  Whole texts are read and nothing but the text.
     A text that is null or has no letter is ``und`` with score 0 and rejected, and so is
-    every text without a model.  A text whose calibrated probability is under the
-    model's limit is rejected but has its best language.  Ties go to the first name.
+    every text without a model.  A text whose calibrated probability or whose familiarity
+    is under the model's limit is rejected but has its best language.  Ties go to the first name.
     """
     spark = settle(docs.sparkSession)
     added = ["lang_pred", "lang_score", "lang_rejected"]
@@ -213,11 +334,9 @@ def predict_language(docs: DataFrame, model: SubwordModel | None, text_col: str
             at = np.array([i for i, u in enumerate(use) if u and fitted is not None], np.int64)
             done = 0
             for part in passes([texts[int(i)].as_py() for i in at]):
-                p = fitted.probabilities(part)
-                best = p.argmax(axis=1)
+                best, scores, rejects = fitted.judge(part)
                 here = at[done : done + len(part)]
-                score[here] = p[np.arange(len(part)), best]
-                rejected[here] = score[here] < fitted.limit
+                score[here], rejected[here] = scores, rejects
                 for i, b in zip(here, best):
                     best_names[i] = fitted.langs[b]
                 done += len(part)
