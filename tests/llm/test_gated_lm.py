@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
+from tidegrid.llm import gated_lm
 from tidegrid.llm.gated_lm import CLASSES, GatedNetwork, Vocabulary, class_log10, language_model_scores, train_network
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -142,3 +143,19 @@ def test_no_rows_and_nothing_to_learn_from(make_docs):
     only = [(i, "a b") for i in range(200) if remainder(i)]
     for r in language_model_scores(make_docs(only), condition()).collect():
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0) and r["score"] < 0
+
+
+def test_every_training_document_moves_the_weights_and_the_classes(make_docs, monkeypatch):
+    """Each document that is learned from reaches the network, long ones too, whatever the sample is."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(draw.choices(words, k=25))) for i in range(60)]
+    rows.append((next(i for i in range(500, 600) if not remainder(i)), "long " * 50_000))
+    seen = []
+    monkeypatch.setattr(gated_lm, "_averaged", lambda net, moves: seen.append(sum(int(m[1][0]) for m in moves)) or net)
+    chosen = []
+    monkeypatch.setattr(gated_lm, "_count", lambda v, n, f=gated_lm._count: chosen.append(v) or f(v, n))
+    docs = make_docs(rows).repartition(3)
+    got = language_model_scores(docs, condition(), sample_docs=0).collect()
+    assert seen == [sum(r["n_tokens"] for r in got if not r["held_out"])]
+    assert chosen[0].word_class(b"long") == 1 and len(chosen[0].frequent) == 32

@@ -6,8 +6,8 @@ c being the word's count in the training documents and one word of every class u
 The recurrent part reads classes and is trained by truncated backpropagation in numpy;
 counts are taken over all training documents.
 
-Words are known by 64-bit hashes.  Frequent words, found in a bounded sample, are counted
-in each task; all other words go with their counts in the documents to a partition of
+Words are known by 64-bit hashes.  Frequent words, found by a count of all training
+documents, are counted in each task; all other words go with their counts in the documents to a partition of
 their hash, where the corpus count is summed and sent back as a sum of logarithms for
 each document.  Classes follow from a word's form, so that unknown words have one.
 """
@@ -34,6 +34,10 @@ CLASSES = 64
 OWN = 32
 #: Tokens a task gathers before it writes them out.
 FLUSH_TOKENS = 1 << 21
+#: Different words a task counts before it sends the counts on.
+MOST_COUNTED = 400_000
+#: Sequences side by side where tasks train.
+TASK_LANES = 256
 
 
 def word_hash(word: bytes) -> int:
@@ -67,6 +71,30 @@ class Vocabulary:
         ranked = sorted((w for w, n in seen.items() if n > 1), key=lambda w: (-seen[w], w))
         return Vocabulary([END, *ranked[: most - 1]])
 
+    @staticmethod
+    def of_all(texts: DataFrame, most: int) -> Vocabulary:
+        """The most frequent words of all texts (one binary column), counted in tasks and then by word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter[bytes] = Counter()
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    seen.update(text.split())
+                    if len(seen) > MOST_COUNTED:
+                        yield counted(seen)
+                        seen.clear()
+            if seen:
+                yield counted(seen)
+
+        def counted(seen: Counter[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+
+        ranked = (
+            texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            .where("n > 1").orderBy(F.desc("n"), "word").limit(most - 1).collect()
+        )
+        return Vocabulary([END, *(bytes(r["word"]) for r in ranked)])
+
 
 # ------------------------------------------------------------------ the network
 
@@ -397,13 +425,13 @@ def _tuned(net_of, rate: float):
     """Class sequences of a task to the network as that task would have it, weighed by tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences = [np.frombuffer(x, np.uint8).astype(np.int64) for batch in batches for x in batch.column(0).to_pylist()]
+        sequences = [np.frombuffer(x, np.uint8) for batch in batches for x in batch.column(0).to_pylist()]
         if not sequences:
             return
         start: GatedNetwork = net_of.value
         net = GatedNetwork(start.hidden)
         net.weights = {k: v.copy() for k, v in start.weights.items()}
-        train_network(sequences, net.hidden, 1, rate=rate, net=net)
+        train_network(sequences, net.hidden, 1, lanes=TASK_LANES, rate=rate, net=net)
         tokens = sum(map(len, sequences))
         moved = np.concatenate([(net.weights[k] - start.weights[k]).ravel() for k in net.weights]).astype(np.float64) * tokens
         yield pa.RecordBatch.from_arrays(
@@ -474,8 +502,7 @@ def _score(model_of):
 
 def language_model_scores(
     docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text",
-    sample_docs: int = 1200, max_chars: int = 200_000, frequent_words: int = 1 << 14, hidden: int = 24, epochs: int = 2,
-    train_share: float = 0.125,
+    sample_docs: int = 1200, frequent_words: int = 1 << 14, hidden: int = 24, epochs: int = 2,
 ) -> DataFrame:
     """log10 probability of every whole text under the recurrent model and the base model.
 
@@ -485,10 +512,10 @@ def language_model_scores(
     with a training count), ``train_tokens`` (N), ``base_score`` (add-one unigrams over
     the V training types and one unknown), ``score``.
 
-    Counts come from all training documents.  The frequent-word list and the network's
-    first weights come from about ``sample_docs`` training documents of at most
-    ``max_chars``, drawn by a hash of the id; training then goes on in every task with
-    the share ``train_share`` of all training documents.  A null text counts as empty (its end alone); rows that
+    Counts and the frequent-word list come from all training documents.  The network's
+    first weights come from the classes of about ``sample_docs`` of them, drawn by a hash
+    of the id; every task then trains on with all its training documents, whole.
+    A null text counts as empty (its end alone); rows that
     share an id are documents of their own; a null id is learned from if ``held_out`` is
     not true for it.  Without a training document every count is zero and classes are
     taken as equally likely.
@@ -499,23 +526,7 @@ def language_model_scores(
         ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"),
     )
     training = rows.where("NOT held_out")
-    there = training.count()
-    drawn = F.pmod(F.xxhash64("doc", F.lit(4)), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(there, 1)) * (1 << 30))
-    sample = sorted(
-        bytes(r["text"]) for r in
-        training.where(drawn & (F.char_length("text") <= max_chars)).select(F.col("text").cast("binary").alias("text")).collect()
-    )
-    vocabulary = Vocabulary.of(sample, frequent_words)
-    classes: dict[bytes, int] = {}
-    sequences = []
-    for text in sample:
-        words = [*text.split(), END]
-        for w in words:
-            if w not in classes:
-                classes[w] = vocabulary.word_class(w)
-        sequences.append(np.array([classes[w] for w in words], np.int64))
-    net = train_network(sequences, hidden, epochs) if sequences else GatedNetwork(hidden)
-
+    vocabulary = Vocabulary.of_all(training.select(F.col("text").cast("binary").alias("text")), frequent_words)
     buckets = partitions(spark)
     path = shared_folder(spark, fresh_name("lm_counts"))
     (
@@ -537,10 +548,14 @@ def language_model_scores(
     ) * (counts.max() > 0)
     for r in rare.where("row < 0").collect():  # one row a class
         types[-1 - r["row"]] += r["rare_known"]
-    # Every task goes on training with its share of the training documents; the network
-    # moves by the mean of their moves.
-    share = kind("doc").where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(train_share * (1 << 20))))
-    moved = share.select("a").mapInArrow(_tuned(spark.sparkContext.broadcast(net), 0.002), "a binary, b binary")
+    # A sample of class sequences gives the first weights; then every task goes on training
+    # with all its training documents, and the network moves by the mean of their moves.
+    learned = kind("doc").where(~F.col("held_out"))
+    there = int(counts[0])  # every training document has one end
+    drawn = F.pmod(F.xxhash64("doc", F.lit(4)), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(there, 1)) * (1 << 30))
+    sample = sorted(bytes(r["a"]) for r in learned.where(drawn).select("a").collect())
+    net = train_network([np.frombuffer(x, np.uint8) for x in sample], hidden, epochs) if sample else GatedNetwork(hidden)
+    moved = learned.select("a").mapInArrow(_tuned(spark.sparkContext.broadcast(net), 0.002), "a binary, b binary")
     net = _averaged(net, _summed(moved, np.float64))
     model = Model(net, np.log10(counts + 1.0), in_class + types + 1.0, int(in_class.sum()), int(types.sum()))
     scored = kind("doc").select("row", "doc", "held_out", "n", "a", "b", "c").mapInArrow(
