@@ -62,3 +62,31 @@ def test_lockstep_and_agenda_agree(rate):
 
 def test_empty_table(make_docs):
     assert decode_pieces(encode_pieces(make_docs([]), PATH), PATH).count() == 0
+
+
+def test_every_occurrence_and_every_document_has_draws_of_its_own():
+    model = load_pieces(PATH)
+    text = " ".join(["understanding"] * 400)
+    coder = Coder(model, 0.1, 3, 4)
+    ids = [c.tolist() for c in coder.encode(list(range(20)), [text] * 20)]
+    assert len({tuple(x) for x in ids}) == 20  # copies differ by their ids
+    cuts, plain = [], Coder(model, 0.0, 3, 4).encode([0], ["understanding"])[0].tolist()
+    for piece in ids[0]:
+        if model.bytes[piece][:1] == b" ":
+            cuts.append([])
+        cuts[-1].append(piece)
+    assert len(cuts) == 400 and len({tuple(c) for c in cuts}) > 10 and plain in cuts
+    assert all(model.decode(x) == text for x in ids)
+
+
+@pytest.mark.parametrize("word", ["understanding", "z" * 90])
+def test_remembered_occurrences_are_those_segmented_anew(word):
+    model = load_pieces(PATH)
+    text, n = " ".join([word, "and"] * 60), 120
+    coder = Coder(model, 0.1, 3, 4)
+    got = coder.encode([5], [text])[0].tolist()
+    words = np.array([coder.known[" " + word], coder.known[" and"]] * 60)
+    doc_key = np.array([xxhash.xxh64_intdigest("5", coder.keys[coder.variant(5)])], np.uint64)
+    keys = coder._occurrence_keys(words, np.zeros(n, np.int64), doc_key)
+    assert len(set(keys.tolist())) == n
+    assert got == model.segment([" " + word, " and"] * 60, 0, 0.1, keys)[0].tolist()

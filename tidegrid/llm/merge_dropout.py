@@ -2,8 +2,10 @@
 
 Adjacent symbols whose union is a piece are candidates; the best is merged, the
 leftmost of equals, until none is left.  A candidate is skipped for good when the keyed
-hash of its place (key, word, start, middle, end) falls under the dropout rate, so a
-segmentation depends on the key alone, never on the machine or the order of work.
+hash of its place (key, document, word, which of the word's occurrences in the document,
+start, middle, end) falls under the dropout rate, so a segmentation depends on the key
+and the document alone, never on the machine or the order of work.  Occurrences in which
+nothing is skipped share a remembered segmentation, the others are segmented anew.
 Words are segmented in lockstep, a matrix of linked symbols for each range of lengths;
 very long ones one by one with a heap.
 """
@@ -34,6 +36,8 @@ CHARACTER = 1 << 20
 NONE = np.int64(1) << 40
 WIDTHS = (6, 9, 12, 16, 24, 40, 64)
 OUT_BYTES = 8 << 20
+#: Occurrences of words whose candidates are looked at in one go.
+PART = 100_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,6 +48,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _place(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+
+
 class PieceModel:
     """Pieces, merges and byte pieces of a SentencePiece BPE model with byte fallback."""
 
@@ -127,24 +135,30 @@ class PieceModel:
             found[more[hit]] = self.slot_ranks[at[more[hit]]]
             more = more[~hit & (there >= 0)]
         if limit:
-            place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-            found = np.where(_mix(key + place * _M1) >> np.uint64(32) < np.uint64(limit), NONE, found)
+            found = np.where(_mix(key + _place(start, middle, end) * _M1) >> np.uint64(32) < np.uint64(limit), NONE, found)
         return found
 
-    def segment(self, words: list[str], key: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words in turn, and how many each word has."""
+    def segment(
+        self, words: list[str], key: int, rate: float, keys: np.ndarray | None = None, seen: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in turn, and how many each word has.
+
+        ``keys`` holds a key for each word in place of those that follow from ``key``.  ``seen``
+        gets (words, places) of all candidates that came up, but for words over ``WIDTHS``.
+        """
         limit = int(rate * 2**32)
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         starts = np.cumsum(lengths) - lengths
-        keys = np.array([xxhash.xxh64_intdigest(w, key) for w in words], np.uint64) if limit else np.zeros(len(words), np.uint64)
+        if keys is None:
+            keys = np.array([xxhash.xxh64_intdigest(w, key) for w in words], np.uint64) if limit else np.zeros(len(words), np.uint64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (words, their symbols in turn, how many each)
         low = 0
         for high in WIDTHS:
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
             for chosen in np.array_split(rows, len(rows) // 20_000 + 1):
                 if len(chosen):
-                    parts.append((chosen, *self._lockstep(chosen, symbols, starts, lengths, keys, high, limit)))
+                    parts.append((chosen, *self._lockstep(chosen, symbols, starts, lengths, keys, high, limit, seen)))
             low = high
         for i in np.flatnonzero(lengths > low):
             mine = symbols[starts[i] : starts[i] + lengths[i]]
@@ -159,9 +173,16 @@ class PieceModel:
             flat[np.repeat(ends[chosen] - np.cumsum(n), n) + np.arange(len(merged))] = merged
         return self._spelled(flat, counts)
 
-    def _lockstep(self, chosen, symbols, starts, lengths, keys, width, limit) -> tuple[np.ndarray, np.ndarray]:
+    def _lockstep(self, chosen, symbols, starts, lengths, keys, width, limit, seen) -> tuple[np.ndarray, np.ndarray]:
         """Merge in all chosen words at a time, one merge a word and step."""
         size, key = lengths[chosen], keys[chosen]
+
+        def offer(r, x, y, end) -> None:
+            rank[r, x] = found = self._rank(sym[r, x], sym[r, y], key[r], x, y, end, limit)
+            if seen is not None:
+                some = found < NONE
+                seen.append((chosen[r[some]], _place(x[some], y[some], end[some])))
+
         column = np.arange(width)
         at = np.minimum(starts[chosen][:, None] + column, len(symbols) - 1)
         live = column < size[:, None]
@@ -170,7 +191,7 @@ class PieceModel:
         before = np.broadcast_to(column - 1, sym.shape).copy()
         rank = np.full(sym.shape, NONE)
         r, j = np.nonzero(column < (size - 1)[:, None])
-        rank[r, j] = self._rank(sym[r, j], sym[r, j + 1], key[r], j, j + 1, j + 2, limit)
+        offer(r, j, j + 1, j + 2)
         rows = np.arange(len(chosen))
         while len(rows):
             best = rank[rows].argmin(axis=1)
@@ -189,11 +210,11 @@ class PieceModel:
             some = m < size[rows]
             r, x, y = rows[some], j[some], m[some]
             before[r, y] = x
-            rank[r, x] = self._rank(sym[r, x], sym[r, y], key[r], x, y, after[r, y], limit)
+            offer(r, x, y, after[r, y])
             p = before[rows, j]
             some = p >= 0
             r, x, y = rows[some], p[some], j[some]
-            rank[r, x] = self._rank(sym[r, x], sym[r, y], key[r], x, y, after[r, y], limit)
+            offer(r, x, y, after[r, y])
         return sym[sym >= 0], (sym >= 0).sum(axis=1)
 
     def _agenda(self, sym: list[int], key: int, limit: int) -> np.ndarray:
@@ -260,48 +281,102 @@ class Numbers(dict):
         return number
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all parts in turn that begin at ``starts`` and have ``sizes``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Coder:
-    """Encodes texts, remembering up to ``most`` words between batches."""
+    """Encodes texts, remembering up to ``most`` words between batches.
+
+    What is remembered of a word is its segmentation without dropout, and the places of the
+    candidates on the way there: while none of them is skipped, the way is the same.
+    """
 
     def __init__(self, model: PieceModel, rate: float, seed: int, variants: int, most: int = 400_000):
         self.model, self.rate, self.most = model, rate, most
+        self.limit = int(rate * 2**32)
         self.keys = [xxhash.xxh64_intdigest(f"{seed}/{v}") for v in range(variants if rate else 1)]
         self.seed = seed
         self._forget()
 
     def _forget(self) -> None:
-        self.known = [Numbers() for _ in self.keys]
-        self.flat = [np.zeros(0, np.int32) for _ in self.keys]
-        self.sizes = [np.zeros(0, np.int64) for _ in self.keys]
+        self.known = Numbers()
+        self.words: list[str] = []
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.places, self.candidates = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.word_keys = np.zeros(0, np.uint64)
 
     def variant(self, doc) -> int:
-        """Which of the segmentations a document gets."""
+        """Which of the keys a document gets."""
         return xxhash.xxh64_intdigest(str(doc), self.seed) % len(self.keys)
 
+    def _learn(self) -> None:
+        """Segment the words that are new, without dropout."""
+        new = list(islice(self.known, len(self.sizes), None))
+        if not new:
+            return
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        flat, sizes = self.model.segment(new, 0, 0.0, seen=seen if self.limit else None)
+        self.words += new
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        if self.limit:
+            owner = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in seen)])
+            places = np.concatenate([np.zeros(0, np.uint64), *(p for _, p in seen)])
+            self.places = np.concatenate([self.places, places[np.argsort(owner, kind="stable")]])
+            self.candidates = np.concatenate([self.candidates, np.bincount(owner, minlength=len(new))])
+            hashed = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in new], np.uint64)
+            self.word_keys = np.concatenate([self.word_keys, hashed])
+
+    def _occurrence_keys(self, words: np.ndarray, docs: np.ndarray, doc_keys: np.ndarray) -> np.ndarray:
+        """A key for each word of the documents: by document, word and how often it came before."""
+        order = np.argsort(docs * len(self.words) + words, kind="stable")
+        run = np.r_[True, (np.diff(words[order]) != 0) | (np.diff(docs[order]) != 0)]
+        first = np.flatnonzero(run)
+        before = np.empty(len(words), np.uint64)
+        before[order] = np.arange(len(words)) - np.repeat(first, np.diff(np.r_[first, len(words)]))
+        return _mix(doc_keys[docs] ^ _mix(self.word_keys[words] + before * _M1))
+
+    def _cut(self, words: np.ndarray, keys: np.ndarray, at: np.ndarray, place_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn, and how many each has."""
+        sizes, starts, flat = self.sizes[words], at[words], self.flat
+        if self.limit:
+            many = self.candidates[words]
+            places = self.places[_spread(place_at[words], many)]
+            skipped = _mix(np.repeat(keys, many) + places * _M1) >> np.uint64(32) < np.uint64(self.limit)
+            skips = np.r_[0, np.cumsum(skipped)]
+            ends = np.cumsum(many)
+            anew = skips[ends] > skips[ends - many]
+            anew |= self.long[words]
+            again = np.flatnonzero(anew)
+            if len(again):
+                fresh, n = self.model.segment([self.words[w] for w in words[again].tolist()], 0, self.rate, keys[again])
+                starts[again], sizes[again] = len(flat) + np.cumsum(n) - n, n
+                flat = np.concatenate([flat, fresh])
+        return flat[_spread(starts, sizes)], sizes
+
     def encode(self, docs: list, texts: list[str]) -> list[np.ndarray]:
-        if sum(map(len, self.known)) > self.most:
+        if len(self.known) > self.most:
             self._forget()
-        chosen = [self.variant(d) for d in docs]
-        rows = []
-        for v, text in zip(chosen, texts):
-            number = self.known[v].__getitem__
-            rows.append(list(map(number, SEGMENT.findall(" " + text))) if text else [])
-        at = []
-        for v, known in enumerate(self.known):
-            new = list(islice(known, len(self.sizes[v]), None))
-            if new:
-                flat, sizes = self.model.segment(new, self.keys[v], self.rate)
-                self.flat[v] = np.concatenate([self.flat[v], flat])
-                self.sizes[v] = np.concatenate([self.sizes[v], sizes])
-            at.append(np.cumsum(self.sizes[v]) - self.sizes[v])
-        out = []
-        for v, row in zip(chosen, rows):
-            words = np.array(row, np.int64)
-            sizes = self.sizes[v][words]
-            ends = np.cumsum(sizes)
-            place = np.repeat(at[v][words] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(self.flat[v][place])
-        return out
+        number = self.known.__getitem__
+        rows = [np.array(list(map(number, SEGMENT.findall(" " + text))) if text else [], np.int64) for text in texts]
+        self._learn()
+        if not rows:
+            return []
+        words = np.concatenate(rows)
+        lengths = np.array([len(r) for r in rows], np.int64)
+        keys = np.zeros(len(words), np.uint64)
+        if self.limit and len(words):
+            doc_keys = np.array([xxhash.xxh64_intdigest(str(d), self.keys[self.variant(d)]) for d in docs], np.uint64)
+            keys = self._occurrence_keys(words, np.repeat(np.arange(len(rows)), lengths), doc_keys)
+            self.long = np.array([len(w) > WIDTHS[-1] for w in self.words], bool)
+        at, place_at = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.candidates) - self.candidates
+        coded = [self._cut(words[i : i + PART], keys[i : i + PART], at, place_at) for i in range(0, len(words), PART)]
+        flat = np.concatenate([np.zeros(0, np.int32), *(c for c, _ in coded)])
+        ends = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in coded)]))]
+        last = np.cumsum(lengths)
+        return [flat[ends[e - n] : ends[e]] for e, n in zip(last, lengths)]
 
 
 def encode_pieces(
@@ -311,11 +386,12 @@ def encode_pieces(
     """The columns of ``docs`` with ``variant`` and ``ids`` (array of int).
 
     ``rate`` is the probability that a candidate merge is skipped; 0 gives the library's
-    own segmentation.  A document's draws follow from ``seed`` and one of ``variants`` keys
-    picked by its id: change the seed for another epoch.  The white square that stands
+    own segmentation.  A document's draws follow from ``seed``, one of ``variants`` keys
+    picked by its id, the id itself and, for every word, which of its occurrences in the
+    document it is: change the seed for another epoch.  The white square that stands
     for a space is spelled in bytes where it occurs in a text, so that decoding is exact.
 
-    A null text has null ids, an empty one none.  Rows that share an id share the key; a
+    A null text has null ids, an empty one none.  Rows that share an id share the draws; a
     null id is an id like others.  Columns named like the new ones are replaced.
     """
     settle(docs.sparkSession)
