@@ -54,10 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences; see the operator for the columns."""
+    """Pieces of sequences with their token ids and a digest; see the operator for the columns."""
     pieces = pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
-        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tokens"
     )
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -82,3 +83,8 @@ def test_whole_run(spark):
     for parts in by_sequence.values():
         parts.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0
+
+
+def test_packing_yields_the_token_ids(spark, docs):
+    pieces = corpus_pipeline.packing(spark, docs.where("doc_id >= 10000"), SF).collect()
+    assert pieces and all(len(r["tokens"]) == 4 * r["length"] and zlib.crc32(r["tokens"]) == r["ids_crc32"] for r in pieces)
