@@ -19,7 +19,7 @@ def duck():
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries()) and "pipeline" in contract.queries()
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

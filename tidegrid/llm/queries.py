@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.conversation_repair import conversation_digests, repair_conversations
 from tidegrid.llm.cover_tree import near_duplicate_links
 from tidegrid.llm.curve_packing import pack_along_curve
 from tidegrid.llm.gated_lm import language_model_scores
@@ -184,3 +185,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines_dropped").alias("n_dropped"),
         F.sha2(F.col("text"), 256).alias("kept_sha256"),
     )
+
+
+# ------------------------------------------------------------- 13 conversation repair
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The test damage, dealt by conversation and turn; ``copies`` says how often a row stands."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    how = F.pmod(F.crc32(key.cast("binary")), F.lit(20))
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    return turns.select(
+        "conv_id", "turn", F.when(how == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(how == 1, F.lit("")).when(how == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(how == 0, 0).when(how == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def repaired_conversations(turns: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+    repair = repair_conversations(damaged(turns), copies_col="copies", chunk_rows=chunk_rows)
+    digests = conversation_digests(repair.turns).withColumnRenamed("conv_id", "of")
+    found = repair.conversations.join(digests, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return found.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
