@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.llm.clause_grammar import fit_toxicity, score_toxicity
 from tidegrid.llm.conversation_repair import conversation_digests, repair_conversations
 from tidegrid.llm.cover_tree import near_duplicate_links
 from tidegrid.llm.curve_packing import pack_along_curve
@@ -187,6 +188,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------- 12 toxicity
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out documents are not learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, held_out(F.col("id"), 3, 1))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("toxicity").alias("score"),
+        F.col("toxic").cast("int").alias("predicted"),
+    )
+
+
 # ------------------------------------------------------------- 13 conversation repair
 
 
