@@ -27,10 +27,8 @@ def test_equal_documents_share_a_key():
     assert keys[0] == keys[1]
 
 
-def library(special=False):
-    slow = Tokenizer.from_file(PATH)
-    slow.encode_special_tokens = True
-    return slow
+def library():
+    return Tokenizer.from_file(PATH)
 
 
 def test_same_ids_as_the_library_for_every_code_point():
@@ -41,6 +39,19 @@ def test_same_ids_as_the_library_for_every_code_point():
         assert encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_are_coded_as_the_library_does():
+    text = "x <|endoftext|> y<|endoftext|><|endoftext|>\n<|endoftext"
+    assert load_encoder(PATH)(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    ordinary = library()
+    ordinary.encode_special_tokens = True
+    assert load_encoder(PATH, special=False)(text).tolist() == ordinary.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + " b", "\t " * 1_000_000, "z" * 2_000_000])
+def test_long_runs(text):
+    assert load_encoder(PATH)(text).tolist() == library().encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizer_files_are_run_by_the_library(tmp_path):
     described = json.load(open(PATH, encoding="utf-8"))
     described["pre_tokenizer"]["add_prefix_space"] = True

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,40 +25,55 @@ from tidegrid.llm.shared import settle, stage
 OUT_BYTES = 8 << 20
 
 
+#: A run of white space this long is left to the library: the faster one's pattern search
+#: keeps a step for each of its characters and gives up at about a million.
+LONG_BLANK = re.compile(r"\s{100000}")
+
+
 @functools.cache
-def load_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids for a tokenizer file, special tokens' strings being ordinary text.
+def load_encoder(path: str, special: bool = True) -> Callable[[str], np.ndarray]:
+    """Text to ids for a tokenizer file, as the ``tokenizers`` library codes it.
 
-    A plain byte-level BPE is run by the faster of the two libraries that know it; the
-    ids are the same, which a test shows for every code point.
+    ``special`` says whether special tokens' strings in a text become their ids (the
+    library's default) or are ordinary text.  A plain byte-level BPE is run by the faster of
+    the two libraries that know it; the ids are the same, which a test shows for every code point.
     """
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as file:
         described = json.load(file)
     before, model = described.get("pre_tokenizer") or {}, described["model"]
+    added = described.get("added_tokens", [])
     plain = (
         described.get("normalizer") is None
         and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         and all(model["vocab"].get(a + b, -1) == 256 + i for i, (a, b) in enumerate(map(_pair, model["merges"])))
+        and all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in added)
     )
-    if not plain:
-        from tokenizers import Tokenizer
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = not special
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-        slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    if not plain:
+        return slow
     import public_tokenizers
     import tiktoken
 
-    special = {t["content"] for t in described.get("added_tokens", [])}
+    marks = {t["content"]: t["id"] for t in added}
     letters = _byte_letters()
-    ranks = {
-        bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special
-    }
-    fast = tiktoken.Encoding(
-        path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
-    return lambda text: fast.encode_to_numpy(text, disallowed_special=())
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in marks}
+    fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+    allowed = set(marks) if special else set()
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= 100_000 and LONG_BLANK.search(text):
+            return slow(text)
+        return fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+
+    return encode
 
 
 def _pair(merge) -> list[str]:

@@ -19,6 +19,7 @@ from tidegrid.llm.shared import WHITE, shared_folder, table
 from tidegrid.llm.signature_join import shingle_components
 from tidegrid.llm.site_quality import fit_quality, score_quality
 from tidegrid.llm.subword_language import fit_language, held_out, predict_language
+from tidegrid.llm.token_alignment import align_tokenizers
 from tidegrid.llm.trie_dedup import exact_groups
 from tidegrid.llm.warc import archive_round_trip
 
@@ -188,6 +189,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------- 11 cross-tokenizer alignment
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+    return found.documents.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 # ------------------------------------------------------------- 12 toxicity
 
 
