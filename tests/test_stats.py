@@ -1,5 +1,6 @@
 """Hypothesis tests against published results and direct computation."""
 
+import itertools
 import math
 import random
 
@@ -228,3 +229,58 @@ def test_binomial(n):
 def test_small_p_values_keep_their_digits():
     assert sp.normal_two_sided(12.0) == pytest.approx(3.5529642e-33, rel=1e-6)
     assert 0 < sp.f_upper(400.0, 4, 300) < 1e-100
+
+
+# ----------------------------------------------------- exact two-sample tests
+
+
+def _samples(spark, a, b):
+    rows = [(i, "a", float(v)) for i, v in enumerate(a)] + [(i, "b", float(v)) for i, v in enumerate(b)]
+    return spark.createDataFrame(rows, "block int, grp string, v double")
+
+
+def test_signed_rank_counts_against_all_signs(spark):
+    for n in (0, 1, 2, 5, 9):
+        sums = [sum(i for i, s in enumerate(signs, 1) if s) for signs in itertools.product((0, 1), repeat=n)]
+        want = [sums.count(w) for w in range(n * (n + 1) // 2 + 1)]
+        assert spark.range(1).select(twosample.signed_rank_counts(F.lit(float(n)))).first()[0] == want
+
+
+def test_rank_sum_counts_against_all_choices(spark):
+    for m, n in ((1, 1), (2, 3), (4, 4), (3, 6)):
+        sums = [sum(c) - m * (m + 1) // 2 for c in itertools.combinations(range(1, m + n + 1), m)]
+        want = [sums.count(u) for u in range(m * n + 1)]
+        assert spark.range(1).select(twosample.rank_sum_counts(F.lit(float(m)), F.lit(float(n)))).first()[0] == want
+
+
+# Published two-tailed critical values of the signed-rank statistic at 5 %: (pairs, largest W).
+SIGNED_RANK_TABLE = [(6, 0), (7, 2), (8, 3), (9, 5), (10, 8), (12, 13), (15, 25), (20, 52), (25, 89)]
+# And of U at 5 %: (sizes, largest U).
+RANK_SUM_TABLE = [((4, 4), 0), ((5, 5), 2), ((6, 6), 5), ((7, 7), 8), ((8, 8), 13), ((5, 8), 6), ((8, 20), 41)]
+
+
+def test_published_critical_values(spark):
+    for n, w in SIGNED_RANK_TABLE:
+        counts = spark.range(1).select(twosample.signed_rank_counts(F.lit(float(n)))).first()[0]
+        p = [2 * sum(counts[: k + 1]) / 2**n for k in (w, w + 1)]
+        assert p[0] <= 0.05 < p[1], n
+    for (m, n), u in RANK_SUM_TABLE:
+        counts = spark.range(1).select(twosample.rank_sum_counts(F.lit(float(m)), F.lit(float(n)))).first()[0]
+        p = [2 * sum(counts[: k + 1]) / sum(counts) for k in (u, u + 1)]
+        assert p[0] <= 0.05 < p[1], (m, n)
+
+
+def test_methods_of_the_two_sample_tests(spark):
+    small = _samples(spark, [1, 2, 3, 4, 5, 6], [2.1, 2.9, 4.5, 3.2, 7.7, 9.1])
+    signed = {m: twosample.wilcoxon(small, "a", "b", method=m).first() for m in ("auto", "exact", "approx")}
+    assert signed["auto"] == signed["exact"] and signed["exact"]["p_value"] != signed["approx"]["p_value"]
+    ranks = {m: twosample.mannwhitneyu(small, "a", "b", method=m).first() for m in ("auto", "exact", "approx")}
+    assert ranks["auto"] == ranks["exact"] and ranks["exact"]["p_value"] != ranks["approx"]["p_value"]
+    tied = _samples(spark, [1, 2, 3, 4], [2, 3, 4, 4])
+    assert twosample.wilcoxon(tied, "a", "b", method="exact").first()["p_value"] is None
+    for test in (twosample.wilcoxon, twosample.mannwhitneyu):
+        assert test(tied, "a", "b").first() == test(tied, "a", "b", method="approx").first()
+    with pytest.raises(ValueError):
+        twosample.wilcoxon(small, "a", "b", method="other")
+    nothing = twosample.wilcoxon(_samples(spark, [1, 2], [1, 2]), "a", "b", method="exact").first()
+    assert nothing["n"] == 0 and nothing["p_value"] is None

@@ -34,10 +34,10 @@ ROWS = SPLIT.format(keys="id", source=PAIRS)
 
 
 @query("forecast_fit_predict", rounded(f"""
-    WITH r AS ({ROWS}),
-    m AS (SELECT regr_slope(y1, x) AS b1, regr_intercept(y1, x) AS a1, regr_slope(y2, x) AS b2,
-                 regr_intercept(y2, x) AS a2 FROM r WHERE split = 'train')
-    SELECT id, dt, a1 + b1 * x AS "{Y1}_hat", a2 + b2 * x AS "{Y2}_hat" FROM r, m WHERE split = 'test'""",
+    WITH r AS MATERIALIZED ({ROWS}),
+    m AS MATERIALIZED (SELECT regr_slope(y1, x) AS b1, regr_intercept(y1, x) AS a1, regr_slope(y2, x) AS b2,
+                              regr_intercept(y2, x) AS a2 FROM r WHERE split = 'train')
+    SELECT id, dt, a1 + b1 * x AS "{Y1}_hat", a2 + b2 * x AS "{Y2}_hat" FROM r CROSS JOIN m WHERE split = 'test'""",
     [f"{Y1}_hat", f"{Y2}_hat"], 6))
 def forecast_fit_predict(spark, sf):
     out = forecast.forecast_fit_predict(_windows(spark, sf), [X], [Y1, Y2], "linear")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalog.registry import finish, query, rounded
-from tidegrid.catalog.tables import GROUPS, SAMPLES, samples
+from tidegrid.catalog.tables import GROUPS, SAMPLES, samples, table
 from tidegrid.functions.scalar import hypothesis_decision
 from tidegrid.stats import omnibus, posthoc, twosample
 
@@ -247,29 +247,72 @@ def ttest_rel(spark, sf):
     return finish(twosample.ttest_rel(samples(spark, sf), A, B), DIGITS)
 
 
-@query("wilcoxon", rounded(f"""
+# The same means without the rounding that ties them: a test from counts needs distinct values.
+UNTIED = SAMPLES.replace("floor(avg(o_totalprice) / 1000)", "avg(o_totalprice)")
+
+
+def untied(spark, sf):
+    means = table(spark, sf, "orders").groupBy(
+        (F.year("o_orderdate") * 10 + F.quarter("o_orderdate")).alias("block"), F.col("o_orderpriority").alias("grp")
+    )
+    return means.agg(F.avg("o_totalprice").alias("v"))
+
+
+SIGNED_RANKS = f"""
     WITH d AS (SELECT a - b AS d FROM ({PAIRS}) WHERE a <> b),
     r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r,
                  count(*) OVER (PARTITION BY abs(d)) AS t FROM d),
     s AS (SELECT count(*)::DOUBLE AS n, sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus,
                  sum(t * t - 1)::DOUBLE AS ties FROM r),
     z AS (SELECT n, w_plus, w_minus, least(w_plus, w_minus) AS statistic,
-                 (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)
-    SELECT *, {normal_p("z")} AS p_value FROM z""",
-    ["n", "w_plus", "w_minus", "statistic", "z", "p_value"], DIGITS))
+                 (least(w_plus, w_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s)"""
+SIGNED = ["n", "w_plus", "w_minus", "statistic", "z", "p_value"]
+
+
+@query("wilcoxon", rounded(f"{SIGNED_RANKS} SELECT *, {normal_p('z')} AS p_value FROM z", SIGNED, DIGITS))
 def wilcoxon(spark, sf):
-    return finish(twosample.wilcoxon(samples(spark, sf), A, B), DIGITS)
+    return finish(twosample.wilcoxon(samples(spark, sf), A, B, method="approx"), DIGITS)
+
+
+# Ways to reach each sum of positive ranks, rank after rank.
+@query("wilcoxon_exact", rounded(f"""
+    WITH RECURSIVE {SIGNED_RANKS.replace(SAMPLES, UNTIED).strip().removeprefix("WITH")},
+    c AS (SELECT 0 AS i, [1.0::DOUBLE] AS ways
+          UNION ALL SELECT i + 1, list_transform(generate_series(1, len(ways) + i + 1),
+              lambda k: coalesce(ways[k], 0) + CASE WHEN k > i + 1 THEN ways[k - i - 1] ELSE 0 END)
+          FROM c WHERE i < (SELECT n FROM z))
+    SELECT z.*, least(2 * list_sum(ways[1:statistic::INT + 1]) / pow(2, n), 1.0) AS p_value
+    FROM z JOIN c ON c.i = z.n""", SIGNED, DIGITS))
+def wilcoxon_exact(spark, sf):
+    return finish(twosample.wilcoxon(untied(spark, sf), A, B, method="exact"), DIGITS)
 
 
-@query("mannwhitneyu", rounded(f"""
+RANK_SUMS = f"""
     WITH r AS (SELECT grp, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r,
                       count(*) OVER (PARTITION BY v) AS t FROM ({SAMPLES}) WHERE grp IN ('{A}', '{B}')),
     s AS (SELECT count(*) FILTER (grp = '{A}')::DOUBLE AS n_a, count(*) FILTER (grp = '{B}')::DOUBLE AS n_b,
                  sum(r) FILTER (grp = '{A}') AS ra, sum(t * t - 1)::DOUBLE AS ties, count(*)::DOUBLE AS n FROM r),
     u AS (SELECT *, ra - n_a * (n_a + 1) / 2 AS u FROM s),
     z AS (SELECT n_a, n_b, u AS statistic, (greatest(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5)
-                 / sqrt(n_a * n_b / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)
-    SELECT *, least({normal_p("greatest(z, 0)")}, 1) AS p_value FROM z""",
-    ["n_a", "n_b", "statistic", "z", "p_value"], DIGITS))
+                 / sqrt(n_a * n_b / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)"""
+SUMMED = ["n_a", "n_b", "statistic", "z", "p_value"]
+
+
+@query("mannwhitneyu", rounded(f"{RANK_SUMS} SELECT *, least({normal_p('greatest(z, 0)')}, 1) AS p_value FROM z", SUMMED, DIGITS))
 def mannwhitneyu(spark, sf):
-    return finish(twosample.mannwhitneyu(samples(spark, sf), A, B), DIGITS)
+    return finish(twosample.mannwhitneyu(samples(spark, sf), A, B, method="approx"), DIGITS)
+
+
+# The counts are the coefficients of a product of (1 - q^(n_b + i)) / (1 - q^i), factor by factor.
+@query("mannwhitneyu_exact", rounded(f"""
+    WITH RECURSIVE {RANK_SUMS.replace(SAMPLES, UNTIED).strip().removeprefix("WITH")},
+    size AS (SELECT n_a::INT AS a, n_b::INT AS b, (n_a * n_b)::INT AS top FROM z),
+    c AS (SELECT 0 AS i, list_transform(generate_series(0, top), lambda k: (k = 0)::INT::DOUBLE) AS ways FROM size
+          UNION ALL SELECT i + 1, list_transform(generate_series(1, top + 1), lambda k: list_sum(list_transform(
+              generate_series(0, ((k - 1) // (i + 1))::INT), lambda t: ways[k - t * (i + 1)]
+                  - CASE WHEN k - t * (i + 1) > b + i + 1 THEN ways[k - t * (i + 1) - b - i - 1] ELSE 0 END)))
+          FROM c, size WHERE i < a)
+    SELECT z.*, least(2 * list_sum(ways[greatest(statistic, n_a * n_b - statistic)::INT + 1:]) / list_sum(ways), 1.0) AS p_value
+    FROM z JOIN c ON c.i = z.n_a""", SUMMED, DIGITS))
+def mannwhitneyu_exact(spark, sf):
+    return finish(twosample.mannwhitneyu(untied(spark, sf), A, B, method="exact"), DIGITS)

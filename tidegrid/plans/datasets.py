@@ -1,13 +1,13 @@
 """From detector tables to training windows: the two preparation jobs.
 
-Both restrict ids, trim months to whole weeks, interpolate each (series, month)
-once on the base grid, derive every rate from that, add neighbours and time
-features, scale per series and window per (year, month, week).
+Both restrict ids, trim months to whole weeks and interpolate each (series, month) once on
+the base grid.  Every grid row is then sent to the series it serves, as own, previous or
+next one, and the assembled grid is written bucketed by series: the one exchange of the
+grid.  Rates, neighbourhoods, scaling and windows all read that layout as it lies.
 
 A study asks for every combination of value columns and feature sets.  Adding
-columns never changes the rows of a window, so one windowing per rate and
-neighbourhood carries the widest set, and the other combinations are projections
-of it.
+columns never changes the rows of a window, so one pass per rate and neighbourhood
+cuts the windows of all its combinations out of the same weeks.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.freq import freq_seconds
 from tidegrid.operators.clean import filter_months, filter_weekdays, trim_partial_weeks
-from tidegrid.operators.joins import filter_by_common_id, neighbor_features, neighbor_ids
+from tidegrid.operators.joins import filter_by_common_id, neighbor_ids, union_all
 from tidegrid.operators.quality import group_filter_min
 from tidegrid.operators.ranks import group_head
 from tidegrid.operators.regularize import interpolate_linear, resample_mean, time_features
-from tidegrid.operators.scale import scale_grid
-from tidegrid.operators.windows import xy_windows_dual_weekly, xy_windows_weekly
+from tidegrid.operators.scale import scale_per_series
+from tidegrid.operators.week_arrays import Variant, dual_rate_windows, single_rate_windows, week_arrays
 from tidegrid.panel import Panel
-from tidegrid.session import stage
+from tidegrid.session import buckets, stage, stage_bucketed
 
 ROAD_KEYS = ("road", "direction")
 TIME_COLS = ("dow", "hod")
@@ -70,12 +70,17 @@ class DatasetConf:
         return self.n_tx_duration // (n_agg * 60 // freq_seconds(self.base_freq))
 
 
+SIDES = (0, 1, 2)
+
+
 @dataclass(frozen=True)
 class Prepared:
-    """Shared part of both jobs: neighbours of the interior ids, and the
-    interpolated series keyed by (id, road, direction, year, month)."""
+    """Shared part of both jobs: the interpolated rows of every interior id beside those of
+    its neighbours, bucketed by id, keyed by (id, road, direction, year, month).
+
+    ``{side}_{column}`` are values of the previous, own and next series, ``has_{side}``
+    is positive where that series has a row."""
 
-    neighbors: DataFrame
     grid: DataFrame
     panel: Panel
 
@@ -96,73 +101,70 @@ def prepare(meta: DataFrame, readings: DataFrame, conf: DatasetConf) -> Prepared
     monthly = series.bounded().within(*ROAD_KEYS, "year", "month")
     rows = rows.withColumns({"year": F.year("dt"), "month": F.month("dt")})
     grid = interpolate_linear(rows, monthly, conf.value_cols, conf.base_freq, conf.snap)
-    # Every rate and neighbourhood reads the grid again: written once.
-    return Prepared(stage(neighbors), stage(grid), monthly)
+    return Prepared(_assembled(grid, neighbors, conf, monthly), monthly)
 
 
-def _at_rate(prepared: Prepared, cols: Sequence[str], freq: str, conf: DatasetConf) -> DataFrame:
+def _assembled(grid: DataFrame, neighbors: DataFrame, conf: DatasetConf, panel: Panel) -> DataFrame:
+    neighbors = stage(neighbors)
+    roles = F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(source).alias("source"))
+        for side, source in zip(SIDES, ("id_prev", "id", "id_next"))
+    ])
+    served = neighbors.select(F.col("id").alias("_for"), F.explode(roles).alias("_r")).select(
+        F.col("_r.source").alias("id"), F.col("_r.side").alias("_side"), "_for"
+    )
+    # The road follows from the id, so it need not travel with every row.
+    keys = ["id", "year", "month", panel.dt]
+    sent = grid.drop(*ROAD_KEYS).join(served, "id").withColumn("id", F.col("_for"))
+    sent = sent.repartition(buckets(grid.sparkSession), "id")
+    values = [F.max(F.when(F.col("_side") == side, F.col(c))).alias(f"{side}_{c}") for side in SIDES for c in conf.value_cols]
+    there = [F.max((F.col("_side") == side).cast("double")).alias(f"has_{side}") for side in SIDES]
+    made = sent.groupBy(*keys).agg(*values, *there).join(neighbors.select("id", *ROAD_KEYS), "id")
+    return stage_bucketed(made, ["id"], [panel.dt], dealt=True)
+
+
+def _at_rate(prepared: Prepared, sides: Sequence[int], cols: Sequence[str], freq: str, conf: DatasetConf) -> DataFrame:
+    """Rows of a rate where all the sides have one."""
     grid = prepared.grid
+    wanted = [f"{side}_{c}" for side in sides for c in cols]
     if freq_seconds(freq) != freq_seconds(conf.base_freq):
-        grid = resample_mean(grid, prepared.panel, cols, freq)
-    return filter_weekdays(grid.select(*prepared.panel.ids, "dt", *cols), conf.weekdays)
+        grid = resample_mean(grid, prepared.panel, [*wanted, *[f"has_{s}" for s in sides]], freq)
+    for side in sides:
+        grid = grid.where(F.col(f"has_{side}") > 0)
+    return filter_weekdays(grid.select(*prepared.panel.ids, "dt", *wanted), conf.weekdays)
 
 
-def _variants(conf: DatasetConf, spatial: bool) -> list[tuple[str, int, list[str]]]:
-    """(feature set, number of value columns, input columns) of a neighbourhood."""
+def _variants(conf: DatasetConf, spatial: bool, n_agg: int, wide: list[str]) -> list[Variant]:
+    """The column sets of a neighbourhood."""
     out = []
     for features in conf.features:
         if ("s" in features) != spatial:
             continue
         for cols in conf.column_sets:
-            names = [f"{side}_{c}" for side in (0, 1, 2) for c in cols] if spatial else list(cols)
-            out.append((features, len(cols), names + (list(TIME_COLS) if "t" in features else [])))
+            names = [f"{side}_{c}" for side in (SIDES if spatial else (1,)) for c in cols]
+            names += list(TIME_COLS) if "t" in features else []
+            labels = {"n_agg": n_agg, "features": features, "n_vx": len(cols)}
+            out.append((labels, [wide.index(n) for n in names]))
     return out
 
 
-def _project(windows: DataFrame, wide: list[str], variants, n_agg: int, keys: list[str]) -> DataFrame:
-    """One row per window and combination, from the widest windows."""
-
-    def part(names):
-        places = [wide.index(n) for n in names]
-        if len(places) == len(wide):
-            return F.col("x")
-        return F.transform("x", lambda step: F.array(*[step[i] for i in places]))
-
-    rows = F.array(
-        *[
-            F.struct(F.lit(f).alias("features"), F.lit(n).alias("n_vx"), part(names).alias("x"))
-            for f, n, names in variants
-        ]
-    )
-    return windows.select(*keys, F.lit(n_agg).alias("n_agg"), "y", F.inline(rows))
-
-
-def _own_or_spatial(prepared, x, conf, spatial) -> tuple[DataFrame, list[str], str]:
-    """Input rows with every column any combination needs."""
-    if spatial:
-        x = neighbor_features(x, prepared.neighbors, conf.value_cols, prepared.panel)
-        wide = [f"{side}_{c}" for side in (0, 1, 2) for c in conf.value_cols]
-        target = f"1_{conf.y_col}"
-    else:
-        x = x.join(prepared.neighbors.select("id"), "id", "left_semi")
-        wide, target = list(conf.value_cols), conf.y_col
-    return time_features(x), wide + list(TIME_COLS), target
-
-
-def _build(meta, readings, conf: DatasetConf, one_combination) -> DataFrame:
-    prepared = prepare(meta, readings, conf)
+def _build(prepared: Prepared, conf: DatasetConf, windows) -> DataFrame:
     parts = []
     for n_agg in conf.n_aggs:
         for spatial in (False, True):
-            variants = _variants(conf, spatial)
-            if variants:
-                windows, wide = one_combination(prepared, n_agg, spatial)
-                keys = [*prepared.panel.ids, "week", "dt"]
-                parts.append(_project(windows, wide, variants, n_agg, keys))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            sides = SIDES if spatial else (1,)
+            # With every column that any combination needs.
+            wide = [f"{side}_{c}" for side in sides for c in conf.value_cols] + list(TIME_COLS)
+            variants = _variants(conf, spatial, n_agg, wide)
+            if not variants:
+                continue
+            rows = time_features(_at_rate(prepared, sides, conf.value_cols, f"{n_agg}min", conf))
+            # Both reads of the rows start at the bucketed grid.
+            rows = scale_per_series(rows, ["id"], wide, conf.scaler)
+            parts.append(windows(rows, wide, variants, n_agg))
+    keys = [*prepared.panel.ids, "week", "dt"]
+    out = union_all(*parts)
+    return out.select(*keys, "n_agg", "y", "features", "n_vx", "x")
 
 
 def build_dataset_single_rate(
@@ -172,36 +174,29 @@ def build_dataset_single_rate(
 
     ``meta`` has (id, road, direction, ord), ``readings`` (id, dt, values…).
     """
+    prepared = prepare(meta, readings, conf)
 
-    def windows(prepared: Prepared, n_agg: int, spatial: bool):
-        x = _at_rate(prepared, conf.value_cols, f"{n_agg}min", conf)
-        x, wide, target = _own_or_spatial(prepared, x, conf, spatial)
-        x = scale_grid(x, ["id"], wide, conf.scaler)
-        made = xy_windows_weekly(
-            x, prepared.panel, wide, [target],
-            n_tx=conf.input_length(n_agg), n_ty=conf.n_ty, h=conf.h,
-            nested=True, min_windows=conf.min_windows,
+    def windows(rows: DataFrame, wide: list[str], variants: list[Variant], n_agg: int) -> DataFrame:
+        weeks = week_arrays(rows, prepared.panel, wide, [f"1_{conf.y_col}"])
+        return single_rate_windows(
+            weeks, prepared.panel, len(wide), variants, conf.input_length(n_agg), conf.n_ty, conf.h, conf.min_windows
         )
-        return made, wide
 
-    return _build(meta, readings, conf, windows)
+    return _build(prepared, conf, windows)
 
 
 def build_dataset_dual_rate(
     meta: DataFrame, readings: DataFrame, conf: DatasetConf = DatasetConf()
 ) -> DataFrame:
     """Inputs at each rate of ``n_aggs``, scaled; targets at ``y_freq``, as measured."""
+    prepared = prepare(meta, readings, conf)
 
-    def windows(prepared: Prepared, n_agg: int, spatial: bool):
-        x = _at_rate(prepared, conf.value_cols, f"{n_agg}min", conf)
-        x, wide, _ = _own_or_spatial(prepared, x, conf, spatial)
-        x = scale_grid(x, ["id"], wide, conf.scaler)
-        y = _at_rate(prepared, [conf.y_col], conf.y_freq, conf)
-        made = xy_windows_dual_weekly(
-            x, y, prepared.panel, wide, [conf.y_col], f"{n_agg}min", conf.y_freq,
-            n_tx=conf.input_length(n_agg), n_ty=conf.n_ty, h=conf.h, tail=conf.tail,
-            nested=True, min_windows=conf.min_windows,
+    def windows(rows: DataFrame, wide: list[str], variants: list[Variant], n_agg: int) -> DataFrame:
+        y = _at_rate(prepared, (1,), [conf.y_col], conf.y_freq, conf)
+        return dual_rate_windows(
+            week_arrays(rows, prepared.panel, wide), week_arrays(y, prepared.panel, [], [f"1_{conf.y_col}"]),
+            prepared.panel, len(wide), variants, f"{n_agg}min", conf.y_freq,
+            conf.input_length(n_agg), conf.n_ty, conf.h, conf.tail, conf.min_windows,
         )
-        return made, wide
 
-    return _build(meta, readings, conf, windows)
+    return _build(prepared, conf, windows)

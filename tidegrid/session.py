@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +72,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions, *keys)
 
 
-_STAGED: list[str] = []
+# Folders and catalog tables that end with the staging block around them.
+_STAGED: list[tuple[str, str | None]] = []
+# Spark's own limit, spark.sql.sources.bucketing.maxBuckets.
+MAX_BUCKETS = 100_000
 
 
 def _base_folder(spark: SparkSession) -> str:
@@ -89,9 +92,15 @@ def _base_folder(spark: SparkSession) -> str:
     return base
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint directory."""
-    return f"{_base_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+def shared_folder(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A fresh folder under the cluster's checkpoint directory.
+
+    What is written there, and the catalog table that lies there, stay until the
+    :func:`staging` block around them ends.
+    """
+    path = f"{_base_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGED.append((path, table))
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -103,14 +112,34 @@ def stage(df: DataFrame) -> DataFrame:
     the :func:`staging` block around it ends, or :func:`drop_staged` is called.
     """
     path = shared_folder(df.sparkSession, "stage")
-    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def buckets(spark: SparkSession) -> int:
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+
+
+def stage_bucketed(df: DataFrame, keys: Sequence[str], sort: Sequence[str] = (), dealt: bool = False) -> DataFrame:
+    """:func:`stage` as a table bucketed and sorted by ``keys``, sorted by ``sort`` within.
+
+    Groupings, windows and joins on columns that include the keys read it without an
+    exchange.  ``dealt``: the rows are already hash-partitioned by the keys into
+    :func:`buckets` parts; otherwise they are exchanged once.
+    """
+    spark = df.sparkSession
+    number, name = buckets(spark), f"staged_{uuid.uuid4().hex[:12]}"
+    path = shared_folder(spark, "bucketed", name)
+    rows = df if dealt else df.repartition(number, *keys)
+    rows.write.bucketBy(number, *keys).sortBy(*keys, *sort).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_staged(spark: SparkSession, since: int = 0) -> None:
     """Delete staged tables; what still reads them fails."""
-    for path in _STAGED[since:]:
+    for path, table in _STAGED[since:]:
+        if table is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     del _STAGED[since:]
