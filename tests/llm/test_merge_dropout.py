@@ -90,3 +90,14 @@ def test_remembered_occurrences_are_those_segmented_anew(word):
     keys = coder._occurrence_keys(words, np.zeros(n, np.int64), doc_key)
     assert len(set(keys.tolist())) == n
     assert got == model.segment([" " + word, " and"] * 60, 0, 0.1, keys)[0].tolist()
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1])
+def test_every_code_point_comes_back(rate):
+    model = load_pieces(PATH)
+    coder = Coder(model, rate, 3, 4)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    for text, ids in zip(texts, coder.encode(list(range(len(texts))), texts)):
+        assert b"".join(model.bytes[i] for i in ids.tolist()).decode()[1:] == text
+    assert int(model.symbol.max()) < 1 << 21

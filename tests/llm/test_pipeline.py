@@ -65,13 +65,43 @@ def test_line_dedup(spark, docs):
     assert all(r["n_chars"] == len(r["text"]) for r in kept.collect())
 
 
+def shingles(text):
+    words = (text or "").encode().translate(test_signature_join.LOWER).split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def groups_of(rows):
+    """Rows grouped by links of texts: a link is a similarity of 0.75 or more, an empty set has none."""
+    sets = [shingles(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and group[i] != group[j] and 100 * len(a & b) >= 75 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
 def test_one_document_of_each_group_stays(spark, docs):
-    kept = corpus_pipeline.near_dedup(spark, docs, SF)
-    assert kept.columns == docs.columns and not as_rows(kept) - as_rows(docs)
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    groups = test_signature_join.brute(rows)
-    stay = Counter(i for (i, _, component), n in groups.items() if i == component for _ in range(n))
-    assert Counter(r["doc_id"] for r in kept.collect()) == stay
+    draw = random.Random(8)
+    text, near = prose(draw, 50), prose(draw, 50)
+    more = [
+        (1, text), (1, text), (2, text + " more"), (None, near), (None, near), (3, None), (3, None), (4, ""), (4, ""), (5, "two words"),
+        (6, "two words"), (7, near + " end"), (None, "alone without an id"), (None, "alone without an id"),
+    ]
+    extra = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in more], docs.schema)
+    for table in (docs, extra, docs.where("doc_id < 40").unionByName(extra)):
+        kept = corpus_pipeline.near_dedup(spark, table, SF)
+        assert kept.columns == docs.columns and not as_rows(kept) - as_rows(table)
+        rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+        want = Counter()
+        groups = {}
+        for (i, t), g in zip(rows, groups_of(rows)):
+            if shingles(t):
+                groups.setdefault(g, []).append(i)
+            else:
+                want[i] += 1
+        want.update(min(ids, key=lambda i: (i is None, i or 0)) for ids in groups.values())
+        assert Counter(r["doc_id"] for r in kept.collect()) == want
 
 
 def test_whole_run(spark):

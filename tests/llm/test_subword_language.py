@@ -105,3 +105,26 @@ def test_few_rows_also_set_a_limit():
     rows = corpus(16, seed=3)
     model = train([t.encode() for _, t in rows], [lang for lang, _ in rows])
     assert model.judge([gibberish(draw, 40).encode() for _ in range(20)])[2].mean() > 0.9
+
+
+def test_slices_change_nothing(monkeypatch):
+    from tidegrid.llm import subword_language as sl
+
+    draw = random.Random(6)
+    texts = [t.encode() for _, t in corpus(30)] + [b"", "日本語テキスト".encode() * 400, b"a" * 3000, b"  ", text_in(draw, "de", 900).encode()]
+    model = train([t.encode() for _, t in corpus(60)], [lang for lang, _ in corpus(60)])
+    whole = model.means(texts)
+    plain = []
+    for text in texts:  # gram by gram
+        flat = bytes(sl._BYTE[np.frombuffer(b" " + text + b" ", np.uint8)])
+        n = 0
+        for size in GRAMS:
+            for i in range(len(flat) - size + 1):
+                gram = flat[i : i + size]
+                n += 32 not in gram[1:-1] and not (size == 2 and gram == b"  ")
+        plain.append(n)
+    assert whole[2].tolist() == plain
+    monkeypatch.setattr(sl, "SLICE_BYTES", 37)
+    small = model.means(texts)
+    assert small[2].tolist() == plain
+    assert np.allclose(small[0], whole[0], rtol=1e-9, atol=1e-9) and np.allclose(small[1], whole[1], rtol=1e-9, atol=1e-9)

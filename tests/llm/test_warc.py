@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tidegrid.llm.warc import archive_round_trip, chunked, dechunk, parse_records, read_warc, write_warc
+from tidegrid.llm.warc import archive_round_trip, chunked, dechunk, members, parse_records, read_warc, write_warc
 
 SCHEMA = "page_id long, url string, html string, record_id int, segment string, payload int"
 
@@ -83,3 +83,22 @@ def test_chunks():
 
 def test_empty_table(spark, tmp_path):
     assert archive_round_trip(pages(spark, []), str(tmp_path / "w")).count() == 0
+
+
+def plain_record(k, body):
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:r:{k}>\r\nContent-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("share", [1, 2, 7])
+def test_archives_of_many_members(spark, tmp_path, share):
+    """A member for each record, as most archives have, for some records, or for all of them."""
+    records = [plain_record(k, random.Random(k).randbytes(50_000 * (k % 3))) for k in range(7)]
+    packed = b"".join(gzip.compress(b"".join(records[i : i + share])) for i in range(0, 7, share))
+    assert b"".join(members(packed)) == b"".join(records)
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    got = read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r["record_id"] for r in got) == sorted(f"<urn:r:{k}>" for k in range(7))
+    for broken in (packed[:-9], packed + b"tail"):
+        with pytest.raises(Exception):
+            list(members(broken))

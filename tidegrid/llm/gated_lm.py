@@ -73,7 +73,11 @@ class Vocabulary:
 
     @staticmethod
     def of_all(texts: DataFrame, most: int) -> Vocabulary:
-        """The most frequent words of all texts (one binary column), counted in tasks and then by word."""
+        """The most frequent words of all texts (one binary column), counted in tasks and then by word.
+
+        A histogram of the counts, at most a few thousand rows, tells the count from which on
+        there are fewer than ``most`` words; only these come to the driver.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[bytes] = Counter()
@@ -89,11 +93,19 @@ class Vocabulary:
         def counted(seen: Counter[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
-        ranked = (
+        words = stage(
             texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-            .where("n > 1").orderBy(F.desc("n"), "word").limit(most - 1).collect()
+            .where("n > 1").withColumn("level", F.floor(64 * F.log2("n")).cast("int"))
         )
-        return Vocabulary([END, *(bytes(r["word"]) for r in ranked)])
+        held, level = 0, 1 << 30
+        for r in sorted(words.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+            held += r["words"]
+            if held >= most:
+                break
+            level = r["level"]
+        found = words.where(F.col("level") >= level).select("word", "n").collect()
+        ranked = sorted((-r["n"], bytes(r["word"])) for r in found)
+        return Vocabulary([END, *(word for _, word in ranked)])
 
 
 # ------------------------------------------------------------------ the network

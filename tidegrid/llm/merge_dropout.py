@@ -32,7 +32,7 @@ from tidegrid.llm.shared import packed, settle, unpacked
 SEGMENT = re.compile(" +[^ ]*")
 SPACE = "▁"
 #: Symbols from here on are characters without a piece.
-CHARACTER = 1 << 20
+CHARACTER = 1 << 19
 NONE = np.int64(1) << 40
 WIDTHS = (6, 9, 12, 16, 24, 40, 64)
 OUT_BYTES = 8 << 20
@@ -60,6 +60,8 @@ class PieceModel:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if n > CHARACTER:
+            raise ValueError("too many pieces")
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         byte = {i: int(self.pieces[i][3:5], 16) for i in range(n) if model.is_byte(i)}
         if len(byte) != 256:
@@ -304,6 +306,7 @@ class Coder:
     def _forget(self) -> None:
         self.known = Numbers()
         self.words: list[str] = []
+        self.long = np.zeros(0, bool)
         self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.places, self.candidates = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.word_keys = np.zeros(0, np.uint64)
@@ -320,6 +323,7 @@ class Coder:
         seen: list[tuple[np.ndarray, np.ndarray]] = []
         flat, sizes = self.model.segment(new, 0, 0.0, seen=seen if self.limit else None)
         self.words += new
+        self.long = np.concatenate([self.long, np.array([len(w) > WIDTHS[-1] for w in new], bool)])
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
         if self.limit:
             owner = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in seen)])
@@ -370,7 +374,6 @@ class Coder:
         if self.limit and len(words):
             doc_keys = np.array([xxhash.xxh64_intdigest(str(d), self.keys[self.variant(d)]) for d in docs], np.uint64)
             keys = self._occurrence_keys(words, np.repeat(np.arange(len(rows)), lengths), doc_keys)
-            self.long = np.array([len(w) > WIDTHS[-1] for w in self.words], bool)
         at, place_at = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.candidates) - self.candidates
         coded = [self._cut(words[i : i + PART], keys[i : i + PART], at, place_at) for i in range(0, len(words), PART)]
         flat = np.concatenate([np.zeros(0, np.int32), *(c for c, _ in coded)])

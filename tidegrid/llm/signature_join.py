@@ -592,7 +592,8 @@ def shingle_components(
     Words are what lies between ASCII white space, A-Z lower-cased; a set holds the distinct
     runs of ``width`` words.  One row per document: the id column, ``n_shingles``,
     ``component_id`` (the smallest id reachable by links, itself included), ``text_hash``
-    (xxhash64 of the text, to find the row again where ids repeat).
+    (xxhash64 of the text, to find the row again where ids repeat), ``group_id`` (a number
+    that the documents of a component share, whatever their ids; null for empty sets).
 
     Fewer words than ``width`` are one shingle.  A text that is null or without words has
     an empty set and is linked with nothing.  A null id names no component; a component of
@@ -666,9 +667,9 @@ def shingle_components(
     )
     names = stage(named)
     name_of = names.groupBy("component").agg(F.min("least").alias("name"))
-    of_sid = names.join(name_of, "component").select(F.col("sid").alias("_sid"), "name")
+    of_sid = names.join(name_of, "component").select(F.col("sid").alias("_sid"), "component", "name")
     return of_docs.join(of_sid, F.col("sid") == F.col("_sid"), "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component_id"),
-        F.col("hash").alias("text_hash"),
+        F.col("hash").alias("text_hash"), F.col("component").alias("group_id"),
     )

@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from tidegrid.llm.shared import packed, settle, unpacked
 
 GRAMS = (2, 3, 4)
-#: Texts are put together up to this many bytes for one pass of numpy.
+#: Texts are put together up to this many bytes for one pass of numpy, which goes by slices.
 PASS_BYTES = 1 << 20
+SLICE_BYTES = 1 << 15
 #: ASCII letters in lower case and all bytes beyond ASCII stand for themselves, the rest are gaps.
 _BYTE = np.full(256, 32, np.uint8)
 _BYTE[97:123] = np.arange(97, 123)
@@ -29,32 +30,38 @@ _BYTE[65:91] = np.arange(97, 123)
 _BYTE[128:] = np.arange(128, 256)
 
 
+def sliced_subwords(texts: list[bytes], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket numbers of subwords and the text that each is of, in the order of the texts,
+    for every slice of bytes and every length of subword."""
+    starts = np.cumsum([0, *(len(t) + 2 for t in texts)])
+    flat = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8) if texts else np.zeros(0, np.uint8)
+    for lo in range(0, len(flat), SLICE_BYTES):
+        part = _BYTE[flat[lo : lo + SLICE_BYTES + max(GRAMS) - 1]]
+        gap, wide = part == 32, part.astype(np.uint32)
+        for n in GRAMS:
+            last = min(SLICE_BYTES, len(part) - n + 1)
+            if last <= 0:
+                continue
+            code = np.full(last, n, np.uint32)
+            inner = np.zeros(last, bool)
+            for i in range(n):
+                code = code * np.uint32(0x01000193) ^ wide[i : i + last]
+                if 0 < i < n - 1:
+                    inner |= gap[i : i + last]
+            if n == 2:
+                inner = gap[:last] & gap[1 : 1 + last]
+            at = np.flatnonzero(~inner)
+            if len(at):
+                code = code[at] * np.uint32(0x9E3779B1)
+                yield ((code >> np.uint32(7)) % np.uint32(buckets)).astype(np.int64), np.searchsorted(starts, lo + at, side="right") - 1
+
+
 def subwords(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all subwords of the texts in turn, and how many each text has."""
-    starts = np.cumsum([0, *(len(t) + 2 for t in texts)])
-    flat = _BYTE[np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)] if texts else np.zeros(0, np.uint8)
-    gap = flat == 32
-    wide = flat.astype(np.uint32)
-    found, owner = [], []
-    for n in GRAMS:
-        last = len(flat) - n + 1
-        if last <= 0:
-            continue
-        code = np.full(last, n, np.uint32)
-        inner = np.zeros(last, bool)
-        for i in range(n):
-            code = code * np.uint32(0x01000193) ^ wide[i : i + last]
-            if 0 < i < n - 1:
-                inner |= gap[i : i + last]
-        if n == 2:
-            inner = gap[:last] & gap[1 : 1 + last]
-        at = np.flatnonzero(~inner)
-        code = code[at] * np.uint32(0x9E3779B1)
-        found.append((code >> np.uint32(7)) % np.uint32(buckets))
-        owner.append(np.searchsorted(starts, at, side="right") - 1)
+    found = list(sliced_subwords(texts, buckets))
     if not found:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    owner, codes = np.concatenate(owner), np.concatenate(found).astype(np.int64)
+    codes, owner = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(owner, kind="stable")
     return codes[order], np.bincount(owner, minlength=len(texts))
 
@@ -80,17 +87,23 @@ class SubwordModel:
     strange: float = -np.inf
 
     def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits before the temperature, mean log shares of each language, and numbers of subwords."""
-        codes, counts = subwords(texts, len(self.scores))
-        some = counts > 0
-        at = (np.cumsum(counts) - counts)[some]
-        out = []
-        for table in (self.scores, self.usual):
-            sums = np.zeros((len(texts), len(self.langs)))
-            if table is not None and some.any():
-                sums[some] = np.add.reduceat(table[codes].astype(np.float64), at) / counts[some, None]
-            out.append(sums)
-        return out[0] + self.bias, out[1], counts
+        """Logits before the temperature, mean log shares of each language, and numbers of subwords.
+
+        Subwords are looked up a slice of the texts at a time, summed in double precision, so
+        that a text of any length takes no more memory than its bytes and a slice.
+        """
+        tables = [self.scores, self.usual]
+        sums = np.zeros((2, len(texts), len(self.langs)))
+        counts = np.zeros(len(texts), np.int64)
+        for codes, owner in sliced_subwords(texts, len(self.scores)):
+            new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            whose = owner[new]
+            counts[whose] += np.diff(np.append(new, len(owner)))
+            for table, held in zip(tables, sums):
+                if table is not None:
+                    held[whose] += np.add.reduceat(table[codes], new, axis=0, dtype=np.float64)
+        sums /= np.maximum(counts, 1)[:, None]
+        return sums[0] + self.bias, sums[1], counts
 
     def familiarity(self, usual: np.ndarray, counts: np.ndarray, best: np.ndarray) -> np.ndarray:
         """How far each text is from usual texts of its best language, in standard deviations."""
@@ -288,7 +301,7 @@ def training_rows(
 
 def fit_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    modulus: int = 4, remainder: int = 2, max_rows: int = 2400, max_chars: int = 200_000,
+    modulus: int = 4, remainder: int = 2, max_rows: int = 2400, max_chars: int = 40_000,
 ) -> SubwordModel | None:
     """Train on a bounded sample of the documents that are not held out; None without any."""
     settle(docs.sparkSession)

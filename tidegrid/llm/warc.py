@@ -8,6 +8,7 @@ take a file as one row.  Continuations meet again by their origin's identifier.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from tidegrid.llm.shared import settle, stage
 END = b"\r\n\r\n"
 CHUNK = 8192
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked"
+#: Bytes given to the decompressor at a time.
+FEED = 1 << 16
 OUT_BYTES = 8 << 20
 
 # ------------------------------------------------------------------ writing
@@ -192,6 +195,21 @@ RAW = pa.schema([
 RAW_DDL = "origin string, type string, uri string, digest string, refers_to string, segment long, total long, block binary"
 
 
+def members(packed: bytes) -> Iterator[bytes]:
+    """Each member of a gzip or zlib file; what is cut off or follows the last one is an error."""
+    at = 0
+    while at < len(packed):
+        inflate, out = zlib.decompressobj(wbits=47), []  # gzip or zlib by its head
+        while not inflate.eof:
+            part = packed[at : at + FEED]
+            if not part:
+                raise ValueError("an archive that ends inside a member")
+            out.append(inflate.decompress(part))
+            at += len(part)
+        at -= len(inflate.unused_data)
+        yield b"".join(out)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out, size = [], 0
 
@@ -200,8 +218,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for packed in batch.column(0):
-            data = zlib.decompress(packed.as_py(), wbits=47)  # gzip or zlib by its head
-            for f, block in parse_records(data):
+            # Whole files or single records may be members.
+            for f, block in itertools.chain.from_iterable(map(parse_records, members(packed.as_py()))):
                 out.append((
                     f.get("warc-segment-origin-id", f["warc-record-id"]), f["warc-type"], f.get("warc-target-uri"),
                     f.get("warc-payload-digest"), f.get("warc-refers-to"), number(f.get("warc-segment-number")),
