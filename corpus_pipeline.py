@@ -39,17 +39,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id.
+    """One document of each group of near duplicates stays: that with the smallest id.
 
-    Rows alike in id and text stay or go together.
+    Null ids come after all others.  Where several rows of a group share that id, one of
+    them stays: of the least text hash, then of the least hash of all columns.  Documents
+    without words are in no group and stay.
     """
-    found = shingle_components(docs)
-    gone = stage(  # written, so that texts are moved only if it is too large to broadcast
-        found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    found = stage(shingle_components(docs).select("doc_id", "text_hash", "group_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    groups = (
+        found.where("group_id IS NOT NULL").groupBy("group_id")
+        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select(F.col("group_id").alias("of"), "first")
     )
+    members = stage(
+        found.join(groups, F.col("group_id") == F.col("of"))
+        .groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.max(order == F.col("first")).alias("stays"))
+    )
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    kept = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("text_hash")), "left_anti")
+    gone, again = members.where("NOT stays"), members.where("stays AND rows > 1")
+    kept = rows.join(gone.select("doc_id", "text_hash"), same, "left_anti")
+    if not again.isEmpty():  # rows alike in id and text
+        alike = kept.join(again.select("doc_id", "text_hash"), same, "left_semi")
+        one = alike.groupBy("id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(again.select("doc_id", "text_hash"), same, "left_anti").select("row").unionByName(one.select("row"))
     return kept.select("row.*")
 
 
