@@ -9,6 +9,7 @@ from tidegrid.catalog.tables import (
     GRID3, HOURLY, READINGS, SERIES, VALUES, grid, hourly, RAW, readings, sql_interpolated, table,
 )
 from tidegrid.operators import regularize as reg
+from tidegrid.operators.joins import union_all
 
 
 @query("validate_series", """
@@ -51,6 +52,51 @@ def infer_freq(spark, sf):
     return regular.unionByName(gappy.withColumn("id", F.col("id") + 1000000000))
 
 
+# What stands in each calendar: the distinct periods of all orders, per priority and for all.
+CALENDARS = {
+    "month": "date_trunc('month', o_orderdate)", "month_end": "last_day(o_orderdate)",
+    "quarter": "date_trunc('quarter', o_orderdate)", "year": "date_trunc('year', o_orderdate)",
+    "week": "date_trunc('week', o_orderdate)", "day": "o_orderdate",
+    "weekday": "CASE WHEN {weekday} < 5 THEN o_orderdate END",
+}
+STARTS = " ".join(f"WHEN {m} THEN '{name}'" for m, name in enumerate(reg.MONTHS, 1))
+
+
+def _calendars(spark, sf):
+    orders = table(spark, sf, "orders")
+    parts = [
+        orders.select(F.concat_ws(" ", F.lit(kind), p).alias("id"), F.expr(at.format(weekday="weekday(o_orderdate)")).cast("timestamp").alias("dt"))
+        for kind, at in CALENDARS.items() for p in (F.col("o_orderpriority"), F.lit("all"))
+    ]
+    return union_all(*parts).where("dt IS NOT NULL").distinct()
+
+
+CALENDAR_SQL = " UNION ".join(
+    f"SELECT '{kind} ' || {p} AS id, ({at.format(weekday='isodow(o_orderdate) - 1')})::TIMESTAMP AS dt FROM orders"
+    for kind, at in CALENDARS.items() for p in ("o_orderpriority", "'all'")
+)
+
+
+@query("infer_calendar_freq", f"""
+    WITH c AS (SELECT id, dt, lag(dt) OVER (PARTITION BY id ORDER BY dt) AS p FROM ({CALENDAR_SQL}) WHERE dt IS NOT NULL),
+    f AS (SELECT id, count(*) AS n, min(dt - p) AS lo, max(dt - p) AS hi, min(datediff('month', p, dt)) AS m0, max(datediff('month', p, dt)) AS m1,
+                 bool_and(day(dt) = 1 AND day(p) = 1) AS starts, bool_and(dt = last_day(dt) AND p = last_day(p)) AS ends,
+                 bool_and(isodow(dt) < 6 AND isodow(p) < 6 AND date_diff('day', p, dt) = CASE WHEN isodow(p) = 5 THEN 3 ELSE 1 END) AS work,
+                 min(month(dt)) AS least, max(month(dt)) AS most, max(isodow(dt)) AS dow FROM c WHERE p IS NOT NULL GROUP BY 1)
+    SELECT id, CASE WHEN n < 2 THEN NULL
+        WHEN m0 = m1 AND m0 >= 1 AND (starts OR ends) THEN
+            CASE WHEN m0 % 12 = 0 THEN CASE WHEN m0 > 12 THEN (m0 // 12)::VARCHAR ELSE '' END || 'Y' || CASE WHEN starts THEN 'S-' ELSE 'E-' END || CASE most {STARTS} END
+                 WHEN m0 % 3 = 0 THEN CASE WHEN m0 > 3 THEN (m0 // 3)::VARCHAR ELSE '' END || 'Q' || CASE WHEN starts THEN 'S-' ELSE 'E-' END || CASE (least - 1) % 3 + 1 {STARTS} END
+                 ELSE CASE WHEN m0 > 1 THEN m0::VARCHAR ELSE '' END || 'M' || CASE WHEN starts THEN 'S' ELSE 'E' END END
+        WHEN lo = hi AND date_diff('day', TIMESTAMP '2000-01-01', TIMESTAMP '2000-01-01' + lo) % 7 = 0 THEN
+            CASE WHEN lo > INTERVAL 7 DAY THEN (date_diff('day', TIMESTAMP '2000-01-01', TIMESTAMP '2000-01-01' + lo) // 7)::VARCHAR ELSE '' END
+            || 'W-' || ['MON', 'TUE', 'WED', 'THU', 'FRI', 'SAT', 'SUN'][dow]
+        WHEN lo = hi THEN CASE WHEN lo > INTERVAL 1 DAY THEN date_diff('day', TIMESTAMP '2000-01-01', TIMESTAMP '2000-01-01' + lo)::VARCHAR ELSE '' END || 'D'
+        WHEN work THEN 'B' END AS freq FROM f""")
+def infer_calendar_freq(spark, sf):
+    return reg.infer_calendar_freq(_calendars(spark, sf), RAW)
+
+
 @query("min_gap_freq", f"SELECT id, min(gap_us) AS freq_us FROM ({RAW_GAPS}) GROUP BY 1")
 def min_gap_freq(spark, sf):
     rows = readings(spark, sf)

@@ -121,6 +121,17 @@ def append_metrics(spark, sf):
     return finish(readers.read_metrics_dir(spark, path))
 
 
+@query("append_metrics_again", rounded(METRICS_SQL, _DOUBLES))
+def append_metrics_again(spark, sf):
+    """All trials are written with other values, then every trial again."""
+    path = shared_folder(spark, "metrics")
+    rows = _metrics(spark, sf)
+    writers.append_metrics(rows.withColumn("mse", F.col("mse") + 1), path, replace="exptid")
+    for part in range(2):
+        writers.append_metrics(rows.where(F.col("exptid") % 2 == part), path, replace="exptid")
+    return finish(readers.read_metrics_dir(spark, path))
+
+
 @query("read_trial_confs", f"""
     SELECT exptid % 50 AS exptid, count(*) AS n, min(mclass) AS mclass, max(n_agg)::BIGINT AS n_agg
     FROM ({TRIALS}) GROUP BY 1""")
@@ -206,6 +217,21 @@ def write_predictions(spark, sf):
     return finish(back.select(F.col("exptid").cast("bigint"), "dt", "y", "y_hat"))
 
 
+@query("write_predictions_again", rounded(f"""
+    SELECT id % 24 AS exptid, dt, volume AS y, occupancy AS y_hat FROM ({HOURLY})""", ["y", "y_hat"]))
+def write_predictions_again(spark, sf):
+    """A third of the trials run again: what they had is replaced, the others stay."""
+    path = shared_folder(spark, "preds")
+    rows = hourly(spark, sf).select(
+        (F.col("id") % 24).alias("exptid"), "dt", F.col("volume").alias("y"), F.col("occupancy").alias("y_hat")
+    )
+    again = F.col("exptid") % 3 == 0
+    writers.write_predictions(rows.withColumn("y", F.when(again, F.col("y") + 1).otherwise(F.col("y"))), path)
+    writers.write_predictions(rows.where(again), path, mode="replace")
+    back = readers.read_parquet(spark, path)
+    return finish(back.select(F.col("exptid").cast("bigint"), "dt", "y", "y_hat"))
+
+
 @query("generate_series", """
     SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS dt,
            TRUE AS within FROM events""")

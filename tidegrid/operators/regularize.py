@@ -75,6 +75,72 @@ def infer_freq(df: DataFrame, panel: Panel) -> DataFrame:
     return _gaps(df, panel).groupBy(*panel.ids).agg(F.when(low == high, low).alias("freq_us"))
 
 
+# Names of weekdays (from Monday) and months as frequency anchors.
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+# Names of fixed steps, the longest first, in microseconds.
+STEPS = (("D", 86_400_000_000), ("h", 3_600_000_000), ("min", 60_000_000), ("s", 1_000_000), ("ms", 1000), ("us", 1))
+
+
+def infer_calendar_freq(df: DataFrame, panel: Panel, min_gaps: int = 2) -> DataFrame:
+    """The frequency of each series by name, calendars included; NULL if it has none.
+
+    Fixed steps are ``5min``, ``h``, ``2D``; whole weeks have their weekday (``W-MON``).  Steps
+    of whole months at one time of day are ``MS`` or ``ME`` (all on the first or the last day
+    of a month), three months ``QS``/``QE`` with the first month of the year that is an
+    anchor (``QS-JAN``, ``QE-MAR``), years ``YS``/``YE`` with their month; other numbers of
+    months are ``2MS``.  Weekdays without a gap but the weekend are ``B``.  Series with fewer than
+    ``min_gaps`` gaps have no name.
+
+    One ordered pass for the gaps; the pattern comes from least and largest residues, which
+    combine on the map side.
+    """
+    now = F.col(panel.dt)
+    before = F.timestamp_micros(F.unix_micros(now) - F.col("gap_us"))
+    day_us, week_us = STEPS[0][1], 7 * STEPS[0][1]
+    clock = lambda t: F.pmod(F.unix_micros(t), F.lit(day_us))
+    month = lambda t: F.year(t) * 12 + F.month(t)
+    last = lambda t: F.to_date(t) == F.last_day(t)
+    weekend = lambda t: F.weekday(t) > 4
+    next_weekday = F.when(F.weekday(before) == 4, F.lit(3 * day_us)).otherwise(F.lit(day_us))
+    facts = _gaps(df, panel).groupBy(*panel.ids).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("gap_us").alias("least"), F.max("gap_us").alias("most"),
+        (F.max(clock(now) != clock(before)) == F.lit(False)).alias("clocked"),
+        F.min(month(now) - month(before)).alias("months"), F.max(month(now) - month(before)).alias("most_months"),
+        F.min((F.day(now) == 1) & (F.day(before) == 1)).alias("starts"),
+        F.min(last(now) & last(before)).alias("ends"),
+        F.min(~weekend(now) & ~weekend(before) & (F.col("gap_us") == next_weekday)).alias("business"),
+        F.max(F.month(now)).alias("month"), F.min(F.month(now)).alias("any_month"), F.max(F.weekday(now)).alias("weekday"),
+    )
+    steps, gap = F.col("months"), F.col("least")
+
+    def times(k: Column, unit: Column) -> Column:
+        return F.concat(F.when(k > 1, k.cast("string")).otherwise(F.lit("")), unit)
+
+    def anchored(kind: str) -> Column:
+        names = F.array(*[F.lit(m) for m in MONTHS])
+        # Quarters go by the anchor that is first (of starts) or comes first (of ends) in a year.
+        quarter = F.element_at(names, F.pmod(F.col("any_month") - 1, F.lit(3)) + 1)
+        year = F.element_at(names, F.col("month"))
+        return (
+            F.when(steps % 12 == 0, times((steps / 12).cast("int"), F.concat(F.lit(f"Y{kind}-"), year)))
+            .when(steps % 3 == 0, times((steps / 3).cast("int"), F.concat(F.lit(f"Q{kind}-"), quarter)))
+            .otherwise(times(steps, F.lit(f"M{kind}")))
+        )
+
+    weekly = F.concat(F.lit("W-"), F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("weekday") + 1))
+    fixed = F.when(gap % week_us == 0, times((gap / week_us).cast("long"), weekly))
+    for name, us in STEPS:
+        fixed = fixed.when(gap % us == 0, times((gap / us).cast("long"), F.lit(name)))
+    by_month = F.col("clocked") & (steps >= 1) & (steps == F.col("most_months"))
+    found = (
+        F.when(by_month & F.col("starts"), anchored("S")).when(by_month & F.col("ends"), anchored("E"))
+        .when((gap == F.col("most")) & (gap > 0), fixed).when(F.col("business"), F.lit("B"))
+    )
+    return facts.select(*panel.ids, F.when(F.col("n") >= min_gaps, found).alias("freq"))
+
+
 def min_gap_freq(df: DataFrame, panel: Panel) -> DataFrame:
     """The smallest gap of each series."""
     return _gaps(df, panel).groupBy(*panel.ids).agg(F.min("gap_us").alias("freq_us"))

@@ -129,7 +129,8 @@ def read_metrics_dir(spark: SparkSession, folder: str, schema: str = METRICS_SCH
     a file lacks are NULL, and others are left out.
     """
     kinds = T._parse_datatype_string(schema)
-    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
+    # Files may lie in the folder itself or in a folder for each trial.
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("file"), "value")
     name = F.trim(F.col("value"))
     # A file's header is the line that names the key column; data lines start with a number.
     header = lines.where(name.rlike(rf"(^|,)\"?{kinds.fields[0].name}\"?(,|$)"))

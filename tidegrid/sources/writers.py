@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 # Directory keys.  The series id is not among them by default: millions of ids
@@ -26,7 +26,14 @@ def _write_partitioned(df: DataFrame, path: str, keys: Sequence[str], mode: str)
     placed = df.hint("rebalance", *keys)
     if order:
         placed = placed.sortWithinPartitions(*order)
-    placed.write.mode(mode).partitionBy(*keys).parquet(path)
+    _replacing(placed, mode).partitionBy(*keys).parquet(path)
+
+
+def _replacing(df: DataFrame, mode: str) -> DataFrameWriter:
+    """A writer; ``replace`` overwrites only the directories that the rows go to."""
+    if mode == "replace":
+        return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return df.write.mode(mode)
 
 
 def write_series_parquet(
@@ -46,6 +53,8 @@ def write_xy(df: DataFrame, path: str, keys: Sequence[str] = XY_KEYS, mode: str
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
+    """A folder for each trial.  ``mode="replace"`` replaces the trials that ``df`` has rows of
+    and leaves all others, so that a trial that is run again stands once."""
     _write_partitioned(df, path, ("exptid",), mode)
 
 
@@ -69,10 +78,21 @@ def write_trial_lists(spark: SparkSession, lists: Mapping[str, Sequence], path:
     spark.range(1).select(*choices).write.mode(mode).json(path)
 
 
-def append_metrics(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """Append rows to a folder of metric files, in the reader's order of columns unless told."""
+def append_metrics(
+    df: DataFrame, path: str, columns: Sequence[str] | None = None, replace: str | None = None
+) -> None:
+    """Append rows to a folder of metric files, in the reader's order of columns unless told.
+
+    ``replace`` names the column of the trial: rows lie in a folder for each trial then, and
+    writing a trial again, or a retry of the write, replaces what it had.
+    """
     from tidegrid.sources.readers import METRICS_SCHEMA
 
     known = [part.split()[0] for part in METRICS_SCHEMA.split(", ")]
     order = columns or [c for c in known if c in df.columns] + [c for c in df.columns if c not in known]
-    df.select(*order).write.mode("append").option("header", True).csv(path)
+    if replace is None:
+        df.select(*order).write.mode("append").option("header", True).csv(path)
+        return
+    # The trial's number stays in its files as well: readers match columns by name.
+    placed = df.select(*order, F.col(replace).alias("trial")).hint("rebalance", "trial")
+    _replacing(placed, "replace").option("header", True).partitionBy("trial").csv(path)
