@@ -78,15 +78,15 @@ STD_META = f"""
 
 
 @query("load_dataset", rounded(f"""
-    SELECT z.id, z.dt, z.speed, dense_rank() OVER (ORDER BY g.ord) AS ord
-    FROM ({ZONE_SQL}) z JOIN ({GEO_SQL.format(source=STD_META)}) g USING (id)""", ["speed"]))
+    SELECT z.id, z.dt, z.speed, CASE WHEN g.ord IS NOT NULL THEN dense_rank() OVER (ORDER BY g.ord NULLS LAST) END AS ord
+    FROM ({ZONE_SQL}) z LEFT JOIN ({GEO_SQL.format(source=STD_META)}) g USING (id)""", ["speed"]))
 def load_dataset(spark, sf):
     folder = shared_folder(spark, "dataset")
     _raw_meta(spark, sf).write.parquet(f"{folder}/meta.parquet")
     zone = _raw_zone(spark, sf).withColumn("measurement_start", F.to_timestamp("measurement_start"))
     zone.write.parquet(f"{folder}/zone.parquet")
     tables = readers.load_dataset(spark, folder, ["zone"])
-    return finish(tables["zone"].where(F.col("ord").isNotNull()).select("id", "dt", "speed", "ord"))
+    return finish(tables["zone"].select("id", "dt", "speed", "ord"))
 
 
 _METRICS = ["exptid", "id", "t_train", "t_autotune", "mse", "mae", "mape", "smape"]
@@ -123,12 +123,12 @@ def append_metrics(spark, sf):
 
 @query("append_metrics_again", rounded(METRICS_SQL, _DOUBLES))
 def append_metrics_again(spark, sf):
-    """All trials are written with other values, then every trial again."""
+    """All studies (some trials each) are written with other values, then every study again."""
     path = shared_folder(spark, "metrics")
-    rows = _metrics(spark, sf)
-    writers.append_metrics(rows.withColumn("mse", F.col("mse") + 1), path, replace="exptid")
+    rows = _metrics(spark, sf).withColumn("study", F.col("exptid") % 20)
+    writers.append_metrics(rows.withColumn("mse", F.col("mse") + 1), path, _METRICS, replace="study")
     for part in range(2):
-        writers.append_metrics(rows.where(F.col("exptid") % 2 == part), path, replace="exptid")
+        writers.append_metrics(rows.where(F.col("study") % 2 == part), path, _METRICS, replace="study")
     return finish(readers.read_metrics_dir(spark, path))
 
 
