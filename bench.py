@@ -28,8 +28,9 @@ HEADLINE = [
     "standard_scaler_transform", "minmax_scaler_transform", "scale_per_series", "tvt_split",
     "evaluate_metrics", "rank_average", "rank_average_global",
     "friedman_test", "friedman_aligned_ranks_test", "quade_test", "anova_within_test",
-    "holm_test", "shaffer_multitest", "wilcoxon", "mannwhitneyu",
-    "forecast_fit_predict", "forecast_per_series", "forecast_auto", "run_trials",
+    "holm_test", "shaffer_multitest", "wilcoxon", "mannwhitneyu", "wilcoxon_exact", "mannwhitneyu_exact", "infer_calendar_freq",
+    "forecast_fit_predict", "forecast_per_series", "forecast_auto", "forecast_arma", "halving_search",
+    "run_trials", "run_trials_nonlinear",
     "build_dataset_single_rate", "build_dataset_dual_rate",
 ]
 
