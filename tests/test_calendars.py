@@ -1,5 +1,6 @@
 """Frequencies by name, and trials that are written again."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,48 @@ def test_writing_a_trial_again_leaves_one_copy(spark, tmp_path):
     assert spark.read.parquet(folder).count() == 50
     with pytest.raises(Exception):
         writers.write_predictions(predictions, folder, mode="other")
+
+
+# Calendars, single and in steps, as the library and pandas name them.
+CALENDARS = ["MS", "ME", "QS-JAN", "QS-FEB", "QE-MAR", "QE-DEC", "YS-APR", "YE-DEC", "W-MON", "W-SUN", "W-THU", "B", "2MS", "3ME", "2QS-FEB", "2W-MON"]
+
+
+def uneven(seed, n=400):
+    draw = np.random.default_rng(seed)
+    days = np.sort(draw.choice(2200, n, replace=False))
+    return pd.DatetimeIndex(pd.Timestamp("2015-11-03") + pd.to_timedelta(days, "D"))
+
+
+@pytest.mark.parametrize("freq", CALENDARS)
+def test_means_of_calendar_bins(spark, freq):
+    made = {"a": uneven(1) + pd.Timedelta(hours=9), "b": uneven(2, 30), "c": uneven(3, 1), None: uneven(4, 5)}
+    df = times(spark, made).withColumn("v", F.dayofyear("dt").cast("double")).withColumn("gone", F.lit(None).cast("double"))
+    got = {(r.id, r.dt): r.v for r in reg.resample_mean(df, PANEL, ["v", "gone"], freq).collect()}
+    want = {}
+    for i, stamps in made.items():
+        means = pd.Series(stamps.dayofyear.astype(float), stamps).resample(freq).mean().dropna()
+        want |= {(i, t.to_pydatetime()): v for t, v in means.items()}
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("freq", [*CALENDARS, "3B"])
+def test_gaps_of_calendar_grids(spark, freq):
+    made = {"a": uneven(5) + pd.Timedelta(hours=9), "b": uneven(6, 900), "c": uneven(7, 1), "d": uneven(8, 3), None: uneven(9, 40)}
+    df = times(spark, made).withColumn("v", F.dayofyear("dt").cast("double"))
+    got = {(r.id, r.dt): r.v for r in reg.gap_fill(df.union(df.where("false")), PANEL, freq, -1.0).collect()}
+    want = {}
+    for i, stamps in made.items():
+        filled = pd.Series(stamps.dayofyear.astype(float), stamps).asfreq(freq, fill_value=-1.0)
+        want |= {(i, t.to_pydatetime()): v for t, v in filled.items()}
+    assert got == want
+
+
+def test_calendar_grids_keep_repeats_and_pass_empty_tables(spark):
+    df = times(spark, {"a": pd.DatetimeIndex(["2020-01-01", "2020-01-01", "2020-04-01"])}).withColumn("v", F.lit(2))
+    months = [(r.dt.month, r.v) for r in reg.gap_fill(df, PANEL, "MS").orderBy("dt").collect()]
+    assert months == [(1, 2), (1, 2), (2, None), (3, None), (4, 2)]
+    nothing = df.where("false")
+    assert reg.gap_fill(nothing, PANEL, "QS").isEmpty() and reg.resample_mean(nothing, PANEL, ["v"], "2ME").isEmpty()
+    for bad in ("QS-MON", "W-JAN", "MS-JAN", "0MS", "B-MON"):
+        with pytest.raises(ValueError):
+            reg.gap_fill(df, PANEL, bad)

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import same_rows
 from tidegrid import Panel
 from tidegrid.functions.scalar import (
     array_argmax, array_onehot, format_bytes, hypothesis_decision, missing_to_null, zero_to_one,
 )
 from tidegrid.operators import clean, joins, quality
+from tidegrid.operators.ranks import in_ranges
 from tidegrid.operators.trials import sample_config, trial_grid
 from tidegrid.plans.nullity import nullity_report
 from tidegrid.sources import generate, readers, writers
@@ -107,6 +109,24 @@ def test_neighbours(spark, series):
     assert [(r.id, r["0_v"], r["1_v"], r["2_v"]) for r in rows] == [("b", 1, 1, 1), ("b", None, None, None)]
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_neighbours_on_a_long_road(spark, ranges):
+    # A third of the ids on one road, roads of one and two ids, ties, a road and an id that are null.
+    rows = [(None if k % 50 == 0 else "hot" if k % 3 == 0 else f"r{k % 40}" if k % 7 else f"one {k}", None if k == 33 else k, k * 7 % 90) for k in range(400)]
+    meta = spark.createDataFrame(rows, "road string, id int, ord int")
+    plain = joins.neighbor_ids(meta, ["road"])
+    assert plain.where("road = 'hot'").count() > 100
+    same_rows(joins.neighbor_ids(meta, ["road"], max_rows=20, ranges=ranges), plain)
+    same_rows(joins.neighbor_ids(meta, ["road"], ord_col="id", max_rows=20, ranges=ranges), joins.neighbor_ids(meta, ["road"], ord_col="id"))
+    assert joins.neighbor_ids(meta.where("false"), ["road"], max_rows=-1, ranges=ranges).isEmpty()
+
+
+def test_no_task_holds_more_than_its_share_of_a_road(spark):
+    meta = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', cast(id AS string)) AS road", "id", "id * 7919 % 9000 AS ord")
+    cut = in_ranges(meta, ["road", "ord", "id"], 12)
+    assert cut.where("road = 'hot'").groupBy("_b").count().agg(F.max("count")).first()[0] < 1500
+
+
 def test_left_wide_keeps_the_first_variants_ids(spark):
     df = spark.createDataFrame([("a", "f", 1.0), ("a", "sf", 2.0), ("b", "sf", 3.0), ("c", "f", None)], "id string, k string, v double")
     rows = joins.join_left_wide(df, "k", ["f", "sf"], "v").orderBy("id").collect()
@@ -183,6 +203,30 @@ def test_profile(spark, series):
     assert (rows["zone"].n_rows, rows["zone"].n_ids, rows["zone"].n_dt, rows["zone"].n_common) == (6, 2, 3, 1)
 
 
+def test_profile_counts_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(None, None), (None, None), ("a", None), ("b", 5)], "id string, us long").select("id", F.timestamp_micros("us").alias("dt"))
+    for approx in (False, True):
+        rows = {r.table_name: r for r in quality.dataset_profile({"zone": df, "none": df.where("false"), "ids": df.select("id")}, approx=approx).collect()}
+        assert [(rows[n].n_rows, rows[n].n_ids, rows[n].n_dt, rows[n].has_dup_ids) for n in ("zone", "none", "ids")] == [
+            (4, 2, 1, True), (0, 0, 0, False), (4, 2, 0, True)]
+
+
+def test_stored_profiles_merge(spark):
+    rows = spark.range(60000).selectExpr("id % 30000 AS id", "timestamp_micros(id * 5 % 90000) AS dt", "cast(id % 7 AS int) AS part")
+    known = quality.profile_sketches(spark.range(10000, 50000).select("id"))
+    stored = quality.profile_sketches(rows.where("part < 6"), ["part"]).unionByName(quality.profile_sketches(rows.where("part = 6"), ["part"]))
+    assert stored.count() == 7
+    got = quality.profile_counts(quality.merge_profiles(stored), known).first()
+    exact = quality.dataset_profile({"zone": rows}).first()
+    assert (got.n_rows, got.min_dt, got.max_dt, got.has_dup_ids) == (exact.n_rows, exact.min_dt, exact.max_dt, True)
+    assert got.n_ids == pytest.approx(exact.n_ids, rel=0.032) and got.n_dt == pytest.approx(exact.n_dt, rel=0.032)
+    assert got.n_common == pytest.approx(20000, abs=0.032 * 50000)
+    small = quality.profile_counts(quality.merge_profiles(stored, ["part"])).orderBy("part").collect()
+    assert [r.n_ids for r in small] == [rows.where(f"part = {k}").select("id").distinct().count() for k in range(7)]
+    nothing = quality.profile_counts(quality.merge_profiles(quality.profile_sketches(rows.where("false")))).first()
+    assert (nothing.n_rows, nothing.n_ids, nothing.n_dt) == (0, 0, 0)
+
+
 def test_dataset_round_trip(spark, tmp_path):
     (tmp_path / "meta.csv").write_text(
         "zone_id,road,direction,latitude,longitude,Unnamed: 9\nb,I-4,North,1.0,1.0,0\na,I-4,South,0.0,0.0,1\n")

@@ -13,7 +13,7 @@ from tidegrid.operators.regularize import resample_mean
 from tidegrid.operators.trials import trial_grid
 from tidegrid.operators.windows import xy_windows_nested
 from tidegrid.plans.nullity import nullity_report
-from tidegrid.session import shared_folder
+from tidegrid.session import shared_folder, stage
 from tidegrid.sources import readers, writers
 
 # ------------------------------------------------------------------------ joins
@@ -52,6 +52,21 @@ def neighbor_ids(spark, sf):
     return _neighbors(spark, sf)
 
 
+@query("neighbor_ids_long_road", f"""
+    SELECT * FROM (
+        SELECT nation, id, lag(id) OVER w AS id_prev, lead(id) OVER w AS id_next
+        FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS nation, c_custkey AS id, c_acctbal AS ord FROM customer)
+        WINDOW w AS (PARTITION BY nation ORDER BY ord, id))
+    WHERE id_prev IS NOT NULL AND id_next IS NOT NULL""")
+def neighbor_ids_long_road(spark, sf):
+    """A third of all customers on one road, which is ordered in ranges."""
+    road = F.when(F.col("c_custkey") % 3 == 0, F.lit(0)).otherwise(F.col("c_nationkey"))
+    places = table(spark, sf, "customer").select(
+        road.cast("int").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("ord")
+    )
+    return joins.neighbor_ids(places, ["nation"], max_rows=0)
+
+
 ALONG = f"""
     SELECT * FROM (
         SELECT direction, id, lag(id) OVER w AS id_prev, lead(id) OVER w AS id_next
@@ -175,6 +190,24 @@ def dataset_profile(spark, sf):
     return finish(quality.dataset_profile({"meta": meta(spark, sf), "zone": readings(spark, sf), "lane": None}))
 
 
+@query("dataset_profile_merged", f"""
+    SELECT CASE WHEN m.d IS NULL THEN 'all' ELSE m.d::VARCHAR END AS part, count(*) AS n_rows, count(DISTINCT r.id) AS n_ids,
+           min(r.dt) AS min_dt, max(r.dt) AS max_dt, count(DISTINCT r.dt) AS n_dt, count(*) > count(DISTINCT r.id) AS has_dup_ids,
+           count(DISTINCT CASE WHEN r.id IN (SELECT id FROM ({META})) THEN r.id END) AS n_common
+    FROM ({READINGS}) r JOIN (SELECT DISTINCT dt::DATE AS d, dt::DATE AS at FROM ({READINGS})
+                              UNION ALL SELECT DISTINCT NULL::DATE, dt::DATE FROM ({READINGS})) m ON m.at = r.dt::DATE
+    GROUP BY m.d""")
+def dataset_profile_merged(spark, sf):
+    """Days are profiled in two halves, stored, and merged by day and in all; sketches
+    of 65 thousand values, so that counts up to that are exact."""
+    rows = readings(spark, sf).withColumns({"part": F.to_date("dt").cast("string"), "late": F.hour("dt") > 11})
+    stored = stage(quality.profile_sketches(rows, ["part", "late"], lg=16))
+    known = stage(quality.merge_profiles(quality.profile_sketches(meta(spark, sf), lg=16), lg=16))
+    days = quality.merge_profiles(stored, ["part"], lg=16)
+    whole = quality.merge_profiles(stored.withColumn("part", F.lit("all")), ["part"], lg=16)
+    return finish(quality.profile_counts(days.unionByName(whole), known))
+
+
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 

@@ -209,3 +209,49 @@ def shift(spark, sf):
 def every_nth(spark, sf):
     rows = readings(spark, sf).select("id", "dt")
     return finish(reg.every_nth(rows, RAW, 3))
+
+
+# Prices of orders by customer in bins of a calendar: its name, and the day that names a bin.
+CALENDAR_BINS = {
+    "MS": "date_trunc('month', dt)", "ME": "last_day(dt)::TIMESTAMP",
+    "QS-FEB": "date_trunc('quarter', dt - INTERVAL 1 MONTH) + INTERVAL 1 MONTH",
+    "W-MON": "date_trunc('week', dt - INTERVAL 1 DAY) + INTERVAL 7 DAY",
+    "B": "CASE WHEN isodow(dt) > 5 THEN date_trunc('week', dt) + INTERVAL 4 DAY ELSE date_trunc('day', dt) END",
+}
+PRICES = "SELECT o_custkey AS id, o_orderdate::TIMESTAMP AS dt, o_totalprice::DOUBLE AS price FROM orders"
+CALENDAR_MEANS = " UNION ALL ".join(
+    f"SELECT '{name}' AS freq, id, {bin} AS dt, avg(price) AS price FROM ({PRICES}) GROUP BY ALL" for name, bin in CALENDAR_BINS.items()
+)
+
+
+def _calendar_means(spark, sf, *names):
+    prices = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("dt"), F.col("o_totalprice").cast("double").alias("price")
+    )
+    return union_all(*[reg.resample_mean(prices, RAW, ["price"], n).withColumn("freq", F.lit(n)) for n in names])
+
+
+@query("resample_mean_calendar", rounded(f"""
+    SELECT * FROM ({CALENDAR_MEANS}) UNION ALL
+    SELECT '2MS', id, lo + to_months(2 * (datediff('month', lo, dt) // 2)::INT), avg(price)
+    FROM (SELECT *, date_trunc('month', min(dt) OVER (PARTITION BY id)) AS lo FROM ({PRICES})) GROUP BY ALL""", ["price"]))
+def resample_mean_calendar(spark, sf):
+    return finish(_calendar_means(spark, sf, *CALENDAR_BINS, "2MS"))
+
+
+CALENDAR_CELLS = " UNION ALL ".join(
+    f"""SELECT '{name}' AS freq, id, unnest(generate_series(lo, hi, INTERVAL {step})) AS dt
+        FROM (SELECT id, min(dt) AS lo, max(dt) AS hi FROM m WHERE freq = '{name}' GROUP BY 1)"""
+    for name, step in (("MS", "1 MONTH"), ("QS-FEB", "3 MONTH"), ("W-MON", "7 DAY"))
+)
+
+
+@query("gap_fill_calendar", rounded(f"""
+    WITH m AS ({CALENDAR_MEANS}), cells AS ({CALENDAR_CELLS})
+    SELECT c.freq, c.id, c.dt, CASE WHEN m.id IS NULL THEN -1.0 ELSE m.price END AS price
+    FROM cells c LEFT JOIN m ON m.freq = c.freq AND m.id = c.id AND m.dt = c.dt""", ["price"]))
+def gap_fill_calendar(spark, sf):
+    """Months, quarters and weeks in which a customer ordered nothing stand at -1."""
+    names = ["MS", "QS-FEB", "W-MON"]
+    filled = [reg.gap_fill(_calendar_means(spark, sf, n), RAW.within("freq"), n, -1.0) for n in names]
+    return finish(union_all(*filled))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.chunks import MAX_ROWS
+from tidegrid.operators.ranks import in_ranges
 from tidegrid.panel import Panel
 
 
@@ -44,18 +46,47 @@ def filter_by_common_id(
 
 
 def neighbor_ids(
-    meta: DataFrame, by: Sequence[str] = ("road", "direction"), key: str = "id", ord_col: str = "ord"
+    meta: DataFrame, by: Sequence[str] = ("road", "direction"), key: str = "id", ord_col: str = "ord",
+    max_rows: int = MAX_ROWS, ranges: int | None = None,
 ) -> DataFrame:
-    """Previous and next id along each road; the two ends have no pair and drop out."""
-    w = Window.partitionBy(*by).orderBy(ord_col, key)
-    return (
-        meta.select(
-            *by,
-            key,
-            F.lag(key).over(w).alias("id_prev"),
-            F.lead(key).over(w).alias("id_next"),
-        )
-        .where(F.col("id_prev").isNotNull() & F.col("id_next").isNotNull())
+    """Previous and next id along each road; the two ends have no pair and drop out.
+
+    A plain window while the longest road has at most ``max_rows`` ids, which is measured
+    first.  Longer roads have no time to be cut by: all rows are range-partitioned in
+    their order, look beside themselves inside a range, and only the first and last row
+    of a road's part in a range take their neighbour from the parts before and after it.
+    """
+    by = list(by)
+    places = meta.select(*dict.fromkeys([*by, key, ord_col]))
+    longest = places.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_rows:
+        w = Window.partitionBy(*by).orderBy(ord_col, key)
+        beside = places.select(*by, key, F.lag(key).over(w).alias("id_prev"), F.lead(key).over(w).alias("id_next"))
+    else:
+        beside = _beside_in_ranges(places, by, key, ord_col, ranges)
+    return beside.where(F.col("id_prev").isNotNull() & F.col("id_next").isNotNull())
+
+
+def _beside_in_ranges(places: DataFrame, by: list[str], key: str, ord_col: str, ranges: int | None) -> DataFrame:
+    cut = in_ranges(places, list(dict.fromkeys([*by, ord_col, key])), ranges)
+    inside = Window.partitionBy(*by, "_b").orderBy("_rn")
+    along = Window.partitionBy(*by).orderBy("_b")  # one row for a road and range
+    parts = cut.groupBy(*by, "_b").agg(
+        F.min("_rn").alias("_lo"), F.max("_rn").alias("_hi"),
+        F.min_by(key, "_rn").alias("_head"), F.max_by(key, "_rn").alias("_tail"),
+    )
+    edges = parts.select(
+        *[F.col(c).alias(f"_of_{c}") for c in by], F.col("_b").alias("_of_b"), "_lo", "_hi",
+        F.lag("_tail").over(along).alias("_before"), F.lead("_head").over(along).alias("_after"),
+    )
+    same = F.col("_b") == F.col("_of_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rows = cut.withColumns({"_prev": F.lag(key).over(inside), "_next": F.lead(key).over(inside)})
+    return rows.join(edges, same).select(
+        *by, key,
+        F.when(F.col("_rn") == F.col("_lo"), F.col("_before")).otherwise(F.col("_prev")).alias("id_prev"),
+        F.when(F.col("_rn") == F.col("_hi"), F.col("_after")).otherwise(F.col("_next")).alias("id_next"),
     )
 
 

@@ -42,25 +42,33 @@ def dataset_profile(
     approx: bool = False,
 ) -> DataFrame:
     """One row per table: rows, unique ids, duplicate-id flag, time range, unique
-    times, ids shared with meta.  ``approx`` sketches the distinct counts, which
-    keeps very large tables to one pass."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    times, ids shared with meta.
+
+    Ids and times are counted apart, each from rows that map tasks have combined, so
+    that no row is doubled for a second distinct count.  ``approx`` sketches both counts
+    in one pass; see :func:`profile_sketches` for counts that grow by parts.
+    """
     rows = None
     for name, df in tables.items():
         if df is None:
             continue
-        timed = dt in df.columns
         cut = df.select(
-            F.col(id_col), (F.col(dt) if timed else F.lit(None).cast("timestamp")).alias("_dt")
+            F.col(id_col).alias("_id"), (F.col(dt) if dt in df.columns else F.lit(None).cast("timestamp")).alias("_dt")
         )
-        row = cut.agg(
-            F.lit(name).alias("table_name"),
-            F.count(F.lit(1)).alias("n_rows"),
-            distinct(id_col).alias("n_ids"),
-            F.min("_dt").alias("min_dt"),
-            F.max("_dt").alias("max_dt"),
-            distinct("_dt").alias("n_dt"),
-        ).withColumn("has_dup_ids", F.col("n_rows") > F.col("n_ids"))
+        span = [F.min("_dt").alias("min_dt"), F.max("_dt").alias("max_dt")]
+        if approx:
+            row = cut.agg(
+                F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("_id").alias("n_ids"), *span,
+                F.approx_count_distinct("_dt").alias("n_dt"),
+            )
+        else:
+            row = cut.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), *span).agg(
+                F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count("_id").alias("n_ids"),
+                F.min("min_dt").alias("min_dt"), F.max("max_dt").alias("max_dt"),
+            )
+            times = cut.select("_dt").distinct().agg(F.count("_dt")).scalar() if dt in df.columns else F.lit(0).cast("bigint")
+            row = row.withColumn("n_dt", times)
+        row = row.select(F.lit(name).alias("table_name"), "*", (F.col("n_rows") > F.col("n_ids")).alias("has_dup_ids"))
         if name != meta and tables.get(meta) is not None:
             shared = common_ids(tables[meta], [df], id_col).agg(F.count(F.lit(1))).scalar()
             row = row.withColumn("n_common", shared)
@@ -70,6 +78,47 @@ def dataset_profile(
     return rows
 
 
+def profile_sketches(df: DataFrame, by: Sequence[str] = (), id_col: str = "id", dt: str = "dt", lg: int = 14) -> DataFrame:
+    """Profiles of parts (months, say) that can be stored and merged: one row a part.
+
+    Holds the rows, the time range and theta sketches of ids and times, at most
+    ``8 * 2**lg`` bytes each whatever the part's size.  A new part is profiled alone and
+    put beside the stored ones; :func:`merge_profiles` joins any of them without reading
+    their rows again.  A table without ``dt`` has no times.
+    """
+    timed = F.col(dt) if dt in df.columns else F.lit(None).cast("timestamp")
+    cut = df.select(*by, F.col(id_col).alias("_id"), timed.alias("_dt"))
+    return cut.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("_dt").alias("min_dt"), F.max("_dt").alias("max_dt"),
+        F.theta_sketch_agg("_id", lg).alias("ids"), F.theta_sketch_agg(F.unix_micros("_dt"), lg).alias("times"),
+    )
+
+
+def merge_profiles(profiles: DataFrame, by: Sequence[str] = (), lg: int = 14) -> DataFrame:
+    """One profile for each value of ``by`` (or one in all) of the parts' profiles."""
+    return profiles.groupBy(*by).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.min("min_dt").alias("min_dt"), F.max("max_dt").alias("max_dt"),
+        F.theta_union_agg("ids", lg).alias("ids"), F.theta_union_agg("times", lg).alias("times"),
+    )
+
+
+def profile_counts(profiles: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """Profiles with their counts in place of the sketches, as :func:`dataset_profile` has them.
+
+    Counts of up to ``2**lg`` distinct values are exact; larger ones have a standard error
+    of ``2**(-lg / 2)`` of the count (0.8 % by default).  ``meta``, one row of
+    :func:`merge_profiles`, adds the number of ids that it shares; its error is that
+    share of the ids of both together.
+    """
+    out = profiles
+    if meta is not None:
+        both = F.theta_intersection("ids", meta.select("ids").scalar())
+        out = out.withColumn("n_common", F.theta_sketch_estimate(both))
+    counts = {"n_ids": F.theta_sketch_estimate("ids"), "n_dt": F.theta_sketch_estimate("times")}
+    out = out.withColumns(counts).withColumn("has_dup_ids", F.col("n_rows") > F.col("n_ids"))
+    return out.drop("ids", "times")
+
+
 # ------------------------------------------------------------ long and wide
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.calendars import MONTHS, WEEKDAYS, Calendar, calendar_of
 from tidegrid.functions.freq import freq_seconds
 from tidegrid.functions.scalar import floor_time, on_grid
 from tidegrid.operators.chunks import (
@@ -75,9 +76,6 @@ def infer_freq(df: DataFrame, panel: Panel) -> DataFrame:
     return _gaps(df, panel).groupBy(*panel.ids).agg(F.when(low == high, low).alias("freq_us"))
 
 
-# Names of weekdays (from Monday) and months as frequency anchors.
-WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
-MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 # Names of fixed steps, the longest first, in microseconds.
 STEPS = (("D", 86_400_000_000), ("h", 3_600_000_000), ("min", 60_000_000), ("s", 1_000_000), ("ms", 1000), ("us", 1))
 
@@ -216,12 +214,50 @@ def gap_fill(
     The grid is anchored at the first timestamp; rows off the grid are dropped and
     inserted rows carry ``fill_value``.  Rows that share a timestamp all stay; only the
     last of them opens the gap that follows (see :func:`average_duplicates`).
+
+    ``freq`` may be a calendar (``MS``, ``QS-FEB``, ``ME``, ``W-MON``, ``B``, ``2MS``): the grid then has the
+    naming days from the first to the last timestamp, at the first one's time of day.
     """
+    calendar = calendar_of(freq)
+    if calendar is not None:
+        return _fill_calendar(df, panel, calendar, fill_value)
     step = F.lit(freq_seconds(freq) * 1_000_000)
     panel = measured(df, panel)
     return _fill(_with_bounds(df, panel), panel, df.columns, step, fill_value)
 
 
+def _fill_calendar(df: DataFrame, panel: Panel, calendar: Calendar, fill_value) -> DataFrame:
+    """Naming days of every series, made from its bounds, and the rows that lie on them.
+
+    A grid has at most a row a day, and meets the rows by (series, dt), so that no task
+    holds a long series whole.
+    """
+    now = F.col(panel.dt)
+    clock_us = F.pmod(F.unix_micros("_first"), F.lit(STEPS[0][1]))
+    at = lambda period: F.timestamp_micros(F.unix_micros(calendar.date(period).cast("timestamp")) + clock_us)
+    low, high = calendar.period(F.col("_first")), calendar.period(F.col("_last"))
+    bounds = (
+        df.where(now.isNotNull()).groupBy(*panel.ids).agg(F.min(now).alias("_first"), F.max(now).alias("_last"))
+        .withColumn("_low", F.when(at(low) < F.col("_first"), low + 1).otherwise(low))
+        .withColumn("_high", F.when(at(high) > F.col("_last"), high - 1).otherwise(high))
+        .where("_low <= _high")
+    )
+    keys = [F.col(c).alias(f"_of_{c}") for c in panel.ids]
+    grid = bounds.select(*keys, "_first", F.explode(F.sequence("_low", "_high", F.lit(calendar.times).cast("bigint"))).alias("_p"))
+    grid = grid.select(*[f"_of_{c}" for c in panel.ids], at(F.col("_p")).alias("_t"))
+    same = F.col("_t") == now
+    for c in panel.ids:
+        same = same & F.col(f"_of_{c}").eqNullSafe(F.col(c))
+    joined = grid.join(df.where(calendar.names(now)), same, "left")
+    fill = F.lit(fill_value)
+
+    def value(c: str) -> Column:
+        return F.when(now.isNotNull(), F.col(c)).otherwise(fill.cast(df.schema[c].dataType)).alias(c)
+
+    values = [value(c) for c in df.columns if c not in (*panel.ids, panel.dt)]
+    return joined.select(*[F.col(f"_of_{c}").alias(c) for c in panel.ids], F.col("_t").alias(panel.dt), *values)
+
+
 def gap_fill_inferred(df: DataFrame, panel: Panel, fill_value=None) -> DataFrame:
     """:func:`gap_fill` at each series' own smallest gap."""
     panel = measured(df, panel)
@@ -390,11 +426,39 @@ def _known_neighbours(
 
 
 def resample_mean(df: DataFrame, panel: Panel, cols: Sequence[str], freq: str | int) -> DataFrame:
-    """Mean per bin, closed and labelled on the left."""
+    """Mean per bin, closed and labelled on the left.
+
+    Bins of a calendar (see :func:`calendar_of`) bear the day that names them: the first of
+    ``MS``, ``QS``, ``YS`` and ``B`` (which takes the weekend after a Friday), the last of ``ME``, ``QE``,
+    ``YE`` and ``W``.  Bins of several periods count from a series' first one.  Bins without
+    rows are left out.
+    """
+    calendar = calendar_of(freq)
+    if calendar is not None:
+        return _calendar_means(df, panel, cols, calendar)
     start = floor_time(F.col(panel.dt), freq).alias(panel.dt)
     return df.groupBy(*panel.ids, start).agg(*[F.avg(c).alias(c) for c in cols])
 
 
+def _calendar_means(df: DataFrame, panel: Panel, cols: Sequence[str], calendar: Calendar) -> DataFrame:
+    period = calendar.period(F.col(panel.dt)).alias("_p")
+    keys = [*panel.ids, "_p"]
+    timed = df.where(F.col(panel.dt).isNotNull())
+    if calendar.times == 1:
+        bins = timed.groupBy(*panel.ids, period).agg(*[F.avg(c).alias(c) for c in cols])
+    else:
+        # Single periods first: their sums are few, whatever the readings' volume.
+        parts = [f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("sum", F.sum), ("n", F.count))]
+        single = timed.groupBy(*panel.ids, period).agg(*parts)
+        since = F.col("_p") - F.min("_p").over(Window.partitionBy(*panel.ids))
+        # A step that ends a bin names it, a step that begins one likewise.
+        behind = F.pmod(since, F.lit(calendar.times))
+        named = F.when(behind > 0, F.col("_p") + calendar.times - behind).otherwise(F.col("_p")) if calendar.ends else F.col("_p") - behind
+        total = [(F.sum(f"_sum_{c}") / F.nullif(F.sum(f"_n_{c}"), F.lit(0))).alias(c) for c in cols]
+        bins = single.withColumn("_p", named).groupBy(*keys).agg(*total)
+    return bins.select(*panel.ids, calendar.date(F.col("_p")).cast("timestamp").alias(panel.dt), *cols)
+
+
 def interpolate_resample(
     df: DataFrame,
     panel: Panel,
@@ -405,7 +469,7 @@ def interpolate_resample(
 ) -> DataFrame:
     """Interpolate on ``freq``, then average to ``new_freq`` unless they are equal."""
     grid = interpolate_linear(df, panel, cols, freq, snap)
-    if freq_seconds(freq) == freq_seconds(new_freq):
+    if calendar_of(new_freq) is None and freq_seconds(freq) == freq_seconds(new_freq):
         return grid
     return resample_mean(grid, panel, cols, new_freq)
 
@@ -427,7 +491,7 @@ def resample_multi(
     grid = interpolate_linear(df, panel, sorted({*x_cols, *y_cols}), freq, snap)
 
     def at(rate, cols):
-        if freq_seconds(rate) == freq_seconds(freq):
+        if calendar_of(rate) is None and freq_seconds(rate) == freq_seconds(freq):
             return grid.select(*panel.ids, panel.dt, *cols)
         return resample_mean(grid, panel, cols, rate)
 
