@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -69,3 +70,13 @@ def test_runs_hold_each_hash_once_and_total_all_batches(spark):
     want = {(r["h64"], r["h32"], r["n"], r["m"]) for r in rows.groupBy("h64", "h32").agg(F.count("id").alias("n"), F.max("id").alias("m")).collect()}
     assert {tuple(r) for r in runs.totals().collect()} == want
     runs.close()
+
+
+def test_documents_of_very_many_repeated_lines(make_docs):
+    """Three documents of 50 thousand shared lines, one of them with own lines between: linear work."""
+    shared = [f"a line of the log that others have too, number {k}" for k in range(50_000)]
+    mixed = [line for k, x in enumerate(shared) for line in ((x, f"only here {k:012d} and nowhere else") if k % 50 == 0 else (x,))]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(mixed)), (3, "\n".join(reversed(shared))), (None, "\n".join(shared[:29_999]))]
+    began = time.monotonic()
+    assert found(drop_repeated_lines(make_docs(rows))) == brute(rows)
+    assert time.monotonic() - began < 90

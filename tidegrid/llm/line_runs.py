@@ -122,14 +122,21 @@ def drop_repeated_lines(
     spark = docs.sparkSession
     doc, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    long = F.filter(lines, lambda s: F.char_length(F.btrim(s, F.lit(WHITE))) >= min_chars)
+
+    def numbered(s: Column, at: Column) -> Column:
+        long = F.char_length(F.btrim(s, F.lit(WHITE))) >= min_chars
+        return F.struct(F.when(long, _hashes(s)).alias("k"), at.alias("at"))
+
+    # The hash of a text is a column before lines are rows, else each line would hash its whole text.
+    listed = docs.select(
+        doc.alias("doc"),
+        F.xxhash64(text).alias("text_hash"),
+        F.pmod(F.xxhash64(doc, F.lit(1)), F.lit(batches)).alias("batch"),
+        F.filter(F.transform(lines, numbered), lambda s: s["k"].isNotNull()).alias("lines"),
+    )
     keyed = stage(
-        docs.select(
-            doc.alias("doc"),
-            F.xxhash64(text).alias("text_hash"),
-            F.pmod(F.xxhash64(doc, F.lit(1)), F.lit(batches)).alias("batch"),
-            F.explode(F.array_distinct(F.transform(long, _hashes))).alias("k"),
-        ).select("doc", "text_hash", "batch", "k.h64", "k.h32")
+        listed.select("doc", "text_hash", "batch", F.explode("lines").alias("line"))
+        .select("doc", "text_hash", "batch", "line.at", "line.k.h64", "line.k.h32")
     )
     runs = LineRuns(spark, fanout)
     for b in range(batches):
@@ -140,31 +147,30 @@ def drop_repeated_lines(
         )
     repeated = stage(runs.totals().where(F.col("docs") >= min_docs).select(*KEY, "owner"))
     runs.close()
-    # The same id with the same text has the same lines: one list of hashes to drop.
+    # The same id with the same text has the same lines: one list of line numbers to drop.
     drops = (
         keyed.join(repeated, KEY)
         .where(~F.col("doc").eqNullSafe(F.col("owner")))
         .groupBy("doc", "text_hash")
-        .agg(F.collect_set(F.struct(*KEY)).alias("drop"))
+        .agg(F.collect_set("at").alias("drop"))
     )
     names = [c for c in docs.columns if c not in ("line_count", "lines_dropped")]
     rows = docs.select(packed([c for c in names if c != text_col]), doc.alias("id"), text.alias("text"))
     joined = rows.join(
         drops, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("text_hash")), "left"
     )
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(
-        lines,
-        lambda s: ~(
-            (F.char_length(F.btrim(s, F.lit(WHITE))) >= min_chars) & F.array_contains(F.col("drop"), _hashes(s))
-        ),
-    )
+    # Exploding one array makes the lines a column, which the picks below read by number.
+    # Numbers are set apart by hash, so that a document costs its lines and not their square.
+    split = F.when(F.col("drop").isNotNull(), F.split("text", "\n", -1))
+    joined = joined.select("*", F.explode(F.array(split)).alias("lines"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.transform(stays, lambda at: F.get("lines", at))
     # Most documents lose nothing and keep their text as it is.
     cut = joined.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
     whole = F.col("kept").isNull()
     new_text = F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
     return cut.select(
         *[new_text if c == text_col else F.col(f"row.`{c}`") for c in names],
-        F.size(lines).cast("long").alias("line_count"),
-        F.when(whole, F.lit(0)).otherwise(F.size(lines) - F.size("kept")).cast("long").alias("lines_dropped"),
+        F.when(whole, F.size(F.split("text", "\n", -1))).otherwise(F.size("lines")).cast("long").alias("line_count"),
+        F.when(whole, F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("lines_dropped"),
     )
