@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -49,6 +50,15 @@ def form_class(word: bytes) -> int:
     return OWN + xxhash.xxh32_intdigest(word[-3:]) % (CLASSES - OWN)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of a binary column of texts, one after the other, and where each text's words end."""
+    parts = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words, ends = parts.flatten(), np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    there = pc.not_equal(pc.binary_length(words), 0)  # white space at an end leaves an empty part
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    return words.filter(there).view(pa.binary()), before[ends]
+
+
 @dataclass
 class Vocabulary:
     """The frequent words, most frequent first, and classes of all words."""
@@ -82,11 +92,12 @@ class Vocabulary:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: Counter[bytes] = Counter()
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    seen.update(text.split())
-                    if len(seen) > MOST_COUNTED:
-                        yield counted(seen)
-                        seen.clear()
+                words, times = pc.value_counts(split_words(batch.column(0))[0]).flatten()
+                for word, n in zip(words.to_pylist(), times.to_pylist()):
+                    seen[word] += n
+                if len(seen) > MOST_COUNTED:
+                    yield counted(seen)
+                    seen.clear()
             if seen:
                 yield counted(seen)
 
@@ -129,101 +140,107 @@ class GatedNetwork:
         }
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the window's steps, (steps, lanes, hidden)."""
-        x, u, n = self.weights["x"][inputs], self.weights["u"], self.hidden
-        out = np.empty((*inputs.shape, n), u.dtype)
+        """States after each of the window's steps, (steps, hidden, lanes), from (lanes, hidden).
+
+        Lanes come last, so that gates are whole rows.
+        """
+        x, u, n = np.ascontiguousarray(self.weights["x"].T), np.ascontiguousarray(self.weights["u"].T), self.hidden
+        out = np.empty((len(inputs), n, inputs.shape[1]), u.dtype)
+        state = np.ascontiguousarray(state.T)
         for t in range(len(inputs)):
-            pull = state @ u
-            gates = _sigmoid(x[t, :, : 2 * n] + pull[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[t, :, 2 * n :] + r * pull[:, 2 * n :])
+            pull, given = u @ state, x.take(inputs[t], axis=1)
+            gates = _sigmoid(given[: 2 * n] + pull[: 2 * n])
+            z, r = gates[:n], gates[n:]
+            new = np.tanh(given[2 * n :] + r * pull[2 * n :])
             if keep is not None:
-                keep.append((state, z, r, new, pull[:, 2 * n :]))
+                keep.append((state, z, r, new, pull[2 * n :]))
             state = new + z * (state - new)
             out[t] = state
         return out
 
-    def log_classes(self, states: np.ndarray) -> np.ndarray:
-        """Natural logarithms of class probabilities."""
-        logits = states @ self.weights["o"] + self.weights["b"]
-        logits -= logits.max(axis=-1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=-1, keepdims=True))
+    def classes(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class probabilities after each state (a column), and natural logarithms of the targets'."""
+        out, bias = self.weights["o"], self.weights["b"]
+        share = out.T @ states
+        share += bias[:, None]
+        # States lie between -1 and 1; only large weights can make exponentials overflow.
+        if float((np.abs(out).sum(axis=0) + np.abs(bias)).max()) > 60:
+            share -= share.max(axis=0)
+        logs = share[targets, np.arange(len(targets))]
+        np.exp(share, out=share)
+        total = share.sum(axis=0)
+        logs -= np.log(total)
+        share /= total
+        return share, logs
+
+    def target_logs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the targets' class probabilities, (steps, lanes)."""
+        return np.stack([self.classes(h, y)[1] for h, y in zip(states, targets)])
 
     def slopes(self, inputs, targets, mask, state) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Gradients of the mean loss over a window, the last state, and the loss."""
         keep: list = []
         states = self.states(inputs, state, keep)
-        logs = self.log_classes(states)
+        n, u, o = self.hidden, self.weights["u"], self.weights["o"]
         steps, lanes = inputs.shape
-        at = (np.arange(steps)[:, None], np.arange(lanes)[None], targets)
-        count = max(float(mask.sum()), 1.0)
-        loss = -float((logs[at] * mask).sum()) / count
-        error = np.exp(logs)
-        error[at] -= 1
-        error *= (mask / count)[:, :, None]
-        n, u = self.hidden, self.weights["u"]
-        flat = error.reshape(-1, CLASSES)
-        out = {"o": states.reshape(-1, n).T @ flat, "b": flat.sum(axis=0), "u": np.zeros_like(u)}
-        back, behind = error @ self.weights["o"].T, np.zeros((lanes, n), u.dtype)
-        inner = np.empty((steps, lanes, 3 * n), u.dtype)
+        count, loss = max(float(mask.sum()), 1.0), 0.0
+        out = {"o": np.zeros_like(o), "b": np.zeros_like(self.weights["b"]), "u": np.zeros_like(u)}
+        behind = np.zeros((n, lanes), u.dtype)
+        inner, through = np.empty((3 * n, steps, lanes), u.dtype), np.empty((3 * n, lanes), u.dtype)
         for t in range(steps - 1, -1, -1):
+            error, logs = self.classes(states[t], targets[t])
+            loss -= float((logs * mask[t]).sum()) / count
+            error[targets[t], np.arange(lanes)] -= 1
+            error *= (mask[t] / count).astype(error.dtype)
+            out["o"] += states[t] @ error.T
+            out["b"] += error.sum(axis=1)
             before, z, r, new, pull = keep[t]
-            d = back[t] + behind
+            d = o @ error + behind
             d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * pull * r * (1 - r)
-            inner[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            through = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            out["u"] += before.T @ through
-            behind = d * z + through @ u.T
+            through[:n] = d * (before - new) * z * (1 - z)
+            through[n : 2 * n] = d_new * pull * r * (1 - r)
+            through[2 * n :] = d_new
+            inner[:, t] = through
+            through[2 * n :] *= r
+            out["u"] += before @ through.T
+            behind = d * z + u @ through
         hot = np.zeros((steps * lanes, CLASSES + 1), u.dtype)
         hot[np.arange(steps * lanes), inputs.reshape(-1)] = 1
-        out["x"] = hot.T @ inner.reshape(-1, 3 * n)
-        return out, states[-1], loss
+        out["x"] = (inner.reshape(3 * n, -1) @ hot).T
+        return out, states[-1].T, loss
 
 
 class Lanes:
     """Class sequences side by side, cut into windows; a state goes on until its sequence ends."""
 
     def __init__(self, sequences: list[np.ndarray], lanes: int, window: int):
-        self.sequences, self.window = sequences, window
+        self.most, self.window = lanes, window
+        self.lengths = np.array([len(s) for s in sequences], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.targets = np.concatenate([np.zeros(0, np.uint8), *sequences]).astype(np.uint8)
+        self.inputs = np.roll(self.targets, 1)
+        self.inputs[self.starts] = CLASSES
         # The longest first, so that none is left running alone for long.
-        self.waiting = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        self.most = lanes
+        self.waiting = np.argsort(self.lengths, kind="stable").tolist()
 
-    def windows(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(sequence of each lane, inputs, targets, mask, whether each lane goes on from before).
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(sequence of each lane, inputs, targets, mask, whether each lane goes on after the window).
 
-        Lanes that go on come in the order they had; the caller keeps their states.
+        Lanes that go on come first in the next window, in the order they had.
         """
-        running: list[tuple[int, int]] = []
-        while running or self.waiting:
-            old = len(running)
-            while len(running) < self.most and self.waiting:
-                running.append((self.waiting.pop(), 0))
-            steps = min(self.window, max(len(self.sequences[i]) - at for i, at in running))
-            inputs = np.full((steps, len(running)), CLASSES, np.int64)
-            targets = np.zeros((steps, len(running)), np.int64)
-            mask = np.zeros((steps, len(running)), np.float32)
-            for lane, (i, at) in enumerate(running):
-                part = self.sequences[i][at : at + steps]
-                targets[: len(part), lane] = part
-                mask[: len(part), lane] = 1
-                if at:
-                    inputs[0, lane] = self.sequences[i][at - 1]
-                inputs[1 : len(part), lane] = part[:-1]
-            yield [i for i, _ in running], inputs, targets, mask, np.arange(len(running)) < old
-            running = [(i, at + steps) for i, at in running if at + steps < len(self.sequences[i])]
-
-
-def _carried(state: np.ndarray, sequences: list[np.ndarray], ids: list[int], done: dict[int, int], steps: int) -> np.ndarray:
-    """States of the lanes whose sequences go on after ``steps`` more."""
-    left = []
-    for lane, i in enumerate(ids):
-        done[i] = done.get(i, 0) + steps
-        if done[i] < len(sequences[i]):
-            left.append(lane)
-    return state[left]
+        ids = at = np.zeros(0, np.int64)
+        while len(ids) or self.waiting:
+            fresh = [self.waiting.pop() for _ in range(min(self.most - len(ids), len(self.waiting)))]
+            ids = np.concatenate([ids, np.array(fresh, np.int64)])
+            at = np.concatenate([at, np.zeros(len(fresh), np.int64)])
+            left = self.lengths[ids] - at
+            step = np.arange(min(self.window, int(left.max())))[:, None]
+            there = step < left
+            place = np.where(there, self.starts[ids] + at + step, 0)
+            inputs, targets = np.where(there, self.inputs[place], CLASSES), np.where(there, self.targets[place], 0)
+            going = left > len(step)
+            yield ids, inputs, targets, there.astype(np.float32), going
+            ids, at = ids[going], at[going] + len(step)
 
 
 def train_network(
@@ -245,14 +262,14 @@ def train_network(
     for epoch in range(epochs):
         draw = np.random.default_rng(epoch)
         mixed = [sequences[i] for i in draw.permutation(len(sequences))]
-        state, done = np.zeros((0, hidden), np.float32), {}
+        state = np.zeros((0, hidden), np.float32)
         source = Lanes(mixed, lanes, window)
         draw.shuffle(source.waiting)
-        for ids, inputs, targets, mask, _ in source.windows():
+        for ids, inputs, targets, mask, going in source.windows():
             start = np.zeros((len(ids), hidden), np.float32)
             start[: len(state)] = state
             slopes, last, _ = net.slopes(inputs, targets, mask, start)
-            state = _carried(last, mixed, ids, done, len(inputs))
+            state = last[going]
             step += 1
             pace = rate * max(0.05, 1 - step / total)
             size = np.sqrt(sum(float((g * g).sum()) for g in slopes.values()))
@@ -269,15 +286,13 @@ def train_network(
 def class_log10(net: GatedNetwork, sequences: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
     """log10 probability of each whole sequence of classes."""
     out = np.zeros(len(sequences))
-    state, done = np.zeros((0, net.hidden), np.float32), {}
-    for ids, inputs, targets, mask, _ in Lanes(sequences, lanes, window).windows():
+    state = np.zeros((0, net.hidden), np.float32)
+    for ids, inputs, targets, mask, going in Lanes(sequences, lanes, window).windows():
         start = np.zeros((len(ids), net.hidden), np.float32)
         start[: len(state)] = state
         states = net.states(inputs, start)
-        logs = net.log_classes(states)
-        picked = np.take_along_axis(logs, targets[:, :, None], axis=2)[:, :, 0] * mask
-        out[ids] += picked.sum(axis=0, dtype=np.float64)
-        state = _carried(states[-1], sequences, ids, done, len(inputs))
+        out[ids] += (net.target_logs(states, targets) * mask).sum(axis=0, dtype=np.float64)
+        state = states[-1].T[going]
     return out / np.log(10)
 
 
@@ -300,7 +315,7 @@ def _count(vocabulary: Vocabulary, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_row = TaskContext.get().partitionId() << 33
-        known: dict[bytes, int] = {}
+        known = {END: 0}
         hashes, classes, numbers = [np.zeros(0, t) for t in (np.uint64, np.uint8, np.int32)]
         times, in_class = np.zeros(len(vocabulary.frequent), np.int64), np.zeros(CLASSES, np.int64)
         held: list[tuple] = []  # (row, learned from, unique words, times)
@@ -327,18 +342,17 @@ def _count(vocabulary: Vocabulary, buckets: int):
         base = next_row
         for batch in batches:
             out = []
-            texts = [t.split() for t in batch.column(2).to_pylist()]
-            found = []
-            for words in texts:
-                words.append(END)
-                found.append([known.setdefault(w, len(known)) for w in words])
+            words, ends = split_words(batch.column(2))
+            coded = words.dictionary_encode()
+            number = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int64)
+            # Words of all texts by number, the end's after each text's.
+            found = np.split(np.insert(number[coded.indices.to_numpy()], ends, known[END]), (ends + np.arange(1, len(ends) + 1))[:-1])
             fresh = list(known)[len(hashes) :] if len(known) > len(hashes) else []
             if fresh:
                 hashes = np.concatenate([hashes, np.array([word_hash(w) for w in fresh], np.uint64)])
                 classes = np.concatenate([classes, np.array([vocabulary.word_class(w) for w in fresh], np.uint8)])
                 numbers = np.concatenate([numbers, np.array([vocabulary.number.get(w, -1) for w in fresh], np.int32)])
-            for doc, out_of, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
-                words = np.array(row, np.int64)
+            for doc, out_of, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
                 sequence = classes[words]
                 unique, count = np.unique(words, return_counts=True)
                 number = numbers[unique]
@@ -360,7 +374,7 @@ def _count(vocabulary: Vocabulary, buckets: int):
                     yield batch_of(rows)
                 held, tokens, base = [], 0, next_row
                 if len(known) > 400_000:  # words are only remembered to save hashing
-                    known = {}
+                    known = {END: 0}
                     hashes, classes, numbers = hashes[:0], classes[:0], numbers[:0]
         if held and len(rows := list(postings(base))):
             yield batch_of(rows)
