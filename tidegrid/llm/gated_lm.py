@@ -122,10 +122,6 @@ class Vocabulary:
 # ------------------------------------------------------------------ the network
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class GatedNetwork:
     """One gated recurrent layer over classes; the input that starts a text is class ``CLASSES``."""
 
@@ -138,30 +134,54 @@ class GatedNetwork:
             "o": draw.normal(0, 0.1, (hidden, CLASSES)).astype(np.float32),
             "b": np.zeros(CLASSES, np.float32),
         }
+        self.rooms: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "rooms": {}}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of this shape, zeros at first, that windows use again: fresh memory costs more than the sums."""
+        room = self.rooms.get(name)
+        if room is None or room.shape != shape or room.dtype != self.weights["u"].dtype:
+            room = self.rooms[name] = np.zeros(shape, self.weights["u"].dtype)
+        return room
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of the window's steps, (steps, hidden, lanes), from (lanes, hidden).
 
-        Lanes come last, so that gates are whole rows.
+        Lanes come last, so that gates are whole rows.  The next call writes over the result and ``keep``.
         """
         x, u, n = np.ascontiguousarray(self.weights["x"].T), np.ascontiguousarray(self.weights["u"].T), self.hidden
-        out = np.empty((len(inputs), n, inputs.shape[1]), u.dtype)
+        steps, lanes = inputs.shape
+        out = self._room("states", steps, n, lanes)
+        kept = self._room("kept", steps if keep is not None else 1, 4 * n, lanes)
         state = np.ascontiguousarray(state.T)
-        for t in range(len(inputs)):
-            pull, given = u @ state, x.take(inputs[t], axis=1)
-            gates = _sigmoid(given[: 2 * n] + pull[: 2 * n])
+        for t in range(steps):
+            now = kept[t if keep is not None else 0]
+            gates, new, pull = now[: 2 * n], now[2 * n : 3 * n], now[3 * n :]
+            given, pulled = x.take(inputs[t], axis=1), u @ state
+            np.add(given[: 2 * n], pulled[: 2 * n], out=gates)
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
             z, r = gates[:n], gates[n:]
-            new = np.tanh(given[2 * n :] + r * pull[2 * n :])
+            pull[:] = pulled[2 * n :]
+            np.multiply(r, pull, out=new)
+            new += given[2 * n :]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((state, z, r, new, pull[2 * n :]))
-            state = new + z * (state - new)
-            out[t] = state
+                keep.append((state, z, r, new, pull))
+            after = np.subtract(state, new, out=out[t])
+            after *= z
+            after += new
+            state = after
         return out
 
     def classes(self, states: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class probabilities after each state (a column), and natural logarithms of the targets'."""
         out, bias = self.weights["o"], self.weights["b"]
-        share = out.T @ states
+        share = np.matmul(out.T, states, out=self._room("share", CLASSES, len(targets)))
         share += bias[:, None]
         # States lie between -1 and 1; only large weights can make exponentials overflow.
         if float((np.abs(out).sum(axis=0) + np.abs(bias)).max()) > 60:
@@ -186,7 +206,7 @@ class GatedNetwork:
         count, loss = max(float(mask.sum()), 1.0), 0.0
         out = {"o": np.zeros_like(o), "b": np.zeros_like(self.weights["b"]), "u": np.zeros_like(u)}
         behind = np.zeros((n, lanes), u.dtype)
-        inner, through = np.empty((3 * n, steps, lanes), u.dtype), np.empty((3 * n, lanes), u.dtype)
+        inner, through = self._room("inner", 3 * n, steps, lanes), self._room("through", 3 * n, lanes)
         for t in range(steps - 1, -1, -1):
             error, logs = self.classes(states[t], targets[t])
             loss -= float((logs * mask[t]).sum()) / count
@@ -204,9 +224,10 @@ class GatedNetwork:
             through[2 * n :] *= r
             out["u"] += before @ through.T
             behind = d * z + u @ through
-        hot = np.zeros((steps * lanes, CLASSES + 1), u.dtype)
-        hot[np.arange(steps * lanes), inputs.reshape(-1)] = 1
+        hot, places = self._room("hot", steps * lanes, CLASSES + 1), (np.arange(steps * lanes), inputs.reshape(-1))
+        hot[places] = 1
         out["x"] = (inner.reshape(3 * n, -1) @ hot).T
+        hot[places] = 0
         return out, states[-1].T, loss
 
 
