@@ -2,8 +2,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,53 @@ def test_classes_of_known_and_unknown_words():
     assert all(0 <= words.word_class(w) < CLASSES for w in (b"zebra", b"", b"x" * 500))
 
 
+def test_words_by_columns_are_those_of_plain_splitting():
+    texts = [b"", b" ", b"  a  b\n", b"\xff\xfe a\x00b", b"a\x0b\x0cb\rc", " x  y\x1f z\x85\u00a0".encode(), b"w" * 5000 + b" w"]
+    words, ends = gated_lm.split_words(pa.array([b"sliced off", *texts], pa.binary())[1:])
+    assert words.to_pylist() == [w for t in texts for w in t.split()]
+    assert ends.tolist() == np.cumsum([len(t.split()) for t in texts]).tolist()
+    empty, none = gated_lm.split_words(pa.array([], pa.binary()))
+    assert len(empty) == len(none) == 0 and len(gated_lm.word_hashes(empty)) == 0
+
+
+def test_words_described_together_as_one_by_one():
+    draw = random.Random(8)
+    words = sorted({bytes(draw.choices(b"abcde\xc3\xa9", k=draw.randrange(1, 7))) for _ in range(3000)} | {b"x" * n for n in range(40, 60)})
+    known = Vocabulary([gated_lm.END, *draw.sample(words, 200)])
+    column = pa.array([b"before", *words, gated_lm.END], pa.binary())[1:]
+    hashes, classes, numbers = known.described(column)
+    assert classes.tolist() == [known.word_class(w) for w in column.to_pylist()]
+    assert numbers.tolist() == [known.number.get(w, -1) for w in column.to_pylist()]
+    assert len(set(hashes.tolist())) == len(column)
+    assert hashes[:9].tolist() == gated_lm.word_hashes(pa.array(words[:9], pa.binary())).tolist()
+
+
+def test_flushes_change_nothing(monkeypatch):
+    draw = random.Random(14)
+    texts = [prose(draw, draw.randrange(0, 60)).encode() for _ in range(150)]
+    words = Vocabulary.of(texts[:50], 30)
+    monkeypatch.setattr(gated_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+
+    def counted():
+        parts = [
+            pa.record_batch([pa.array(range(k, k + 10)), pa.array([i % 7 == 2 for i in range(k, k + 10)]), pa.array(texts[k : k + 10], pa.binary())],
+                            ["doc", "held_out", "text"]) for k in range(0, 150, 10)
+        ]
+        rows = [r for b in gated_lm._count(words, 4)(iter(parts)) for r in b.to_pylist()]
+        docs = [tuple(r[k] for k in ("row", "doc", "held_out", "n")) for r in rows if r["kind"] == "doc"]
+        posted = Counter()
+        for r in rows:
+            if r["kind"] == "word":
+                columns = (np.frombuffer(r[k], t) for k, t in zip("abcd", (np.uint64, np.uint32, np.uint32, np.uint8)))
+                posted.update((r["doc"], int(h), r["row"] + int(o), int(n), int(m)) for h, o, n, m in zip(*columns))
+        return docs, posted, [(r["a"], r["b"]) for r in rows if r["kind"] == "sum"], len(rows)
+
+    whole = counted()
+    monkeypatch.setattr(gated_lm, "FLUSH_TOKENS", 50)
+    cut = counted()
+    assert cut[:3] == whole[:3] and cut[3] > whole[3] and sum(n for *_, n, _ in whole[1]) > 0
+
+
 def brute(rows, held):
     counts, tokens = Counter(), []
     for i, t in rows:

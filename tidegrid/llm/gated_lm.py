@@ -35,14 +35,37 @@ CLASSES = 64
 OWN = 32
 #: Tokens a task gathers before it writes them out.
 FLUSH_TOKENS = 1 << 21
-#: Different words a task counts before it sends the counts on.
-MOST_COUNTED = 400_000
+#: Bytes of words a task gathers at most before it writes them out.
+FLUSH_BYTES = 1 << 25
+#: Words a task counts before it sends the counts on.
+COUNT_TOKENS = 1 << 22
+#: Longer words are hashed one by one.
+LONG_WORD = 48
 #: Sequences side by side where tasks train.
 TASK_LANES = 256
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary column, where its words start in them, and their lengths."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2], np.uint8), ends[:-1], np.diff(ends)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words, a byte of all words at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data, starts, lengths = _bytes_of(words)
+    code = np.full(len(words), 0xCBF29CE484222325, np.uint64)
+    for k in range(min(int(lengths.max()), LONG_WORD)):
+        on = np.flatnonzero(lengths > k)
+        code[on] = (code[on] ^ data[starts[on] + k]) * np.uint64(0x100000001B3)
+    code ^= code >> np.uint64(32)
+    code *= np.uint64(0x9E3779B97F4A7C15)
+    code ^= code >> np.uint64(29)
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        code[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    return code
 
 
 def form_class(word: bytes) -> int:
@@ -73,6 +96,20 @@ class Vocabulary:
         i = self.number.get(word, OWN)
         return i if i < OWN else form_class(word)
 
+    def described(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, classes and numbers (-1 if not frequent) of a binary column of different words."""
+        number = pc.fill_null(pc.index_in(words, value_set=pa.array(self.frequent, words.type)), -1).to_numpy(zero_copy_only=False)
+        if not len(words):
+            return word_hashes(words), np.zeros(0, np.uint8), number
+        data, starts, lengths = _bytes_of(words)
+        ending = np.minimum(lengths, 3) << 24
+        for k in range(3):
+            on = np.flatnonzero(lengths > k)
+            ending[on] |= data[starts[on] + lengths[on] - 1 - k].astype(np.int64) << (8 * k)
+        _, example, which = np.unique(ending, return_index=True, return_inverse=True)
+        form = np.array([form_class(words[i].as_py()) for i in example.tolist()], np.uint8)[which]
+        return word_hashes(words), np.where((number >= 0) & (number < OWN), number, form).astype(np.uint8), number.astype(np.int32)
+
     @staticmethod
     def of(texts: list[bytes], most: int) -> Vocabulary:
         seen: Counter[bytes] = Counter()
@@ -90,19 +127,17 @@ class Vocabulary:
         """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter[bytes] = Counter()
+            held: list[pa.Array] = []
             for batch in batches:
-                words, times = pc.value_counts(split_words(batch.column(0))[0]).flatten()
-                for word, n in zip(words.to_pylist(), times.to_pylist()):
-                    seen[word] += n
-                if len(seen) > MOST_COUNTED:
-                    yield counted(seen)
-                    seen.clear()
-            if seen:
-                yield counted(seen)
-
-        def counted(seen: Counter[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+                held.append(split_words(batch.column(0))[0])
+                if sum(map(len, held)) > COUNT_TOKENS or sum(h.nbytes for h in held) > 2 * FLUSH_BYTES:
+                    yield counted(held)
+                    held = []
+            if held:
+                yield counted(held)
+
+        def counted(held: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(pc.value_counts(pa.concat_arrays(held)).flatten(), ["word", "n"])
 
         words = stage(
             texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -336,13 +371,10 @@ def _count(vocabulary: Vocabulary, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_row = TaskContext.get().partitionId() << 33
-        known = {END: 0}
-        hashes, classes, numbers = [np.zeros(0, t) for t in (np.uint64, np.uint8, np.int32)]
         times, in_class = np.zeros(len(vocabulary.frequent), np.int64), np.zeros(CLASSES, np.int64)
-        held: list[tuple] = []  # (row, learned from, unique words, times)
-        tokens = 0
 
-        def postings(base: int) -> Iterator[tuple]:
+        def postings(base: int, held: list[tuple], hashes: np.ndarray, classes: np.ndarray) -> Iterator[tuple]:
+            """``held``: a document's row, whether it is learned from, its rare words and their times."""
             rows = np.repeat(np.array([h[0] - base for h in held], np.uint32), [len(h[2]) for h in held])
             learn = np.repeat(np.array([h[1] for h in held], np.uint8), [len(h[2]) for h in held])
             words = np.concatenate([h[2] for h in held])
@@ -360,45 +392,41 @@ def _count(vocabulary: Vocabulary, buckets: int):
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PARTS)], schema=PARTS)
 
-        base = next_row
-        for batch in batches:
-            out = []
-            words, ends = split_words(batch.column(2))
-            coded = words.dictionary_encode()
-            number = np.array([known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()], np.int64)
-            # Words of all texts by number, the end's after each text's.
-            found = np.split(np.insert(number[coded.indices.to_numpy()], ends, known[END]), (ends + np.arange(1, len(ends) + 1))[:-1])
-            fresh = list(known)[len(hashes) :] if len(known) > len(hashes) else []
-            if fresh:
-                hashes = np.concatenate([hashes, np.array([word_hash(w) for w in fresh], np.uint64)])
-                classes = np.concatenate([classes, np.array([vocabulary.word_class(w) for w in fresh], np.uint8)])
-                numbers = np.concatenate([numbers, np.array([vocabulary.number.get(w, -1) for w in fresh], np.int32)])
-            for doc, out_of, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found):
-                sequence = classes[words]
-                unique, count = np.unique(words, return_counts=True)
+        def coded(texts: list[tuple], base: int) -> Iterator[pa.RecordBatch]:
+            words = pa.concat_arrays([t[2] for t in texts]).dictionary_encode()
+            ends = np.concatenate([t[3] + before for t, before in zip(texts, np.cumsum([0, *(len(t[2]) for t in texts)]))])
+            # The end is one more word, after the last of each text.
+            hashes, classes, numbers = vocabulary.described(pa.concat_arrays([words.dictionary, pa.array([END], pa.binary())]))
+            found = np.insert(words.indices.to_numpy().astype(np.int64), ends, len(words.dictionary))
+            out, held = [], []
+            docs = ((doc, out_of) for t in texts for doc, out_of in zip(t[0].to_pylist(), t[1].to_pylist()))
+            for row, ((doc, out_of), codes) in enumerate(zip(docs, np.split(found, (ends + np.arange(1, len(ends) + 1))[:-1])), base):
+                sequence = classes[codes]
+                unique, count = np.unique(codes, return_counts=True)
                 number = numbers[unique]
                 common = number >= 0
                 if not out_of:
                     np.add.at(times, number[common], count[common])
-                    in_class += np.bincount(sequence, minlength=CLASSES)
-                held.append((next_row, not out_of, unique[~common], count[~common]))
+                    in_class[:] += np.bincount(sequence, minlength=CLASSES)
+                held.append((row, not out_of, unique[~common], count[~common]))
                 out.append((
-                    "doc", next_row, doc, out_of, len(words), sequence.tobytes(),
+                    "doc", row, doc, out_of, len(codes), sequence.tobytes(),
                     number[common].astype(np.uint16).tobytes(), count[common].astype(np.uint32).tobytes(), None,
                 ))
-                next_row += 1
-                tokens += len(words)
             if out:
                 yield batch_of(out)
-            if tokens > FLUSH_TOKENS:
-                if len(rows := list(postings(base))):
+                if rows := list(postings(base, held, hashes, classes)):
                     yield batch_of(rows)
-                held, tokens, base = [], 0, next_row
-                if len(known) > 400_000:  # words are only remembered to save hashing
-                    known = {END: 0}
-                    hashes, classes, numbers = hashes[:0], classes[:0], numbers[:0]
-        if held and len(rows := list(postings(base))):
-            yield batch_of(rows)
+
+        texts: list[tuple] = []  # ids, held_out, words, ends
+        for batch in batches:
+            texts.append((batch.column(0), batch.column(1), *split_words(batch.column(2))))
+            if sum(len(t[2]) for t in texts) > FLUSH_TOKENS or sum(t[2].nbytes for t in texts) > FLUSH_BYTES:
+                yield from coded(texts, next_row)
+                next_row += sum(len(t[0]) for t in texts)
+                texts = []
+        if texts:
+            yield from coded(texts, next_row)
         yield batch_of([("sum", None, None, None, None, times.tobytes(), in_class.tobytes(), None, None)])
 
     return run
