@@ -159,18 +159,20 @@ def drop_repeated_lines(
     joined = rows.join(
         drops, F.col("id").eqNullSafe(F.col("doc")) & (F.xxhash64("text") == F.col("text_hash")), "left"
     )
-    # Exploding one array makes the lines a column, which the picks below read by number.
-    # Numbers are set apart by hash, so that a document costs its lines and not their square.
-    split = F.when(F.col("drop").isNotNull(), F.split("text", "\n", -1))
-    joined = joined.select("*", F.explode(F.array(split)).alias("lines"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
-    kept = F.transform(stays, lambda at: F.get("lines", at))
+    # The lines are a lambda's variable, split once and never copied into a row.  Numbers are set
+    # apart by hash, so that a document costs its lines and not their square.
+    split = F.split("text", "\n", -1)
+
+    def without(lines: Column) -> Column:
+        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+        new_text = F.array_join(F.transform(stays, lambda at: F.get(lines, at)), "\n")
+        return F.struct(new_text.alias("text"), F.size(lines).alias("lines"), (F.size(lines) - F.size(stays)).alias("dropped"))
+
     # Most documents lose nothing and keep their text as it is.
-    cut = joined.withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
-    whole = F.col("kept").isNull()
-    new_text = F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text_col)
+    same = F.struct(F.col("text").alias("text"), F.size(split).alias("lines"), F.lit(0).alias("dropped"))
+    cut = joined.select("row", F.when(F.col("drop").isNull(), same).otherwise(F.transform(F.array(split), without)[0]).alias("cut"))
     return cut.select(
-        *[new_text if c == text_col else F.col(f"row.`{c}`") for c in names],
-        F.when(whole, F.size(F.split("text", "\n", -1))).otherwise(F.size("lines")).cast("long").alias("line_count"),
-        F.when(whole, F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long").alias("lines_dropped"),
+        *[F.col("cut.text").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in names],
+        F.col("cut.lines").cast("long").alias("line_count"),
+        F.col("cut.dropped").cast("long").alias("lines_dropped"),
     )
