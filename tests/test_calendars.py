@@ -112,3 +112,17 @@ def test_calendar_grids_keep_repeats_and_pass_empty_tables(spark):
     for bad in ("QS-MON", "W-JAN", "MS-JAN", "0MS", "B-MON"):
         with pytest.raises(ValueError):
             reg.gap_fill(df, PANEL, bad)
+
+
+def test_merged_tasks_hold_few_groups(spark):
+    changed = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    rows = spark.range(2_000_000).select(F.xxhash64("id").alias("id"), F.timestamp_seconds(F.col("id") * 40).alias("dt"), F.rand(1).alias("v"))
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        # Some 40 MB are shuffled, which one task would hold as 2 million groups.
+        assert reg.resample_mean(rows, PANEL, ["v"], "MS").rdd.getNumPartitions() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
