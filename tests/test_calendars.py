@@ -114,6 +114,24 @@ def test_calendar_grids_keep_repeats_and_pass_empty_tables(spark):
             reg.gap_fill(df, PANEL, bad)
 
 
+@pytest.mark.parametrize("freq", ["MS", "ME", "W-MON", "B", "2MS", "2W-MON"])
+def test_gaps_of_calendar_grids_in_chunks(spark, freq):
+    made = {"a": uneven(5) + pd.Timedelta(hours=9), "b": uneven(6, 900), "c": uneven(7, 1), None: uneven(9, 40)}
+    df = times(spark, made).withColumn("v", F.dayofyear("dt").cast("double"))
+    cut = reg.gap_fill(df, PANEL.chunked(40 * 86_400_000_000), freq, -1.0)
+    assert sorted(cut.collect(), key=str) == sorted(reg.gap_fill(df, PANEL, freq, -1.0).collect(), key=str)
+
+
+def test_calendar_grids_are_not_shuffled(spark, tmp_path):
+    ends = pd.DatetimeIndex(["1900-01-01", "2100-01-01"])
+    df = times(spark, {str(i): ends for i in range(20)}).withColumn("v", F.lit(1.0))
+    filled = reg.gap_fill(df, PANEL.bounded(), "W-MON", -1.0)
+    assert filled.count() == 20 * 10_436
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    # The expansion is the last step: nothing is exchanged or joined after it.
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")
+
+
 def test_merged_tasks_hold_few_groups(spark):
     changed = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
     before = {k: spark.conf.get(k) for k in changed}
